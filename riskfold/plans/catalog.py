@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskfold.operators import features as feat
+from riskfold.operators import labels as lab
 from riskfold.plans import fixtures as fx
 from riskfold.plans import oracle as orc
 from riskfold.schema import FEATURE_NAMES
@@ -30,3 +31,87 @@ def register(name: str, sql: str | None = None):
 def features_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = feat.extract_features(fx.source_files_from_part(spark, sf_dir))
     return f.select("repo", "path", *FEATURE_NAMES)
+
+
+@register("line_features_documents", orc.line_features_documents())
+def line_features_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: documents as raw sources -- the failure path at full text size."""
+    from pyspark.sql import functions as F
+
+    f = feat.extract_features(fx.source_files_from_documents(spark, sf_dir))
+    ok = (F.col("syntax_error") == 0) & F.col("error").isNull()
+    return f.select("repo", "path", "total_lines", "blank_lines", ok.alias("parsed_ok"))
+
+
+# --- S3, L1-L8: labelling -----------------------------------------------------
+
+SMALL_FILE_CAP = 60   # binds at sf0.01 (80 files per repo)
+SMALL_COMMIT_CAP = 5  # binds at sf0.01
+SMALL_DEPTH = 20
+
+
+@register("file_cap_per_repo", orc.file_cap(SMALL_FILE_CAP))
+def file_cap_per_repo(spark, sf_dir):
+    return lab.cap_files(fx.working_tree_from_part(spark, sf_dir), SMALL_FILE_CAP)
+
+
+@register("bug_fix_commits", orc.bug_fix_commits())
+def bug_fix_commits(spark, sf_dir):
+    commits, _ = fx.history_from_orders(spark, sf_dir)
+    return lab.bug_fix_commits(commits).select("repo", "commit_id", "message")
+
+
+@register("newest_bug_fixes", orc.newest_bug_fixes(SMALL_COMMIT_CAP))
+def newest_bug_fixes(spark, sf_dir):
+    commits, _ = fx.history_from_orders(spark, sf_dir)
+    return lab.newest_bug_fixes(commits, SMALL_COMMIT_CAP).select("repo", "commit_id")
+
+
+@register("history_depth", orc.history_depth(SMALL_DEPTH))
+def history_depth(spark, sf_dir):
+    commits, _ = fx.history_from_orders(spark, sf_dir)
+    return lab.history_depth(commits, SMALL_DEPTH).select("repo", "commit_id")
+
+
+@register("changed_py_files", orc.changed_py_files())
+def changed_py_files(spark, sf_dir):
+    commits, files = fx.history_from_orders(spark, sf_dir)
+    return lab.changed_python_files(commits, files)
+
+
+@register("buggy_paths", orc.buggy_paths(SMALL_COMMIT_CAP))
+def buggy_paths(spark, sf_dir):
+    commits, files = fx.history_from_orders(spark, sf_dir)
+    return lab.buggy_paths(commits, files, SMALL_COMMIT_CAP)
+
+
+@register("last_modified", orc.last_modified())
+def last_modified(spark, sf_dir):
+    commits, files = fx.history_from_orders(spark, sf_dir)
+    return lab.last_modified(commits, files)
+
+
+def _labels(spark, sf_dir, max_files, cap, depth=None):
+    commits, files = fx.history_from_orders(spark, sf_dir)
+    tree = fx.working_tree_from_part(spark, sf_dir)
+    return lab.label_files(tree, commits, files, fx.AS_OF, max_files=max_files, cap=cap, depth=depth)
+
+
+@register("file_labels", orc.file_labels(lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
+def file_labels(spark, sf_dir):
+    return _labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP)
+
+
+@register("file_labels_small_caps", orc.file_labels(SMALL_FILE_CAP, SMALL_COMMIT_CAP))
+def file_labels_small_caps(spark, sf_dir):
+    return _labels(spark, sf_dir, SMALL_FILE_CAP, SMALL_COMMIT_CAP)
+
+
+@register("file_labels_shallow", orc.file_labels(None, lab.BUGGY_COMMIT_CAP, lab.MINED_HISTORY_DEPTH))
+def file_labels_shallow(spark, sf_dir):
+    return _labels(spark, sf_dir, None, lab.BUGGY_COMMIT_CAP, lab.MINED_HISTORY_DEPTH)
+
+
+@register("label_counts", orc.label_counts(lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
+def label_counts(spark, sf_dir):
+    return lab.label_counts(_labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))

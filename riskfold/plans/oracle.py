@@ -101,3 +101,137 @@ t1_features AS (
 def features_t1() -> str:
     cols = ", ".join(FEATURE_NAMES)
     return f"WITH {T1_FEATURES_CTE}\nSELECT repo, path, {cols} FROM t1_features"
+
+
+# --- T5: documents as sources -------------------------------------------------
+
+def line_features_documents() -> str:
+    return r"""
+WITH d AS (
+  SELECT source AS repo, 'doc/' || doc_id AS path, coalesce(text, '') AS t FROM documents
+), s AS (
+  SELECT repo, path, t, string_split(t, chr(10)) AS pieces, CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END AS tail
+  FROM d
+)
+SELECT repo, path,
+  CAST(CASE WHEN t = '' THEN 0 ELSE len(pieces) - tail END AS INTEGER) AS total_lines,
+  CAST(CASE WHEN t = '' THEN 0 ELSE
+    len(list_filter(pieces, lambda x: regexp_full_match(x, '[ \t\r\x0B\x0C]*'))) - tail END AS INTEGER) AS blank_lines,
+  false AS parsed_ok
+FROM s"""
+
+
+# --- T2: commit history -------------------------------------------------------
+
+T2_CTE = """
+t2_li AS (
+  SELECT n_name AS repo, l_orderkey AS commit_id, l_partkey FROM lineitem JOIN nation ON n_nationkey = l_partkey % 25
+), t2_files AS (
+  SELECT DISTINCT repo, commit_id,
+         'src/p' || l_partkey || CASE WHEN l_partkey % 7 = 0 THEN '.md' ELSE '.py' END AS path
+  FROM t2_li
+), t2_commits AS (
+  SELECT c.repo, c.commit_id,
+         CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_custkey % 10 = 0 THEN 'Fix crash in module'
+              WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' AND o_custkey % 50 = 1 THEN 'prefix cleanup'
+              ELSE 'Add feature' END AS message,
+         o_orderdate AS authored_at, o_orderdate AS committed_at,
+         CAST(CASE WHEN o_orderkey % 17 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_parents
+  FROM (SELECT DISTINCT repo, commit_id FROM t2_li) c JOIN orders ON o_orderkey = c.commit_id
+), t2_tree AS (
+  SELECT n_name AS repo, 'src/p' || p_partkey || '.py' AS path FROM part JOIN nation ON n_nationkey = p_partkey % 25
+)"""
+
+BUG_RE = "(fix|bug|patch|error|issue|crash|resolve|hotfix|repair|workaround|incorrect)"
+
+
+def _bugfix(cap: int | None, src: str = "t2_commits") -> str:
+    fixes = f"SELECT * FROM {src} WHERE regexp_matches(lower(message), '{BUG_RE}')"
+    if cap is None:
+        return fixes
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY committed_at DESC, commit_id) AS rn "
+            f"FROM ({fixes})) WHERE rn <= {cap}")
+
+
+def _depth(depth: int | None) -> str:
+    if depth is None:
+        return "SELECT * FROM t2_commits"
+    return (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY committed_at DESC, commit_id) AS rn "
+            f"FROM t2_commits) WHERE rn <= {depth}")
+
+
+def file_cap(n: int) -> str:
+    return f"""WITH {T2_CTE}
+SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM t2_tree) WHERE rn <= {n}"""
+
+
+def bug_fix_commits() -> str:
+    return f"WITH {T2_CTE}\nSELECT repo, commit_id, message FROM ({_bugfix(None)})"
+
+
+def newest_bug_fixes(cap: int) -> str:
+    return f"WITH {T2_CTE}\nSELECT repo, commit_id FROM ({_bugfix(cap)})"
+
+
+def history_depth(depth: int) -> str:
+    return f"WITH {T2_CTE}\nSELECT repo, commit_id FROM ({_depth(depth)})"
+
+
+def changed_py_files() -> str:
+    return f"""WITH {T2_CTE}
+SELECT f.repo, f.commit_id, f.path FROM t2_files f JOIN t2_commits c USING (repo, commit_id)
+WHERE f.path LIKE '%.py' AND c.n_parents <= 1"""
+
+
+def _buggy(cap, src="t2_commits") -> str:
+    return f"""SELECT DISTINCT f.repo, f.path FROM t2_files f
+  JOIN ({_bugfix(cap, src)}) b USING (repo, commit_id)
+  WHERE f.path LIKE '%.py' AND b.n_parents <= 1"""
+
+
+def buggy_paths(cap: int) -> str:
+    return f"WITH {T2_CTE}\n{_buggy(cap)}"
+
+
+def _last_mod(src="t2_commits") -> str:
+    return f"""SELECT f.repo, f.path, arg_max(c.authored_at, c.committed_at) AS last_modified
+  FROM t2_files f JOIN {src} c USING (repo, commit_id) WHERE c.n_parents <= 1 GROUP BY f.repo, f.path"""
+
+
+def last_modified() -> str:
+    return f"WITH {T2_CTE}\n{_last_mod()}"
+
+
+AS_OF_SQL = "TIMESTAMP '2001-07-31 00:00:00'"
+
+
+def labels_cte(max_files: int | None, cap: int | None, depth: int | None = None) -> str:
+    tree = "t2_tree" if max_files is None else (
+        f"(SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM t2_tree) "
+        f"WHERE rn <= {max_files})")
+    return f"""{T2_CTE},
+hist AS ({_depth(depth)}),
+buggy AS ({_buggy(cap, 'hist')}),
+lastmod AS ({_last_mod('hist')}),
+labels AS (
+  SELECT * FROM (
+    SELECT t.repo, t.path,
+           CAST(CASE WHEN b.path IS NOT NULL THEN 1
+                     WHEN l.last_modified < {AS_OF_SQL} - INTERVAL 30 DAYS THEN 0 END AS INTEGER) AS label
+    FROM {tree} t
+    LEFT JOIN buggy b ON b.repo = t.repo AND b.path = t.path
+    LEFT JOIN lastmod l ON l.repo = t.repo AND l.path = t.path
+  ) WHERE label IS NOT NULL
+)"""
+
+
+def file_labels(max_files: int | None, cap: int | None, depth: int | None = None) -> str:
+    return f"WITH {labels_cte(max_files, cap, depth)}\nSELECT repo, path, label FROM labels"
+
+
+def label_counts(max_files: int | None, cap: int | None) -> str:
+    return f"""WITH {labels_cte(max_files, cap)}
+SELECT repo, CAST(count(*) AS BIGINT) AS n_files,
+       CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_buggy,
+       CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_clean
+FROM labels GROUP BY repo"""
