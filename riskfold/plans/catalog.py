@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskfold.operators import features as feat
+from riskfold.operators import dataset as ds
 from riskfold.operators import labels as lab
 from riskfold.plans import fixtures as fx
 from riskfold.plans import oracle as orc
@@ -115,3 +116,70 @@ def file_labels_shallow(spark, sf_dir):
 @register("label_counts", orc.label_counts(lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
 def label_counts(spark, sf_dir):
     return lab.label_counts(_labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
+
+
+# --- D1-D11, M4, M6, M7: dataset ------------------------------------------------
+
+def labelled_dataset(spark, sf_dir):
+    """Parsed features of the T1 files joined to their T2 labels."""
+    f = feat.extract_features(fx.source_files_from_part(spark, sf_dir))
+    labels = _labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP)
+    return ds.align(ds.attach_labels(f, labels), keep=("repo", "path"))
+
+
+@register("dataset_rows", orc.dataset_rows())
+def dataset_rows(spark, sf_dir):
+    return labelled_dataset(spark, sf_dir)
+
+
+@register("class_balance", orc.class_balance())
+def class_balance(spark, sf_dir):
+    return ds.class_balance(labelled_dataset(spark, sf_dir))
+
+
+@register("feature_ranges", orc.feature_ranges())
+def feature_ranges(spark, sf_dir):
+    return ds.feature_ranges(labelled_dataset(spark, sf_dir))
+
+
+@register("feature_profile", orc.feature_profile())
+def feature_profile(spark, sf_dir):
+    return ds.feature_profile(labelled_dataset(spark, sf_dir))
+
+
+@register("class_distribution", orc.class_distribution())
+def class_distribution(spark, sf_dir):
+    return ds.class_distribution(labelled_dataset(spark, sf_dir))
+
+
+@register("class_histogram", orc.class_histogram("cyclomatic_complexity"))
+def class_histogram(spark, sf_dir):
+    return ds.class_histogram(labelled_dataset(spark, sf_dir), "cyclomatic_complexity")
+
+
+@register("label_correlation", orc.label_correlation())
+def label_correlation(spark, sf_dir):
+    return ds.label_correlation(labelled_dataset(spark, sf_dir))
+
+
+@register("correlation_matrix", orc.correlation_matrix(12))
+def correlation_matrix(spark, sf_dir):
+    data = labelled_dataset(spark, sf_dir)
+    return ds.correlation_matrix(data, ds.top_correlated(data, 12))
+
+
+@register("class_weights", orc.class_weights())
+def class_weights(spark, sf_dir):
+    return ds.class_weights(labelled_dataset(spark, sf_dir))
+
+
+@register("stratified_split", orc.stratified_split(0.2))
+def stratified_split(spark, sf_dir):
+    d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
+    return ds.stratified_split(d, "path", 0.2)
+
+
+@register("stratified_folds", orc.stratified_folds(5))
+def stratified_folds(spark, sf_dir):
+    d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
+    return ds.stratified_folds(d, "path", 5)

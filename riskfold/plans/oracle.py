@@ -235,3 +235,116 @@ SELECT repo, CAST(count(*) AS BIGINT) AS n_files,
        CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_buggy,
        CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_clean
 FROM labels GROUP BY repo"""
+
+
+# --- T3: labelled feature table -------------------------------------------------
+
+def t3_cte() -> str:
+    cols = ", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in FEATURE_NAMES)
+    return f"""{T1_FEATURES_CTE},
+{labels_cte(500, 200)[1:] if labels_cte(500, 200).startswith(chr(10)) else labels_cte(500, 200)},
+t3 AS (SELECT f.repo, f.path, {cols}, l.label FROM t1_features f JOIN labels l ON l.repo = f.repo AND l.path = f.path)"""
+
+
+def dataset_rows() -> str:
+    return f"WITH {t3_cte()}\nSELECT * FROM t3"
+
+
+def class_balance() -> str:
+    return f"""WITH {t3_cte()}
+SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(sum(label) AS BIGINT) AS n_buggy,
+       round(100.0 * sum(label) / greatest(count(*), 1), 6) AS pct_buggy,
+       CAST(count(*) - sum(label) AS BIGINT) AS n_clean,
+       round(100.0 * (count(*) - sum(label)) / greatest(count(*), 1), 6) AS pct_clean
+FROM t3"""
+
+
+def feature_ranges() -> str:
+    parts = [f"SELECT '{f}' AS feature, CAST(min({f}) AS DOUBLE) AS min, round(avg({f}), 6) AS mean, "
+             f"CAST(max({f}) AS DOUBLE) AS max FROM t3" for f in FEATURE_NAMES]
+    return f"WITH {t3_cte()}\n" + "\nUNION ALL ".join(parts)
+
+
+def feature_profile() -> str:
+    parts = [f"""SELECT '{f}' AS feature, {i} AS idx, CAST(count({f}) AS BIGINT) AS count, round(avg({f}), 6) AS mean,
+       round(stddev_samp({f}), 6) AS std, CAST(min({f}) AS DOUBLE) AS min,
+       round(quantile_cont({f}, 0.25), 6) AS p25, round(quantile_cont({f}, 0.5), 6) AS p50,
+       round(quantile_cont({f}, 0.75), 6) AS p75, CAST(max({f}) AS DOUBLE) AS max FROM t3"""
+             for i, f in enumerate(FEATURE_NAMES)]
+    return f"WITH {t3_cte()}\n" + "\nUNION ALL ".join(parts)
+
+
+def class_distribution() -> str:
+    return f"""WITH {t3_cte()}
+SELECT label, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM t3 GROUP BY label"""
+
+
+def class_histogram(feature: str, bins: int = 30) -> str:
+    return f"""WITH {t3_cte()},
+rng AS (
+  SELECT label, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+         CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
+  FROM (SELECT label, CAST({feature} AS DOUBLE) AS v FROM t3) GROUP BY label
+), binned AS (
+  SELECT t.label, CAST(least(floor({float(bins)} * (CAST(t.{feature} AS DOUBLE) - r.lo) / (r.hi - r.lo)), {bins - 1}) AS INTEGER) AS bin
+  FROM t3 t JOIN rng r USING (label)
+), counts AS (SELECT label, bin, count(*) AS n FROM binned GROUP BY label, bin),
+grid AS (SELECT label, lo, hi, CAST(b AS INTEGER) AS bin FROM rng, range(0, {bins}) AS g(b))
+SELECT g.label, g.bin,
+       round(g.lo + g.bin * ((g.hi - g.lo) / {float(bins)}), 6) AS bin_lo,
+       round(g.lo + (g.bin + 1) * ((g.hi - g.lo) / {float(bins)}), 6) AS bin_hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM grid g LEFT JOIN counts c ON c.label = g.label AND c.bin = g.bin"""
+
+
+def _corr_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 "
+            f"THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END")
+
+
+def _label_corr_parts() -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{f}' AS feature, {i} AS idx, round({_corr_sql(f'CAST({f} AS DOUBLE)', 'CAST(label AS DOUBLE)')}, 6) AS corr FROM t3"
+        for i, f in enumerate(FEATURE_NAMES))
+
+
+def label_correlation() -> str:
+    return f"WITH {t3_cte()}\n{_label_corr_parts()}"
+
+
+def correlation_matrix(k: int = 12) -> str:
+    cols = ", ".join(FEATURE_NAMES)
+    return f"""WITH {t3_cte()},
+lc AS ({_label_corr_parts()}),
+top AS (SELECT feature FROM lc ORDER BY abs(corr) DESC NULLS LAST, idx LIMIT {k}),
+wide AS (SELECT row_number() OVER () AS rid, {cols} FROM t3),
+long AS (UNPIVOT wide ON {cols} INTO NAME feature VALUE value),
+lt AS (SELECT rid, feature, CAST(value AS DOUBLE) AS value FROM long WHERE feature IN (SELECT feature FROM top))
+SELECT a.feature AS f1, b.feature AS f2, round({_corr_sql('a.value', 'b.value')}, 6) AS r
+FROM lt a JOIN lt b ON a.rid = b.rid GROUP BY a.feature, b.feature"""
+
+
+def class_weights() -> str:
+    return f"""WITH {t3_cte()}
+SELECT label, CAST(count(*) AS BIGINT) AS n,
+       sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight
+FROM t3 GROUP BY label"""
+
+
+def _md5_key(col: str, seed: str = "42") -> str:
+    return f"CAST(('0x' || substr(md5({col} || '-{seed}'), 1, 8)) AS BIGINT)"
+
+
+def stratified_split(test_size: float = 0.2) -> str:
+    return f"""WITH {t3_cte()},
+r AS (SELECT repo, path, label,
+        row_number() OVER (PARTITION BY label ORDER BY {_md5_key('path')}, path) AS rk,
+        count(*) OVER (PARTITION BY label) AS n_label FROM t3)
+SELECT repo, path, label, CASE WHEN rk <= round({test_size} * n_label) THEN 'test' ELSE 'train' END AS split FROM r"""
+
+
+def stratified_folds(k: int = 5) -> str:
+    return f"""WITH {t3_cte()},
+r AS (SELECT repo, path, label,
+        row_number() OVER (PARTITION BY label ORDER BY {_md5_key('path')}, path) AS rk FROM t3)
+SELECT repo, path, label, CAST((rk - 1) % {k} AS INTEGER) AS fold FROM r"""
