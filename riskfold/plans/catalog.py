@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskfold.operators import features as feat
 from riskfold.operators import dataset as ds
+from riskfold.operators import evaluate as ev
 from riskfold.operators import labels as lab
 from riskfold.plans import fixtures as fx
 from riskfold.plans import oracle as orc
@@ -183,3 +184,60 @@ def stratified_split(spark, sf_dir):
 def stratified_folds(spark, sf_dir):
     d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
     return ds.stratified_folds(d, "path", 5)
+
+
+# --- E1-E11, M8/M10 aggregates: evaluation ------------------------------------
+
+@register("confusion_counts", orc.confusion_counts())
+def confusion_counts(spark, sf_dir):
+    c = ev.confusion_counts(fx.predictions_from_part(spark, sf_dir))
+    return c.select("tn", "fp", "fn", "tp", "one_class", "true_negatives", "false_positives",
+                    "false_negatives", "true_positives")
+
+
+@register("normalized_confusion", orc.normalized_confusion())
+def normalized_confusion(spark, sf_dir):
+    return ev.normalized_confusion(fx.predictions_from_part(spark, sf_dir))
+
+
+@register("class_metrics", orc.class_metrics())
+def class_metrics(spark, sf_dir):
+    return ev.class_metrics(fx.predictions_from_part(spark, sf_dir))
+
+
+@register("classification_report", orc.classification_report())
+def classification_report(spark, sf_dir):
+    return ev.classification_report(fx.predictions_from_part(spark, sf_dir))
+
+
+@register("roc_auc", orc.roc_auc())
+def roc_auc(spark, sf_dir):
+    return ev.roc_auc(fx.predictions_from_part(spark, sf_dir))
+
+
+@register("roc_curve", orc.roc_curve())
+def roc_curve(spark, sf_dir):
+    return ev.roc_curve(fx.predictions_from_part(spark, sf_dir))
+
+
+@register("fold_metrics", orc.fold_metrics())
+def fold_metrics(spark, sf_dir):
+    return ev.fold_metrics(fx.model_predictions_from_part(spark, sf_dir), ["model", "fold"])
+
+
+@register("cv_summary", orc.cv_summary())
+def cv_summary(spark, sf_dir):
+    fm = ev.fold_metrics(fx.model_predictions_from_part(spark, sf_dir), ["model", "fold"])
+    return ev.cv_summary(ev.metrics_long(fm, ["model", "fold"]), ["model"])
+
+
+@register("model_comparison", orc.model_comparison())
+def model_comparison(spark, sf_dir):
+    m = ev.fold_metrics(fx.model_predictions_from_part(spark, sf_dir), ["model"])
+    return ev.model_comparison(ev.metrics_long(m, ["model"]))
+
+
+@register("select_best_model", orc.select_best())
+def select_best_model(spark, sf_dir):
+    m = ev.fold_metrics(fx.model_predictions_from_part(spark, sf_dir), ["model", "model_pos"])
+    return ev.select_best(m, "f1")

@@ -136,3 +136,16 @@ def predictions_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(err, F.lit("analysis failed")).alias("error"),
         (F.col("k") % 5).cast("int").alias("fold"),
     )
+
+
+def model_predictions_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 for model comparison: the T4 scores as model 'score_model' and
+    1 - score as 'flipped_model' (prediction = score >= 0.5 for each)."""
+    base = predictions_from_part(spark, sf_dir)
+    a = base.select(F.lit("score_model").alias("model"), F.lit(0).alias("model_pos"), "fold", "path", "label",
+                    "prediction", "score")
+    flipped = F.lit(1) - F.col("score")
+    b = base.select(F.lit("flipped_model").alias("model"), F.lit(1).alias("model_pos"), "fold", "path", "label",
+                    F.when(flipped >= 0.5, 1).when(flipped.isNotNull(), 0).cast("int").alias("prediction"),
+                    flipped.alias("score"))
+    return a.unionByName(b)

@@ -348,3 +348,163 @@ def stratified_folds(k: int = 5) -> str:
 r AS (SELECT repo, path, label,
         row_number() OVER (PARTITION BY label ORDER BY {_md5_key('path')}, path) AS rk FROM t3)
 SELECT repo, path, label, CAST((rk - 1) % {k} AS INTEGER) AS fold FROM r"""
+
+
+# --- T4: predictions ----------------------------------------------------------------
+
+T4_CTE = """
+t4 AS (
+  SELECT 'src/p' || p_partkey || '.py' AS path, CAST(CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS INTEGER) AS label,
+         CASE WHEN p_partkey % 101 = 0 THEN NULL ELSE CAST((p_partkey * 37) % 1000 AS DOUBLE) / 1000.0 END AS score,
+         CAST(p_partkey % 5 AS INTEGER) AS fold
+  FROM part
+), t4p AS (
+  SELECT *, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM t4 WHERE score IS NOT NULL
+), t4m AS (
+  SELECT 'score_model' AS model, 0 AS model_pos, fold, path, label, prediction, score FROM t4p
+  UNION ALL
+  SELECT 'flipped_model' AS model, 1 AS model_pos, fold, path, label,
+         CAST(CASE WHEN 1 - score >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS prediction, 1 - score AS score FROM t4p
+)"""
+
+
+def _gsel(by: list[str]) -> str:
+    return "".join(f"{b}, " for b in by)
+
+
+def _cm(src: str, by: list[str]) -> str:
+    g = f"GROUP BY {', '.join(by)}" if by else ""
+    return f"""SELECT {_gsel(by)}
+    CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+    CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  FROM {src} {g}"""
+
+
+def _r(num: str, den: str) -> str:
+    return f"(CASE WHEN ({den}) > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE 0.0 END)"
+
+
+def _metrics_cte(src: str, by: list[str]) -> str:
+    """cm -> cs (per class) -> mt (all metrics) for groups ``by``."""
+    return f"""cm AS ({_cm(src, by)}),
+cs AS (
+  SELECT *,
+    {_r('tn', 'tn + fn')} AS precision_clean, {_r('tn', 'tn + fp')} AS recall_clean,
+    {_r('2 * tn', '2 * tn + fn + fp')} AS f1_clean, tn + fp AS support_clean,
+    {_r('tp', 'tp + fp')} AS precision_buggy, {_r('tp', 'tp + fn')} AS recall_buggy,
+    {_r('2 * tp', '2 * tp + fp + fn')} AS f1_buggy, tp + fn AS support_buggy,
+    tn + fp + fn + tp AS n, (tn + fp + fn) > 0 AS has_clean, (tp + fp + fn) > 0 AS has_buggy,
+    NOT ((tn + fp + fn) > 0 AND (tp + fp + fn) > 0) AS one_class
+  FROM cm
+), mt AS (
+  SELECT *,
+    {_r('tn + tp', 'n')} AS accuracy,
+    {_r('precision_clean * support_clean + precision_buggy * support_buggy', 'n')} AS precision_weighted,
+    {_r('recall_clean * support_clean + recall_buggy * support_buggy', 'n')} AS recall_weighted,
+    {_r('f1_clean * support_clean + f1_buggy * support_buggy', 'n')} AS f1_weighted,
+    {_r('(CASE WHEN has_clean THEN precision_clean ELSE 0.0 END) + (CASE WHEN has_buggy THEN precision_buggy ELSE 0.0 END)', 'CAST(has_clean AS INTEGER) + CAST(has_buggy AS INTEGER)')} AS precision_macro,
+    {_r('(CASE WHEN has_clean THEN recall_clean ELSE 0.0 END) + (CASE WHEN has_buggy THEN recall_buggy ELSE 0.0 END)', 'CAST(has_clean AS INTEGER) + CAST(has_buggy AS INTEGER)')} AS recall_macro,
+    {_r('(CASE WHEN has_clean THEN f1_clean ELSE 0.0 END) + (CASE WHEN has_buggy THEN f1_buggy ELSE 0.0 END)', 'CAST(has_clean AS INTEGER) + CAST(has_buggy AS INTEGER)')} AS f1_macro,
+    CASE WHEN one_class THEN 0 ELSE tn END AS true_negatives,
+    CASE WHEN one_class THEN 0 ELSE fp END AS false_positives,
+    CASE WHEN one_class THEN 0 ELSE fn END AS false_negatives,
+    CASE WHEN one_class THEN 0 ELSE tp END AS true_positives
+  FROM cs
+)"""
+
+
+def _auc_cte(src: str, by: list[str]) -> str:
+    part = f"PARTITION BY {', '.join(by)}" if by else ""
+    g = f"GROUP BY {', '.join(by)}" if by else ""
+    return f"""sc AS (
+  SELECT {_gsel(by)} score, sum(label) AS n_pos, sum(1 - label) AS n_neg FROM {src} GROUP BY {_gsel(by)} score
+), cu AS (
+  SELECT *, coalesce(sum(n_neg) OVER ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+  FROM sc
+), auc AS (
+  SELECT {_gsel(by)} CASE WHEN sum(n_pos) > 0 AND sum(n_neg) > 0 THEN
+      CAST(sum(n_pos * (neg_below + n_neg * 0.5::DOUBLE)) AS DOUBLE) / CAST(sum(n_pos) * sum(n_neg) AS DOUBLE) END AS roc_auc
+  FROM cu {g}
+)"""
+
+
+def confusion_counts() -> str:
+    return f"""WITH {T4_CTE}, {_metrics_cte('t4p', [])}
+SELECT tn, fp, fn, tp, one_class, true_negatives, false_positives, false_negatives, true_positives FROM mt"""
+
+
+def normalized_confusion() -> str:
+    return f"""WITH {T4_CTE}, cm AS ({_cm('t4p', [])})
+SELECT 0 AS actual, 0 AS predicted, tn AS n, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END AS share FROM cm
+UNION ALL SELECT 0, 1, fp, CASE WHEN tn + fp > 0 THEN fp / (tn + fp) END FROM cm
+UNION ALL SELECT 1, 0, fn, CASE WHEN fn + tp > 0 THEN fn / (fn + tp) END FROM cm
+UNION ALL SELECT 1, 1, tp, CASE WHEN fn + tp > 0 THEN tp / (fn + tp) END FROM cm"""
+
+
+CLASS_METRIC_COLS = ("accuracy, precision_clean, recall_clean, f1_clean, support_clean, precision_buggy, recall_buggy, "
+                     "f1_buggy, support_buggy, precision_weighted, recall_weighted, f1_weighted, precision_macro, "
+                     "recall_macro, f1_macro, true_negatives, false_positives, false_negatives, true_positives")
+
+
+def class_metrics() -> str:
+    return f"WITH {T4_CTE}, {_metrics_cte('t4p', [])}\nSELECT {CLASS_METRIC_COLS} FROM mt"
+
+
+def classification_report() -> str:
+    return f"""WITH {T4_CTE}, {_metrics_cte('t4p', [])}
+SELECT 'clean' AS class, precision_clean AS precision, recall_clean AS recall, f1_clean AS f1, CAST(support_clean AS BIGINT) AS support FROM mt
+UNION ALL SELECT 'buggy', precision_buggy, recall_buggy, f1_buggy, CAST(support_buggy AS BIGINT) FROM mt
+UNION ALL SELECT 'accuracy', NULL, NULL, accuracy, CAST(n AS BIGINT) FROM mt
+UNION ALL SELECT 'macro avg', precision_macro, recall_macro, f1_macro, CAST(n AS BIGINT) FROM mt
+UNION ALL SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, CAST(n AS BIGINT) FROM mt"""
+
+
+def roc_auc() -> str:
+    return f"WITH {T4_CTE}, {_auc_cte('t4p', [])}\nSELECT roc_auc FROM auc"
+
+
+def roc_curve() -> str:
+    return f"""WITH {T4_CTE},
+sc AS (SELECT score, sum(label) AS n_pos, sum(1 - label) AS n_neg FROM t4p GROUP BY score),
+tot AS (SELECT sum(n_pos) AS P, sum(n_neg) AS N FROM sc),
+cu AS (SELECT score, sum(n_pos) OVER (ORDER BY score DESC) AS cp, sum(n_neg) OVER (ORDER BY score DESC) AS cn FROM sc)
+SELECT 'Infinity'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT score, CASE WHEN N > 0 THEN cn / N END, CASE WHEN P > 0 THEN cp / P END FROM cu, tot"""
+
+
+FOLD_COLS = ("accuracy, f1_weighted AS f1, f1_weighted, f1_macro, f1_buggy, precision_weighted, recall_weighted, "
+             "roc_auc, true_negatives, false_positives, false_negatives, true_positives")
+FOLD_METRICS = ["accuracy", "f1", "f1_weighted", "f1_macro", "f1_buggy", "precision_weighted", "recall_weighted",
+                "roc_auc", "true_negatives", "false_positives", "false_negatives", "true_positives"]
+
+
+def fold_metrics() -> str:
+    by = ["model", "fold"]
+    return f"""WITH {T4_CTE}, {_metrics_cte('t4m', by)}, {_auc_cte('t4m', by)}
+SELECT mt.model, mt.fold, {FOLD_COLS} FROM mt JOIN auc ON auc.model = mt.model AND auc.fold = mt.fold"""
+
+
+def cv_summary() -> str:
+    by = ["model", "fold"]
+    unions = "\nUNION ALL ".join(f"SELECT model, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM fm" for m in FOLD_METRICS)
+    return f"""WITH {T4_CTE}, {_metrics_cte('t4m', by)}, {_auc_cte('t4m', by)},
+fm AS (SELECT mt.model, mt.fold, {FOLD_COLS} FROM mt JOIN auc ON auc.model = mt.model AND auc.fold = mt.fold),
+lg AS ({unions})
+SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, CAST(count(*) AS BIGINT) AS n_folds
+FROM lg GROUP BY model, metric"""
+
+
+def model_comparison() -> str:
+    by = ["model"]
+    return f"""WITH {T4_CTE}, {_metrics_cte('t4m', by)}, {_auc_cte('t4m', by)}
+SELECT mt.model, accuracy, f1_weighted, roc_auc, precision_weighted, recall_weighted
+FROM mt JOIN auc ON auc.model = mt.model"""
+
+
+def select_best() -> str:
+    by = ["model", "model_pos"]
+    return f"""WITH {T4_CTE}, {_metrics_cte('t4m', by)}
+SELECT model, f1_weighted AS best_f1 FROM mt ORDER BY f1_weighted DESC NULLS LAST, model_pos LIMIT 1"""
