@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from riskfold.operators import features as feat
 from riskfold.operators import dataset as ds
 from riskfold.operators import evaluate as ev
+from riskfold.operators import explain as xp
 from riskfold.operators import labels as lab
+from riskfold.operators import score as sc
 from riskfold.plans import fixtures as fx
 from riskfold.plans import oracle as orc
 from riskfold.schema import FEATURE_NAMES
@@ -241,3 +243,91 @@ def model_comparison(spark, sf_dir):
 def select_best_model(spark, sf_dir):
     m = ev.fold_metrics(fx.model_predictions_from_part(spark, sf_dir), ["model", "model_pos"])
     return ev.select_best(m, "f1")
+
+
+# --- P2-P10, S8, S9: scoring reports ------------------------------------------
+
+def scored_files(spark, sf_dir):
+    """T1 features with the T4 scores (error rows have no score)."""
+    from pyspark.sql import functions as F
+
+    f = feat.extract_features(fx.source_files_from_part(spark, sf_dir)).drop("error")
+    p = fx.predictions_from_part(spark, sf_dir).select("path", "score", "error")
+    return f.join(p, "path")
+
+
+@register("risk_report", orc.risk_report())
+def risk_report(spark, sf_dir):
+    return sc.risk_report(scored_files(spark, sf_dir))
+
+
+@register("ranked_report", orc.ranked_report())
+def ranked_report(spark, sf_dir):
+    return sc.ranked_report(scored_files(spark, sf_dir)).select("path", "score", "rank")
+
+
+TOP_K = 25
+
+
+@register("top_risk", orc.top_risk(TOP_K))
+def top_risk(spark, sf_dir):
+    return sc.top_risk(scored_files(spark, sf_dir), TOP_K).select("path", "score")
+
+
+@register("report_footer", orc.report_footer())
+def report_footer(spark, sf_dir):
+    return sc.report_footer(scored_files(spark, sf_dir))
+
+
+@register("batch_summary", orc.batch_summary())
+def batch_summary(spark, sf_dir):
+    return sc.batch_summary(scored_files(spark, sf_dir))
+
+
+@register("batch_rows", orc.batch_rows())
+def batch_rows(spark, sf_dir):
+    return sc.batch_rows(scored_files(spark, sf_dir))
+
+
+@register("batch_csv_rows", orc.batch_csv_rows())
+def batch_csv_rows(spark, sf_dir):
+    return sc.batch_csv_rows(scored_files(spark, sf_dir))
+
+
+@register("report_table", orc.report_table())
+def report_table(spark, sf_dir):
+    return sc.flat_report(scored_files(spark, sf_dir))
+
+
+@register("risk_histogram", orc.risk_histogram())
+def risk_histogram(spark, sf_dir):
+    return sc.risk_histogram(scored_files(spark, sf_dir))
+
+
+# --- X1-X6: explanations --------------------------------------------------------
+
+def t1_features(spark, sf_dir):
+    return feat.extract_features(fx.source_files_from_part(spark, sf_dir))
+
+
+@register("feature_status", orc.feature_status())
+def feature_status(spark, sf_dir):
+    return xp.feature_status(t1_features(spark, sf_dir))
+
+
+@register("recommendations", orc.recommendations())
+def recommendations(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    r = xp.recommendations(t1_features(spark, sf_dir))
+    return r.select("path", F.array_join("rule_ids", ",").alias("rule_ids"), F.size("rule_ids").cast("int").alias("n_rules"))
+
+
+@register("recommendation_counts", orc.recommendation_counts())
+def recommendation_counts(spark, sf_dir):
+    return xp.recommendation_counts(xp.recommendations(t1_features(spark, sf_dir)))
+
+
+@register("radar_values", orc.radar_values())
+def radar_values(spark, sf_dir):
+    return xp.radar_values(t1_features(spark, sf_dir))

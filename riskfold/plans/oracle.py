@@ -508,3 +508,150 @@ def select_best() -> str:
     by = ["model", "model_pos"]
     return f"""WITH {T4_CTE}, {_metrics_cte('t4m', by)}
 SELECT model, f1_weighted AS best_f1 FROM mt ORDER BY f1_weighted DESC NULLS LAST, model_pos LIMIT 1"""
+
+
+# --- P2-P10, S8, S9: scored report (T1 features + T4 scores) --------------------
+
+def scored_cte() -> str:
+    return f"""{T1_FEATURES_CTE}, {T4_CTE[1:]},
+scored AS (
+  SELECT f.*, t.score, CASE WHEN t.score IS NULL THEN 'analysis failed' END AS error
+  FROM t1_features f JOIN t4 t ON t.path = f.path
+)"""
+
+
+def _level(s: str = "score") -> str:
+    return (f"CASE WHEN {s} IS NULL THEN 'Error' WHEN {s} < 0.3 THEN 'Low' WHEN {s} < 0.6 THEN 'Medium' "
+            f"WHEN {s} < 0.8 THEN 'High' ELSE 'Critical' END")
+
+
+def risk_report() -> str:
+    return f"""WITH {scored_cte()}
+SELECT path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
+       CASE WHEN score IS NULL THEN NULL ELSE score >= 0.6 END AS flagged, error FROM scored"""
+
+
+def ranked_report() -> str:
+    return f"""WITH {scored_cte()}
+SELECT path, score, CAST(row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, path) AS BIGINT) AS rank FROM scored"""
+
+
+def top_risk(k: int) -> str:
+    return f"""WITH {scored_cte()}
+SELECT path, score FROM scored ORDER BY coalesce(score, 0.0) DESC, path LIMIT {k}"""
+
+
+def report_footer() -> str:
+    return f"""WITH {scored_cte()}
+SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(CASE WHEN score >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS n_flagged FROM scored"""
+
+
+def batch_summary() -> str:
+    return f"""WITH {scored_cte()}
+SELECT CAST(count(*) AS BIGINT) AS n_valid, round(avg(score), 6) AS mean_score,
+       CAST(sum(CASE WHEN {_level()} IN ('High', 'Critical') THEN 1 ELSE 0 END) AS BIGINT) AS n_high_critical,
+       CAST(sum(CASE WHEN {_level()} = 'Low' THEN 1 ELSE 0 END) AS BIGINT) AS n_low
+FROM scored WHERE score IS NOT NULL"""
+
+
+def _batch_select() -> str:
+    return f"""SELECT path AS filename, score AS risk_score, {_level()} AS risk_level,
+       CAST(CASE WHEN score IS NULL THEN 0 ELSE total_lines END AS INTEGER) AS lines,
+       CAST(CASE WHEN score IS NULL THEN 0 ELSE cyclomatic_complexity END AS INTEGER) AS complexity,
+       CAST(CASE WHEN score IS NULL THEN 0.0 ELSE docstring_coverage END AS DOUBLE) AS docstring_cov"""
+
+
+def batch_rows() -> str:
+    return f"WITH {scored_cte()}\n{_batch_select()}, error FROM scored"
+
+
+def batch_csv_rows() -> str:
+    return f"WITH {scored_cte()}\n{_batch_select()} FROM scored WHERE score IS NOT NULL"
+
+
+def report_table() -> str:
+    feats = ", ".join(f for f in FEATURE_NAMES if f != "syntax_error")
+    return f"""WITH {scored_cte()}
+SELECT path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
+       CASE WHEN score IS NULL THEN NULL ELSE score >= 0.6 END AS flagged, {feats} FROM scored"""
+
+
+def risk_histogram(bins: int = 30) -> str:
+    return f"""WITH {scored_cte()},
+v AS (SELECT score AS v FROM scored WHERE score IS NOT NULL),
+rng AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+               CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
+counts AS (SELECT CAST(least(floor({float(bins)} * (v - lo) / (hi - lo)), {bins - 1}) AS INTEGER) AS bin, count(*) AS n
+           FROM v, rng GROUP BY 1),
+grid AS (SELECT CAST(b AS INTEGER) AS bin, lo, hi, lo + CAST(b AS INTEGER) * ((hi - lo) / {float(bins)}) AS lft
+         FROM rng, range(0, {bins}) AS g(b))
+SELECT g.bin, round(lft, 6) AS bin_lo, round(lo + (g.bin + 1) * ((hi - lo) / {float(bins)}), 6) AS bin_hi,
+       CASE WHEN lft < 0.3 THEN 'Low' WHEN lft < 0.6 THEN 'Medium' WHEN lft < 0.8 THEN 'High' ELSE 'Critical' END AS zone,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM grid g LEFT JOIN counts c ON c.bin = g.bin"""
+
+
+# --- X1-X6: explanations over T1 features ------------------------------------------
+
+def _values(rows: list[tuple]) -> str:
+    def lit(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return "true" if x else "false"
+        if isinstance(x, (int, float)):
+            return repr(float(x))
+        return "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
+
+
+def feature_status() -> str:
+    from riskfold.operators.explain import FEATURE_LABELS, STATUS_THRESHOLDS
+    feats = [f for f in FEATURE_NAMES if f != "syntax_error"]
+    long = "\nUNION ALL ".join(f"SELECT path, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM t1_features" for f in feats)
+    th = _values([(f, w, d, h) for f, (w, d, h) in STATUS_THRESHOLDS.items()])
+    lb = _values(list(FEATURE_LABELS.items()))
+    return f"""WITH {T1_FEATURES_CTE},
+lg AS ({long}),
+th(feature, warn, danger, hiw) AS (VALUES {th}),
+lb(feature, label) AS (VALUES {lb})
+SELECT lg.path, lg.feature, lb.label, lg.value,
+  CASE WHEN th.warn IS NULL THEN '—'
+       WHEN th.hiw THEN CASE WHEN lg.value <= th.warn THEN 'Healthy' WHEN lg.value <= th.danger THEN 'Warning' ELSE 'Danger' END
+       ELSE CASE WHEN lg.value >= th.warn THEN 'Healthy' WHEN lg.value >= th.danger THEN 'Warning' ELSE 'Danger' END END AS status
+FROM lg JOIN lb ON lb.feature = lg.feature LEFT JOIN th ON th.feature = lg.feature"""
+
+
+def _rule_cases() -> list[tuple[str, str]]:
+    from riskfold.operators.explain import RECOMMENDATIONS
+    out = []
+    for rule, feature, op, thr, _fmt, _scale in RECOMMENDATIONS:
+        out.append((rule, f"coalesce(CAST({feature} AS DOUBLE), 0.0) {op} {float(thr)}"))
+    return out
+
+
+def recommendations() -> str:
+    parts = ", ".join(f"CASE WHEN {cond} THEN '{rule}' END" for rule, cond in _rule_cases())
+    n = " + ".join(f"(CASE WHEN {cond} THEN 1 ELSE 0 END)" for _, cond in _rule_cases())
+    return f"""WITH {T1_FEATURES_CTE}
+SELECT path, concat_ws(',', {parts}) AS rule_ids, CAST({n} AS INTEGER) AS n_rules FROM t1_features"""
+
+
+def recommendation_counts() -> str:
+    unions = "\nUNION ALL ".join(f"SELECT '{rule}' AS rule_id FROM t1_features WHERE {cond}" for rule, cond in _rule_cases())
+    return f"""WITH {T1_FEATURES_CTE}
+SELECT rule_id, CAST(count(*) AS BIGINT) AS n_files FROM ({unions}) GROUP BY rule_id"""
+
+
+def radar_values() -> str:
+    from riskfold.operators.explain import BANDS, RADAR_FEATURES, RADAR_INVERTED, UNBOUNDED
+    parts = []
+    for i, f in enumerate(RADAR_FEATURES):
+        v = f"CAST({f} AS DOUBLE)"
+        hi = BANDS[f][2][1]
+        top = f"{float(hi)}" if hi < UNBOUNDED else f"greatest({v} * 2, 1.0)"
+        norm = f"least(greatest({v} / greatest({top}, 1e-9), 0.0), 1.0)"
+        if f in RADAR_INVERTED:
+            norm = f"1.0 - {norm}"
+        parts.append(f"SELECT path, '{f}' AS feature, {i} AS axis, round({norm}, 6) AS radar_value FROM t1_features")
+    return f"WITH {T1_FEATURES_CTE}\n" + "\nUNION ALL ".join(parts)
