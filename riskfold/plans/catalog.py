@@ -331,3 +331,18 @@ def recommendation_counts(spark, sf_dir):
 @register("radar_values", orc.radar_values())
 def radar_values(spark, sf_dir):
     return xp.radar_values(t1_features(spark, sf_dir))
+
+
+# --- S12: generator -----------------------------------------------------------------
+
+@register("synthetic_dataset", orc.synthetic_dataset())
+def synthetic_dataset(spark, sf_dir):
+    """One generated labelled row per part key (the work grows with part)."""
+    from pyspark.sql import functions as F
+
+    from riskfold.sources.generate import NORMAL_COLUMNS, synthesize
+
+    ids = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    g = synthesize(ids, "id", 0.35, "42")
+    return g.select("id", *[F.round(F.col(c), 6).alias(c) if c in NORMAL_COLUMNS else F.col(c) for c in FEATURE_NAMES],
+                    "label")

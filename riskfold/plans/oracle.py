@@ -655,3 +655,53 @@ def radar_values() -> str:
             norm = f"1.0 - {norm}"
         parts.append(f"SELECT path, '{f}' AS feature, {i} AS axis, round({norm}, 6) AS radar_value FROM t1_features")
     return f"WITH {T1_FEATURES_CTE}\n" + "\nUNION ALL ".join(parts)
+
+
+# --- S12: generator ------------------------------------------------------------------
+
+def _dbl(x) -> str:
+    return f"{float(x)!r}::DOUBLE"
+
+
+def synthetic_dataset(seed: str = "42", ratio: float = 0.35) -> str:
+    import math
+
+    from riskfold.sources.generate import DISTRIBUTIONS, NORMAL_COLUMNS
+
+    def u(name):
+        return f"(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '-{seed}-{name}'), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+    def val(spec, name, cls):
+        k = spec[0]
+        if k == "int":
+            return f"CAST({_dbl(spec[1])} + floor({u(name)} * {spec[2] - spec[1]!r}) AS DOUBLE)"
+        if k == "uni":
+            return f"({_dbl(spec[1])} + {u(name)} * {_dbl(spec[2] - spec[1])})"
+        if k == "times":
+            base = DISTRIBUTIONS[spec[1]][cls]
+            return f"({val(base, spec[1], cls)} * ({_dbl(spec[2])} + {u(name)} * {_dbl(spec[3] - spec[2])}))"
+        if k == "ratio":
+            return (f"({val(DISTRIBUTIONS[spec[1]][cls], spec[1], cls)} / "
+                    f"{val(DISTRIBUTIONS[spec[2]][cls], spec[2], cls)})")
+        if k == "bern":
+            return f"(CASE WHEN {u(name)} < {_dbl(spec[1])} THEN 1.0 ELSE 0.0 END)"
+        if k == "norm":
+            mu, sd, lo, hi = spec[1:]
+            z = f"(sqrt(-2.0 * ln(1.0 - {u(name + '-a')})) * cos({_dbl(2 * math.pi)} * {u(name + '-b')}))"
+            return f"least(greatest({_dbl(mu)} + {_dbl(sd)} * {z}, {_dbl(lo)}), {_dbl(hi)})"
+        if k == "const":
+            return _dbl(spec[1])
+        raise ValueError(k)
+
+    cols = []
+    for name in FEATURE_NAMES:
+        clean, buggy = DISTRIBUTIONS[name]
+        e = f"CAST(CASE WHEN label = 1 THEN {val(buggy, name, 1)} ELSE {val(clean, name, 0)} END AS DOUBLE)"
+        if name in NORMAL_COLUMNS:
+            e = f"round({e}, 6)"
+        cols.append(f"{e} AS {name}")
+    key = f"CAST(('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '-{seed}-class'), 1, 8)) AS BIGINT)"
+    return f"""WITH r AS (
+  SELECT p_partkey AS id, row_number() OVER (ORDER BY {key}, p_partkey) AS rk, count(*) OVER () AS n FROM part
+), l AS (SELECT id, CAST(CASE WHEN rk <= floor(n * {ratio!r}) THEN 1 ELSE 0 END AS INTEGER) AS label FROM r)
+SELECT id, {', '.join(cols)}, label FROM l"""
