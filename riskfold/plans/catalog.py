@@ -12,6 +12,7 @@ from riskfold.operators import evaluate as ev
 from riskfold.operators import explain as xp
 from riskfold.operators import labels as lab
 from riskfold.operators import score as sc
+from riskfold.operators import train as tr
 from riskfold.plans import fixtures as fx
 from riskfold.plans import oracle as orc
 from riskfold.schema import FEATURE_NAMES
@@ -346,3 +347,67 @@ def synthetic_dataset(spark, sf_dir):
     g = synthesize(ids, "id", 0.35, "42")
     return g.select("id", *[F.round(F.col(c), 6).alias(c) if c in NORMAL_COLUMNS else F.col(c) for c in FEATURE_NAMES],
                     "label")
+
+
+# --- M1-M3, M5, M8-M11, E9, P1: training and scoring (rows-only) ---------------
+# Small ensembles keep the driver's check fast; the reference defaults
+# (200 trees) stay the API defaults.
+
+QUICK = {"random_forest": {"n_estimators": 20, "max_depth": 6},
+         "gradient_boosting": {"n_estimators": 20, "max_depth": 3}}
+
+
+def _train_test(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from riskfold.session import cut_lineage
+
+    data = labelled_dataset(spark, sf_dir)
+    split = cut_lineage(ds.stratified_split(data, "path", 0.2))
+    return split.where(F.col("split") == "train").drop("split"), split.where(F.col("split") == "test").drop("split")
+
+
+@register("cv_random_forest")
+def cv_random_forest(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    _, summary = tr.cross_validate(train, "random_forest", 5, **QUICK["random_forest"])
+    return summary
+
+
+@register("model_test_metrics")
+def model_test_metrics(spark, sf_dir):
+    data = labelled_dataset(spark, sf_dir)
+    res = tr.run_training(data, ["random_forest", "gradient_boosting"], folds=3, overrides=QUICK)
+    return tr.metrics_table(res, spark)
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    model = tr.fit(train, "random_forest", **QUICK["random_forest"])
+    return tr.top_features(tr.feature_importance(model, spark), 15)
+
+
+@register("grid_search_random_forest")
+def grid_search_random_forest(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    model = tr.grid_search(train, "random_forest", 3, grid={"n_estimators": [10, 20], "max_depth": [3, 6]})
+    return tr.evaluate_model(model, test)["metrics"]
+
+
+@register("evaluate_held_out")
+def evaluate_held_out(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    model = tr.fit(train, "gradient_boosting", **QUICK["gradient_boosting"])
+    return tr.evaluate_model(model, test)["report"]
+
+
+@register("score_corpus")
+def score_corpus(spark, sf_dir):
+    """P1 + P4: train on the labelled files, then score every parsed file
+    with its risk level and top-3 factors."""
+    train, _ = _train_test(spark, sf_dir)
+    model = tr.fit(train, "random_forest", **QUICK["random_forest"])
+    factors = sc.top_factor_names(tr.feature_importance(model, spark), 3)
+    scored = tr.score_files(model, t1_features(spark, sf_dir))
+    return sc.scored_report(scored, factors)
