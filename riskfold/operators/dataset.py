@@ -106,36 +106,39 @@ def feature_profile(df: DataFrame, features: list[str] = FEATURE_NAMES,
                     quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample std, min, linear-interpolated quartiles, max.
 
-    Quantiles are exact (same definition as linear interpolation between
-    order statistics) and computed from the bounded frequency table.
+    One chain over the bounded frequency table: a window per feature gives
+    the running count, total and mean; one aggregate per feature (already
+    partitioned by feature, so no further shuffle) picks the order
+    statistics and sums squared deviations.  Quantiles are exact (linear
+    interpolation between order statistics).
     """
     freq = value_frequencies(df, features)
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = freq.withColumn("cum_end", F.sum("n").over(w))
-    totals = freq.groupBy("feature").agg(F.sum("n").alias("cnt"))
-    cum = cum.join(totals, "feature")
-    aggs = [F.first("idx").alias("idx"), F.first("cnt").alias("count")]
+    part = Window.partitionBy("feature")
+    running = part.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cum = freq.select(
+        "feature", "idx", "value", "n",
+        F.sum("n").over(running).alias("cum_end"),
+        F.sum("n").over(part).alias("cnt"),
+        (F.sum(F.col("n") * F.col("value")).over(part) / F.sum("n").over(part)).alias("_mean"))
+    aggs = [F.first("idx").alias("idx"), F.first("cnt").alias("count"), F.first("_mean").alias("_mean"),
+            F.sum(F.col("n") * (F.col("value") - F.col("_mean")) ** 2).alias("_ss"),
+            F.min("value").alias("min"), F.max("value").alias("max")]
     for q in quantiles:
         pos = (F.col("cnt") - 1) * F.lit(q)
         lo, hi = F.floor(pos), F.ceil(pos)
-        frac = pos - lo
         tag = int(round(q * 1000))
         aggs += [F.min(F.when(F.col("cum_end") > lo, F.col("value"))).alias(f"lo_{tag}"),
                  F.min(F.when(F.col("cum_end") > hi, F.col("value"))).alias(f"hi_{tag}"),
-                 F.first(frac).alias(f"frac_{tag}")]
+                 F.first(pos - lo).alias(f"frac_{tag}")]
     qs = cum.groupBy("feature").agg(*aggs)
     qcols = []
     for q in quantiles:
         tag = int(round(q * 1000))
         lo, hi, fr = F.col(f"lo_{tag}"), F.col(f"hi_{tag}"), F.col(f"frac_{tag}")
         qcols.append(F.round(lo + (hi - lo) * fr, 6).alias(f"p{int(round(q * 100))}"))
-    moments = _long(df, features).groupBy("feature").agg(
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    return (qs.join(moments, "feature")
-            .select("feature", "idx", F.col("count").cast("long").alias("count"), "mean", "std", "min",
-                    *qcols, "max"))
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
+    return qs.select("feature", "idx", F.col("count").cast("long").alias("count"),
+                     F.round("_mean", 6).alias("mean"), F.round(std, 6).alias("std"), "min", *qcols, "max")
 
 
 def class_distribution(df: DataFrame) -> DataFrame:
@@ -242,22 +245,28 @@ def stratified_rank(df: DataFrame, id_col: str, seed: str = DEFAULT_SEED,
                     buckets: int = RANK_BUCKETS) -> DataFrame:
     """Adds ``rank`` (1-based, per label) in the seeded order
     (md5 key of id, then id) and ``n_label``.  Exact, and no task ever holds
-    more than one hash bucket of one class."""
+    more than one hash bucket of one class.
+
+    Rows are shuffled once by (label, bucket) and ranked inside the bucket;
+    bucket sizes come from that same windowed stream (the shuffle is reused,
+    the input is computed once), and their running offsets form a table of
+    at most 2 x buckets rows that is broadcast back.
+    """
     key = md5_order_key(F.col(id_col), seed)
     bits = max(1, (buckets - 1).bit_length())
     keyed = df.withColumn("_key", key).withColumn("_bucket", F.shiftright(F.col("_key"), 32 - bits))
-    sizes = keyed.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
+    w = Window.partitionBy("label", "_bucket").orderBy("_key", id_col)
+    local = keyed.withColumn("_local", F.row_number().over(w))
+    sizes = local.groupBy("label", "_bucket").agg(F.max("_local").alias("_bn"))
     wcum = Window.partitionBy("label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     wtot = Window.partitionBy("label")
-    # at most 2 x buckets rows
     offsets = sizes.select(
         "label", "_bucket",
         F.coalesce(F.sum("_bn").over(wcum), F.lit(0)).alias("_offset"),
         F.sum("_bn").over(wtot).alias("n_label"))
-    w = Window.partitionBy("label", "_bucket").orderBy("_key", id_col)
-    ranked = keyed.join(F.broadcast(offsets), ["label", "_bucket"])
-    return (ranked.withColumn("rank", F.col("_offset") + F.row_number().over(w))
-            .drop("_key", "_bucket", "_offset"))
+    ranked = local.join(F.broadcast(offsets), ["label", "_bucket"])
+    return (ranked.withColumn("rank", F.col("_offset") + F.col("_local"))
+            .drop("_key", "_bucket", "_offset", "_local"))
 
 
 def stratified_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: str = DEFAULT_SEED,

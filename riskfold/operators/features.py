@@ -132,7 +132,7 @@ def extract_features(sources: DataFrame, source_col: str = "source") -> DataFram
     """``sources(repo, path, source)`` -> one row per file with the 30
     features plus ``error`` (non-null when the file could not be analysed;
     such rows still carry their line features)."""
-    return finish_features(feature_aggregates(parse_sources(sources, source_col)))
+    return finish_features(feature_aggregates(parse_sources(sources, source_col, features_only=True)))
 
 
 def features_from_parsed(parsed: DataFrame) -> DataFrame:

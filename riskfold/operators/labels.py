@@ -92,6 +92,26 @@ def last_modified(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
         F.max_by("authored_at", "committed_at").alias("last_modified"))
 
 
+def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None = BUGGY_COMMIT_CAP,
+                 words: list[str] = BUG_FIX_WORDS, suffix: str = ".py") -> DataFrame:
+    """L5 + L6 in one pass over ``commit_files``: per (repo, path) of a
+    ``suffix`` file, the author date of its newest non-merge commit and
+    whether one of the newest ``cap`` bug-fix commits changed it.
+
+    commit_files is read and shuffled once: it joins the non-merge commits
+    on (repo, commit_id), the newest fixes are joined on the same keys (no
+    re-partitioning), and one aggregate by (repo, path) yields both values.
+    """
+    fixes = newest_bug_fixes(commits, cap, words).select("repo", "commit_id", F.lit(1).alias("_fix"))
+    single = commits.where(F.col("n_parents") <= 1).select("repo", "commit_id", "authored_at", "committed_at")
+    touched = (commit_files.where(F.col("path").endswith(suffix)).select("repo", "commit_id", "path")
+               .join(single, ["repo", "commit_id"])
+               .join(fixes, ["repo", "commit_id"], "left"))
+    return touched.groupBy("repo", "path").agg(
+        F.max_by("authored_at", "committed_at").alias("last_modified"),
+        F.max(F.coalesce(F.col("_fix"), F.lit(0))).alias("buggy"))
+
+
 def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of: str,
                 max_files: int | None = MAX_FILES_PER_REPO, cap: int | None = BUGGY_COMMIT_CAP,
                 depth: int | None = None, words: list[str] = BUG_FIX_WORDS,
@@ -100,18 +120,18 @@ def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, a
 
     1 if the file was touched by one of the newest ``cap`` bug-fix commits;
     0 if its last change is older than ``as_of - stable_days``; otherwise
-    (recent, or never committed) the file is left out.
+    (recent, or never committed) the file is left out.  ``files`` is the
+    working tree of Python files.
     """
     history = history_depth(commits, depth)
     tree = cap_files(files.select("repo", "path"), max_files)
-    buggy = buggy_paths(history, commit_files, cap, words).withColumn("_buggy", F.lit(True))
-    last = last_modified(history, commit_files)
+    per_file = file_history(history, commit_files, cap, words)
     ts_type = commits.schema["authored_at"].dataType.simpleString()
     cutoff = F.lit(as_of).cast(ts_type) - F.expr(f"INTERVAL {int(stable_days)} DAYS")
-    joined = tree.join(buggy, ["repo", "path"], "left").join(last, ["repo", "path"], "left")
-    label = (F.when(F.col("_buggy"), F.lit(1))
+    label = (F.when(F.col("buggy") == 1, F.lit(1))
              .when(F.col("last_modified") < cutoff, F.lit(0)))
-    return (joined.select("repo", "path", label.cast("int").alias("label"))
+    return (tree.join(per_file, ["repo", "path"], "inner")
+            .select("repo", "path", label.cast("int").alias("label"))
             .where(F.col("label").isNotNull()))
 
 

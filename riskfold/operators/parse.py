@@ -20,7 +20,7 @@ from riskfold.schema import FILE_COLUMNS, NODE_COLUMNS, PARSED
 _OUTPUT_BATCH_ROWS = 32_768
 
 
-def _parse_batches(batches):
+def _parse_batches(batches, features_only: bool = False):
     import pyarrow as pa
 
     from riskfold.functions.pysyntax import decode_source, parse_file
@@ -45,57 +45,75 @@ def _parse_batches(batches):
     ])
     assert arrow_schema.names == names
     n_node_cols = 19
-
-    def empty():
-        return {n: [] for n in names}
-
-    out = empty()
-    count = 0
+    n_file_cols = 5
+
+    def flush(files, nodes):
+        """Columns of one output batch: file rows first, then node rows
+        (built by transposing row tuples, not cell by cell)."""
+        nf, nn = len(files), len(nodes)
+        fcols = list(zip(*files)) if nf else [()] * (2 + n_file_cols)
+        ncols = list(zip(*nodes)) if nn else [()] * (2 + n_node_cols)
+        data = {"repo": [*fcols[0], *ncols[0]], "path": [*fcols[1], *ncols[1]],
+                "kind": ["file"] * nf + ["node"] * nn}
+        for i, n in enumerate(names[3:3 + n_node_cols]):
+            data[n] = [None] * nf + list(ncols[2 + i])
+        for j, n in enumerate(names[3 + n_node_cols:]):
+            data[n] = list(fcols[2 + j]) + [None] * nn
+        return pa.RecordBatch.from_pydict(data, schema=arrow_schema)
+
+    files: list[tuple] = []
+    nodes: list[tuple] = []
     for batch in batches:
         repos = batch.column("repo").to_pylist()
         paths = batch.column("path").to_pylist()
         sources = batch.column("source").to_pylist()
         for repo, path, raw in zip(repos, paths, sources):
-            (total, blank, comments, syntax_error, error), nodes = parse_file(decode_source(raw))
-            out["repo"].append(repo)
-            out["path"].append(path)
-            out["kind"].append("file")
-            for n in names[3:3 + n_node_cols]:
-                out[n].append(None)
-            out["total_lines"].append(total)
-            out["blank_lines"].append(blank)
-            out["comment_lines"].append(comments)
-            out["syntax_error"].append(syntax_error)
-            out["error"].append(error)
-            count += 1
-            for row in nodes:
-                out["repo"].append(repo)
-                out["path"].append(path)
-                out["kind"].append("node")
-                for n, v in zip(names[3:3 + n_node_cols], row):
-                    out[n].append(v)
-                for n in names[3 + n_node_cols:]:
-                    out[n].append(None)
-                count += 1
-            if count >= _OUTPUT_BATCH_ROWS:
-                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
-                out = empty()
-                count = 0
-    if count:
-        yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
-
-
-def parse_sources(sources: DataFrame, source_col: str = "source") -> DataFrame:
+            file_row, node_list = parse_file(decode_source(raw), features_only)
+            files.append((repo, path, *file_row))
+            for row in node_list:
+                nodes.append((repo, path, *row))
+            if len(files) + len(nodes) >= _OUTPUT_BATCH_ROWS:
+                yield flush(files, nodes)
+                files, nodes = [], []
+    if files or nodes:
+        yield flush(files, nodes)
+
+
+def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure a CPU-heavy per-row pass gets at least the cluster's
+    parallelism in tasks.
+
+    Parsing costs far more per byte than reading, so a small input that
+    arrives in one or two splits would otherwise be parsed by one core.
+    Large inputs already have many more splits than cores and pass through
+    unchanged (no shuffle is added at scale).
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
+def parse_sources(sources: DataFrame, source_col: str = "source", min_partitions: int | None = None,
+                  features_only: bool = False) -> DataFrame:
     """Tagged parse stream for ``sources(repo, path, <source_col>)``.
 
     ``source_col`` may be STRING or BINARY (raw file bytes, decoded as UTF-8
     dropping bad bytes).  Filters on ``sources`` should be applied before
     this call: the Python pass is opaque to the optimizer.
+    ``features_only`` emits only the node rows the feature aggregate reads
+    (a narrower stream; the full relation is the default).
     """
     cols = sources.columns
     repo = F.col("repo") if "repo" in cols else F.lit(None).cast("string")
     inp = sources.select(repo.alias("repo"), F.col("path"), F.col(source_col).alias("source"))
-    return inp.mapInArrow(_parse_batches, PARSED)
+    fn = _parse_batches if not features_only else _parse_feature_batches
+    return spread_for_cpu(inp, min_partitions).mapInArrow(fn, PARSED)
+
+
+def _parse_feature_batches(batches):
+    return _parse_batches(batches, True)
 
 
 def ast_nodes(parsed: DataFrame) -> DataFrame:

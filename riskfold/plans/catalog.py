@@ -124,9 +124,9 @@ def label_counts(spark, sf_dir):
 
 # --- D1-D11, M4, M6, M7: dataset ------------------------------------------------
 
-def labelled_dataset(spark, sf_dir):
+def labelled_dataset(spark, sf_dir, features=None):
     """Parsed features of the T1 files joined to their T2 labels."""
-    f = feat.extract_features(fx.source_files_from_part(spark, sf_dir))
+    f = features if features is not None else feat.extract_features(fx.source_files_from_part(spark, sf_dir))
     labels = _labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP)
     return ds.align(ds.attach_labels(f, labels), keep=("repo", "path"))
 
@@ -168,7 +168,10 @@ def label_correlation(spark, sf_dir):
 
 @register("correlation_matrix", orc.correlation_matrix(12))
 def correlation_matrix(spark, sf_dir):
-    data = labelled_dataset(spark, sf_dir)
+    from riskfold.session import cut_lineage
+
+    # two passes (top-12 by |corr|, then the matrix) over one materialised table
+    data = cut_lineage(labelled_dataset(spark, sf_dir))
     return ds.correlation_matrix(data, ds.top_correlated(data, 12))
 
 
@@ -406,8 +409,14 @@ def evaluate_held_out(spark, sf_dir):
 def score_corpus(spark, sf_dir):
     """P1 + P4: train on the labelled files, then score every parsed file
     with its risk level and top-3 factors."""
-    train, _ = _train_test(spark, sf_dir)
-    model = tr.fit(train, "random_forest", **QUICK["random_forest"])
+    from pyspark.sql import functions as F
+
+    from riskfold.session import cut_lineage
+
+    # parse once: the same feature table feeds training and scoring
+    features = cut_lineage(t1_features(spark, sf_dir))
+    split = cut_lineage(ds.stratified_split(labelled_dataset(spark, sf_dir, features), "path", 0.2))
+    model = tr.fit(split.where(F.col("split") == "train").drop("split"), "random_forest", **QUICK["random_forest"])
     factors = sc.top_factor_names(tr.feature_importance(model, spark), 3)
-    scored = tr.score_files(model, t1_features(spark, sf_dir))
+    scored = tr.score_files(model, features)
     return sc.scored_report(scored, factors)
