@@ -85,12 +85,13 @@ def report_table(scored: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataFr
     return r.drop("error").join(feats, "file_path")
 
 
-def flat_report(scored: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataFrame:
+def flat_report(scored: DataFrame, threshold: float = FLAG_THRESHOLD, with_error: bool = False) -> DataFrame:
     """S8 without a join: the scored table already carries the features."""
     s = F.col("score")
+    extra = [F.col("error")] if with_error and "error" in scored.columns else []
     return scored.select(
         F.col("path").alias("file_path"), F.bround(s, 4).alias("risk_score"), risk_level(s).alias("risk_level"),
-        F.when(s.isNotNull(), s >= F.lit(threshold)).alias("flagged"), *REPORT_FEATURES)
+        F.when(s.isNotNull(), s >= F.lit(threshold)).alias("flagged"), *REPORT_FEATURES, *extra)
 
 
 def ranked_report(scored: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
