@@ -90,11 +90,20 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    # An input that already comes out of a shuffle has shuffle-partition
+    # many splits; counting them would execute that shuffle, so leave it.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if any(m in plan for m in _SHUFFLE_MARKERS):
+        return df
+    if df.rdd.getNumPartitions() >= want:  # scans only: no job runs
         return df
     return df.repartition(want)
 
 
+_SHUFFLE_MARKERS = ("Exchange hashpartitioning", "Exchange RoundRobinPartitioning", "Exchange rangepartitioning",
+                    "Exchange SinglePartition")
+
+
 def parse_sources(sources: DataFrame, source_col: str = "source", min_partitions: int | None = None,
                   features_only: bool = False) -> DataFrame:
     """Tagged parse stream for ``sources(repo, path, <source_col>)``.

@@ -420,3 +420,11 @@ def score_corpus(spark, sf_dir):
     factors = sc.top_factor_names(tr.feature_importance(model, spark), 3)
     scored = tr.score_files(model, features)
     return sc.scored_report(scored, factors)
+
+
+@register("roc_trapezoid_auc", orc.roc_trapezoid_auc())
+def roc_trapezoid_auc(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    a = ev.trapezoid_auc(fx.predictions_from_part(spark, sf_dir))
+    return a.select(F.round("auc", 6).alias("auc"))

@@ -705,3 +705,13 @@ def synthetic_dataset(seed: str = "42", ratio: float = 0.35) -> str:
   SELECT p_partkey AS id, row_number() OVER (ORDER BY {key}, p_partkey) AS rk, count(*) OVER () AS n FROM part
 ), l AS (SELECT id, CAST(CASE WHEN rk <= floor(n * {ratio!r}) THEN 1 ELSE 0 END AS INTEGER) AS label FROM r)
 SELECT id, {', '.join(cols)}, label FROM l"""
+
+
+def roc_trapezoid_auc() -> str:
+    return f"""WITH {T4_CTE},
+sc AS (SELECT score, sum(label) AS n_pos, sum(1 - label) AS n_neg FROM t4p GROUP BY score),
+tot AS (SELECT sum(n_pos) AS P, sum(n_neg) AS N FROM sc),
+cu AS (SELECT score, sum(n_pos) OVER (ORDER BY score DESC) AS cp, sum(n_neg) OVER (ORDER BY score DESC) AS cn FROM sc),
+pts AS (SELECT score, cn / N AS fpr, cp / P AS tpr FROM cu, tot),
+seg AS (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER (ORDER BY score DESC) AS f0, lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS t0 FROM pts)
+SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM seg"""
