@@ -428,3 +428,58 @@ def roc_trapezoid_auc(spark, sf_dir):
 
     a = ev.trapezoid_auc(fx.predictions_from_part(spark, sf_dir))
     return a.select(F.round("auc", 6).alias("auc"))
+
+
+# --- S5-S7, S10: sinks and persistence round trips -----------------------------
+
+def _scratch(spark, name):
+    """A fresh folder under the session's checkpoint directory (the shared
+    folder on a cluster)."""
+    import uuid
+
+    from riskfold.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-{name}-{uuid.uuid4().hex}"
+
+
+@register("feature_table_csv_round_trip", orc.feature_table_csv())
+def feature_table_csv_round_trip(spark, sf_dir):
+    """S6 then S5: write the labelled table as CSV with a header, read it
+    back by column name."""
+    from riskfold.sources.tables import read_feature_table, write_feature_table
+
+    path = _scratch(spark, "features-csv")
+    write_feature_table(labelled_dataset(spark, sf_dir), path)
+    return read_feature_table(spark, path)
+
+
+@register("report_json_round_trip", orc.report_table())
+def report_json_round_trip(spark, sf_dir):
+    """The nested report (features struct) as JSON lines, read back with
+    its schema and flattened to the S8 table."""
+    from pyspark.sql import functions as F
+
+    from riskfold.sources.tables import write_report_json
+
+    report = sc.scored_report(scored_files(spark, sf_dir))
+    path = _scratch(spark, "report-json")
+    write_report_json(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    return back.select("file_path", "risk_score", "risk_level", "flagged", "features.*")
+
+
+@register("model_save_load")
+def model_save_load(spark, sf_dir):
+    """Scores of every file from a fitted model and from its saved and
+    reloaded copy (they must be identical)."""
+    from pyspark.sql import functions as F
+
+    train, _ = _train_test(spark, sf_dir)
+    model = tr.fit(train, "gradient_boosting", **QUICK["gradient_boosting"])
+    path = _scratch(spark, "model")
+    tr.save_model(model, path, {"note": "round trip"})
+    loaded, _, _ = tr.load_model(path)
+    feats = t1_features(spark, sf_dir)
+    a = tr.score_files(model, feats).select("path", F.col("score").alias("score_fitted"))
+    b = tr.score_files(loaded, feats).select("path", F.col("score").alias("score_loaded"))
+    return a.join(b, "path")

@@ -47,8 +47,14 @@ concat(concat_ws('\\n', flatten(array(
 
 
 def source_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``source_files(repo, path, source)``, one module per part."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    """``source_files(repo, path, source)``, one module per part.
+
+    The two key columns are spread over the cores *before* the module text
+    is generated, so no generated text is shuffled.
+    """
+    from riskfold.operators.parse import spread_for_cpu
+
+    part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
     params = part.selectExpr(
         "k", "z",
         "CAST(k % 3 AS INT) AS C", "CAST(k % 5 AS INT) AS I", "CAST(z % 6 AS INT) AS G",

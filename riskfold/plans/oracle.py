@@ -715,3 +715,7 @@ cu AS (SELECT score, sum(n_pos) OVER (ORDER BY score DESC) AS cp, sum(n_neg) OVE
 pts AS (SELECT score, cn / N AS fpr, cp / P AS tpr FROM cu, tot),
 seg AS (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER (ORDER BY score DESC) AS f0, lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS t0 FROM pts)
 SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM seg"""
+
+
+def feature_table_csv() -> str:
+    return f"WITH {t3_cte()}\nSELECT {', '.join(FEATURE_NAMES)}, label FROM t3"
