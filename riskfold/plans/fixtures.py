@@ -86,14 +86,18 @@ def history_from_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     ``src/p{l_partkey}.py`` (``.md`` when l_partkey % 7 = 0).
     """
     nation = _nation(spark, sf_dir)
-    li = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-          .join(nation, F.col("l_partkey") % 25 == F.col("n_nationkey")))
-    commit_files = li.select(
+    # repo and path are functions of l_partkey, so de-duplicate on the
+    # integer keys first and build strings only for distinct rows
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    changed = keys.distinct().join(nation, F.col("l_partkey") % 25 == F.col("n_nationkey"))
+    commit_files = changed.select(
         F.col("n_name").alias("repo"),
         F.col("l_orderkey").alias("commit_id"),
         F.concat(F.lit("src/p"), F.col("l_partkey"),
                  F.when(F.col("l_partkey") % 7 == 0, F.lit(".md")).otherwise(F.lit(".py"))).alias("path"),
-    ).distinct()
+    )
+    per_repo = (keys.select("l_orderkey", (F.col("l_partkey") % 25).alias("rk")).distinct()
+                .join(nation, F.col("rk") == F.col("n_nationkey")))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     message = (
@@ -104,7 +108,7 @@ def history_from_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
         .otherwise(F.lit("Add feature"))
     )
     commits = (
-        li.select(F.col("n_name").alias("repo"), F.col("l_orderkey").alias("commit_id")).distinct()
+        per_repo.select(F.col("n_name").alias("repo"), F.col("l_orderkey").alias("commit_id"))
         .join(orders, F.col("commit_id") == F.col("o_orderkey"))
         .select(
             "repo", "commit_id",
