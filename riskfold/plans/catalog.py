@@ -483,3 +483,11 @@ def model_save_load(spark, sf_dir):
     a = tr.score_files(model, feats).select("path", F.col("score").alias("score_fitted"))
     b = tr.score_files(loaded, feats).select("path", F.col("score").alias("score_loaded"))
     return a.join(b, "path")
+
+
+@register("ast_node_counts", orc.ast_node_counts())
+def ast_node_counts(spark, sf_dir):
+    """the public node relation, counted per file and node type."""
+    from riskfold.operators.parse import parse_sources
+
+    return feat.node_type_counts(parse_sources(fx.source_files_from_part(spark, sf_dir)))

@@ -719,3 +719,14 @@ SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM seg"""
 
 def feature_table_csv() -> str:
     return f"WITH {t3_cte()}\nSELECT {', '.join(FEATURE_NAMES)}, label FROM t3"
+
+
+def ast_node_counts() -> str:
+    counts = {
+        "Module": "1", "Import": "I", "ImportFrom": "s", "Assign": "G",
+        "Name": "G + Fn * (D + 2)", "Constant": "G + docs", "FunctionDef": "Fn", "arg": "2 * Fn",
+        "Expr": "docs", "If": "Fn * D", "Return": "Fn",
+    }
+    parts = "\nUNION ALL ".join(f"SELECT repo, path, '{t}' AS node_type, CAST({e} AS INTEGER) AS n FROM t1_r WHERE NOT broken"
+                                for t, e in counts.items())
+    return f"WITH {T1_PARAMS}\nSELECT * FROM ({parts}) WHERE n > 0"
