@@ -118,15 +118,27 @@ def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
 
 
 def cross_validate(data: DataFrame, name: str, folds: int = 5, seed: str = "42", id_col: str = "path",
-                   **overrides: Any) -> tuple[DataFrame, DataFrame]:
+                   parallelism: int = 4, **overrides: Any) -> tuple[DataFrame, DataFrame]:
     """M8: stratified k-fold CV.  Returns (per-fold metrics, summary with
-    mean and population std of every metric)."""
+    mean and population std of every metric).  Fold fits are submitted
+    from ``parallelism`` driver threads as concurrent Spark jobs (each fit
+    is itself distributed)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.util import inheritable_thread_target
+
     assigned = cut_lineage(ds.stratified_folds(data, id_col, folds, seed))
-    preds = None
-    for k in range(folds):
+
+    @inheritable_thread_target
+    def one_fold(k: int) -> DataFrame:
         model = fit(assigned.where(F.col("fold") != k), name, **overrides)
-        p = predict(model, _prepare(assigned.where(F.col("fold") == k)))
-        preds = p if preds is None else preds.unionByName(p)
+        return predict(model, _prepare(assigned.where(F.col("fold") == k)))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, folds))) as pool:
+        fold_preds = list(pool.map(one_fold, range(folds)))
+    preds = fold_preds[0]
+    for p in fold_preds[1:]:
+        preds = preds.unionByName(p)
     per_fold = ev.fold_metrics(preds, ["fold"])
     summary = ev.cv_summary(ev.metrics_long(per_fold, ["fold"]), [])
     return per_fold, summary
