@@ -162,7 +162,7 @@ def grid_search(train: DataFrame, name: str, folds: int = 3, seed: str = "42", i
     cv = CrossValidator(
         estimator=Pipeline(stages=[assembler(), est]), estimatorParamMaps=builder.build(),
         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="f1"),
-        foldCol="fold", parallelism=parallelism, seed=int(seed))
+        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=int(seed))
     return cv.fit(assigned).bestModel
 
 

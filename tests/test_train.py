@@ -78,3 +78,23 @@ def test_cross_validation_and_selection(spark, data):
     f1s = [res[n]["test_metrics"]["f1"] for n in ("random_forest", "gradient_boosting")]
     # strict '>' keeps the first model on ties
     assert res["best_model"] == ("random_forest" if f1s[0] >= f1s[1] else "gradient_boosting")
+
+
+def test_top_factors_follow_importance(spark):
+    from riskfold.operators import score as sc
+
+    imp = spark.createDataFrame([("a", 0, 0.1), ("b", 1, 0.5), ("c", 2, 0.5), ("d", 3, 0.2)],
+                                "feature string, idx int, importance double")
+    assert sc.top_factor_names(imp, 3) == [("b", 0.5), ("c", 0.5), ("d", 0.2)]  # ties by feature order
+    files = spark.createDataFrame([("x.py", 1.0, 2.0, 3.0, 4.0)], "path string, a double, b double, c double, d double")
+    row = files.select(sc.top_factors(sc.top_factor_names(imp, 2)).alias("f")).first()["f"]
+    assert [(x["feature"], x["value"], x["importance"]) for x in row] == [("b", 2.0, 0.5), ("c", 3.0, 0.5)]
+
+
+def test_grid_search_and_held_out_evaluation(spark, data):
+    model = tr.grid_search(data, "random_forest", 2, id_col="path", grid={"n_estimators": [3, 5], "max_depth": [2]})
+    out = tr.evaluate_model(model, data, top_n=5)
+    m = out["metrics"].first()
+    assert 0.0 <= m["accuracy"] <= 1.0 and m["roc_auc"] is not None
+    assert [r["class"] for r in out["report"].collect()] == ["clean", "buggy", "accuracy", "macro avg", "weighted avg"]
+    assert out["top_features"].count() == 5 and out["confusion"].count() == 4
