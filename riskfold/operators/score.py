@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.functions.ordering import global_positions
 from riskfold.schema import FEATURE_NAMES
 
 # ---------------------------------------------------------------------------
@@ -20,7 +21,6 @@ HISTOGRAM_BINS = 30
 # ---------------------------------------------------------------------------
 
 REPORT_FEATURES = [f for f in FEATURE_NAMES if f != "syntax_error"]
-RANK_BUCKETS = 1024
 
 
 def risk_level(score: Column, thresholds: dict = RISK_THRESHOLDS) -> Column:
@@ -94,21 +94,13 @@ def flat_report(scored: DataFrame, threshold: float = FLAG_THRESHOLD, with_error
         F.when(s.isNotNull(), s >= F.lit(threshold)).alias("flagged"), *REPORT_FEATURES, *extra)
 
 
-def ranked_report(scored: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
+def ranked_report(scored: DataFrame, slices: int | None = None) -> DataFrame:
     """P5: every file with its 1-based ``rank`` by score (descending; error
-    rows count as 0; ties by path).  Exact global ranks without a global
-    window: scores in [0, 1] are range-bucketed, bucket sizes (bounded
-    table) give offsets, and ranks are computed inside each bucket."""
+    rows count as 0; ties by path).  Exact global ranks from a range
+    partitioning on (score, path) -- balanced even when many files share a
+    score -- plus per-slice offsets; no global window."""
     key = F.coalesce(F.col("score"), F.lit(0.0))
-    b = F.least(F.greatest(F.floor(key * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    keyed = scored.withColumn("_key", key).withColumn("_b", b)
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_b").orderBy(F.col("_key").desc(), F.col("path").asc())
-    ranked = keyed.join(F.broadcast(offsets), "_b")
-    return ranked.withColumn("rank", (F.col("_off") + F.row_number().over(w)).cast("long")).drop("_key", "_b", "_off")
+    return global_positions(scored, [key.desc(), F.col("path").asc()], "rank", slices)
 
 
 def top_risk(scored: DataFrame, k: int) -> DataFrame:
