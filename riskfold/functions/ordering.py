@@ -16,21 +16,31 @@ from pyspark.sql import functions as F
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def _slices(df: DataFrame, keys: list[Column], n: int | None) -> DataFrame:
-    """Range-partition into exactly ``n`` slices (an explicit count, so AQE
-    never coalesces them and every read sees the same slice ids) and sort
-    each slice."""
+def _slices(df: DataFrame, keys: list[Column], n: int | None, extra: list[Column] = ()) -> DataFrame:
+    """Range-partition into ``n`` slices, sort each slice, tag rows with
+    their slice id (and ``extra`` per-slice columns), and materialise the
+    result once.
+
+    Range bounds come from sampling the input; two independent reads of an
+    un-materialised plan could sample (and so slice) differently, which
+    would make slice offsets and slice contents disagree.  Reading one
+    written table makes every later pass see the same slices.
+    """
+    from riskfold.session import cut_lineage
+
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_slice", F.spark_partition_id())
+    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_slice", F.spark_partition_id())
+    for c in extra:
+        s = s.withColumn(*c)
+    return cut_lineage(s, "slices")
 
 
 def global_positions(df: DataFrame, order: list[Column], name: str = "position",
                      slices: int | None = None) -> DataFrame:
     """Adds ``name``: the 1-based position of each row in ``order`` (which
     must be a total order for the result to be deterministic)."""
-    s = (_slices(df, order, slices)
-         .withColumn("_in_slice", F.monotonically_increasing_id()
-                     - F.shiftleft(F.spark_partition_id().cast("long"), _LOW_BITS)))
+    in_slice = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), _LOW_BITS)
+    s = _slices(df, order, slices, [("_in_slice", in_slice)])
     sizes = s.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # one row per slice (= partition of the sorted table)

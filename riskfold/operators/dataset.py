@@ -3,10 +3,10 @@
 Scale notes
 * Profiles are single global aggregates (partial aggregation per task, one
   tiny row to the driver side), unpivoted afterwards.
-* Exact percentiles go through a (feature, value, count) frequency table:
-  every feature is an integer count or a ratio rounded to <= 4 decimals, so
-  the number of distinct values per feature is bounded no matter how many
-  files there are; a window over one feature's distinct values is small.
+* Exact percentiles go through a (feature, value, count) frequency table
+  (partial aggregation collapses repeated values before any shuffle); the
+  running counts over it are range-partitioned, so a feature with very many
+  distinct values is still spread over many tasks.
 * Stratified ranks never put a whole class in one task: rows are bucketed by
   a hash prefix, bucket sizes are counted (a table of 2 x n_buckets rows,
   broadcast back), and ranks are computed inside a bucket plus the bucket's
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.functions.columns import md5_order_key
+from riskfold.functions.ordering import running_sums
 from riskfold.schema import FEATURE_NAMES
 
 DEFAULT_SEED = "42"
@@ -106,20 +107,18 @@ def feature_profile(df: DataFrame, features: list[str] = FEATURE_NAMES,
                     quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample std, min, linear-interpolated quartiles, max.
 
-    One chain over the bounded frequency table: a window per feature gives
-    the running count, total and mean; one aggregate per feature (already
-    partitioned by feature, so no further shuffle) picks the order
-    statistics and sums squared deviations.  Quantiles are exact (linear
-    interpolation between order statistics).
+    Works on the (feature, value, count) frequency table: running counts
+    come from a range partitioning of (feature, value) (balanced even for a
+    feature with very many distinct values), totals and means from a
+    30-row aggregate broadcast back, and one aggregate per feature picks the
+    order statistics and sums squared deviations.  Quantiles are exact
+    (linear interpolation between order statistics).
     """
     freq = value_frequencies(df, features)
-    part = Window.partitionBy("feature")
-    running = part.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = freq.select(
-        "feature", "idx", "value", "n",
-        F.sum("n").over(running).alias("cum_end"),
-        F.sum("n").over(part).alias("cnt"),
-        (F.sum(F.col("n") * F.col("value")).over(part) / F.sum("n").over(part)).alias("_mean"))
+    totals = F.broadcast(freq.groupBy("feature").agg(  # one row per feature
+        F.sum("n").alias("cnt"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("_mean")))
+    cum = running_sums(freq, ["feature"], [F.col("value").asc()], ["n"], inclusive=True).join(totals, "feature")
+    cum = cum.withColumnRenamed("cum_n", "cum_end")
     aggs = [F.first("idx").alias("idx"), F.first("cnt").alias("count"), F.first("_mean").alias("_mean"),
             F.sum(F.col("n") * (F.col("value") - F.col("_mean")) ** 2).alias("_ss"),
             F.min("value").alias("min"), F.max("value").alias("max")]

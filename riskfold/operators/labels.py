@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.functions.ordering import running_sums
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference for identical results).
 # Words marking a bug-fix commit (case-insensitive substring match).
@@ -40,11 +42,22 @@ def _newest_first() -> list[Column]:
 
 
 def cap_per_repo(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
-    """Keep the first ``n`` rows of each repo in ``order`` (None = all)."""
+    """Keep the first ``n`` rows of each repo in ``order`` (None = all).
+
+    ``order`` must be a total order within a repo.  Up to Spark's window
+    group-limit threshold the window is cut to n rows per repo in each map
+    task before the shuffle; beyond it, exact positions come from a range
+    partitioning of (repo, order) with per-slice offsets, so a hot repo is
+    still spread over many tasks.
+    """
     if n is None:
         return df
-    w = Window.partitionBy("repo").orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n <= limit:
+        w = Window.partitionBy("repo").orderBy(*order)
+        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    pos = running_sums(df.withColumn("_one", F.lit(1)), ["repo"], order, ["_one"], inclusive=True)
+    return pos.where(F.col("cum__one") <= n).drop("_one", "cum__one")
 
 
 def cap_files(files: DataFrame, max_files: int | None = MAX_FILES_PER_REPO) -> DataFrame:
@@ -103,10 +116,13 @@ def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None =
     re-partitioning), and one aggregate by (repo, path) yields both values.
     """
     fixes = newest_bug_fixes(commits, cap, words).select("repo", "commit_id", F.lit(1).alias("_fix"))
-    single = commits.where(F.col("n_parents") <= 1).select("repo", "commit_id", "authored_at", "committed_at")
+    # flag the fixes on the commit side first (one row per commit), so the
+    # big side meets a single shuffle join whose skewed partitions (a
+    # commit touching a huge number of files) AQE can split
+    single = (commits.where(F.col("n_parents") <= 1).select("repo", "commit_id", "authored_at", "committed_at")
+              .join(fixes, ["repo", "commit_id"], "left"))
     touched = (commit_files.where(F.col("path").endswith(suffix)).select("repo", "commit_id", "path")
-               .join(single, ["repo", "commit_id"])
-               .join(fixes, ["repo", "commit_id"], "left"))
+               .join(single, ["repo", "commit_id"]))
     return touched.groupBy("repo", "path").agg(
         F.max_by("authored_at", "committed_at").alias("last_modified"),
         F.max(F.coalesce(F.col("_fix"), F.lit(0))).alias("buggy"))

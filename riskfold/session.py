@@ -59,9 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint directory so that a
-    lost executor re-reads it instead of recomputing (for example) the parse
-    pass.  Never uses local checkpoints."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the reliable checkpoint
+    directory and continue from it.
+
+    Later reads (several passes, a lost executor) see exactly the rows that
+    were written instead of recomputing -- and possibly re-sampling or
+    re-ordering -- the plan that produced them.  One write, one job (a
+    reliable RDD checkpoint would compute its input twice); never local.
+    """
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/riskfold-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
