@@ -115,10 +115,13 @@ def feature_profile(df: DataFrame, features: list[str] = FEATURE_NAMES,
     (linear interpolation between order statistics).
     """
     freq = value_frequencies(df, features)
-    totals = F.broadcast(freq.groupBy("feature").agg(  # one row per feature
+    # running counts read one materialised copy of the frequency table; the
+    # per-feature totals come from that same copy (no second evaluation of
+    # the input)
+    cum = running_sums(freq, ["feature"], [F.col("value").asc()], ["n"], inclusive=True)
+    totals = F.broadcast(cum.groupBy("feature").agg(  # one row per feature
         F.sum("n").alias("cnt"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("_mean")))
-    cum = running_sums(freq, ["feature"], [F.col("value").asc()], ["n"], inclusive=True).join(totals, "feature")
-    cum = cum.withColumnRenamed("cum_n", "cum_end")
+    cum = cum.join(totals, "feature").withColumnRenamed("cum_n", "cum_end")
     aggs = [F.first("idx").alias("idx"), F.first("cnt").alias("count"), F.first("_mean").alias("_mean"),
             F.sum(F.col("n") * (F.col("value") - F.col("_mean")) ** 2).alias("_ss"),
             F.min("value").alias("min"), F.max("value").alias("max")]
