@@ -36,3 +36,22 @@ def md5_order_key(key: Column, salt: str) -> Column:
     """32-bit integer order key from md5 (for seeded shuffles and splits)."""
     h = F.md5(F.concat(key.cast("string"), F.lit("-" + salt)).cast("binary"))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+
+
+def round_fixed(c: Column, digits: int = 6) -> Column:
+    """floor(c * 10^digits + 0.5) / 10^digits.
+
+    Reported doubles are rounded with this one IEEE formula (multiply, add,
+    floor, divide) so any engine that evaluates it on the same double gets
+    the same answer, ties included; ``round`` differs between engines
+    exactly at decimal ties.
+    """
+    scale = float(10 ** digits)
+    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean from an exact decimal sum (values at 1e-10 resolution), then one
+    division: the result does not depend on summation order, so it is the
+    same double on every run and in every engine."""
+    return F.sum(c.cast("decimal(27,10)")).cast("double") / F.count(c)

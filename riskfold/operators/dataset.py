@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfold.functions.columns import md5_order_key
+from riskfold.functions.columns import exact_mean, md5_order_key, round_fixed
 from riskfold.functions.ordering import running_sums
 from riskfold.schema import FEATURE_NAMES
 
@@ -69,9 +69,9 @@ def class_balance(df: DataFrame) -> DataFrame:
     return df.agg(
         total.cast("long").alias("n_total"),
         buggy.cast("long").alias("n_buggy"),
-        F.round(100.0 * buggy / denom, 6).alias("pct_buggy"),
+        round_fixed(100.0 * buggy / denom, 6).alias("pct_buggy"),
         (total - buggy).cast("long").alias("n_clean"),
-        F.round(100.0 * (total - buggy) / denom, 6).alias("pct_clean"),
+        round_fixed(100.0 * (total - buggy) / denom, 6).alias("pct_clean"),
     )
 
 
@@ -89,12 +89,12 @@ def feature_ranges(df: DataFrame, features: list[str] = FEATURE_NAMES) -> DataFr
     """Min / mean / max of every feature, one row per feature."""
     aggs = []
     for f in features:
-        aggs += [F.min(f).cast("double").alias(f"{f}__min"), F.avg(f).alias(f"{f}__mean"),
+        aggs += [F.min(f).cast("double").alias(f"{f}__min"), exact_mean(F.col(f)).alias(f"{f}__mean"),
                  F.max(f).cast("double").alias(f"{f}__max")]
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"{f}__min").alias("min"),
-                 F.round(F.col(f"{f}__mean"), 6).alias("mean"), F.col(f"{f}__max").alias("max"))
+                 round_fixed(F.col(f"{f}__mean"), 6).alias("mean"), F.col(f"{f}__max").alias("max"))
         for f in features])).alias("r")).select("r.*")
 
 
@@ -120,7 +120,9 @@ def feature_profile(df: DataFrame, features: list[str] = FEATURE_NAMES,
     # the input)
     cum = running_sums(freq, ["feature"], [F.col("value").asc()], ["n"], inclusive=True)
     totals = F.broadcast(cum.groupBy("feature").agg(  # one row per feature
-        F.sum("n").alias("cnt"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("_mean")))
+        F.sum("n").alias("cnt"),
+        (F.sum(F.col("n").cast("decimal(10,0)") * F.col("value").cast("decimal(27,10)")).cast("double")
+         / F.sum("n")).alias("_mean")))
     cum = cum.join(totals, "feature").withColumnRenamed("cum_n", "cum_end")
     aggs = [F.first("idx").alias("idx"), F.first("cnt").alias("count"), F.first("_mean").alias("_mean"),
             F.sum(F.col("n") * (F.col("value") - F.col("_mean")) ** 2).alias("_ss"),
@@ -137,10 +139,10 @@ def feature_profile(df: DataFrame, features: list[str] = FEATURE_NAMES,
     for q in quantiles:
         tag = int(round(q * 1000))
         lo, hi, fr = F.col(f"lo_{tag}"), F.col(f"hi_{tag}"), F.col(f"frac_{tag}")
-        qcols.append(F.round(lo + (hi - lo) * fr, 6).alias(f"p{int(round(q * 100))}"))
+        qcols.append(round_fixed(lo + (hi - lo) * fr, 6).alias(f"p{int(round(q * 100))}"))
     std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
     return qs.select("feature", "idx", F.col("count").cast("long").alias("count"),
-                     F.round("_mean", 6).alias("mean"), F.round(std, 6).alias("std"), "min", *qcols, "max")
+                     round_fixed(F.col("_mean"), 6).alias("mean"), round_fixed(std, 6).alias("std"), "min", *qcols, "max")
 
 
 def class_distribution(df: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def class_distribution(df: DataFrame) -> DataFrame:
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     # the window runs over the grouped table: one row per label
     total = F.sum("n").over(Window.partitionBy())
-    return counts.select("label", F.col("n").cast("long").alias("n"), F.round(F.col("n") / total, 6).alias("share"))
+    return counts.select("label", F.col("n").cast("long").alias("n"), round_fixed(F.col("n") / total, 6).alias("share"))
 
 
 # --- D9-D11: histogram and correlations ------------------------------------------
@@ -174,8 +176,8 @@ def class_histogram(df: DataFrame, feature: str, bins: int = 30) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (grid.join(counts, ["label", "bin"], "left")
             .select("label", "bin",
-                    F.round(F.col("lo") + F.col("bin") * width, 6).alias("bin_lo"),
-                    F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
+                    round_fixed(F.col("lo") + F.col("bin") * width, 6).alias("bin_lo"),
+                    round_fixed(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
@@ -190,7 +192,7 @@ def label_correlation(df: DataFrame, features: list[str] = FEATURE_NAMES) -> Dat
     y = F.col("label").cast("double")
     wide = df.agg(*[_pearson(F.col(f).cast("double"), y).alias(f) for f in features])
     return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(i).alias("idx"), F.round(F.col(f), 6).alias("corr"))
+        F.struct(F.lit(f).alias("feature"), F.lit(i).alias("idx"), round_fixed(F.col(f), 6).alias("corr"))
         for i, f in enumerate(features)])).alias("r")).select("r.*")
 
 
@@ -218,10 +220,10 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     cells = []
     for i, j in pairs:
         cells.append(F.struct(F.lit(features[i]).alias("f1"), F.lit(features[j]).alias("f2"),
-                              F.round(F.col(f"c_{i}_{j}"), 6).alias("r")))
+                              round_fixed(F.col(f"c_{i}_{j}"), 6).alias("r")))
         if i != j:
             cells.append(F.struct(F.lit(features[j]).alias("f1"), F.lit(features[i]).alias("f2"),
-                                  F.round(F.col(f"c_{i}_{j}"), 6).alias("r")))
+                                  round_fixed(F.col(f"c_{i}_{j}"), 6).alias("r")))
     return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 

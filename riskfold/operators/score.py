@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.functions.columns import exact_mean, round_fixed
 from riskfold.functions.ordering import global_positions
 from riskfold.schema import FEATURE_NAMES
 
@@ -122,7 +123,7 @@ def batch_summary(scored: DataFrame) -> DataFrame:
     lvl = risk_level(s)
     return scored.where(s.isNotNull()).agg(
         F.count(F.lit(1)).cast("long").alias("n_valid"),
-        F.round(F.avg(s), 6).alias("mean_score"),
+        round_fixed(exact_mean(s), 6).alias("mean_score"),
         F.sum(F.when(lvl.isin("High", "Critical"), 1).otherwise(0)).cast("long").alias("n_high_critical"),
         F.sum(F.when(lvl == "Low", 1).otherwise(0)).cast("long").alias("n_low"))
 
@@ -167,5 +168,5 @@ def risk_histogram(scored: DataFrame, bins: int = HISTOGRAM_BINS, thresholds: di
     zone = (F.when(left < thresholds["low"], "Low").when(left < thresholds["medium"], "Medium")
             .when(left < thresholds["high"], "High").otherwise("Critical"))
     return (grid.join(counts, "bin", "left")
-            .select("bin", F.round(left, 6).alias("bin_lo"), F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
+            .select("bin", round_fixed(left, 6).alias("bin_lo"), round_fixed(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
                     zone.alias("zone"), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))

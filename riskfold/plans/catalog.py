@@ -40,12 +40,11 @@ def features_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("line_features_documents", orc.line_features_documents())
 def line_features_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: documents as raw sources -- the failure path at full text size."""
-    from pyspark.sql import functions as F
-
+    """T5: documents as raw sources -- the parse-failure path at full text
+    size.  Only line features are SQL-expressible (whether a text parses as
+    Python is not), so only they are reported here."""
     f = feat.extract_features(fx.source_files_from_documents(spark, sf_dir))
-    ok = (F.col("syntax_error") == 0) & F.col("error").isNull()
-    return f.select("repo", "path", "total_lines", "blank_lines", ok.alias("parsed_ok"))
+    return f.select("repo", "path", "total_lines", "blank_lines")
 
 
 # --- S3, L1-L8: labelling -----------------------------------------------------
@@ -344,11 +343,12 @@ def synthetic_dataset(spark, sf_dir):
     """One generated labelled row per part key (the work grows with part)."""
     from pyspark.sql import functions as F
 
+    from riskfold.functions.columns import round_fixed
     from riskfold.sources.generate import NORMAL_COLUMNS, synthesize
 
     ids = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     g = synthesize(ids, "id", 0.35, "42")
-    return g.select("id", *[F.round(F.col(c), 6).alias(c) if c in NORMAL_COLUMNS else F.col(c) for c in FEATURE_NAMES],
+    return g.select("id", *[round_fixed(F.col(c), 6).alias(c) if c in NORMAL_COLUMNS else F.col(c) for c in FEATURE_NAMES],
                     "label")
 
 
@@ -427,7 +427,9 @@ def roc_trapezoid_auc(spark, sf_dir):
     from pyspark.sql import functions as F
 
     a = ev.trapezoid_auc(fx.predictions_from_part(spark, sf_dir))
-    return a.select(F.round("auc", 6).alias("auc"))
+    from riskfold.functions.columns import round_fixed
+
+    return a.select(round_fixed(F.col("auc"), 6).alias("auc"))
 
 
 # --- S5-S7, S10: sinks and persistence round trips -----------------------------

@@ -21,6 +21,16 @@ def rround(p: str, q: str, digits: int) -> str:
             f"THEN 1 ELSE 0 END) / {float(s)} ELSE 0.0 END)")
 
 
+def r6(expr: str) -> str:
+    """The engine-neutral rounding used on both sides (see round_fixed)."""
+    return f"(floor(({expr}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE)"
+
+
+def xmean(col: str) -> str:
+    """Mean from an exact decimal sum (see exact_mean)."""
+    return f"(CAST(sum(CAST({col} AS DECIMAL(27,10))) AS DOUBLE) / count({col}))"
+
+
 def _docs(k: str = "k", fn: str = "Fn") -> str:
     return " + ".join(f"(CASE WHEN {fn} > {j} AND ({k} + {j}) % 3 = 0 THEN 1 ELSE 0 END)" for j in range(4))
 
@@ -116,8 +126,7 @@ WITH d AS (
 SELECT repo, path,
   CAST(CASE WHEN t = '' THEN 0 ELSE len(pieces) - tail END AS INTEGER) AS total_lines,
   CAST(CASE WHEN t = '' THEN 0 ELSE
-    len(list_filter(pieces, lambda x: regexp_full_match(x, '[ \t\r\x0B\x0C]*'))) - tail END AS INTEGER) AS blank_lines,
-  false AS parsed_ok
+    len(list_filter(pieces, lambda x: regexp_full_match(x, '[ \t\r\x0B\x0C]*'))) - tail END AS INTEGER) AS blank_lines
 FROM s"""
 
 
@@ -253,30 +262,30 @@ def dataset_rows() -> str:
 def class_balance() -> str:
     return f"""WITH {t3_cte()}
 SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(sum(label) AS BIGINT) AS n_buggy,
-       round(100.0 * sum(label) / greatest(count(*), 1), 6) AS pct_buggy,
+       {r6("100.0 * sum(label) / greatest(count(*), 1)")} AS pct_buggy,
        CAST(count(*) - sum(label) AS BIGINT) AS n_clean,
-       round(100.0 * (count(*) - sum(label)) / greatest(count(*), 1), 6) AS pct_clean
+       {r6("100.0 * (count(*) - sum(label)) / greatest(count(*), 1)")} AS pct_clean
 FROM t3"""
 
 
 def feature_ranges() -> str:
-    parts = [f"SELECT '{f}' AS feature, CAST(min({f}) AS DOUBLE) AS min, round(avg({f}), 6) AS mean, "
+    parts = [f"SELECT '{f}' AS feature, CAST(min({f}) AS DOUBLE) AS min, {r6(xmean(f))} AS mean, "
              f"CAST(max({f}) AS DOUBLE) AS max FROM t3" for f in FEATURE_NAMES]
     return f"WITH {t3_cte()}\n" + "\nUNION ALL ".join(parts)
 
 
 def feature_profile() -> str:
-    parts = [f"""SELECT '{f}' AS feature, {i} AS idx, CAST(count({f}) AS BIGINT) AS count, round(avg({f}), 6) AS mean,
-       round(stddev_samp({f}), 6) AS std, CAST(min({f}) AS DOUBLE) AS min,
-       round(quantile_cont({f}, 0.25), 6) AS p25, round(quantile_cont({f}, 0.5), 6) AS p50,
-       round(quantile_cont({f}, 0.75), 6) AS p75, CAST(max({f}) AS DOUBLE) AS max FROM t3"""
+    parts = [f"""SELECT '{f}' AS feature, {i} AS idx, CAST(count({f}) AS BIGINT) AS count, {r6(xmean(f))} AS mean,
+       {r6(f"stddev_samp({f})")} AS std, CAST(min({f}) AS DOUBLE) AS min,
+       {r6(f"quantile_cont({f}, 0.25)")} AS p25, {r6(f"quantile_cont({f}, 0.5)")} AS p50,
+       {r6(f"quantile_cont({f}, 0.75)")} AS p75, CAST(max({f}) AS DOUBLE) AS max FROM t3"""
              for i, f in enumerate(FEATURE_NAMES)]
     return f"WITH {t3_cte()}\n" + "\nUNION ALL ".join(parts)
 
 
 def class_distribution() -> str:
     return f"""WITH {t3_cte()}
-SELECT label, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM t3 GROUP BY label"""
+SELECT label, CAST(count(*) AS BIGINT) AS n, {r6("count(*) / sum(count(*)) OVER ()")} AS share FROM t3 GROUP BY label"""
 
 
 def class_histogram(feature: str, bins: int = 30) -> str:
@@ -291,8 +300,8 @@ rng AS (
 ), counts AS (SELECT label, bin, count(*) AS n FROM binned GROUP BY label, bin),
 grid AS (SELECT label, lo, hi, CAST(b AS INTEGER) AS bin FROM rng, range(0, {bins}) AS g(b))
 SELECT g.label, g.bin,
-       round(g.lo + g.bin * ((g.hi - g.lo) / {float(bins)}), 6) AS bin_lo,
-       round(g.lo + (g.bin + 1) * ((g.hi - g.lo) / {float(bins)}), 6) AS bin_hi,
+       {r6(f"g.lo + g.bin * ((g.hi - g.lo) / {float(bins)})")} AS bin_lo,
+       {r6(f"g.lo + (g.bin + 1) * ((g.hi - g.lo) / {float(bins)})")} AS bin_hi,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM grid g LEFT JOIN counts c ON c.label = g.label AND c.bin = g.bin"""
 
@@ -304,7 +313,7 @@ def _corr_sql(a: str, b: str) -> str:
 
 def _label_corr_parts() -> str:
     return "\nUNION ALL ".join(
-        f"SELECT '{f}' AS feature, {i} AS idx, round({_corr_sql(f'CAST({f} AS DOUBLE)', 'CAST(label AS DOUBLE)')}, 6) AS corr FROM t3"
+        f"SELECT '{f}' AS feature, {i} AS idx, {r6(_corr_sql(f'CAST({f} AS DOUBLE)', 'CAST(label AS DOUBLE)'))} AS corr FROM t3"
         for i, f in enumerate(FEATURE_NAMES))
 
 
@@ -320,7 +329,7 @@ top AS (SELECT feature FROM lc ORDER BY abs(corr) DESC NULLS LAST, idx LIMIT {k}
 wide AS (SELECT row_number() OVER () AS rid, {cols} FROM t3),
 long AS (UNPIVOT wide ON {cols} INTO NAME feature VALUE value),
 lt AS (SELECT rid, feature, CAST(value AS DOUBLE) AS value FROM long WHERE feature IN (SELECT feature FROM top))
-SELECT a.feature AS f1, b.feature AS f2, round({_corr_sql('a.value', 'b.value')}, 6) AS r
+SELECT a.feature AS f1, b.feature AS f2, {r6(_corr_sql('a.value', 'b.value'))} AS r
 FROM lt a JOIN lt b ON a.rid = b.rid GROUP BY a.feature, b.feature"""
 
 
@@ -493,7 +502,7 @@ def cv_summary() -> str:
     return f"""WITH {T4_CTE}, {_metrics_cte('t4m', by)}, {_auc_cte('t4m', by)},
 fm AS (SELECT mt.model, mt.fold, {FOLD_COLS} FROM mt JOIN auc ON auc.model = mt.model AND auc.fold = mt.fold),
 lg AS ({unions})
-SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, CAST(count(*) AS BIGINT) AS n_folds
+SELECT model, metric, {r6(xmean("value"))} AS mean, {r6("stddev_pop(value)")} AS std, CAST(count(*) AS BIGINT) AS n_folds
 FROM lg GROUP BY model, metric"""
 
 
@@ -548,7 +557,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(CASE WHEN score >= 0.6 THEN
 
 def batch_summary() -> str:
     return f"""WITH {scored_cte()}
-SELECT CAST(count(*) AS BIGINT) AS n_valid, round(avg(score), 6) AS mean_score,
+SELECT CAST(count(*) AS BIGINT) AS n_valid, {r6(xmean("score"))} AS mean_score,
        CAST(sum(CASE WHEN {_level()} IN ('High', 'Critical') THEN 1 ELSE 0 END) AS BIGINT) AS n_high_critical,
        CAST(sum(CASE WHEN {_level()} = 'Low' THEN 1 ELSE 0 END) AS BIGINT) AS n_low
 FROM scored WHERE score IS NOT NULL"""
@@ -585,7 +594,7 @@ counts AS (SELECT CAST(least(floor({float(bins)} * (v - lo) / (hi - lo)), {bins
            FROM v, rng GROUP BY 1),
 grid AS (SELECT CAST(b AS INTEGER) AS bin, lo, hi, lo + CAST(b AS INTEGER) * ((hi - lo) / {float(bins)}) AS lft
          FROM rng, range(0, {bins}) AS g(b))
-SELECT g.bin, round(lft, 6) AS bin_lo, round(lo + (g.bin + 1) * ((hi - lo) / {float(bins)}), 6) AS bin_hi,
+SELECT g.bin, {r6("lft")} AS bin_lo, {r6(f"lo + (g.bin + 1) * ((hi - lo) / {float(bins)})")} AS bin_hi,
        CASE WHEN lft < 0.3 THEN 'Low' WHEN lft < 0.6 THEN 'Medium' WHEN lft < 0.8 THEN 'High' ELSE 'Critical' END AS zone,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM grid g LEFT JOIN counts c ON c.bin = g.bin"""
@@ -653,7 +662,7 @@ def radar_values() -> str:
         norm = f"least(greatest({v} / greatest({top}, 1e-9), 0.0), 1.0)"
         if f in RADAR_INVERTED:
             norm = f"1.0 - {norm}"
-        parts.append(f"SELECT path, '{f}' AS feature, {i} AS axis, round({norm}, 6) AS radar_value FROM t1_features")
+        parts.append(f"SELECT path, '{f}' AS feature, {i} AS axis, {r6(norm)} AS radar_value FROM t1_features")
     return f"WITH {T1_FEATURES_CTE}\n" + "\nUNION ALL ".join(parts)
 
 
@@ -698,7 +707,7 @@ def synthetic_dataset(seed: str = "42", ratio: float = 0.35) -> str:
         clean, buggy = DISTRIBUTIONS[name]
         e = f"CAST(CASE WHEN label = 1 THEN {val(buggy, name, 1)} ELSE {val(clean, name, 0)} END AS DOUBLE)"
         if name in NORMAL_COLUMNS:
-            e = f"round({e}, 6)"
+            e = r6(e)
         cols.append(f"{e} AS {name}")
     key = f"CAST(('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '-{seed}-class'), 1, 8)) AS BIGINT)"
     return f"""WITH r AS (
@@ -714,7 +723,7 @@ tot AS (SELECT sum(n_pos) AS P, sum(n_neg) AS N FROM sc),
 cu AS (SELECT score, sum(n_pos) OVER (ORDER BY score DESC) AS cp, sum(n_neg) OVER (ORDER BY score DESC) AS cn FROM sc),
 pts AS (SELECT score, cn / N AS fpr, cp / P AS tpr FROM cu, tot),
 seg AS (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER (ORDER BY score DESC) AS f0, lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS t0 FROM pts)
-SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM seg"""
+SELECT {r6("sum((fpr - f0) * (tpr + t0) / 2)")} AS auc FROM seg"""
 
 
 def feature_table_csv() -> str:
