@@ -72,6 +72,11 @@ def _parse_batches(batches, features_only: bool = False):
             files.append((repo, path, *file_row))
             for row in node_list:
                 nodes.append((repo, path, *row))
+                # flush inside a file too: one huge module still yields
+                # batches of bounded size
+                if len(files) + len(nodes) >= _OUTPUT_BATCH_ROWS:
+                    yield flush(files, nodes)
+                    files, nodes = [], []
             if len(files) + len(nodes) >= _OUTPUT_BATCH_ROWS:
                 yield flush(files, nodes)
                 files, nodes = [], []

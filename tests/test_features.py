@@ -153,3 +153,12 @@ def test_corpus_matches_spec(spark):
         want = spec(src)
         for f in FEATURE_NAMES:
             assert got[path][f] == want[f], (path, f, got[path][f], want[f])
+
+
+def test_huge_file_is_split_into_bounded_batches(spark):
+    # ~40k node rows from one file: more than one output batch, same result
+    src = "".join(f"v{i} = a{i} + b{i}\n" for i in range(12000))
+    got = _features(spark, {"big.py": src})["big.py"]
+    want = spec(src)
+    for f in FEATURE_NAMES:
+        assert got[f] == want[f], f
