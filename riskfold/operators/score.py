@@ -7,7 +7,7 @@ or any other scorer; rows with a null score are files that failed analysis.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.columns import exact_mean, round_fixed
@@ -78,16 +78,9 @@ def scored_report(scored: DataFrame, factors: list[tuple[str, float]] | None = N
     return scored.select(*cols)
 
 
-def report_table(scored: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataFrame:
-    """The flat CSV form -- file_path, risk_score, risk_level, flagged
-    and the 29 report features."""
-    r = risk_report(scored, threshold)
-    feats = scored.select(F.col("path").alias("file_path"), *REPORT_FEATURES)
-    return r.drop("error").join(feats, "file_path")
-
-
 def flat_report(scored: DataFrame, threshold: float = FLAG_THRESHOLD, with_error: bool = False) -> DataFrame:
-    """S8 without a join: the scored table already carries the features."""
+    """The flat CSV form -- file_path, risk_score, risk_level, flagged
+    and the 29 report features, projected straight from the scored table."""
     s = F.col("score")
     extra = [F.col("error")] if with_error and "error" in scored.columns else []
     return scored.select(
