@@ -34,12 +34,13 @@ def attach_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     return ok.join(labels.select("repo", "path", "label"), ["repo", "path"], "inner")
 
 
-def union_datasets(frames: list[DataFrame]) -> DataFrame:
-    """Union per-repo frames by column name, skipping empty inputs
-    (missing columns become null and are zero-filled by ``align``)."""
+def union_datasets(frames: list[DataFrame], skip_empty: bool = True) -> DataFrame:
+    """Union per-repo frames by column name, skipping missing and (with
+    ``skip_empty``) empty inputs; missing columns become null and are
+    zero-filled by ``align``.  ``isEmpty`` reads at most one row per frame."""
     out = None
     for df in frames:
-        if df is None:
+        if df is None or (skip_empty and df.isEmpty()):
             continue
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:

@@ -68,7 +68,8 @@ def test_correlations(spark, gen):
 def test_weights_align_union(spark):
     a = spark.createDataFrame([(1.0, 1), (2.0, 0), (3.0, 0)], "total_lines double, label int")
     b = spark.createDataFrame([(4.0, None)], "num_loops double, label int")
-    u = ds.align(ds.union_datasets([a, None, b]))
+    empty = spark.createDataFrame([], "total_lines double, label int")
+    u = ds.align(ds.union_datasets([a, None, empty, b]))
     assert u.columns == FEATURE_NAMES + ["label"] and u.count() == 4
     assert u.where("num_loops = 4.0").first()["total_lines"] == 0.0
     w = {r["label"]: r["weight"] for r in ds.class_weights(a).collect()}
