@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.columns import ratio_round
-from riskfold.operators.parse import parse_sources
+from riskfold.operators.parse import parse_sources, scan_lines
 from riskfold.schema import DOUBLE_FEATURES, FEATURE_NAMES
 
 # ---------------------------------------------------------------------------
@@ -149,3 +149,16 @@ def node_type_counts(parsed: DataFrame) -> DataFrame:
     over ``ast_nodes``)."""
     return (parsed.where(F.col("kind") == "node")
             .groupBy("repo", "path", "node_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
+
+
+def line_features(sources: DataFrame, source_col: str = "source") -> DataFrame:
+    """F1-F5 without parsing: total, code, blank and comment lines and the
+    comment ratio per file (the column-pruned path for consumers that need
+    only line features)."""
+    lines = scan_lines(sources, source_col)
+    total = F.col("total_lines")
+    return lines.select(
+        "repo", "path", "error", total.alias("total_lines"),
+        F.greatest(total - F.col("blank_lines") - F.col("comment_lines"), F.lit(0)).cast("int").alias("code_lines"),
+        "blank_lines", "comment_lines",
+        ratio_round(F.col("comment_lines"), F.greatest(total, F.lit(1)), 4).alias("comment_ratio"))

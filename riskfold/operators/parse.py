@@ -138,3 +138,34 @@ def ast_nodes(parsed: DataFrame) -> DataFrame:
 def line_stats(parsed: DataFrame) -> DataFrame:
     """One row per file: line counts, syntax flag and error message."""
     return parsed.where(F.col("kind") == "file").select(*FILE_COLUMNS)
+
+
+LINE_SCHEMA = "repo string, path string, total_lines int, blank_lines int, comment_lines int, error string"
+
+
+def _line_batches(batches):
+    import pyarrow as pa
+
+    from riskfold.functions.pysyntax import decode_source, line_counts
+
+    schema = pa.schema([pa.field("repo", pa.string()), pa.field("path", pa.string()),
+                        pa.field("total_lines", pa.int32()), pa.field("blank_lines", pa.int32()),
+                        pa.field("comment_lines", pa.int32()), pa.field("error", pa.string())])
+    for batch in batches:
+        repos = batch.column("repo").to_pylist()
+        paths = batch.column("path").to_pylist()
+        rows = [line_counts(decode_source(raw)) for raw in batch.column("source").to_pylist()]
+        yield pa.RecordBatch.from_pydict({
+            "repo": repos, "path": paths,
+            "total_lines": [r[0] for r in rows], "blank_lines": [r[1] for r in rows],
+            "comment_lines": [r[2] for r in rows], "error": [r[4] for r in rows],
+        }, schema=schema)
+
+
+def scan_lines(sources: DataFrame, source_col: str = "source", min_partitions: int | None = None) -> DataFrame:
+    """Line statistics only (no syntax tree): one row per file straight out
+    of the Arrow pass, so nothing is aggregated or shuffled."""
+    cols = sources.columns
+    repo = F.col("repo") if "repo" in cols else F.lit(None).cast("string")
+    inp = sources.select(repo.alias("repo"), F.col("path"), F.col(source_col).alias("source"))
+    return spread_for_cpu(inp, min_partitions).mapInArrow(_line_batches, LINE_SCHEMA)

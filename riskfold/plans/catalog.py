@@ -40,13 +40,23 @@ def features_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("line_features_documents", orc.line_features_documents())
 def line_features_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: documents as raw sources -- the parse-failure path at full text
-    size.  Only line features are SQL-expressible (whether a text parses as
-    Python is not), so only they are reported here."""
-    f = feat.extract_features(fx.source_files_from_documents(spark, sf_dir))
+    """T5: line statistics of every document (full texts) through the
+    parse-free line path; only line features are SQL-expressible here."""
+    f = feat.line_features(fx.source_files_from_documents(spark, sf_dir))
     return f.select("repo", "path", "total_lines", "blank_lines")
 
 
+@register("documents_parse_outcome")
+def documents_parse_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 through the full extraction: the parse-failure path (syntax
+    errors, parser failures isolated as error rows) over whole documents."""
+    from pyspark.sql import functions as F
+
+    f = feat.extract_features(fx.source_files_from_documents(spark, sf_dir))
+    return f.select("repo", "path", "total_lines", "comment_lines", "syntax_error",
+                    F.col("error").isNotNull().alias("failed"))
+
+
 # --- S3, L1-L8: labelling -----------------------------------------------------
 
 SMALL_FILE_CAP = 60   # binds at sf0.01 (80 files per repo)

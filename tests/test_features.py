@@ -162,3 +162,15 @@ def test_huge_file_is_split_into_bounded_batches(spark):
     want = spec(src)
     for f in FEATURE_NAMES:
         assert got[f] == want[f], f
+
+
+def test_line_path_equals_full_path(spark):
+    rows = [("r", p, s) for p, s in CASES.items()]
+    df = spark.createDataFrame(rows, "repo string, path string, source string")
+    from riskfold.operators.features import line_features
+
+    full = {r["path"]: r for r in extract_features(df).collect()}
+    lines = {r["path"]: r for r in line_features(df).collect()}
+    for p in CASES:
+        for f in ("total_lines", "code_lines", "blank_lines", "comment_lines", "comment_ratio"):
+            assert lines[p][f] == full[p][f], (p, f)
