@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfold.functions.columns import exact_mean, md5_order_key, round_fixed
+from riskfold.functions.columns import exact_mean, md5_order_key, md5_unit, round_fixed
 from riskfold.functions.ordering import running_sums
 from riskfold.schema import FEATURE_NAMES
 
@@ -289,3 +289,12 @@ def stratified_folds(df: DataFrame, id_col: str, k: int = 5, seed: str = DEFAULT
     """M7: ``fold`` = (rank - 1) mod k within each class."""
     r = stratified_rank(df, id_col, seed, buckets)
     return r.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int")).drop("rank", "n_label")
+
+
+def hash_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: str = DEFAULT_SEED) -> DataFrame:
+    """M6, approximate variant for scale: a row is 'test' when its md5
+    uniform is below ``test_size`` -- a per-row test with no ranking and no
+    shuffle; class shares of the test set are test_size only in
+    expectation."""
+    u = md5_unit(F.col(id_col), seed)
+    return df.withColumn("split", F.when(u < F.lit(float(test_size)), F.lit("test")).otherwise(F.lit("train")))

@@ -503,3 +503,9 @@ def ast_node_counts(spark, sf_dir):
     from riskfold.operators.parse import parse_sources
 
     return feat.node_type_counts(parse_sources(fx.source_files_from_part(spark, sf_dir)))
+
+
+@register("hash_split", orc.hash_split(0.2))
+def hash_split(spark, sf_dir):
+    d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
+    return ds.hash_split(d, "path", 0.2)

@@ -739,3 +739,9 @@ def ast_node_counts() -> str:
     parts = "\nUNION ALL ".join(f"SELECT repo, path, '{t}' AS node_type, CAST({e} AS INTEGER) AS n FROM t1_r WHERE NOT broken"
                                 for t, e in counts.items())
     return f"WITH {T1_PARAMS}\nSELECT * FROM ({parts}) WHERE n > 0"
+
+
+def hash_split(test_size: float = 0.2) -> str:
+    return f"""WITH {t3_cte()}
+SELECT repo, path, label,
+       CASE WHEN {_md5_key('path')} / 4294967296.0 < {test_size!r} THEN 'test' ELSE 'train' END AS split FROM t3"""
