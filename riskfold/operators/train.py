@@ -4,8 +4,8 @@ The learners are ``pyspark.ml`` random forests and gradient-boosted trees;
 every fit and transform is distributed.  Driver-side loops run over folds,
 models and grid points (a handful), never over data.  Inputs are the
 aligned feature table (30 DOUBLE features + INT label); the assembled table
-is checkpointed once so repeated fits read it instead of recomputing the
-parse that produced it.
+is written once under the checkpoint directory so repeated fits read it
+instead of recomputing the parse that produced it.
 """
 
 from __future__ import annotations
