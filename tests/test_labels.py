@@ -58,3 +58,19 @@ def test_last_modified(spark):
     commits, files, _ = _history(spark)
     got = {r["path"]: r["last_modified"] for r in lab.last_modified(commits, files).collect()}
     assert got["e.py"] == _ts(30) and got["f.py"] == _ts(1) and "c.py" not in got
+
+
+def test_large_cap_uses_sliced_positions(spark):
+    # caps above the window group-limit threshold take the range-sliced path
+    rows = [("hot" if i % 3 else f"r{i % 5}", f"p{i:04d}.py") for i in range(600)]
+    files = spark.createDataFrame(rows, "repo string, path string")
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:
+        got = {(r["repo"], r["path"]) for r in lab.cap_files(files, 150).collect()}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    want = set()
+    for repo in {r for r, _ in rows}:
+        want |= {(repo, p) for p in sorted(p for r, p in rows if r == repo)[:150]}
+    assert got == want
