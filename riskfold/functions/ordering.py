@@ -63,12 +63,14 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], cols: list[s
     s = _slices(df, [*[F.col(b) for b in by], *order], slices)
     part = s.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, slice)
+    # one row per (group, slice): at most groups + slices rows, which is
+    # small for features / models / folds but grows with the number of
+    # groups (e.g. repos), so the join strategy is left to AQE's size check
     offsets = part.select(*by, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
                                            for c in cols])
     frame_end = 0 if inclusive else -1
     w = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = s.join(F.broadcast(offsets), [*by, "_slice"])
+    out = s.join(offsets if by else F.broadcast(offsets), [*by, "_slice"])
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
     return out.drop("_slice", *[f"_o_{c}" for c in cols])
