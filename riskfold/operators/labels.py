@@ -28,7 +28,8 @@ BUG_FIX_WORDS = [
 ]
 BUGGY_COMMIT_CAP = 200      # newest bug-fix commits inspected per repo
 MINED_HISTORY_DEPTH = 100   # shallow-clone depth of the miner
-MAX_FILES_PER_REPO = 500    # file cap of the labeller (miner uses 300)
+MAX_FILES_PER_REPO = 500    # file cap of the labeller
+MINER_MAX_FILES = 300       # file cap of the repository miner
 STABLE_DAYS = 30            # a file untouched this long is clean
 # ---------------------------------------------------------------------------
 

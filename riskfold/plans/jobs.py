@@ -2,7 +2,7 @@
 
     corpus scoring:  scan -> extract_features -> score -> report
     training:        build_dataset -> train (split, CV, fit, test, select)
-    mining:          label_files + extract_features -> build_dataset
+    mining:          mine_dataset (shallow history, 300-file cap, labels, features)
 """
 
 from __future__ import annotations
@@ -34,6 +34,20 @@ def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, a
     return lab.label_files(files, commits, commit_files, as_of, max_files=max_files, cap=cap, depth=depth)
 
 
+def mine_dataset(sources: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of: str,
+                 source_col: str = "source") -> DataFrame:
+    """The mining flow: newest 100 commits per repo (shallow history), at
+    most 300 files per repo, labels from bug fixes, features of the labelled
+    files (files that fail analysis are dropped), aligned to the model
+    schema."""
+    tree = sources.select("repo", "path")
+    labels = lab.label_files(tree, commits, commit_files, as_of, max_files=lab.MINER_MAX_FILES,
+                             depth=lab.MINED_HISTORY_DEPTH)
+    labelled_sources = sources.join(labels.select("repo", "path"), ["repo", "path"], "left_semi")
+    features = feat.extract_features(labelled_sources, source_col)
+    return ds.align(ds.attach_labels(features, labels), keep=("repo", "path"))
+
+
 def build_dataset(spark: SparkSession, features: DataFrame | None = None, labels: DataFrame | None = None,
                   n_synthetic: int = 2500, buggy_ratio: float = 0.35, seed: str = "42") -> DataFrame:
     """Labelled feature table from mined tables when they give any rows,

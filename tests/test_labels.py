@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from riskfold.operators import labels as lab
 
 
@@ -74,3 +76,13 @@ def test_large_cap_uses_sliced_positions(spark):
     for repo in {r for r, _ in rows}:
         want |= {(repo, p) for p in sorted(p for r, p in rows if r == repo)[:150]}
     assert got == want
+
+
+def test_mining_flow(spark):
+    from riskfold.plans import jobs
+
+    commits, files, tree = _history(spark)
+    sources = tree.withColumn("source", F.lit("def f(x):\n    return x\n"))
+    data = jobs.mine_dataset(sources, commits, files, "2024-03-30 00:00:00")
+    got = {r["path"]: (r["label"], r["num_functions"]) for r in data.collect()}
+    assert got == {"a.py": (1, 1.0), "b.py": (1, 1.0), "e.py": (1, 1.0), "f.py": (1, 1.0), "d.py": (0, 1.0)}
