@@ -509,3 +509,13 @@ def ast_node_counts(spark, sf_dir):
 def hash_split(spark, sf_dir):
     d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
     return ds.hash_split(d, "path", 0.2)
+
+
+@register("mined_dataset", orc.mined_dataset())
+def mined_dataset(spark, sf_dir):
+    """The mining flow: shallow history (newest 100 commits per repo), the
+    miner's 300-file cap, labels, then features of the labelled files only."""
+    from riskfold.plans import jobs
+
+    commits, files = fx.history_from_orders(spark, sf_dir)
+    return jobs.mine_dataset(fx.source_files_from_part(spark, sf_dir), commits, files, fx.AS_OF)

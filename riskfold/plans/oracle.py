@@ -745,3 +745,12 @@ def hash_split(test_size: float = 0.2) -> str:
     return f"""WITH {t3_cte()}
 SELECT repo, path, label,
        CASE WHEN {_md5_key('path')} / 4294967296.0 < {test_size!r} THEN 'test' ELSE 'train' END AS split FROM t3"""
+
+
+def mined_dataset() -> str:
+    cols = ", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in FEATURE_NAMES)
+    lc = labels_cte(300, 200, 100)
+    lc = lc[1:] if lc.startswith(chr(10)) else lc
+    return f"""WITH {T1_FEATURES_CTE},
+{lc}
+SELECT f.repo, f.path, {cols}, l.label FROM t1_features f JOIN labels l ON l.repo = f.repo AND l.path = f.path"""
