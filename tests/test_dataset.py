@@ -74,3 +74,11 @@ def test_weights_align_union(spark):
     assert u.where("num_loops = 4.0").first()["total_lines"] == 0.0
     w = {r["label"]: r["weight"] for r in ds.class_weights(a).collect()}
     assert w == {1: 3 / 2, 0: 3 / 4}
+
+
+def test_hash_split_is_deterministic_and_near_the_ratio(spark, gen):
+    a = {r["path"]: r["split"] for r in ds.hash_split(gen.select("path", "label"), "path", 0.2).collect()}
+    b = {r["path"]: r["split"] for r in ds.hash_split(gen.repartition(7).select("path", "label"), "path", 0.2).collect()}
+    assert a == b
+    share = sum(v == "test" for v in a.values()) / len(a)
+    assert 0.14 < share < 0.26

@@ -174,3 +174,12 @@ def test_line_path_equals_full_path(spark):
     for p in CASES:
         for f in ("total_lines", "code_lines", "blank_lines", "comment_lines", "comment_ratio"):
             assert lines[p][f] == full[p][f], (p, f)
+
+
+def test_line_path_on_raw_bytes(spark):
+    from riskfold.operators.features import line_features
+
+    df = spark.createDataFrame([("r", "a.py", bytearray(b"x = 1  # c\n\n\xff# d\n"))],
+                               "repo string, path string, content binary")
+    r = line_features(df, "content").first()
+    assert (r["total_lines"], r["blank_lines"], r["comment_lines"], r["code_lines"]) == (3, 1, 2, 0)
