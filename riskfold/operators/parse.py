@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.schema import FILE_COLUMNS, NODE_COLUMNS, PARSED
+from riskfold.session import ship_package
 
 # Output rows per Arrow batch handed back to the JVM.  Node rows are small;
 # this keeps each Python->JVM batch a few MB regardless of file size.
@@ -123,6 +124,7 @@ def parse_sources(sources: DataFrame, source_col: str = "source", min_partitions
     repo = F.col("repo") if "repo" in cols else F.lit(None).cast("string")
     inp = sources.select(repo.alias("repo"), F.col("path"), F.col(source_col).alias("source"))
     fn = _parse_batches if not features_only else _parse_feature_batches
+    ship_package(sources.sparkSession)
     return spread_for_cpu(inp, min_partitions).mapInArrow(fn, PARSED)
 
 
@@ -168,4 +170,5 @@ def scan_lines(sources: DataFrame, source_col: str = "source", min_partitions: i
     cols = sources.columns
     repo = F.col("repo") if "repo" in cols else F.lit(None).cast("string")
     inp = sources.select(repo.alias("repo"), F.col("path"), F.col(source_col).alias("source"))
+    ship_package(sources.sparkSession)
     return spread_for_cpu(inp, min_partitions).mapInArrow(_line_batches, LINE_SCHEMA)

@@ -74,3 +74,32 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{base}/riskfold-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskfold`` importable in Python workers (once per context).
+
+    Functions handed to ``mapInArrow`` are pickled by reference, so workers
+    import this package.  The sources are zipped and added with
+    ``addPyFile`` -- Spark's own code-shipping path, the equivalent of
+    ``--py-files`` -- so jobs work whatever the driver's working directory.
+    """
+    import zipfile
+
+    import riskfold
+
+    sc = spark.sparkContext
+    if getattr(sc, "_riskfold_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(riskfold.__file__))
+    root = os.path.dirname(pkg_dir)
+    out = tempfile.mkdtemp(prefix="riskfold-pyfiles-")
+    archive = os.path.join(out, "riskfold.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    sc._riskfold_shipped = True
