@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskfold.llm import langid, minhash, packing, pii, quality, token_counts
+from riskfold.llm import langid, minhash, packing, pii, quality, suffix_dedup, token_counts
 from riskfold.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.fit_and_identify(read_table(spark, sf_dir, "documents"))
 
@@ -48,10 +52,33 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-ORACLE: dict[str, str] = {}
+#: Queries that SQL can express over whole tables.
+ORACLE: dict[str, str] = {
+    "op4_suffix_dedup": """
+        WITH docs AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        windows AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w
+            FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM docs WHERE n >= 50)),
+        least AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w),
+        hits AS (SELECT doc_id, p FROM windows JOIN least USING (w) WHERE first_doc < doc_id),
+        -- hits less than 50 bytes apart, or just touching, belong to one span
+        marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS begins FROM hits),
+        numbered AS (SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+        spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, span),
+        gaps AS (SELECT s.doc_id, s.span, s.a, s.b, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.span), 0) AS from_, d.h
+                 FROM spans s JOIN docs d USING (doc_id)),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY span) AS k,
+                        sum(b - a) AS removed, count(*) AS n_spans, max(b) AS last_b FROM gaps GROUP BY doc_id)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN removed IS NULL THEN d.h ELSE k || substr(d.h, 2 * last_b + 1) END)) AS kept_sha256
+        FROM docs d LEFT JOIN kept USING (doc_id)""",
+}
