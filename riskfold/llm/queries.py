@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskfold.llm import langid, minhash, packing, pii, quality, suffix_dedup, token_counts
+from riskfold.llm import ann, impact_topk, langid, minhash, packing, pii, quality, suffix_dedup, token_counts
 from riskfold.llm.common import read_table
 
 
@@ -29,6 +29,14 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.top_k(read_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -52,15 +60,31 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_exact_topk": op3_exact_topk,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
 #: Queries that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH parts AS (
+            SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+            WHERE embedding IS NOT NULL),
+        good AS (
+            SELECT vec_id FROM parts GROUP BY vec_id
+            HAVING count(*) = count(x) AND bool_and(isfinite(x))),
+        whole AS (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS y FROM parts JOIN good USING (vec_id)),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.y * c.y) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 10""",
     "op4_suffix_dedup": """
         WITH docs AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
