@@ -266,8 +266,10 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, trainin
     return train(words, np.array(labels), languages)
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score, with every other column of ``docs`` dropped."""
+def label_rows(docs: DataFrame, net: Network | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and two more, named by ``pred`` and ``score``."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -276,18 +278,33 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             for part in text_batches(batch, 4 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if labels:
                     dist = labels.documents(texts)
                     best = dist.argmax(1)
                     for i in np.flatnonzero(dist.sum(1) > 0):
-                        pred[i] = labels.net.languages[best[i]]
-                        score[i] = min(1.0, float(dist[i, best[i]]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                                 ["doc_id", "lang_pred", "score"])
+                        langs[i] = labels.net.languages[best[i]]
+                        scores[i] = min(1.0, float(dist[i, best[i]]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                                 [*part.schema.names, pred, score])
+
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
 
+def identify(docs: DataFrame, net: Network | None) -> DataFrame:
+    """doc_id, lang_pred, score, with every other column of ``docs`` dropped."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return label_rows(plain, net).select("doc_id", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language with a mean
+    position probability of ``least`` or more; columns as they are."""
+    fresh = lambda name: name if name.lower() not in {c.lower() for c in docs.columns} else fresh("_" + name)
+    pred, score = fresh("lang_pred"), fresh("lang_score")
+    labelled = label_rows(docs, fit(training_rows(docs)), pred, score)
+    return labelled.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -311,3 +311,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     final = components(links.unionByName(found))
     classes = texts.select("copy_of", "node").join(final, "node", "left").select("copy_of", F.coalesce("root", "node").alias("class_id"))
     return made.select("doc_id", "copy_of").join(classes, "copy_of").select("doc_id", "class_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that have a near duplicate of smaller
+    doc_id in their class; columns as they are.  Rows without an id stay."""
+    gone = near_duplicates(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -201,12 +201,13 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
 def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
     shared = stats.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "score": shared.value.score(_matrix(frame))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("stats").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(x))], ["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInPandas(run, "doc_id long, score double")
+    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

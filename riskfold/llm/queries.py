@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskfold.llm import ann, impact_topk, langid, minhash, packing, pii, quality, suffix_dedup, token_counts
+from riskfold.llm import ann, impact_topk, langid, minhash, packing, pii, quality, sentencepiece_scan, suffix_dedup, token_counts
 from riskfold.llm.common import read_table
 
 
@@ -57,6 +57,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: Queries that SQL can express over whole tables.

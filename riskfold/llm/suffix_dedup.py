@@ -25,8 +25,9 @@ Only the shards decide what is a match; steps 1 and 2 choose what they see
 and leave out only windows that certainly occur in one document.
 
 Defined cases: null text is empty; texts shorter than LENGTH are kept whole;
-of rows with the same doc_id none counts as the smaller document; an empty
-table gives no rows; other columns are ignored.
+of rows with the same doc_id none counts as the smaller document; rows
+without a doc_id are kept whole and match nothing; an empty table gives no
+rows; other columns are ignored, and pass through ``strip_repeats``.
 """
 
 from __future__ import annotations
@@ -314,27 +315,37 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
                    ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+def _spans(windows: pa.Table) -> dict[int, list[tuple[int, int]]]:
+    """Byte ranges that repeated windows cover, by document."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for doc, first, stop in zip(*(windows.column(c).to_pylist() for c in ("doc_id", "first", "stop")), strict=True):
+        spans.setdefault(doc, []).append((first, stop + LENGTH - 1))
+    return spans
+
+
+def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """``raw`` without ``ranges``, and how many runs went."""
+    kept, at, runs, last = [], 0, 0, -1
+    for a, b in sorted(ranges):
+        b = min(b, len(raw))
+        if a >= b:
+            continue
+        if a > last:
+            runs += 1
+            kept.append(raw[at:a])
+        last = max(last, b)
+        at = max(at, b)
+    kept.append(raw[at:])
+    return b"".join(kept), runs
+
+
 def _cut_out(with_text: bool):
     def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for doc, first, stop in zip(*(windows.column(c).to_pylist() for c in ("doc_id", "first", "stop")), strict=True):
-            spans.setdefault(doc, []).append((first, stop + LENGTH - 1))
+        spans = _spans(windows)
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             raw = text.encode("utf-8", "replace")
-            kept, at, runs = [], 0, 0
-            last = -1
-            for a, b in sorted(spans.get(doc, ())):
-                b = min(b, len(raw))
-                if a > last:
-                    if a >= b:
-                        continue
-                    runs += 1
-                    kept.append(raw[at:a])
-                last = max(last, b)
-                at = max(at, b)
-            kept.append(raw[at:])
-            left = b"".join(kept)
+            left, runs = cut(raw, spans.get(doc, []))
             row = (doc, len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest(), left if with_text else None)
             for column, value in zip(out, row, strict=True):
                 column.append(value)
@@ -342,19 +353,39 @@ def _cut_out(with_text: bool):
     return run
 
 
+def _strip(group: str):
+    def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
+        spans = _spans(windows)
+        texts = []
+        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+            ranges = spans.get(doc)
+            # a character that lost some of its bytes goes whole
+            texts.append(cut(text.encode("utf-8", "replace"), ranges)[0].decode("utf-8", "ignore") if ranges and text else text)
+        place = docs.schema.get_field_index("text")
+        return docs.set_column(place, docs.schema.field(place), pa.array(texts, docs.schema.field(place).type)).drop_columns([group])
+    return run
+
+
 # -- Spark -------------------------------------------------------------------------
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``with_text``, the bytes that are kept."""
+def _group_key(groups: int):
+    """Group of a document; rows without an id are spread by their text."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(groups)).cast("int")
+
+
+def _groups(docs: DataFrame) -> int:
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * partitions, -(-int(total) // GROUP_BYTES))
+
+
+def repeated_windows(docs: DataFrame, groups: int) -> DataFrame:
+    """grp, doc_id, first, stop: windows [first, stop) of each document that
+    also start in a smaller one."""
     spark = docs.sparkSession
     ship_package(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = documents(docs)
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(2 * partitions, -(-int(total) // GROUP_BYTES))
-    buckets = SHARDS * partitions
-    dealt = plain.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    buckets = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = documents(docs).where("doc_id is not null").withColumn("grp", _group_key(groups))
     grams = (dealt.mapInArrow(_gram_rows(groups, buckets), _GRAMS)
              .groupBy("bucket").applyInArrow(_repeated, "grp int, grams binary"))
     parts = dealt.groupBy("grp").cogroup(grams.groupBy("grp")).applyInArrow(
@@ -363,7 +394,25 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     key = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "first")).otherwise(F.col("gram"))
     windows = (parts.withColumn("gram", key).repartition(buckets, "gram")
                .mapInArrow(_settle, "doc_id long, first long, stop long"))
-    windows = windows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    out = dealt.groupBy("grp").cogroup(windows.groupBy("grp")).applyInArrow(
+    return windows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
+    ``with_text``, the bytes that are kept."""
+    plain = documents(docs)
+    groups = _groups(plain)
+    windows = repeated_windows(plain, groups)
+    out = plain.withColumn("grp", _group_key(groups)).groupBy("grp").cogroup(windows.groupBy("grp")).applyInArrow(
         _cut_out(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text``, all columns kept."""
+    fresh = lambda name: name if name.lower() not in {c.lower() for c in docs.columns} else fresh("_" + name)
+    group = fresh("grp")
+    groups = _groups(docs)
+    windows = repeated_windows(docs, groups)
+    keyed = docs.withColumn(group, _group_key(groups))
+    return keyed.groupBy(group).cogroup(windows.groupBy("grp")).applyInArrow(_strip(group), docs.schema)
