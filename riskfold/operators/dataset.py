@@ -15,6 +15,10 @@ Scale notes
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +126,8 @@ def feature_profile(df: DataFrame, features: list[str] = FEATURE_NAMES,
     cum = running_sums(freq, ["feature"], [F.col("value").asc()], ["n"], inclusive=True)
     totals = F.broadcast(cum.groupBy("feature").agg(  # one row per feature
         F.sum("n").alias("cnt"),
-        (F.sum(F.col("n").cast("decimal(10,0)") * F.col("value").cast("decimal(27,10)")).cast("double")
+        (# 10^15 rows of one value and twelve digits before the point fit exactly
+        F.sum(F.col("n").cast("decimal(15,0)") * F.col("value").cast("decimal(22,10)")).cast("double")
          / F.sum("n")).alias("_mean")))
     cum = cum.join(totals, "feature").withColumnRenamed("cum_n", "cum_end")
     aggs = [F.first("idx").alias("idx"), F.first("cnt").alias("count"), F.first("_mean").alias("_mean"),
@@ -228,6 +233,43 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def _correlation(n: float, sx: float, sy: float, sxx: float, syy: float, sxy: float) -> float | None:
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    return (n * sxy - sx * sy) / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None
+
+
+def top_correlation_matrix(df: DataFrame, k: int = 12, features: list[str] = FEATURE_NAMES) -> DataFrame:
+    """D10 and D11 from one pass: (f1, f2, r) for the ``k`` features of
+    largest |correlation| with the label (ties by feature order, constant
+    features last).
+
+    One aggregate sums the values and their pairwise products; sums of
+    products are exact decimals, so the product form loses nothing to
+    cancellation.  A single row of (features + 1)^2 / 2 sums reaches the
+    driver, whatever the input.
+    """
+    names = [*features, "label"]
+    value = {c: F.col(c).cast("decimal(18,6)") for c in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(value[c]).alias(f"s_{i}") for i, c in enumerate(names)],
+                 *[F.sum((value[a] * value[b]).cast("decimal(38,12)")).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)]).first()
+    n = row["n"]
+    sums = {c: Fraction(row[f"s_{i}"] or 0) for i, c in enumerate(names)}
+    products = {p: Fraction(row[f"p_{i}"] or 0) for i, p in enumerate(pairs)}
+    order = {c: i for i, c in enumerate(names)}
+
+    def r(a: str, b: str) -> float | None:
+        a, b = sorted((a, b), key=order.get)
+        return _correlation(n, sums[a], sums[b], products[a, a], products[b, b], products[a, b])
+
+    with_label = {f: r(f, "label") for f in features}
+    rank = lambda f: (with_label[f] is None, -abs(round(with_label[f] or 0, 6)), order[f])
+    top = sorted(features, key=rank)[:k]
+    cells = [(a, b, r(a, b)) for a in top for b in top]
+    table = df.sparkSession.createDataFrame(cells, "f1 string, f2 string, r double")
+    return table.select("f1", "f2", round_fixed(F.col("r"), 6).alias("r"))
+
+
 # --- M4, M6, M7: weights, split, folds ------------------------------------------
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -246,21 +288,37 @@ def with_class_weight(df: DataFrame, col: str = "weight") -> DataFrame:
     return df.join(F.broadcast(w), "label")
 
 
-def stratified_rank(df: DataFrame, id_col: str, seed: str = DEFAULT_SEED,
-                    buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Adds ``rank`` (1-based, per label) in the seeded order
-    (md5 key of id, then id) and ``n_label``.  Exact, and no task ever holds
-    more than one hash bucket of one class.
+def file_id(df: DataFrame, id_col: str | Sequence[str] | None = None) -> list[str]:
+    """The columns that name a row: those given, or (repo, path) as far as
+    ``df`` has them."""
+    if id_col is None:
+        return [c for c in ("repo", "path") if c in df.columns]
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def _joined(ids: list[str]) -> Column:
+    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids])
+
+
+def stratified_rank(df: DataFrame, id_col: str | Sequence[str] | None = None, seed: str = DEFAULT_SEED,
+                    buckets: int | None = None) -> DataFrame:
+    """Adds ``rank`` (1-based, per label) in the seeded order (md5 key of
+    the id columns joined, then those columns) and ``n_label``.  Exact, and
+    no task ever holds more than one hash bucket of one class: ``buckets``
+    follows the session's shuffle partitions.  The id columns together must
+    name a row; equal paths of different repos are different rows.
 
     Rows are shuffled once by (label, bucket) and ranked inside the bucket;
     bucket sizes come from that same windowed stream (the shuffle is reused,
     the input is computed once), and their running offsets form a table of
     at most 2 x buckets rows that is broadcast back.
     """
-    key = md5_order_key(F.col(id_col), seed)
+    ids = file_id(df, id_col)
+    buckets = buckets or max(RANK_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = md5_order_key(_joined(ids), seed)
     bits = max(1, (buckets - 1).bit_length())
     keyed = df.withColumn("_key", key).withColumn("_bucket", F.shiftright(F.col("_key"), 32 - bits))
-    w = Window.partitionBy("label", "_bucket").orderBy("_key", id_col)
+    w = Window.partitionBy("label", "_bucket").orderBy("_key", *ids)
     local = keyed.withColumn("_local", F.row_number().over(w))
     sizes = local.groupBy("label", "_bucket").agg(F.max("_local").alias("_bn"))
     wcum = Window.partitionBy("label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -274,8 +332,8 @@ def stratified_rank(df: DataFrame, id_col: str, seed: str = DEFAULT_SEED,
             .drop("_key", "_bucket", "_offset", "_local"))
 
 
-def stratified_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: str = DEFAULT_SEED,
-                     buckets: int = RANK_BUCKETS) -> DataFrame:
+def stratified_split(df: DataFrame, id_col: str | Sequence[str] | None = None, test_size: float = 0.2, seed: str = DEFAULT_SEED,
+                     buckets: int | None = None) -> DataFrame:
     """M6: ``split`` = 'test' for the first round(test_size * n_label) rows
     of each class in the seeded order, else 'train'."""
     r = stratified_rank(df, id_col, seed, buckets)
@@ -284,17 +342,17 @@ def stratified_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: s
             .drop("rank", "n_label"))
 
 
-def stratified_folds(df: DataFrame, id_col: str, k: int = 5, seed: str = DEFAULT_SEED,
-                     buckets: int = RANK_BUCKETS) -> DataFrame:
+def stratified_folds(df: DataFrame, id_col: str | Sequence[str] | None = None, k: int = 5, seed: str = DEFAULT_SEED,
+                     buckets: int | None = None) -> DataFrame:
     """M7: ``fold`` = (rank - 1) mod k within each class."""
     r = stratified_rank(df, id_col, seed, buckets)
     return r.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int")).drop("rank", "n_label")
 
 
-def hash_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: str = DEFAULT_SEED) -> DataFrame:
+def hash_split(df: DataFrame, id_col: str | Sequence[str] | None = None, test_size: float = 0.2, seed: str = DEFAULT_SEED) -> DataFrame:
     """M6, approximate variant for scale: a row is 'test' when its md5
     uniform is below ``test_size`` -- a per-row test with no ranking and no
     shuffle; class shares of the test set are test_size only in
     expectation."""
-    u = md5_unit(F.col(id_col), seed)
+    u = md5_unit(_joined(file_id(df, id_col)), seed)
     return df.withColumn("split", F.when(u < F.lit(float(test_size)), F.lit("test")).otherwise(F.lit("train")))

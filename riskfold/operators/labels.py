@@ -4,17 +4,17 @@ Tables: ``commits(repo, commit_id, message, authored_at, committed_at,
 n_parents)`` and ``commit_files(repo, commit_id, path)``; the working tree
 is ``files(repo, path)``.
 
-Per-repo caps are ``row_number() <= n`` filters.  Spark turns such a filter
-into a window group-limit that keeps at most n rows per repo in every map
-task *before* the shuffle, so a repo holding a third of all commits still
-sends only n rows per task to the final window.
+No cap is applied unless it is asked for: files, fixes and history are used
+whole.  A cap that is asked for takes exact positions from a range
+partitioning of (repo, order), the same way at every size, so a repo holding
+a third of all commits is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.ordering import running_sums
@@ -26,10 +26,6 @@ BUG_FIX_WORDS = [
     "fix", "bug", "patch", "error", "issue", "crash",
     "resolve", "hotfix", "repair", "workaround", "incorrect",
 ]
-BUGGY_COMMIT_CAP = 200      # newest bug-fix commits inspected per repo
-MINED_HISTORY_DEPTH = 100   # shallow-clone depth of the miner
-MAX_FILES_PER_REPO = 500    # file cap of the labeller
-MINER_MAX_FILES = 300       # file cap of the repository miner
 STABLE_DAYS = 30            # a file untouched this long is clean
 # ---------------------------------------------------------------------------
 
@@ -45,28 +41,20 @@ def _newest_first() -> list[Column]:
 def cap_per_repo(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
     """Keep the first ``n`` rows of each repo in ``order`` (None = all).
 
-    ``order`` must be a total order within a repo.  Up to Spark's window
-    group-limit threshold the window is cut to n rows per repo in each map
-    task before the shuffle; beyond it, exact positions come from a range
-    partitioning of (repo, order) with per-slice offsets, so a hot repo is
-    still spread over many tasks.
+    ``order`` must be a total order within a repo.
     """
     if n is None:
         return df
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= limit:
-        w = Window.partitionBy("repo").orderBy(*order)
-        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
     pos = running_sums(df.withColumn("_one", F.lit(1)), ["repo"], order, ["_one"], inclusive=True)
     return pos.where(F.col("cum__one") <= n).drop("_one", "cum__one")
 
 
-def cap_files(files: DataFrame, max_files: int | None = MAX_FILES_PER_REPO) -> DataFrame:
+def cap_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """S3: at most ``max_files`` files per repo, in path order."""
     return cap_per_repo(files, max_files, [F.col("path").asc()])
 
 
-def history_depth(commits: DataFrame, depth: int | None = MINED_HISTORY_DEPTH) -> DataFrame:
+def history_depth(commits: DataFrame, depth: int | None = None) -> DataFrame:
     """L3: only the newest ``depth`` commits of each repo (shallow clone)."""
     return cap_per_repo(commits, depth, _newest_first())
 
@@ -76,7 +64,7 @@ def bug_fix_commits(commits: DataFrame, words: list[str] = BUG_FIX_WORDS) -> Dat
     return commits.where(F.col("message").rlike(bug_fix_pattern(words)))
 
 
-def newest_bug_fixes(commits: DataFrame, cap: int | None = BUGGY_COMMIT_CAP,
+def newest_bug_fixes(commits: DataFrame, cap: int | None = None,
                      words: list[str] = BUG_FIX_WORDS) -> DataFrame:
     """L1 + L2: the newest ``cap`` bug-fix commits per repo."""
     return cap_per_repo(bug_fix_commits(commits, words), cap, _newest_first())
@@ -90,7 +78,7 @@ def changed_python_files(commits: DataFrame, commit_files: DataFrame) -> DataFra
     return py.join(single, ["repo", "commit_id"], "left_semi")
 
 
-def buggy_paths(commits: DataFrame, commit_files: DataFrame, cap: int | None = BUGGY_COMMIT_CAP,
+def buggy_paths(commits: DataFrame, commit_files: DataFrame, cap: int | None = None,
                 words: list[str] = BUG_FIX_WORDS) -> DataFrame:
     """Distinct (repo, path) touched by the newest bug-fix commits."""
     fixes = newest_bug_fixes(commits, cap, words)
@@ -98,15 +86,16 @@ def buggy_paths(commits: DataFrame, commit_files: DataFrame, cap: int | None = B
 
 
 def last_modified(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Author date of the newest commit touching each (repo, path)."""
+    """Author date of the newest commit touching each (repo, path); of
+    commits at one moment the greatest commit_id counts."""
     touched = commit_files.join(
         commits.where(F.col("n_parents") <= 1).select("repo", "commit_id", "authored_at", "committed_at"),
         ["repo", "commit_id"])
     return touched.groupBy("repo", "path").agg(
-        F.max_by("authored_at", "committed_at").alias("last_modified"))
+        F.max_by("authored_at", F.struct("committed_at", "commit_id")).alias("last_modified"))
 
 
-def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None = BUGGY_COMMIT_CAP,
+def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None = None,
                  words: list[str] = BUG_FIX_WORDS, suffix: str = ".py") -> DataFrame:
     """L5 + L6 in one pass over ``commit_files``: per (repo, path) of a
     ``suffix`` file, the author date of its newest non-merge commit and
@@ -125,12 +114,12 @@ def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None =
     touched = (commit_files.where(F.col("path").endswith(suffix)).select("repo", "commit_id", "path")
                .join(single, ["repo", "commit_id"]))
     return touched.groupBy("repo", "path").agg(
-        F.max_by("authored_at", "committed_at").alias("last_modified"),
+        F.max_by("authored_at", F.struct("committed_at", "commit_id")).alias("last_modified"),
         F.max(F.coalesce(F.col("_fix"), F.lit(0))).alias("buggy"))
 
 
 def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of: str,
-                max_files: int | None = MAX_FILES_PER_REPO, cap: int | None = BUGGY_COMMIT_CAP,
+                max_files: int | None = None, cap: int | None = None,
                 depth: int | None = None, words: list[str] = BUG_FIX_WORDS,
                 stable_days: int = STABLE_DAYS) -> DataFrame:
     """``(repo, path, label)``.
@@ -144,7 +133,9 @@ def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, a
     tree = cap_files(files.select("repo", "path"), max_files)
     per_file = file_history(history, commit_files, cap, words)
     ts_type = commits.schema["authored_at"].dataType.simpleString()
-    cutoff = F.lit(as_of).cast(ts_type) - F.expr(f"INTERVAL {int(stable_days)} DAYS")
+    # with a zoned type the moment is UTC, whatever the session's time zone
+    moment = F.lit(as_of + "Z" if ts_type == "timestamp" and not re.search(r"(Z|UTC|[+-]\d\d:?\d\d)$", as_of) else as_of)
+    cutoff = moment.cast(ts_type) - F.expr(f"INTERVAL {int(stable_days)} DAYS")
     label = (F.when(F.col("buggy") == 1, F.lit(1))
              .when(F.col("last_modified") < cutoff, F.lit(0)))
     return (tree.join(per_file, ["repo", "path"], "inner")

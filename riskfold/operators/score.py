@@ -24,6 +24,11 @@ HISTOGRAM_BINS = 30
 REPORT_FEATURES = [f for f in FEATURE_NAMES if f != "syntax_error"]
 
 
+def _repo(df: DataFrame) -> list[Column]:
+    """A file is known by repo and path; tables of a single tree may have no repo."""
+    return [F.col("repo")] if "repo" in df.columns else []
+
+
 def risk_level(score: Column, thresholds: dict = RISK_THRESHOLDS) -> Column:
     """Low / Medium / High / Critical on the unrounded score; 'Error'
     when there is no score."""
@@ -40,7 +45,7 @@ def risk_report(scored: DataFrame, threshold: float = FLAG_THRESHOLD,
     risk_level, flagged (score >= threshold, unrounded), error."""
     s = F.col("score")
     return scored.select(
-        F.col("path").alias("file_path"),
+        *_repo(scored), F.col("path").alias("file_path"),
         F.bround(s, 4).alias("risk_score"),
         risk_level(s, thresholds).alias("risk_level"),
         F.when(s.isNotNull(), s >= F.lit(threshold)).alias("flagged"),
@@ -68,7 +73,7 @@ def scored_report(scored: DataFrame, factors: list[tuple[str, float]] | None = N
     """The nested per-file report (S7 shape): risk columns, top factors,
     features struct without syntax_error, error."""
     s = F.col("score")
-    cols = [F.col("path").alias("file_path"), F.bround(s, 4).alias("risk_score"),
+    cols = [*_repo(scored), F.col("path").alias("file_path"), F.bround(s, 4).alias("risk_score"),
             risk_level(s).alias("risk_level"),
             F.when(s.isNotNull(), s >= F.lit(threshold)).alias("flagged")]
     if factors is not None:
@@ -84,23 +89,25 @@ def flat_report(scored: DataFrame, threshold: float = FLAG_THRESHOLD, with_error
     s = F.col("score")
     extra = [F.col("error")] if with_error and "error" in scored.columns else []
     return scored.select(
-        F.col("path").alias("file_path"), F.bround(s, 4).alias("risk_score"), risk_level(s).alias("risk_level"),
+        *_repo(scored), F.col("path").alias("file_path"), F.bround(s, 4).alias("risk_score"), risk_level(s).alias("risk_level"),
         F.when(s.isNotNull(), s >= F.lit(threshold)).alias("flagged"), *REPORT_FEATURES, *extra)
 
 
 def ranked_report(scored: DataFrame, slices: int | None = None) -> DataFrame:
-    """P5: every file with its 1-based ``rank`` by score (descending; error
-    rows count as 0; ties by path).  Exact global ranks from a range
-    partitioning on (score, path) -- balanced even when many files share a
-    score -- plus per-slice offsets; no global window."""
+    """P5: repo, path, score and 1-based ``rank`` of every file, by score
+    (descending; error rows count as 0; ties by repo and path).  Exact global
+    ranks from a range partitioning on (score, repo, path) -- balanced even
+    when many files share a score -- plus per-slice offsets; no global window.
+    Only these columns are sorted and written; join others by (repo, path)."""
     key = F.coalesce(F.col("score"), F.lit(0.0))
-    return global_positions(scored, [key.desc(), F.col("path").asc()], "rank", slices)
+    narrow = scored.select(*_repo(scored), "path", "score")
+    return global_positions(narrow, [key.desc(), *[c.asc() for c in _repo(scored)], F.col("path").asc()], "rank", slices)
 
 
 def top_risk(scored: DataFrame, k: int) -> DataFrame:
     """P5 top-k: the k riskiest files (a per-task top-k, then a merge)."""
     key = F.coalesce(F.col("score"), F.lit(0.0))
-    return scored.orderBy(key.desc(), F.col("path").asc()).limit(k)
+    return scored.orderBy(key.desc(), *[c.asc() for c in _repo(scored)], F.col("path").asc()).limit(k)
 
 
 def report_footer(scored: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataFrame:
@@ -126,7 +133,7 @@ def batch_rows(scored: DataFrame) -> DataFrame:
     complexity, docstring_cov; error rows carry zeros and their message."""
     err = F.col("score").isNull()
     return scored.select(
-        F.col("path").alias("filename"), F.col("score").alias("risk_score"),
+        *_repo(scored), F.col("path").alias("filename"), F.col("score").alias("risk_score"),
         risk_level(F.col("score")).alias("risk_level"),
         F.when(err, F.lit(0)).otherwise(F.col("total_lines")).cast("int").alias("lines"),
         F.when(err, F.lit(0)).otherwise(F.col("cyclomatic_complexity")).cast("int").alias("complexity"),
@@ -137,7 +144,7 @@ def batch_rows(scored: DataFrame) -> DataFrame:
 def batch_csv_rows(scored: DataFrame) -> DataFrame:
     """Valid rows only, riskiest first."""
     return (batch_rows(scored).where(F.col("risk_score").isNotNull()).drop("error")
-            .orderBy(F.col("risk_score").desc(), F.col("filename")))
+            .orderBy(F.col("risk_score").desc(), *_repo(scored), F.col("filename")))
 
 
 def risk_histogram(scored: DataFrame, bins: int = HISTOGRAM_BINS, thresholds: dict = RISK_THRESHOLDS) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +21,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ WEIGHT_COL = "class_weight"
 
 def _params(name: str, overrides: dict[str, Any]) -> dict[str, Any]:
     if name not in MODEL_DEFAULTS:
-        raise ValueError(f"Unknown model '{name}'. Choose from: {list(MODEL_DEFAULTS)}")
+        raise ValueError(f"no model is called {name!r}; there are {', '.join(MODEL_DEFAULTS)}")
     return {**MODEL_DEFAULTS[name], **overrides}
 
 
@@ -117,7 +119,7 @@ def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
     return importances.orderBy(*w_order).limit(n)
 
 
-def cross_validate(data: DataFrame, name: str, folds: int = 5, seed: str = "42", id_col: str = "path",
+def cross_validate(data: DataFrame, name: str, folds: int = 5, seed: str = "42", id_col: str | Sequence[str] | None = None,
                    parallelism: int = 4, **overrides: Any) -> tuple[DataFrame, DataFrame]:
     """M8: stratified k-fold CV.  Returns (per-fold metrics, summary with
     mean and population std of every metric).  Fold fits are submitted
@@ -144,7 +146,7 @@ def cross_validate(data: DataFrame, name: str, folds: int = 5, seed: str = "42",
     return per_fold, summary
 
 
-def grid_search(train: DataFrame, name: str, folds: int = 3, seed: str = "42", id_col: str = "path",
+def grid_search(train: DataFrame, name: str, folds: int = 3, seed: str = "42", id_col: str | Sequence[str] | None = None,
                 grid: dict[str, list] | None = None, parallelism: int = 2) -> PipelineModel:
     """M9: exhaustive grid over the reference grid (weighted F1, stratified
     folds), refitting the best point on all of ``train``."""
@@ -178,13 +180,16 @@ def evaluate_model(model: PipelineModel, test: DataFrame, top_n: int = 10) -> di
 
 
 def run_training(data: DataFrame, model_names: list[str] | None = None, folds: int = 5, test_size: float = 0.2,
-                 seed: str = "42", id_col: str = "path", use_grid_search: bool = False,
-                 overrides: dict[str, dict] | None = None) -> dict[str, Any]:
+                 seed: str = "42", id_col: str | Sequence[str] | None = None, use_grid_search: bool = False,
+                 overrides: dict[str, dict] | None = None, model_dir: str | None = None) -> dict[str, Any]:
     """Split, cross-validate, fit and test every model; the best test
-    weighted F1 wins (strictly greater, so the first listed wins ties)."""
+    weighted F1 wins (strictly greater, so the first listed wins ties).  With
+    ``model_dir`` the winner is saved there with its feature order, its test
+    and cross-validation metrics and the test metrics of every model."""
     model_names = model_names or ["random_forest", "gradient_boosting"]
     overrides = overrides or {}
-    split = cut_lineage(ds.stratified_split(data, id_col, test_size, seed))
+    # written once, so that the ranks of the split do not evaluate it twice
+    split = cut_lineage(ds.stratified_split(cut_lineage(data, "training"), id_col, test_size, seed))
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     results: dict[str, Any] = {}
     best_name, best_f1, best_model = None, -1.0, None
@@ -201,6 +206,11 @@ def run_training(data: DataFrame, model_names: list[str] | None = None, folds: i
             best_name, best_f1, best_model = name, row["f1"], model
     results["best_model"] = best_name
     results["best_model_instance"] = best_model
+    if model_dir is not None:
+        cv = [r.asDict() for r in results[best_name]["cv_summary"].collect()]  # a row per metric
+        save_model(best_model, model_dir, {
+            "best_model": best_name, "test": results[best_name]["test_metrics"], "cross_validation": cv,
+            "all_models": {n: results[n]["test_metrics"] for n in model_names}})
     return results
 
 
@@ -232,10 +242,13 @@ def load_model(model_dir: str) -> tuple[PipelineModel, list[str], dict[str, Any]
     model = PipelineModel.load(path)
     spark = SparkSession.getActiveSession()
     try:
-        row = spark.read.json(os.path.join(model_dir, "meta")).first()
-        return model, json.loads(row["feature_names"]), json.loads(row["metrics"])
-    except Exception:  # noqa: BLE001 - metadata is optional
+        meta = spark.read.schema("feature_names string, metrics string").json(os.path.join(model_dir, "meta"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return model, [], {}
+    row = meta.first()
+    return model, json.loads(row["feature_names"]), json.loads(row["metrics"])
 
 
 def score_files(model: PipelineModel, features: DataFrame) -> DataFrame:

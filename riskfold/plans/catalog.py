@@ -62,6 +62,7 @@ def documents_parse_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL_FILE_CAP = 60   # binds at sf0.01 (80 files per repo)
 SMALL_COMMIT_CAP = 5  # binds at sf0.01
 SMALL_DEPTH = 20
+SHALLOW_DEPTH = 100
 
 
 @register("file_cap_per_repo", orc.file_cap(SMALL_FILE_CAP))
@@ -93,10 +94,10 @@ def changed_py_files(spark, sf_dir):
     return lab.changed_python_files(commits, files)
 
 
-@register("buggy_paths", orc.buggy_paths(SMALL_COMMIT_CAP))
+@register("buggy_paths", orc.buggy_paths(None))
 def buggy_paths(spark, sf_dir):
     commits, files = fx.history_from_orders(spark, sf_dir)
-    return lab.buggy_paths(commits, files, SMALL_COMMIT_CAP)
+    return lab.buggy_paths(commits, files)
 
 
 @register("last_modified", orc.last_modified())
@@ -105,15 +106,15 @@ def last_modified(spark, sf_dir):
     return lab.last_modified(commits, files)
 
 
-def _labels(spark, sf_dir, max_files, cap, depth=None):
+def _labels(spark, sf_dir, max_files=None, cap=None, depth=None):
     commits, files = fx.history_from_orders(spark, sf_dir)
     tree = fx.working_tree_from_part(spark, sf_dir)
     return lab.label_files(tree, commits, files, fx.AS_OF, max_files=max_files, cap=cap, depth=depth)
 
 
-@register("file_labels", orc.file_labels(lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
+@register("file_labels", orc.file_labels(None, None))
 def file_labels(spark, sf_dir):
-    return _labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP)
+    return _labels(spark, sf_dir)
 
 
 @register("file_labels_small_caps", orc.file_labels(SMALL_FILE_CAP, SMALL_COMMIT_CAP))
@@ -121,14 +122,15 @@ def file_labels_small_caps(spark, sf_dir):
     return _labels(spark, sf_dir, SMALL_FILE_CAP, SMALL_COMMIT_CAP)
 
 
-@register("file_labels_shallow", orc.file_labels(None, lab.BUGGY_COMMIT_CAP, lab.MINED_HISTORY_DEPTH))
+@register("file_labels_shallow", orc.file_labels(None, None, SHALLOW_DEPTH))
 def file_labels_shallow(spark, sf_dir):
-    return _labels(spark, sf_dir, None, lab.BUGGY_COMMIT_CAP, lab.MINED_HISTORY_DEPTH)
+    """The feature is the shallow history: labels from the newest commits."""
+    return _labels(spark, sf_dir, depth=SHALLOW_DEPTH)
 
 
-@register("label_counts", orc.label_counts(lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
+@register("label_counts", orc.label_counts(None, None))
 def label_counts(spark, sf_dir):
-    return lab.label_counts(_labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP))
+    return lab.label_counts(_labels(spark, sf_dir))
 
 
 # --- D1-D11, M4, M6, M7: dataset ------------------------------------------------
@@ -136,7 +138,7 @@ def label_counts(spark, sf_dir):
 def labelled_dataset(spark, sf_dir, features=None):
     """Parsed features of the T1 files joined to their T2 labels."""
     f = features if features is not None else feat.extract_features(fx.source_files_from_part(spark, sf_dir))
-    labels = _labels(spark, sf_dir, lab.MAX_FILES_PER_REPO, lab.BUGGY_COMMIT_CAP)
+    labels = _labels(spark, sf_dir)
     return ds.align(ds.attach_labels(f, labels), keep=("repo", "path"))
 
 
@@ -177,11 +179,7 @@ def label_correlation(spark, sf_dir):
 
 @register("correlation_matrix", orc.correlation_matrix(12))
 def correlation_matrix(spark, sf_dir):
-    from riskfold.session import cut_lineage
-
-    # two passes (top-12 by |corr|, then the matrix) over one materialised table
-    data = cut_lineage(labelled_dataset(spark, sf_dir))
-    return ds.correlation_matrix(data, ds.top_correlated(data, 12))
+    return ds.top_correlation_matrix(labelled_dataset(spark, sf_dir), 12)
 
 
 @register("class_weights", orc.class_weights())
@@ -189,16 +187,25 @@ def class_weights(spark, sf_dir):
     return ds.class_weights(labelled_dataset(spark, sf_dir))
 
 
+FILE_ID = ("repo", "path")
+
+
+def _labelled_keys(spark, sf_dir):
+    """The narrow table that ranks are made from, written once: whether a
+    file parses is asked of its source a single time."""
+    from riskfold.session import cut_lineage
+
+    return cut_lineage(labelled_dataset(spark, sf_dir).select("repo", "path", "label"), "labelled")
+
+
 @register("stratified_split", orc.stratified_split(0.2))
 def stratified_split(spark, sf_dir):
-    d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
-    return ds.stratified_split(d, "path", 0.2)
+    return ds.stratified_split(_labelled_keys(spark, sf_dir), FILE_ID, 0.2)
 
 
 @register("stratified_folds", orc.stratified_folds(5))
 def stratified_folds(spark, sf_dir):
-    d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
-    return ds.stratified_folds(d, "path", 5)
+    return ds.stratified_folds(_labelled_keys(spark, sf_dir), FILE_ID, 5)
 
 
 # --- E1-E11, M8/M10 aggregates: evaluation ------------------------------------
@@ -265,8 +272,8 @@ def scored_files(spark, sf_dir):
     from pyspark.sql import functions as F
 
     f = feat.extract_features(fx.source_files_from_part(spark, sf_dir)).drop("error")
-    p = fx.predictions_from_part(spark, sf_dir).select("path", "score", "error")
-    return f.join(p, "path")
+    p = fx.predictions_from_part(spark, sf_dir).select("repo", "path", "score", "error")
+    return f.join(p, ["repo", "path"])
 
 
 @register("risk_report", orc.risk_report())
@@ -276,7 +283,7 @@ def risk_report(spark, sf_dir):
 
 @register("ranked_report", orc.ranked_report())
 def ranked_report(spark, sf_dir):
-    return sc.ranked_report(scored_files(spark, sf_dir)).select("path", "score", "rank")
+    return sc.ranked_report(scored_files(spark, sf_dir))
 
 
 TOP_K = 25
@@ -284,7 +291,7 @@ TOP_K = 25
 
 @register("top_risk", orc.top_risk(TOP_K))
 def top_risk(spark, sf_dir):
-    return sc.top_risk(scored_files(spark, sf_dir), TOP_K).select("path", "score")
+    return sc.top_risk(scored_files(spark, sf_dir), TOP_K).select("repo", "path", "score")
 
 
 @register("report_footer", orc.report_footer())
@@ -333,7 +340,7 @@ def recommendations(spark, sf_dir):
     from pyspark.sql import functions as F
 
     r = xp.recommendations(t1_features(spark, sf_dir))
-    return r.select("path", F.array_join("rule_ids", ",").alias("rule_ids"), F.size("rule_ids").cast("int").alias("n_rules"))
+    return r.select("repo", "path", F.array_join("rule_ids", ",").alias("rule_ids"), F.size("rule_ids").cast("int").alias("n_rules"))
 
 
 @register("recommendation_counts", orc.recommendation_counts())
@@ -375,8 +382,8 @@ def _train_test(spark, sf_dir):
 
     from riskfold.session import cut_lineage
 
-    data = labelled_dataset(spark, sf_dir)
-    split = cut_lineage(ds.stratified_split(data, "path", 0.2))
+    data = cut_lineage(labelled_dataset(spark, sf_dir), "labelled")
+    split = cut_lineage(ds.stratified_split(data, FILE_ID, 0.2))
     return split.where(F.col("split") == "train").drop("split"), split.where(F.col("split") == "test").drop("split")
 
 
@@ -425,7 +432,7 @@ def score_corpus(spark, sf_dir):
 
     # parse once: the same feature table feeds training and scoring
     features = cut_lineage(t1_features(spark, sf_dir))
-    split = cut_lineage(ds.stratified_split(labelled_dataset(spark, sf_dir, features), "path", 0.2))
+    split = cut_lineage(ds.stratified_split(labelled_dataset(spark, sf_dir, features), FILE_ID, 0.2))
     model = tr.fit(split.where(F.col("split") == "train").drop("split"), "random_forest", **QUICK["random_forest"])
     factors = sc.top_factor_names(tr.feature_importance(model, spark), 3)
     scored = tr.score_files(model, features)
@@ -477,24 +484,27 @@ def report_json_round_trip(spark, sf_dir):
     path = _scratch(spark, "report-json")
     write_report_json(report, path)
     back = spark.read.schema(report.schema).json(path)
-    return back.select("file_path", "risk_score", "risk_level", "flagged", "features.*")
+    return back.select("repo", "file_path", "risk_score", "risk_level", "flagged", "features.*")
 
 
-@register("model_save_load")
+@register("model_save_load", orc.model_save_load())
 def model_save_load(spark, sf_dir):
-    """Scores of every file from a fitted model and from its saved and
-    reloaded copy (they must be identical)."""
+    """Whether a fitted model and its saved and reloaded copy give every
+    file the same score."""
     from pyspark.sql import functions as F
 
+    from riskfold.session import cut_lineage
+
     train, _ = _train_test(spark, sf_dir)
     model = tr.fit(train, "gradient_boosting", **QUICK["gradient_boosting"])
     path = _scratch(spark, "model")
     tr.save_model(model, path, {"note": "round trip"})
     loaded, _, _ = tr.load_model(path)
-    feats = t1_features(spark, sf_dir)
-    a = tr.score_files(model, feats).select("path", F.col("score").alias("score_fitted"))
-    b = tr.score_files(loaded, feats).select("path", F.col("score").alias("score_loaded"))
-    return a.join(b, "path")
+    feats = cut_lineage(t1_features(spark, sf_dir), "features")
+    a = tr.score_files(model, feats).select("repo", "path", F.col("score").alias("score_fitted"))
+    b = tr.score_files(loaded, feats).select("repo", "path", F.col("score").alias("score_loaded"))
+    both = a.join(b, ["repo", "path"])
+    return both.select("repo", "path", F.col("score_fitted").eqNullSafe(F.col("score_loaded")).alias("same_score"))
 
 
 @register("ast_node_counts", orc.ast_node_counts())
@@ -508,13 +518,13 @@ def ast_node_counts(spark, sf_dir):
 @register("hash_split", orc.hash_split(0.2))
 def hash_split(spark, sf_dir):
     d = labelled_dataset(spark, sf_dir).select("repo", "path", "label")
-    return ds.hash_split(d, "path", 0.2)
+    return ds.hash_split(d, FILE_ID, 0.2)
 
 
 @register("mined_dataset", orc.mined_dataset())
 def mined_dataset(spark, sf_dir):
-    """The mining flow: shallow history (newest 100 commits per repo), the
-    miner's 300-file cap, labels, then features of the labelled files only."""
+    """The mining flow over the whole history and all files: labels, then
+    features of the labelled files only."""
     from riskfold.plans import jobs
 
     commits, files = fx.history_from_orders(spark, sf_dir)

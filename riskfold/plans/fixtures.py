@@ -129,7 +129,7 @@ def working_tree_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: ``predictions(path, label, prediction, score, error)``.
+    """T4: ``predictions(repo, path, label, prediction, score, error)``.
 
     score = ((k*37) % 1000) / 1000 (scores repeat, so ranks tie);
     label = p_size > 25; prediction = score >= 0.5; k % 101 = 0 is an error
@@ -138,7 +138,8 @@ def predictions_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
     err = F.col("k") % 101 == 0
     score = ((F.col("k") * 37) % 1000) / F.lit(1000.0)
-    return part.select(
+    return part.join(_nation(spark, sf_dir), F.col("k") % 25 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("repo"),
         F.concat(F.lit("src/p"), F.col("k"), F.lit(".py")).alias("path"),
         F.when(F.col("z") > 25, 1).otherwise(0).cast("int").alias("label"),
         F.when(err, F.lit(None).cast("int")).otherwise(F.when(score >= 0.5, 1).otherwise(0)).cast("int").alias("prediction"),

@@ -2,7 +2,7 @@
 
     corpus scoring:  scan -> extract_features -> score -> report
     training:        build_dataset -> train (split, CV, fit, test, select)
-    mining:          mine_dataset (shallow history, 300-file cap, labels, features)
+    mining:          mine_dataset (history and file limits if asked for, labels, features)
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from riskfold.operators import features as feat
 from riskfold.operators import labels as lab
 from riskfold.operators import score as sc
 from riskfold.operators import train as tr
+from riskfold.session import cut_lineage
 from riskfold.sources.generate import generate_dataset as _generate
 
 
@@ -28,21 +29,21 @@ def extract_features(sources: DataFrame, source_col: str = "source") -> DataFram
 
 
 def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of: str,
-                max_files: int | None = lab.MAX_FILES_PER_REPO, cap: int | None = lab.BUGGY_COMMIT_CAP,
+                max_files: int | None = None, cap: int | None = None,
                 depth: int | None = None) -> DataFrame:
     """(repo, path, label) from commit history."""
     return lab.label_files(files, commits, commit_files, as_of, max_files=max_files, cap=cap, depth=depth)
 
 
 def mine_dataset(sources: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of: str,
-                 source_col: str = "source") -> DataFrame:
-    """The mining flow: newest 100 commits per repo (shallow history), at
-    most 300 files per repo, labels from bug fixes, features of the labelled
-    files (files that fail analysis are dropped), aligned to the model
-    schema."""
+                 source_col: str = "source", max_files: int | None = None, cap: int | None = None,
+                 depth: int | None = None) -> DataFrame:
+    """The mining flow: labels from bug fixes (over the newest ``depth``
+    commits, ``cap`` fixes and ``max_files`` files of a repo, if given),
+    features of the labelled files (files that fail analysis are dropped),
+    aligned to the model schema."""
     tree = sources.select("repo", "path")
-    labels = lab.label_files(tree, commits, commit_files, as_of, max_files=lab.MINER_MAX_FILES,
-                             depth=lab.MINED_HISTORY_DEPTH)
+    labels = lab.label_files(tree, commits, commit_files, as_of, max_files=max_files, cap=cap, depth=depth)
     labelled_sources = sources.join(labels.select("repo", "path"), ["repo", "path"], "left_semi")
     features = feat.extract_features(labelled_sources, source_col)
     return ds.align(ds.attach_labels(features, labels), keep=("repo", "path"))
@@ -51,11 +52,12 @@ def mine_dataset(sources: DataFrame, commits: DataFrame, commit_files: DataFrame
 def build_dataset(spark: SparkSession, features: DataFrame | None = None, labels: DataFrame | None = None,
                   n_synthetic: int = 2500, buggy_ratio: float = 0.35, seed: str = "42") -> DataFrame:
     """Labelled feature table from mined tables when they give any rows,
-    otherwise the generated table."""
+    otherwise the generated table.  The mined table is written once, so the
+    look for a row does not parse the sources a second time."""
     if features is not None and labels is not None:
-        mined = ds.attach_labels(features, labels)
+        mined = cut_lineage(ds.align(ds.attach_labels(features, labels), keep=("repo", "path")), "mined")
         if not mined.isEmpty():
-            return ds.align(mined, keep=("repo", "path"))
+            return mined
     g = _generate(spark, n_synthetic, buggy_ratio, seed)
     return g.withColumn("path", F.concat(F.lit("synthetic/"), F.col("id")))
 
@@ -115,4 +117,5 @@ def profile(dataset: DataFrame, histogram_feature: str = "cyclomatic_complexity"
         "classes": ds.class_distribution(dataset),
         "histogram": ds.class_histogram(dataset, histogram_feature),
         "label_correlation": ds.label_correlation(dataset),
+        "correlation_matrix": ds.top_correlation_matrix(dataset),
     }

@@ -198,12 +198,12 @@ def _buggy(cap, src="t2_commits") -> str:
   WHERE f.path LIKE '%.py' AND b.n_parents <= 1"""
 
 
-def buggy_paths(cap: int) -> str:
+def buggy_paths(cap: int | None) -> str:
     return f"WITH {T2_CTE}\n{_buggy(cap)}"
 
 
 def _last_mod(src="t2_commits") -> str:
-    return f"""SELECT f.repo, f.path, arg_max(c.authored_at, c.committed_at) AS last_modified
+    return f"""SELECT f.repo, f.path, arg_max(c.authored_at, {{'at': c.committed_at, 'id': c.commit_id}}) AS last_modified
   FROM t2_files f JOIN {src} c USING (repo, commit_id) WHERE c.n_parents <= 1 GROUP BY f.repo, f.path"""
 
 
@@ -251,7 +251,7 @@ FROM labels GROUP BY repo"""
 def t3_cte() -> str:
     cols = ", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in FEATURE_NAMES)
     return f"""{T1_FEATURES_CTE},
-{labels_cte(500, 200)[1:] if labels_cte(500, 200).startswith(chr(10)) else labels_cte(500, 200)},
+{labels_cte(None, None).lstrip()},
 t3 AS (SELECT f.repo, f.path, {cols}, l.label FROM t1_features f JOIN labels l ON l.repo = f.repo AND l.path = f.path)"""
 
 
@@ -347,7 +347,7 @@ def _md5_key(col: str, seed: str = "42") -> str:
 def stratified_split(test_size: float = 0.2) -> str:
     return f"""WITH {t3_cte()},
 r AS (SELECT repo, path, label,
-        row_number() OVER (PARTITION BY label ORDER BY {_md5_key('path')}, path) AS rk,
+        row_number() OVER (PARTITION BY label ORDER BY {_md5_key("repo || '/' || path")}, repo, path) AS rk,
         count(*) OVER (PARTITION BY label) AS n_label FROM t3)
 SELECT repo, path, label, CASE WHEN rk <= round({test_size} * n_label) THEN 'test' ELSE 'train' END AS split FROM r"""
 
@@ -355,7 +355,7 @@ SELECT repo, path, label, CASE WHEN rk <= round({test_size} * n_label) THEN 'tes
 def stratified_folds(k: int = 5) -> str:
     return f"""WITH {t3_cte()},
 r AS (SELECT repo, path, label,
-        row_number() OVER (PARTITION BY label ORDER BY {_md5_key('path')}, path) AS rk FROM t3)
+        row_number() OVER (PARTITION BY label ORDER BY {_md5_key("repo || '/' || path")}, repo, path) AS rk FROM t3)
 SELECT repo, path, label, CAST((rk - 1) % {k} AS INTEGER) AS fold FROM r"""
 
 
@@ -536,18 +536,18 @@ def _level(s: str = "score") -> str:
 
 def risk_report() -> str:
     return f"""WITH {scored_cte()}
-SELECT path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
+SELECT repo, path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
        CASE WHEN score IS NULL THEN NULL ELSE score >= 0.6 END AS flagged, error FROM scored"""
 
 
 def ranked_report() -> str:
     return f"""WITH {scored_cte()}
-SELECT path, score, CAST(row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, path) AS BIGINT) AS rank FROM scored"""
+SELECT repo, path, score, CAST(row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, repo, path) AS BIGINT) AS rank FROM scored"""
 
 
 def top_risk(k: int) -> str:
     return f"""WITH {scored_cte()}
-SELECT path, score FROM scored ORDER BY coalesce(score, 0.0) DESC, path LIMIT {k}"""
+SELECT repo, path, score FROM scored ORDER BY coalesce(score, 0.0) DESC, repo, path LIMIT {k}"""
 
 
 def report_footer() -> str:
@@ -564,7 +564,7 @@ FROM scored WHERE score IS NOT NULL"""
 
 
 def _batch_select() -> str:
-    return f"""SELECT path AS filename, score AS risk_score, {_level()} AS risk_level,
+    return f"""SELECT repo, path AS filename, score AS risk_score, {_level()} AS risk_level,
        CAST(CASE WHEN score IS NULL THEN 0 ELSE total_lines END AS INTEGER) AS lines,
        CAST(CASE WHEN score IS NULL THEN 0 ELSE cyclomatic_complexity END AS INTEGER) AS complexity,
        CAST(CASE WHEN score IS NULL THEN 0.0 ELSE docstring_coverage END AS DOUBLE) AS docstring_cov"""
@@ -581,7 +581,7 @@ def batch_csv_rows() -> str:
 def report_table() -> str:
     feats = ", ".join(f for f in FEATURE_NAMES if f != "syntax_error")
     return f"""WITH {scored_cte()}
-SELECT path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
+SELECT repo, path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
        CASE WHEN score IS NULL THEN NULL ELSE score >= 0.6 END AS flagged, {feats} FROM scored"""
 
 
@@ -617,14 +617,14 @@ def _values(rows: list[tuple]) -> str:
 def feature_status() -> str:
     from riskfold.operators.explain import FEATURE_LABELS, STATUS_THRESHOLDS
     feats = [f for f in FEATURE_NAMES if f != "syntax_error"]
-    long = "\nUNION ALL ".join(f"SELECT path, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM t1_features" for f in feats)
+    long = "\nUNION ALL ".join(f"SELECT repo, path, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM t1_features" for f in feats)
     th = _values([(f, w, d, h) for f, (w, d, h) in STATUS_THRESHOLDS.items()])
     lb = _values(list(FEATURE_LABELS.items()))
     return f"""WITH {T1_FEATURES_CTE},
 lg AS ({long}),
 th(feature, warn, danger, hiw) AS (VALUES {th}),
 lb(feature, label) AS (VALUES {lb})
-SELECT lg.path, lg.feature, lb.label, lg.value,
+SELECT lg.repo, lg.path, lg.feature, lb.label, lg.value,
   CASE WHEN th.warn IS NULL THEN '—'
        WHEN th.hiw THEN CASE WHEN lg.value <= th.warn THEN 'Healthy' WHEN lg.value <= th.danger THEN 'Warning' ELSE 'Danger' END
        ELSE CASE WHEN lg.value >= th.warn THEN 'Healthy' WHEN lg.value >= th.danger THEN 'Warning' ELSE 'Danger' END END AS status
@@ -643,7 +643,7 @@ def recommendations() -> str:
     parts = ", ".join(f"CASE WHEN {cond} THEN '{rule}' END" for rule, cond in _rule_cases())
     n = " + ".join(f"(CASE WHEN {cond} THEN 1 ELSE 0 END)" for _, cond in _rule_cases())
     return f"""WITH {T1_FEATURES_CTE}
-SELECT path, concat_ws(',', {parts}) AS rule_ids, CAST({n} AS INTEGER) AS n_rules FROM t1_features"""
+SELECT repo, path, concat_ws(',', {parts}) AS rule_ids, CAST({n} AS INTEGER) AS n_rules FROM t1_features"""
 
 
 def recommendation_counts() -> str:
@@ -662,7 +662,7 @@ def radar_values() -> str:
         norm = f"least(greatest({v} / greatest({top}, 1e-9), 0.0), 1.0)"
         if f in RADAR_INVERTED:
             norm = f"1.0 - {norm}"
-        parts.append(f"SELECT path, '{f}' AS feature, {i} AS axis, {r6(norm)} AS radar_value FROM t1_features")
+        parts.append(f"SELECT repo, path, '{f}' AS feature, {i} AS axis, {r6(norm)} AS radar_value FROM t1_features")
     return f"WITH {T1_FEATURES_CTE}\n" + "\nUNION ALL ".join(parts)
 
 
@@ -726,6 +726,10 @@ seg AS (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER (ORDER BY score DESC) AS f0, lag(
 SELECT {r6("sum((fpr - f0) * (tpr + t0) / 2)")} AS auc FROM seg"""
 
 
+def model_save_load() -> str:
+    return f"WITH {T1_PARAMS}\nSELECT repo, path, true AS same_score FROM t1_r"
+
+
 def feature_table_csv() -> str:
     return f"WITH {t3_cte()}\nSELECT {', '.join(FEATURE_NAMES)}, label FROM t3"
 
@@ -744,13 +748,12 @@ def ast_node_counts() -> str:
 def hash_split(test_size: float = 0.2) -> str:
     return f"""WITH {t3_cte()}
 SELECT repo, path, label,
-       CASE WHEN {_md5_key('path')} / 4294967296.0 < {test_size!r} THEN 'test' ELSE 'train' END AS split FROM t3"""
+       CASE WHEN {_md5_key("repo || '/' || path")} / 4294967296.0 < {test_size!r} THEN 'test' ELSE 'train' END AS split FROM t3"""
 
 
 def mined_dataset() -> str:
     cols = ", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in FEATURE_NAMES)
-    lc = labels_cte(300, 200, 100)
-    lc = lc[1:] if lc.startswith(chr(10)) else lc
+    lc = labels_cte(None, None).lstrip()
     return f"""WITH {T1_FEATURES_CTE},
 {lc}
 SELECT f.repo, f.path, {cols}, l.label FROM t1_features f JOIN labels l ON l.repo = f.repo AND l.path = f.path"""

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.schema import COMMIT_FILES, COMMITS
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` after ``root`` (which ends with a slash), whatever signs the
+    root holds; a path outside the root stays whole."""
+    at = F.locate(root, path)
+    return F.when(at > 0, F.substr(path, at + F.lit(len(root)))).otherwise(path)
+
+
 def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
-                      pattern: str = "*.py") -> DataFrame:
+                      pattern: str = "*.py", by_folder: bool = False) -> DataFrame:
     """Every ``pattern`` file under ``root`` (recursive) as
     ``(repo, path, content BINARY)``; ``path`` is relative to ``root``.
+    With ``by_folder`` every folder directly under ``root`` is a repo of its
+    own, and ``path`` is relative to that.
 
     Bytes are decoded (UTF-8, dropping bad bytes) inside the parse pass, so
     the scan itself never materialises text.  The glob filter is applied by
@@ -28,9 +37,11 @@ def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
           .option("recursiveFileLookup", "true")
           .option("pathGlobFilter", pattern)
           .load(root_uri))
+    rel = relative_path(F.col("path"), key)
+    if by_folder:
+        return df.select(F.split_part(rel, F.lit("/"), F.lit(1)).alias("repo"),
+                         F.substr(rel, F.instr(rel, "/") + 1).alias("path"), F.col("content"))
     name = repo if repo is not None else os.path.basename(os.path.abspath(root).rstrip("/"))
-    pos = F.instr(F.col("path"), key)
-    rel = F.when(pos > 0, F.expr(f"substring(path, instr(path, '{key}') + {len(key)})")).otherwise(F.col("path"))
     return df.select(F.lit(name).alias("repo"), rel.alias("path"), F.col("content"))
 
 

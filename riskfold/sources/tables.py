@@ -27,14 +27,14 @@ def read_feature_table(spark: SparkSession, path: str, fmt: str = "csv") -> Data
     runs over the data.  A missing path raises FileNotFoundError.
     """
     if not _exists(spark, path):
-        raise FileNotFoundError(f"Dataset not found at {path}")
+        raise FileNotFoundError(f"no feature table under {path}")
     if fmt == "csv":
         raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
     missing = [f for f in FEATURE_NAMES if f not in raw.columns]
     if missing:
-        log.warning("Missing feature columns in dataset: %s", missing)
+        log.warning("columns filled with zeros, as the table has none: %s", missing)
     cols = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in raw.columns else F.lit(0.0).alias(f)
             for f in FEATURE_NAMES]
     label = F.col("label").cast("double").cast("int") if "label" in raw.columns else F.lit(None).cast("int")

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskfold.operators.features import extract_features
 from riskfold.operators.score import FLAG_THRESHOLD, flat_report
 from riskfold.operators.train import score_files
+from riskfold.sources.files import relative_path
 
 
 def source_stream(spark: SparkSession, root: str, pattern: str = "*.py", max_files_per_batch: int = 10_000) -> DataFrame:
@@ -32,7 +33,7 @@ def source_stream(spark: SparkSession, root: str, pattern: str = "*.py", max_fil
               .option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", max_files_per_batch)
               .load(root_uri))
-    rel = F.expr(f"substring(path, instr(path, '{key}') + {len(key)})")
+    rel = relative_path(F.col("path"), key)
     name = os.path.basename(os.path.abspath(root).rstrip("/"))
     return stream.select(F.lit(name).alias("repo"), rel.alias("path"), F.col("content"))
 

@@ -32,7 +32,7 @@ def test_recommendations(spark):
                type_hint_coverage=0.9, uses_star_import=1.0, avg_function_length=30.0)
     r = xp.recommendations(df).first()
     assert r["rule_ids"] == ["cyclomatic_complexity", "comment_ratio", "uses_star_import"]
-    assert r["messages"][0].startswith("Reduce cyclomatic complexity (currently 16)")
+    assert r["messages"][0].startswith("16 independent paths")
     assert "2.0%" in r["messages"][1]
     healthy = xp.recommendations(_feat(spark, docstring_coverage=1.0, comment_ratio=0.5, type_hint_coverage=1.0)).first()
     assert healthy["rule_ids"] == []

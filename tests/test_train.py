@@ -24,7 +24,7 @@ def test_factory_defaults_and_overrides(spark):
     assert rf.getWeightCol() == tr.WEIGHT_COL
     gb = tr.get_model("gradient_boosting", n_estimators=7)
     assert isinstance(gb, GBTClassifier) and gb.getMaxIter() == 7 and gb.getStepSize() == 0.1
-    with pytest.raises(ValueError, match="Unknown model"):
+    with pytest.raises(ValueError, match="no model is called"):
         tr.get_model("svm")
 
 
