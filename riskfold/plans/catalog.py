@@ -38,6 +38,13 @@ def features_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("repo", "path", *FEATURE_NAMES)
 
 
+@register("features_constructs", orc.features_constructs())
+def features_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules that hold every construct the features count."""
+    f = feat.extract_features(fx.construct_files_from_part(spark, sf_dir))
+    return f.select("repo", "path", *FEATURE_NAMES)
+
+
 @register("line_features_documents", orc.line_features_documents())
 def line_features_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: line statistics of every document (full texts) through the

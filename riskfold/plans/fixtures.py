@@ -69,6 +69,69 @@ def source_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Blocks that between them hold every construct the features count.
+BLOCKS = {
+    "module_doc": '"""Module."""\n',
+    "plain_imports": "import os.path, sys\nfrom json import dumps as d\n",
+    "star_import": "from math import *\n",
+    "class_block": '''class Alpha:  # holder
+    """Alpha."""
+    size: int = 0
+
+    def first(self, value: int, *rest, key=None):
+        if value > 1 and key or rest:
+            return value
+        elif key:
+            return key
+        return [x for x in rest if x]
+
+    async def second(self) -> None:
+        async for item in self.rows():
+            pass
+
+''',
+    "function_block": '''def beta(values, *, limit: float):
+    """Beta."""
+    total = 0  # sum
+    for v in values:
+        while total < limit:
+            total += v
+        with open(v) as handle:
+            assert handle
+    try:
+        total = total if total else 1
+    except ValueError:
+        raise
+
+    def inner(n):
+        return n
+    return inner(total)
+
+''',
+    "async_block": """gamma = lambda q: q or None
+delta: int = 3
+delta += 1
+async def eps(a: int, b: str):
+    async with a:
+        if b:
+            pass
+""",
+}
+
+
+def construct_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One module per part whose blocks are repeated as its key says, so
+    that every feature varies."""
+    from riskfold.operators.parse import spread_for_cpu
+
+    part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
+    times = {"module_doc": "IF(k % 2 = 0, 1, 0)", "plain_imports": "CAST(z % 3 AS INT)", "star_import": "IF(z % 7 = 0, 1, 0)",
+             "class_block": "CAST(k % 3 AS INT)", "function_block": "CAST(k % 4 AS INT)", "async_block": "CAST(z % 5 AS INT)"}
+    text = F.concat(*[F.repeat(F.lit(BLOCKS[name]), F.expr(n)) for name, n in times.items()])
+    return part.join(_nation(spark, sf_dir), F.col("k") % 25 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("repo"), F.concat(F.lit("src/c"), F.col("k"), F.lit(".py")).alias("path"), text.alias("source"))
+
+
 def source_files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: every document as a raw source file (none of them parse)."""
     docs = table(spark, sf_dir, "documents")

@@ -113,6 +113,66 @@ def features_t1() -> str:
     return f"WITH {T1_FEATURES_CTE}\nSELECT repo, path, {cols} FROM t1_features"
 
 
+# --- T6: modules of repeated blocks ---------------------------------------------
+
+# What one copy of a block adds, counted by hand from its text: a class with
+# methods (ca), a function (cb), a lambda with an async function (cc), three
+# plain imports (cd), a star import (ce), a module docstring (ch).
+T6_COUNTS = {
+    #                 ca  cb  cc  cd ce ch
+    "lines":         (15, 17, 7, 2, 1, 1),
+    "blank":         (3, 2, 0, 0, 0, 0),
+    "comments":      (1, 1, 0, 0, 0, 0),
+    "functions":     (0, 2, 1, 0, 0, 0),
+    "classes":       (1, 0, 0, 0, 0, 0),
+    "methods":       (2, 0, 0, 0, 0, 0),
+    "length":        (7, 16, 3, 0, 0, 0),
+    "imports":       (0, 0, 0, 3, 1, 0),
+    "paths":         (5, 6, 2, 0, 0, 0),
+    "depth":         (12, 13, 3, 0, 0, 0),
+    "nested":        (5, 6, 2, 0, 0, 0),
+    "branches":      (2, 0, 1, 0, 0, 0),
+    "loops":         (1, 2, 0, 0, 0, 0),
+    "tries":         (0, 1, 0, 0, 0, 0),
+    "asserts":       (0, 1, 0, 0, 0, 0),
+    "lambdas":       (0, 0, 1, 0, 0, 0),
+    "documented":    (0, 1, 0, 0, 0, 0),
+    "parameters":    (5, 3, 2, 0, 0, 0),
+    "typed":         (1, 1, 2, 0, 0, 0),
+    "name_chars":    (81, 102, 27, 0, 0, 0),
+    "names":         (20, 19, 7, 0, 0, 0),
+    "module_values": (0, 0, 3, 0, 0, 0),
+    "inside":        (0, 1, 0, 0, 0, 0),
+    "returns":       (3, 2, 0, 0, 0, 0),
+}
+
+
+def features_constructs() -> str:
+    blocks = ["ca", "cb", "cc", "cd", "ce", "ch"]
+    counts = ", ".join(f"({' + '.join(f'{n} * {b}' for n, b in zip(per, blocks, strict=True))}) AS {name}" for name, per in T6_COUNTS.items())
+    greatest = lambda a, b, c: f"greatest(CASE WHEN ca > 0 THEN {a} ELSE 0 END, CASE WHEN cb > 0 THEN {b} ELSE 0 END, CASE WHEN cc > 0 THEN {c} ELSE 0 END)"
+    every = "(functions + methods)"
+    values = {
+        "total_lines": "lines", "code_lines": "lines - blank - comments", "blank_lines": "blank", "comment_lines": "comments",
+        "comment_ratio": rround("comments", "greatest(lines, 1)", 4), "num_functions": "functions", "num_classes": "classes",
+        "num_methods": "methods", "avg_function_length": rround("length", every, 2), "max_function_length": greatest(5, 15, 3),
+        "num_imports": "imports", "num_unique_imports": "CASE WHEN cd > 0 THEN 3 ELSE 0 END + ce", "cyclomatic_complexity": "1 + paths",
+        "max_nesting_depth": greatest(4, 3, 3), "avg_nesting_depth": rround("depth", "nested", 2), "num_branches": "branches",
+        "num_loops": "loops", "num_try_except": "tries", "num_assertions": "asserts", "num_lambda_functions": "lambdas",
+        "has_docstrings": "CASE WHEN ch + documented > 0 THEN 1 ELSE 0 END", "docstring_coverage": rround("documented", every, 4),
+        "has_type_hints": "CASE WHEN typed > 0 THEN 1 ELSE 0 END", "type_hint_coverage": rround("typed", "parameters", 4),
+        "avg_identifier_length": rround("name_chars", "names", 2), "num_global_variables": "module_values",
+        "num_nested_functions": "inside", "num_return_statements": "returns", "uses_star_import": "ce", "syntax_error": "0",
+    }
+    cols = ", ".join(f"CAST({values[f]} AS {'DOUBLE' if f in DOUBLE_FEATURES else 'INTEGER'}) AS {f}" for f in FEATURE_NAMES)
+    return f"""WITH t6 AS (
+  SELECT n_name AS repo, 'src/c' || p_partkey || '.py' AS path, p_partkey % 3 AS ca, p_partkey % 4 AS cb, p_size % 5 AS cc,
+         p_size % 3 AS cd, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS ce, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS ch
+  FROM part JOIN nation ON n_nationkey = p_partkey % 25
+), sums AS (SELECT *, {counts} FROM t6)
+SELECT repo, path, {cols} FROM sums"""
+
+
 # --- T5: documents as sources -------------------------------------------------
 
 def line_features_documents() -> str:
@@ -631,12 +691,16 @@ SELECT lg.repo, lg.path, lg.feature, lb.label, lg.value,
 FROM lg JOIN lb ON lb.feature = lg.feature LEFT JOIN th ON th.feature = lg.feature"""
 
 
+# the advice limits, written out apart from the engine's own table
+_RULES = {
+    "cyclomatic_complexity": "> 15.0", "max_nesting_depth": "> 4.0", "docstring_coverage": "< 0.5", "comment_ratio": "< 0.08",
+    "type_hint_coverage": "< 0.4", "uses_star_import": ">= 1.0", "avg_function_length": "> 30.0", "num_global_variables": "> 4.0",
+    "num_nested_functions": "> 3.0",
+}
+
+
 def _rule_cases() -> list[tuple[str, str]]:
-    from riskfold.operators.explain import RECOMMENDATIONS
-    out = []
-    for rule, feature, op, thr, _fmt, _scale in RECOMMENDATIONS:
-        out.append((rule, f"coalesce(CAST({feature} AS DOUBLE), 0.0) {op} {float(thr)}"))
-    return out
+    return [(rule, f"coalesce(CAST({rule} AS DOUBLE), 0.0) {test}") for rule, test in _RULES.items()]
 
 
 def recommendations() -> str:
@@ -653,14 +717,16 @@ SELECT rule_id, CAST(count(*) AS BIGINT) AS n_files FROM ({unions}) GROUP BY rul
 
 
 def radar_values() -> str:
-    from riskfold.operators.explain import BANDS, RADAR_FEATURES, RADAR_INVERTED, UNBOUNDED
+    # axis, the upper end of its danger band (None: open), and whether high is good
+    axes = [("cyclomatic_complexity", None, False), ("max_nesting_depth", None, False), ("comment_ratio", 0.05, True),
+            ("docstring_coverage", 0.3, True), ("type_hint_coverage", 0.3, True), ("avg_function_length", None, False),
+            ("num_global_variables", None, False), ("uses_star_import", 1.0, False)]
     parts = []
-    for i, f in enumerate(RADAR_FEATURES):
+    for i, (f, hi, good) in enumerate(axes):
         v = f"CAST({f} AS DOUBLE)"
-        hi = BANDS[f][2][1]
-        top = f"{float(hi)}" if hi < UNBOUNDED else f"greatest({v} * 2, 1.0)"
+        top = f"{hi}" if hi is not None else f"greatest({v} * 2, 1.0)"
         norm = f"least(greatest({v} / greatest({top}, 1e-9), 0.0), 1.0)"
-        if f in RADAR_INVERTED:
+        if good:
             norm = f"1.0 - {norm}"
         parts.append(f"SELECT repo, path, '{f}' AS feature, {i} AS axis, {r6(norm)} AS radar_value FROM t1_features")
     return f"WITH {T1_FEATURES_CTE}\n" + "\nUNION ALL ".join(parts)
