@@ -48,7 +48,7 @@ def feature_aggregates(parsed: DataFrame) -> DataFrame:
     # failed analysis has no node rows, so the key never splits a file, and
     # all buffers stay fixed-width (a string max would force a sort-based
     # aggregate over the whole node stream).
-    return parsed.groupBy("repo", "path", "error").agg(
+    return parsed.groupBy("repo", "path", "file_id", "error").agg(
         F.max("total_lines").alias("total_lines"),
         F.max("blank_lines").alias("blank_lines"),
         F.max("comment_lines").alias("comment_lines"),

@@ -24,7 +24,7 @@ _OUTPUT_BATCH_ROWS = 32_768
 def _parse_batches(batches, features_only: bool = False):
     import pyarrow as pa
 
-    from riskfold.functions.pysyntax import decode_source, parse_file
+    from riskfold.functions.pysyntax import NO_SOURCE, decode_source, parse_file
 
     names = [f.name for f in PARSED.fields]
     arrow_schema = pa.schema([
@@ -42,7 +42,7 @@ def _parse_batches(batches, features_only: bool = False):
         pa.field("n_annotated", pa.int32()),
         pa.field("total_lines", pa.int32()), pa.field("blank_lines", pa.int32()),
         pa.field("comment_lines", pa.int32()), pa.field("syntax_error", pa.int32()),
-        pa.field("error", pa.string()),
+        pa.field("error", pa.string()), pa.field("file_id", pa.int64()),
     ])
     assert arrow_schema.names == names
     n_node_cols = 19
@@ -52,13 +52,14 @@ def _parse_batches(batches, features_only: bool = False):
         """Columns of one output batch: file rows first, then node rows
         (built by transposing row tuples, not cell by cell)."""
         nf, nn = len(files), len(nodes)
-        fcols = list(zip(*files)) if nf else [()] * (2 + n_file_cols)
-        ncols = list(zip(*nodes)) if nn else [()] * (2 + n_node_cols)
+        fcols = list(zip(*files)) if nf else [()] * (3 + n_file_cols)
+        ncols = list(zip(*nodes)) if nn else [()] * (3 + n_node_cols)
         data = {"repo": [*fcols[0], *ncols[0]], "path": [*fcols[1], *ncols[1]],
                 "kind": ["file"] * nf + ["node"] * nn}
         for i, n in enumerate(names[3:3 + n_node_cols]):
             data[n] = [None] * nf + list(ncols[2 + i])
-        for j, n in enumerate(names[3 + n_node_cols:]):
+        data["file_id"] = [*fcols[-1], *ncols[-1]]
+        for j, n in enumerate(names[3 + n_node_cols:-1]):
             data[n] = list(fcols[2 + j]) + [None] * nn
         return pa.RecordBatch.from_pydict(data, schema=arrow_schema)
 
@@ -68,11 +69,11 @@ def _parse_batches(batches, features_only: bool = False):
         repos = batch.column("repo").to_pylist()
         paths = batch.column("path").to_pylist()
         sources = batch.column("source").to_pylist()
-        for repo, path, raw in zip(repos, paths, sources):
-            file_row, node_list = parse_file(decode_source(raw), features_only)
-            files.append((repo, path, *file_row))
+        for repo, path, raw, file_id in zip(repos, paths, sources, batch.column("file_id").to_pylist()):
+            file_row, node_list = (NO_SOURCE, ()) if raw is None else parse_file(decode_source(raw), features_only)
+            files.append((repo, path, *file_row, file_id))
             for row in node_list:
-                nodes.append((repo, path, *row))
+                nodes.append((repo, path, *row, file_id))
                 # flush inside a file too: one huge module still yields
                 # batches of bounded size
                 if len(files) + len(nodes) >= _OUTPUT_BATCH_ROWS:
@@ -122,7 +123,8 @@ def parse_sources(sources: DataFrame, source_col: str = "source", min_partitions
     """
     cols = sources.columns
     repo = F.col("repo") if "repo" in cols else F.lit(None).cast("string")
-    inp = sources.select(repo.alias("repo"), F.col("path"), F.col(source_col).alias("source"))
+    inp = sources.select(repo.alias("repo"), F.col("path"), F.col(source_col).alias("source"),
+                         F.monotonically_increasing_id().alias("file_id"))
     fn = _parse_batches if not features_only else _parse_feature_batches
     ship_package(sources.sparkSession)
     return spread_for_cpu(inp, min_partitions).mapInArrow(fn, PARSED)
@@ -148,7 +150,7 @@ LINE_SCHEMA = "repo string, path string, total_lines int, blank_lines int, comme
 def _line_batches(batches):
     import pyarrow as pa
 
-    from riskfold.functions.pysyntax import decode_source, line_counts
+    from riskfold.functions.pysyntax import NO_SOURCE, decode_source, line_counts
 
     schema = pa.schema([pa.field("repo", pa.string()), pa.field("path", pa.string()),
                         pa.field("total_lines", pa.int32()), pa.field("blank_lines", pa.int32()),
@@ -156,7 +158,7 @@ def _line_batches(batches):
     for batch in batches:
         repos = batch.column("repo").to_pylist()
         paths = batch.column("path").to_pylist()
-        rows = [line_counts(decode_source(raw)) for raw in batch.column("source").to_pylist()]
+        rows = [NO_SOURCE if raw is None else line_counts(decode_source(raw)) for raw in batch.column("source").to_pylist()]
         yield pa.RecordBatch.from_pydict({
             "repo": repos, "path": paths,
             "total_lines": [r[0] for r in rows], "blank_lines": [r[1] for r in rows],

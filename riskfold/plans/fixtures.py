@@ -125,7 +125,7 @@ def construct_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskfold.operators.parse import spread_for_cpu
 
     part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
-    times = {"module_doc": "IF(k % 2 = 0, 1, 0)", "plain_imports": "CAST(z % 3 AS INT)", "star_import": "IF(z % 7 = 0, 1, 0)",
+    times = {"module_doc": "IF(k % 5 = 0, 1, 0)", "plain_imports": "CAST(z % 3 AS INT)", "star_import": "IF(z % 7 = 0, 1, 0)",
              "class_block": "CAST(k % 3 AS INT)", "function_block": "CAST(k % 4 AS INT)", "async_block": "CAST(z % 5 AS INT)"}
     text = F.concat(*[F.repeat(F.lit(BLOCKS[name]), F.expr(n)) for name, n in times.items()])
     return part.join(_nation(spark, sf_dir), F.col("k") % 25 == F.col("n_nationkey")).select(

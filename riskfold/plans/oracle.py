@@ -167,7 +167,7 @@ def features_constructs() -> str:
     cols = ", ".join(f"CAST({values[f]} AS {'DOUBLE' if f in DOUBLE_FEATURES else 'INTEGER'}) AS {f}" for f in FEATURE_NAMES)
     return f"""WITH t6 AS (
   SELECT n_name AS repo, 'src/c' || p_partkey || '.py' AS path, p_partkey % 3 AS ca, p_partkey % 4 AS cb, p_size % 5 AS cc,
-         p_size % 3 AS cd, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS ce, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS ch
+         p_size % 3 AS cd, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS ce, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS ch
   FROM part JOIN nation ON n_nationkey = p_partkey % 25
 ), sums AS (SELECT *, {counts} FROM t6)
 SELECT repo, path, {cols} FROM sums"""

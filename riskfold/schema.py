@@ -88,6 +88,8 @@ PARSED = T.StructType([
     T.StructField("comment_lines", T.IntegerType(), True),
     T.StructField("syntax_error", T.IntegerType(), True),
     T.StructField("error", T.StringType(), True),
+    # a number of the input row: two files of one (repo, path) stay two
+    T.StructField("file_id", T.LongType(), True),
 ])
 
 NODE_COLUMNS = [

@@ -82,3 +82,28 @@ def test_hash_split_is_deterministic_and_near_the_ratio(spark, gen):
     assert a == b
     share = sum(v == "test" for v in a.values()) / len(a)
     assert 0.14 < share < 0.26
+
+
+def test_split_of_equal_paths_does_not_depend_on_partitioning(spark):
+    """Every repo has one setup.py; the paths alone would all tie."""
+    rows = [(f"repo{i}", "setup.py", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "repo string, path string, label int")
+    one = {(r.repo, r.split) for r in ds.stratified_split(df.repartition(3), test_size=0.2).collect()}
+    two = {(r.repo, r.split) for r in ds.stratified_split(df.repartition(11, "repo"), test_size=0.2).collect()}
+    assert one == two and sum(s == "test" for _, s in one) == 80
+    folds = ds.stratified_folds(df, k=5).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [80] * 5
+    hashed = ds.hash_split(df, test_size=0.2).where("split = 'test'").count()
+    assert 40 < hashed < 120
+
+
+def test_top_correlations_equal_single_correlations(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(*[float(r.randint(0, 9)) + 1e6 * (i == 0) for i in range(len(FEATURE_NAMES) - 1)], 1.0, r.randint(0, 1)) for _ in range(200)]
+    df = spark.createDataFrame(rows, [*FEATURE_NAMES, "label"])
+    top = ds.top_correlated(df, 5)
+    got = {(x.f1, x.f2): x.r for x in ds.top_correlation_matrix(df, 5).collect()}
+    want = {(x.f1, x.f2): x.r for x in ds.correlation_matrix(df, top).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)

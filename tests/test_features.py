@@ -183,3 +183,20 @@ def test_line_path_on_raw_bytes(spark):
                                "repo string, path string, content binary")
     r = line_features(df, "content").first()
     assert (r["total_lines"], r["blank_lines"], r["comment_lines"], r["code_lines"]) == (3, 1, 2, 0)
+
+
+def test_equal_paths_stay_two_files_and_null_source_is_an_error(spark):
+    rows = [("r", "a.py", "x = 1\n"), ("r", "a.py", "def f():\n    return 1\n"), ("r", "a.py", "x = 1\n"), ("r", "b.py", None)]
+    df = spark.createDataFrame(rows, "repo string, path string, source string")
+    got = sorted((x.path, x.total_lines, x.num_functions, x.error) for x in extract_features(df).collect())
+    assert got == [("a.py", 1, 0, None), ("a.py", 1, 0, None), ("a.py", 2, 1, None), ("b.py", 0, 0, "no source")]
+
+
+def test_construct_modules_vary_in_every_feature(spark):
+    from riskfold.plans import catalog
+    from riskfold.schema import FEATURE_NAMES
+    from tests.conftest import SF_SMALL
+
+    rows = catalog.features_constructs(spark, SF_SMALL).collect()
+    constant = [f for f in FEATURE_NAMES if len({r[f] for r in rows}) == 1]
+    assert constant == ["syntax_error"]

@@ -69,3 +69,18 @@ def test_json_report_keeps_nesting(spark, scratch):
     write_report_json(df, out)
     back = spark.read.json(out).first()
     assert back["top_factors"][0]["feature"] == "cyclomatic_complexity"
+
+
+def test_scan_of_a_quoted_root_with_a_repo_per_folder(spark, scratch):
+    import os
+
+    from riskfold.sources.files import scan_source_files
+
+    root = os.path.join(scratch, "o'brien")
+    for repo, name in (("one", "a.py"), ("one", "pkg/b.py"), ("two", "a.py")):
+        os.makedirs(os.path.dirname(os.path.join(root, repo, name)), exist_ok=True)
+        with open(os.path.join(root, repo, name), "w") as f:
+            f.write("x = 1\n")
+    got = sorted((r.repo, r.path) for r in scan_source_files(spark, root, by_folder=True).collect())
+    assert got == [("one", "a.py"), ("one", "pkg/b.py"), ("two", "a.py")]
+    assert sorted(r.path for r in scan_source_files(spark, root).collect()) == ["one/a.py", "one/pkg/b.py", "two/a.py"]
