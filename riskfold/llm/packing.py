@@ -22,12 +22,12 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,55 +40,103 @@ END_ID = 1
 #: Rows of one numbering bucket, so that a length shared by a third of all
 #: pieces is still numbered in many tasks.
 BUCKET_ROWS = 200_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 # -- tokens ---------------------------------------------------------------
 
+class _Numbers(dict):
+    """Word -> number, given out on first sight; new words wait in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space: a text's ids are
-    those of its words in turn, and words are kept in a worker's cache."""
+    those of its words in turn, and words are kept in a worker's cache.  A
+    full cache keeps the words that it met more than once."""
+
+    # a lower-cased word of these letters is one pre-token, signs behind it another
+    _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&*+,./:;=?@^_|~-]*)")
 
     def __init__(self, tokenizer, capacity: int = CACHE_WORDS):
         self.tokenizer, self.capacity = tokenizer, capacity
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        spell = tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+        self.spelling = {ord(c): "".join(x for x, _ in spell(c)) for c in letters}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.parts: dict[str, list[int]] = {}
+        self.starts, self.lengths, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _add(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = enc.ids
-                n, k = len(ids), len(self.index)
-                if k >= len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-                while self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:self.used + n] = ids
-                self.starts[k], self.lengths[k] = self.used, n
-                self.index[word] = k
-                self.used += n
+    def _shrink(self) -> None:
+        old, starts, lengths, hits, ids = self.numbers, self.starts, self.lengths, self.hits, self.ids
+        floor = 1 if np.count_nonzero(hits > 1) <= self.capacity // 2 else int(np.sort(hits)[-(self.capacity // 2)])
+        kept = [(w, k) for w, k in old.items() if hits[k] > floor]
+        self._clear()
+        for word, k in kept:
+            self._put(self.numbers[word], ids[starts[k]:starts[k] + lengths[k]])
+        self.numbers.fresh = []
+
+    def _part(self, letters: str) -> list[int]:
+        """Ids of one pre-token of plain letters or of signs."""
+        ids = self.parts.get(letters)
+        if ids is None:
+            if len(self.parts) > 2 * self.capacity:
+                self.parts = {}
+            ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.spelling))]
+        return ids
+
+    def _put(self, k: int, ids) -> None:
+        n = len(ids)
+        while k >= len(self.starts):
+            self.starts, self.lengths, self.hits = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.lengths, self.hits))
+        while self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + n] = ids
+        self.starts[k], self.lengths[k] = self.used, n
+        self.used += n
+
+    def _fill(self) -> None:
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        other = []
+        first = len(self.numbers) - len(fresh)
+        for k, word in enumerate(fresh, first):
+            plain = self._PLAIN.fullmatch(word)
+            if plain:
+                self._put(k, self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else []))
+            else:
+                other.append((k, word))
+        for at in range(0, len(other), 20_000):
+            part = other[at:at + 20_000]
+            for (k, _), enc in zip(part, self.tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False), strict=True):
+                self._put(k, enc.ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.capacity or self.used > 16 * self.capacity:
-            self._reset()
-        whole = [any(c in t for c in _ODD_SPACE) for t in texts]
+        if len(self.numbers) > self.capacity or self.used > 16 * self.capacity:
+            self._shrink()
         flat: list[str] = []
         ends = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            flat += [text] if whole[i] else text.split()
+            flat += [text] if any(c in text for c in _ODD_SPACE) else text.split()
             ends[i] = len(flat)
-        places = list(map(self.index.get, flat))
-        if None in places:
-            self._add(list({w for w, p in zip(flat, places, strict=True) if p is None}))
-            places = list(map(self.index.get, flat))
-        at = np.array(places, np.int64)
+        at = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+        if self.numbers.fresh:
+            self._fill()
+        if len(at):
+            seen = np.bincount(at)
+            self.hits[:len(seen)] += seen
         n = self.lengths[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.starts[at] - total[:-1], n) + np.arange(total[-1])]
@@ -96,13 +144,23 @@ class WordIds:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+#: One cache per tokenizer file in a Python worker, kept from task to task.
+_CACHES: dict[str, WordIds] = {}
+
+
+def worker_cache(path: str) -> WordIds:
+    if path not in _CACHES:
+        _CACHES[path] = WordIds(load_tokenizer(path))
+    return _CACHES[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids with the
     end id, cut into pieces of at most ``capacity``."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(load_tokenizer(tokenizer_path))
+        words = worker_cache(tokenizer_path)
         for batch in batches:
             for part in text_batches(batch, 4 << 20):
                 out: list[tuple] = []
@@ -297,19 +355,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 .join(offsets, ["length", "bucket"])
                 .withColumn("number", F.col("before") + F.col("inside")))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         keys = t[:, 0] * (1 << 44) + t[:, 1]
-        for f in frames:
-            if not len(f):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            number = f["number"].to_numpy(np.int64)
-            length = f["length"].to_numpy(np.int64)
+            number, length = batch.column("number").to_numpy(), batch.column("length").to_numpy()
             r = t[np.searchsorted(keys, length * (1 << 44) + number, "right") - 1]
             k = number - r[:, 1]
-            yield pd.DataFrame({
-                "doc_id": f["doc_id"], "piece": f["piece"], "start": f["start"], "length": length,
-                "ids_crc32": f["ids_crc32"], "sequence_id": r[:, 3] + k // r[:, 4], "offset": r[:, 5] + k % r[:, 4] * length})
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(r[:, 3] + k // r[:, 4]), pa.array(r[:, 5] + k % r[:, 4] * length)],
+                [*batch.schema.names[:5], "sequence_id", "offset"])
 
     return (numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-            .mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
+            .mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

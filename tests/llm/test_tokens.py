@@ -96,6 +96,15 @@ def test_packing_of_odd_texts(spark, word_bpe):
     check_packing(rows, dict(enumerate(ODD)), word_bpe, 8)
 
 
+def test_small_word_cache_keeps_ids(word_bpe):
+    words = packing.WordIds(word_bpe, capacity=4)
+    texts = [*(t or "" for t in ODD), "Été été. the THE, the. naïve!! x|| a's don't ß ÿ. µ ª é\u0301 e\u0301 ...a -b- a_b 1a $9", "the été the x"] * 2
+    for t in texts:
+        assert words.encode([t])[0].tolist() == word_bpe.encode(t, add_special_tokens=False).ids, t
+    for got, t in zip(words.encode(texts), texts, strict=True):
+        assert got.tolist() == word_bpe.encode(t, add_special_tokens=False).ids
+
+
 def smallest_number(sizes, capacity):
     """Fewest sequences, by trying every placement."""
     best = len(sizes)
