@@ -38,9 +38,9 @@ from riskfold.llm.common import cut_lineage, documents, ship_package, text_batch
 
 MARK = "▁"
 CHUNK_CHARS = 1 << 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Compatible pairs that a worker remembers.
-CACHE_PAIRS = 2_000_000
+CACHE_PAIRS = 400_000
 CUT = "cut"
 _NEVER = -np.inf
 
