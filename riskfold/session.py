@@ -73,9 +73,27 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/riskfold-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Tables that this process has written through ``cut_lineage``.
+_WRITTEN: list[str] = []
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written so far; the number
+    of tables.  Results are computed from them when they are read, so call
+    this once a job's results are written."""
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        gone += bool(fs.delete(path, True))
+    return gone
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``riskfold`` importable in Python workers (once per context).
 

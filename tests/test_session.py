@@ -17,3 +17,14 @@ def test_cut_lineage_writes_under_checkpoint_dir(spark):
     assert "LogicalRDD" not in cut._jdf.queryExecution().optimizedPlan().toString()
     local = base.replace("file:", "")
     assert any(name.startswith("riskfold-probe-") for name in os.listdir(local))
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from riskfold.session import cut_lineage, drop_intermediate
+
+    drop_intermediate(spark)
+    table = cut_lineage(spark.range(5), "drop-me")
+    files = table.inputFiles()
+    assert table.count() == 5 and files
+    assert drop_intermediate(spark) == 1
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
