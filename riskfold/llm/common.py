@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskfold.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
-__all__ = ["crc_fold", "cut_lineage", "documents", "ensure_checkpoint_dir", "pieces_for",
+__all__ = ["Tables", "crc_fold", "cut_lineage", "documents", "ensure_checkpoint_dir", "pieces_for",
            "read_table", "ship_package", "text_batches"]
 
 
@@ -21,6 +22,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """Tables of one operator's steps in the shared checkpoint folder, dropped
+    when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/riskfold-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete all but the ``keep`` last written."""
+        sc = self.spark.sparkContext
+        while len(self.paths) > keep:
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text`` (null text as empty): other columns of the
     input, whatever their names, never reach an operator."""

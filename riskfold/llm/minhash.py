@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import cut_lineage, documents, ship_package, text_batches
+from riskfold.llm.common import Tables, cut_lineage, documents, ship_package, text_batches
 from riskfold.llm.components import components
 
 WORDS = 5
@@ -299,16 +299,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     texts = cut_lineage(made.groupBy("copy_of").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "texts")
     buckets = texts.where(F.col("keys").isNotNull()).select("node", "keys", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut_lineage(buckets.join(shared.select("key", "leader"), "key"), "buckets")
-    table = cut_lineage(_gram_table(docs, members.select("node").distinct(), size), "grams")
+    tables = Tables(docs.sparkSession)
+    members = tables.write(buckets.join(shared.select("key", "leader"), "key"), "buckets")
+    table = tables.write(_gram_table(docs, members.select("node").distinct(), size), "grams")
     pairs = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b")
-    links = cut_lineage(_leader_links(pairs, table, similarity), "links")
+    links = tables.write(_leader_links(pairs, table, similarity), "links")
     first = components(links)
     rooted = members.join(first, "node", "left").select("key", "node", "keys", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = cut_lineage(rooted.join(mixed, "key", "left_semi"), "open")
-    found = cut_lineage(_block_links(open_, table, similarity), "links")
+    open_ = tables.write(rooted.join(mixed, "key", "left_semi"), "open")
+    found = tables.write(_block_links(open_, table, similarity), "links")
     final = components(links.unionByName(found))
+    tables.drop()                             # only the signatures, the texts and the components are read from here on
     classes = texts.select("copy_of", "node").join(final, "node", "left").select("copy_of", F.coalesce("root", "node").alias("class_id"))
     return made.select("doc_id", "copy_of").join(classes, "copy_of").select("doc_id", "class_id")
 
