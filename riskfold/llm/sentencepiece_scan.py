@@ -38,7 +38,7 @@ from riskfold.llm.common import cut_lineage, documents, ship_package, text_batch
 
 MARK = "▁"
 CHUNK_CHARS = 1 << 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Compatible pairs that a worker remembers.
 CACHE_PAIRS = 400_000
 CUT = "cut"
@@ -71,7 +71,8 @@ class Pieces:
                 self.text.append(piece.replace(MARK, " ").encode())
         self.letters = {c for p in self.id for c in p}
         self.longest = max((len(p) for p in self.id), default=1)
-        self.alone: dict[str, bool] = {}
+        #: pieces that are their own encoding
+        self.standing = {p for p in self.id if len(p) == 1 or self.merged(p) == [p]}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[str]] = {}
 
@@ -91,13 +92,6 @@ class Pieces:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, piece: str) -> bool:
-        """Whether a piece is its own encoding (an unknown letter is)."""
-        known = self.alone.get(piece)
-        if known is None:
-            known = self.alone[piece] = len(piece) == 1 or (piece in self.id and self.merged(piece) == [piece])
-        return known
-
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -131,27 +125,35 @@ class Pieces:
         """Pieces that end at ``end`` and start at ``first`` or later."""
         for n in range(1, min(self.longest, end - first) + 1):
             piece = text[end - n:end]
-            if (n == 1 or piece in self.id) and self.stands(piece):
+            if n == 1 or piece in self.standing:
                 yield piece
 
 
 def solve_word(pieces: Pieces, word: str) -> list[str]:
     """Pieces of a word (with its space mark, if any): the one path from its
     start whose steps are all compatible."""
-    whole = len(word) <= pieces.longest and word in pieces.id and pieces.stands(word)
-    if whole:
+    standing = pieces.standing
+    if word in standing:
         return [word]
-    known, stands, ids, longest = pieces.compatible, pieces.stands, pieces.id, pieces.longest
+    known, longest = pieces.pairs, pieces.longest
     last: list[str | None] = [None] * (len(word) + 1)
     for end in range(1, len(word) + 1):
-        for n in range(1, min(longest, end) + 1):
-            piece = word[end - n:end]
-            if n > 1 and piece not in ids or not stands(piece):
-                continue
-            before = last[end - n]
-            if end == n or before is not None and known(before, piece):
-                last[end] = piece
-                break
+        if end <= longest and word[:end] in standing:
+            last[end] = word[:end]
+            continue
+        for start in range(max(0, end - longest), end):
+            piece = word[start:end]
+            if piece in standing or end - start == 1:
+                before = last[start]
+                if before is None:
+                    fits = start == 0
+                else:
+                    fits = known.get((before, piece))
+                    if fits is None:
+                        fits = pieces.compatible(before, piece)
+                if fits:
+                    last[end] = piece
+                    break
     out, at = [], len(word)
     while at:
         piece = last[at] or word[at - 1]
@@ -172,6 +174,7 @@ class WordPieces:
 
     def _clear(self) -> None:
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _solve(self, key: str) -> list[int]:
         p = self.pieces
@@ -196,15 +199,17 @@ class WordPieces:
         known = self.known
         found = list(map(known.get, keys))
         if None in found:
-            if len(known) > self.capacity:
-                self._clear()
+            if len(known) > self.capacity:            # words met since the last turn stay within reach
+                self.older, self.known = known, {}
                 known = self.known
             for i, ids in enumerate(found):
                 if ids is None:
                     key = keys[i]
                     ids = known.get(key)
                     if ids is None:
-                        ids = self._solve(key)
+                        ids = self.older.get(key)
+                        if ids is None:
+                            ids = self._solve(key)
                         if len(key) <= 64:
                             known[key] = ids
                     found[i] = ids
