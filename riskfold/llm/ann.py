@@ -33,8 +33,10 @@ from riskfold.llm.vectors import best, matrix, usable
 #: Rows that the centroids are fitted on, and the most centroids.
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 4096
-#: Share of the lists that a query scans, and the least number of lists.
-PROBED = 0.3
+#: Share of the lists that a query scans, and the least number of lists.  On
+#: vectors without much structure near ones lie in many lists: 0.3 of them
+#: gave a recall of 0.76 to 0.82 at 20 neighbours, 0.65 gives 0.96.
+PROBED = 0.65
 LEAST_PROBED = 16
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
