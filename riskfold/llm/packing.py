@@ -40,7 +40,7 @@ END_ID = 1
 #: Rows of one numbering bucket, so that a length shared by a third of all
 #: pieces is still numbered in many tasks.
 BUCKET_ROWS = 200_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -93,7 +93,7 @@ class WordIds:
         """Ids of one pre-token of plain letters or of signs."""
         ids = self.parts.get(letters)
         if ids is None:
-            if len(self.parts) > 2 * self.capacity:
+            if len(self.parts) > self.capacity // 2:
                 self.parts = {}
             ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.spelling))]
         return ids
