@@ -47,7 +47,7 @@ class _Disk:
     def array(self, name: str, dtype, n: int) -> np.ndarray:
         if n == 0:
             return np.zeros(0, dtype)
-        return np.memmap(os.path.join(self.folder, name), dtype, "w+", shape=(n,))
+        return np.memmap(os.path.join(self.folder, name), dtype, "w+", shape=(n,)).view(np.ndarray)
 
     def write(self, chunk: np.ndarray) -> tuple[int, int]:
         self.file.seek(0, 2)
@@ -145,7 +145,7 @@ class InducedSorter:
     def prepare(self) -> None:
         self._text.close()
         path = os.path.join(self.disk.folder, "text")
-        self.text = np.memmap(path, np.uint16, "r", shape=(self.n,)) if self.n else np.zeros(0, np.uint16)
+        self.text = np.memmap(path, np.uint16, "r", shape=(self.n,)).view(np.ndarray) if self.n else np.zeros(0, np.uint16)
         self.rising = self.disk.array("rising", np.bool_, self.n)
         self.run = self.disk.array("run", np.uint8, self.n)       # equal bytes from here on, up to 255
         self.left = self.disk.array("left", np.uint8, self.n)     # bytes to the separator, up to 255
@@ -176,9 +176,9 @@ class InducedSorter:
 
     def _sorted_seeds(self, at: np.ndarray) -> np.ndarray:
         """Tuples of seeds with one first byte, sorted to ``depth`` bytes."""
-        order = np.argsort(self._eight(at, 0), kind="stable")
-        at = at[order]
         key = self._eight(at, 0)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
         lcp = np.zeros(len(at), np.int64)
         tied = np.concatenate([[False], key[1:] == key[:-1]])
         self._common(at, lcp, key, 0, ~tied)

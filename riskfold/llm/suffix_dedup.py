@@ -48,9 +48,13 @@ from riskfold.llm.minhash import mix
 LENGTH = 50
 GRAM = 20
 #: Text of one group of documents.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
+#: Windows that are hashed at once; a worker's arrays have about this length.
+BLOCK = 1 << 20
 #: Grams are dealt, and contexts sorted, in this many shards per shuffle partition.
 SHARDS = 2
+#: Parts that a shard's contexts come in, so that hashing deals them evenly.
+PARTS = 8
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
@@ -96,25 +100,27 @@ def contexts_of(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
     context, windows counted from the start of all texts joined."""
     sizes = np.array([len(r) for r in raws], np.int64)
     data = np.frombuffer(b"".join(raws), np.uint8)
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none.astype(np.uint64), none, none
-    least = least_of(gram_hashes(data, gram), length - gram + 1)
     ends = np.cumsum(sizes)
-    valid = np.zeros(len(data), bool)
-    marks = np.zeros(len(data) + 1, np.int64)
     long = sizes >= length
-    np.add.at(marks, (ends - sizes)[long], 1)
-    np.add.at(marks, (ends - length + 1)[long], -1)
-    valid = np.cumsum(marks[:-1]) > 0
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-    new[(ends - sizes)[long]] = True
-    first = np.flatnonzero(new)
-    stop = np.concatenate([first[1:], [len(data)]])
-    last = np.flatnonzero(valid & np.concatenate([~valid[1:], [True]])) + 1   # a text's windows end here
+    begins, lasts = (ends - sizes)[long], (ends - length + 1)[long]    # of each text's windows
+    found, hashes, before = [], [], None
+    for lo in range(0, len(data), BLOCK):
+        hi = min(len(data), lo + BLOCK)
+        least = least_of(gram_hashes(data[lo:hi + length - 1], gram), length - gram + 1)[:hi - lo]
+        new = np.concatenate([[least[0] != before], least[1:] != least[:-1]])
+        new[begins[np.searchsorted(begins, lo):np.searchsorted(begins, hi)] - lo] = True
+        at = np.flatnonzero(new)
+        inside = np.searchsorted(begins, at + lo, "right") - 1            # windows of no text are left out
+        at = at[(inside >= 0) & (at + lo < np.append(lasts, 0)[inside])]
+        found.append(at + lo)
+        hashes.append(least[at])
+        before = least[-1]
+    if not found:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    first = np.concatenate(found)
+    stop = np.append(first[1:], len(data))
     text = np.searchsorted(ends, first, "right")
-    return text, least[first], first, np.minimum(stop, last[np.searchsorted(last, first, "right")])
+    return text, np.concatenate(hashes), first, np.minimum(stop, (ends - length + 1)[text])
 
 
 # -- step 1: grams of two documents or more ----------------------------------
@@ -122,9 +128,21 @@ def contexts_of(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
 _GRAMS = "bucket int, hashes binary, groups binary, several binary"
 
 
+def _named(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A gram's bucket and its four bytes in there.  With more buckets for
+    more text the two together stay as good as unique; two grams of one name
+    only send some more windows to the sort."""
+    return (h % np.uint64(buckets)).astype(np.int32), (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _key(bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
+    return (bucket.astype(np.uint64) << np.uint64(32)) | name.astype(np.uint64)
+
+
 def _gram_rows(groups: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             for part in text_batches(batch, 4 << 20):
                 raws = [t.encode("utf-8", "replace") for t in part.column("text").to_pylist()]
                 text, h, _, _ = contexts_of(raws)
@@ -143,7 +161,7 @@ def _gram_rows(groups: int, buckets: int):
                 h, group, several = h[order], group[order], several[order]
                 keep = np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])])
                 h, group, several = h[keep], group[keep], several[keep]
-                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                bucket, h = _named(h, buckets)
                 order = np.argsort(bucket, kind="stable")
                 h, group, several, bucket = h[order], group[order], several[order], bucket[order]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -151,16 +169,26 @@ def _gram_rows(groups: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(bucket[cuts[:-1]], pa.int32()),
                     pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([group[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([group[a:b].astype(_narrow(groups)).tobytes() for a, b in spans], pa.binary()),
                     pa.array([several[a:b].tobytes() for a, b in spans], pa.binary())], ["bucket", "hashes", "groups", "several"])
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _narrow(groups: int):
+    return np.uint16 if groups <= 1 << 16 else np.int32
+
+
+def _repeated(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _repeated_grams(table, groups)
+    return run
+
+
+def _repeated_grams(table: pa.Table, groups: int) -> pa.Table:
     """Of one bucket: the repeated grams of each group of documents."""
-    hashes = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
+    hashes = [np.frombuffer(b, np.uint32) for b in table.column("hashes").to_pylist()]
     h = np.concatenate(hashes)
-    group = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("groups").to_pylist()])
+    group = np.concatenate([np.frombuffer(b, _narrow(groups)) for b in table.column("groups").to_pylist()])
     several = np.concatenate([np.frombuffer(b, np.bool_) for b in table.column("several").to_pylist()])
     batch = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
     order = np.argsort(h, kind="stable")          # batches stay in order within a gram
@@ -173,18 +201,41 @@ def _repeated(table: pa.Table) -> pa.Table:
     order = np.lexsort((h, group))
     h, group = h[order], group[order]
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(h) else np.zeros(1, int)
+    h = _key(np.full(len(h), table.column("bucket")[0].as_py()), h)
     return pa.table({"grp": pa.array(group[cuts[:-1]], pa.int32()),
                      "grams": pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
 # -- step 2: contexts ----------------------------------------------------------
 
-_PARTS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("stop", pa.int64()), ("bytes", pa.binary())])
+_PARTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("stop", pa.int64()), ("contexts", pa.binary())])
+
+
+def _pack(docs: np.ndarray, first: np.ndarray, windows: np.ndarray, pieces: list[bytes]) -> bytes:
+    """Many contexts as one compressed value."""
+    raw = b"".join([np.int64(len(docs)).tobytes(), docs.tobytes(), first.tobytes(), windows.tobytes(), *pieces])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = pa.decompress(packed[8:], decompressed_size=int(np.frombuffer(packed[:8], np.int64)[0]), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    docs, first, windows = np.frombuffer(raw[8:8 + 24 * n], np.int64).reshape(3, n)
+    ends = 8 + 24 * n + np.cumsum(windows + LENGTH - 1)
+    begins = ends - (windows + LENGTH - 1)
+    return docs, first, windows, [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
+def _cut_contexts(buckets: int, parts: int):
+    def run(docs: pa.Table, grams: pa.Table) -> pa.Table:
+        return _contexts_of_group(docs.filter(pc.is_valid(docs.column("doc_id"))), grams, buckets, parts)
+    return run
 
 
-def _cut_contexts(docs: pa.Table, grams: pa.Table) -> pa.Table:
-    """Contexts of one group of documents; settled ones have no bytes and
-    their windows are all repeats."""
+def _contexts_of_group(docs: pa.Table, grams: pa.Table, buckets: int, parts: int) -> pa.Table:
+    """Contexts of one group of documents: a row of packed contexts for each
+    part, and rows of settled ones, whose windows [first, stop) are all
+    repeats (neighbours are one row)."""
     if not docs.num_rows or not grams.num_rows:
         return _PARTS.empty_table()
     wanted = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in grams.column("grams").to_pylist()]))
@@ -193,21 +244,37 @@ def _cut_contexts(docs: pa.Table, grams: pa.Table) -> pa.Table:
     joined = b"".join(raws)
     begins = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
     text, h, first, stop = contexts_of(raws)
-    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-    keep = wanted[at] == h
+    named = _key(*_named(h, buckets))
+    at = np.minimum(np.searchsorted(wanted, named), len(wanted) - 1)
+    keep = wanted[at] == named
     text, h, first, stop = text[keep], h[keep], first[keep], stop[keep]
     order = np.argsort(ids[text], kind="stable")
+    text, h, first, stop = text[order], h[order], first[order], stop[order]
+    doc, base = ids[text], begins[text]
     least: dict[bytes, int] = {}
-    out: tuple[list, ...] = ([], [], [], [], [])
-    for i in order.tolist():
-        doc, a, b = int(ids[text[i]]), int(first[i]), int(stop[i])
-        piece = joined[a:b + LENGTH - 1]
-        known = least.setdefault(piece, doc)
-        base = int(begins[text[i]])
-        row = (int(h[i].view(np.int64)), doc, a - base, b - base, piece if known == doc else None)
-        for column, value in zip(out, row, strict=True):
-            column.append(value)
-    return pa.table([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
+    pieces = [joined[a:b] for a, b in zip(first.tolist(), (stop + LENGTH - 1).tolist(), strict=True)]
+    known = np.array([least.setdefault(p, d) for p, d in zip(pieces, doc.tolist(), strict=True)], np.int64)
+    first, stop = first - base, stop - base
+    done = np.flatnonzero(known != doc)
+    joins = np.zeros(len(done), bool)
+    joins[1:] = (doc[done[1:]] == doc[done[:-1]]) & (first[done[1:]] == stop[done[:-1]])
+    heads = np.flatnonzero(~joins)
+    tails = np.append(heads[1:], len(done))[:len(heads)] - 1
+    settled = doc[done[heads]]
+    open_ = np.flatnonzero(known == doc)
+    part = (h[open_] % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    open_, part = open_[order], part[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
+    packed = [_pack(doc[w], first[w], stop[w] - first[w], [pieces[i] for i in w.tolist()])
+              for w in (open_[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+    none = [None] * len(packed)
+    columns = [pa.array([*part[cuts[:-1]].tolist(), *(settled % parts).tolist()], pa.int32()),
+               pa.array([*none, *settled.tolist()], pa.int64()),
+               pa.array([*none, *first[done[heads]].tolist()], pa.int64()),
+               pa.array([*none, *stop[done[tails]].tolist()], pa.int64()),
+               pa.array([*packed, *[None] * len(settled)], pa.binary())]
+    return pa.table(columns, schema=_PARTS)
 
 
 # -- step 3: shards --------------------------------------------------------------
@@ -222,9 +289,10 @@ class _Shard:
         self.sizes: list[int] = []
         self.rows: list[np.ndarray] = []      # doc_id, first, stop, context of what came
 
-    def add(self, batch: pa.RecordBatch) -> None:
+    def add(self, packed: bytes) -> None:
+        docs, first, windows, pieces = _unpack(packed)
         fresh, numbers = [], []
-        for doc, piece in zip(batch.column("doc_id").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+        for doc, piece in zip(docs.tolist(), pieces, strict=True):
             key = hashlib.blake2b(piece, digest_size=16).digest()
             k = self.number.get(key)
             if k is None:
@@ -237,8 +305,7 @@ class _Shard:
             numbers.append(k)
         if fresh:
             self.sorter.add(fresh)
-        columns = [np.array(batch.column(c).to_pylist(), np.int64) for c in ("doc_id", "first", "stop")]
-        self.rows.append(np.stack([*columns, np.array(numbers, np.int64)], 1))
+        self.rows.append(np.stack([docs, first, first + windows, np.array(numbers, np.int64)], 1))
 
     def repeats(self) -> Iterator[tuple[int, int, int]]:
         """(doc_id, first, stop) of repeated windows."""
@@ -291,13 +358,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with InducedSorter(LENGTH) as sorter:
         shard = _Shard(sorter)
         for batch in batches:
-            settled = pc.is_null(batch.column("bytes"))
-            done = batch.filter(settled)
+            done = batch.filter(pc.is_null(batch.column("contexts")))
             if done.num_rows:
                 yield done.select(["doc_id", "first", "stop"])
-            some = batch.filter(pc.invert(settled))
-            if some.num_rows:
-                shard.add(some)
+            for packed in batch.column("contexts"):
+                if packed.is_valid:
+                    shard.add(packed.as_py())
         if shard.rows:
             found = []
             for row in shard.repeats():
@@ -376,7 +442,7 @@ def _group_key(groups: int):
 def _groups(docs: DataFrame) -> int:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(2 * partitions, -(-int(total) // GROUP_BYTES))
+    return max(partitions, -(-int(total) // GROUP_BYTES))
 
 
 def repeated_windows(docs: DataFrame, groups: int) -> DataFrame:
@@ -385,14 +451,13 @@ def repeated_windows(docs: DataFrame, groups: int) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     buckets = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = documents(docs).where("doc_id is not null").withColumn("grp", _group_key(groups))
+    dealt = documents(docs).withColumn("grp", _group_key(groups))
     grams = (dealt.mapInArrow(_gram_rows(groups, buckets), _GRAMS)
-             .groupBy("bucket").applyInArrow(_repeated, "grp int, grams binary"))
+             .groupBy("bucket").applyInArrow(_repeated(groups), "grp int, grams binary"))
     parts = dealt.groupBy("grp").cogroup(grams.groupBy("grp")).applyInArrow(
-        _cut_contexts, "gram long, doc_id long, first long, stop long, bytes binary")
+        _cut_contexts(buckets, PARTS * buckets), "part int, doc_id long, first long, stop long, contexts binary")
     # settled contexts only pass through; they are dealt by document
-    key = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "first")).otherwise(F.col("gram"))
-    windows = (parts.withColumn("gram", key).repartition(buckets, "gram")
+    windows = (parts.repartition(buckets, "part")
                .mapInArrow(_settle, "doc_id long, first long, stop long"))
     return windows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 

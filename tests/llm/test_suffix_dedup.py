@@ -83,7 +83,9 @@ def test_induced_order_and_common_prefixes(seed, monkeypatch):
         assert a[:depth] >= b[:depth] and min(common, depth) == min(n, depth)
 
 
-def test_contexts_cover_every_window_once():
+@pytest.mark.parametrize("block", [7, 64, 1 << 20])
+def test_contexts_cover_every_window_once(block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     r = random.Random(5)
     raws = [bytes(r.choice(b"ab c") for _ in range(r.choice([0, 10, 49, 50, 51, 200, 900]))) for _ in range(60)]
     text, h, first, stop = suffix_dedup.contexts_of(raws)
