@@ -28,7 +28,8 @@ ROUNDS = 10
 
 #: What is looked for, in order: the first alternative that fits wins.
 PATTERNS = {
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,256}",
+    # the whole value, however long, up to its closing quote or white space; possessive, so nothing recurses
+    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{8,}+|'[^'\s]{8,}+)",
     "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,128}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
@@ -41,6 +42,8 @@ PATTERNS = {
     "hex": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
 }
 ANY = "|".join(PATTERNS.values())
+#: What stands before a secret's value: key, sign and opening quote.
+SECRET_KEY = r"^[^=:]*[=:]\s{0,3}[\"']"
 
 #: Days of one block of dates: dates are permuted inside their block.  Blocks
 #: start at 0001-01-01; the last, shorter one ends at 9999-12-31.
@@ -159,9 +162,9 @@ def _written(key: str) -> str:
     check = f"98 - {_mod97(f'regexp_replace({iban0}, {_q(" ")}, {_q("")})')}"
     iban = f"concat(substring(z.m, 1, 2), lpad(cast({check} as string), 2, '0'), substring({body}, 5))"
     digest = lambda s: f"sha2(concat_ws('|', {_q(key)}, z.kind, {s}), 256)"
-    before = "regexp_extract(z.m, '^[^\"\\']*[\"\\']', 0)"
+    before = f"regexp_extract(z.m, {_q(SECRET_KEY)}, 0)"
     value = f"substring(z.m, length({before}) + 1)"
-    secret = f"concat({before}, substring(repeat({digest(value)}, 4), 1, length({value})))"
+    secret = f"concat({before}, substring(repeat({digest(value)}, length({value}) div 64 + 1), 1, length({value})))"
     cases = {
         "secret": secret,
         "mail": f"concat('u', substring({digest('lower(z.m)')}, 1, 16), '@example.invalid')",

@@ -196,3 +196,18 @@ def test_columns_pass_through(spark):
     assert out.columns == d.columns and {r._found for r in out.collect()} == {"mine"}
     assert pii.pseudonymise(d.limit(0)).count() == 0
     assert pii.pseudonymise(d, key="other").first().text != out.first().text
+
+
+def test_secrets_go_whole(spark):
+    """Expected texts are written without the module's pattern."""
+    def gone(value):
+        return (hashlib.sha256(f"riskfold-demo-key|secret|{value}".encode()).hexdigest() * (len(value) // 64 + 1))[:len(value)]
+
+    a, b, c = "A7-_." * 200, "A7-_." * 199 + "A7-_x", "é😀" * 20_000
+    texts = [f'x token = "{a}" y', f"token='{b}'", f'{{"password": "hunter2hunter2", "n": 1}} {{\'api_key\' : \'{a}\'}}',
+             f'secret="{c} tail"', 'password: "it\'s_a_secret" z', 'token = "' + "k" * 64 + '"', '"token": "short"']
+    want = [f'x token = "{gone(a)}" y', f"token='{gone(b)}'", f'{{"password": "{gone("hunter2hunter2")}", "n": 1}} {{\'api_key\' : \'{gone(a)}\'}}',
+            f'secret="{gone(c)} tail"', f'password: "{gone("it\'s_a_secret")}" z', 'token = "' + gone("k" * 64) + '"', '"token": "short"']
+    rows = pii.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == want and gone(a) != gone(b)
+    assert [r.n_other for r in rows] == [1, 1, 2, 1, 1, 1, 0]
