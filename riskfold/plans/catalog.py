@@ -377,11 +377,8 @@ def synthetic_dataset(spark, sf_dir):
 
 
 # --- M1-M3, M5, M8-M11, E9, P1: training and scoring (rows-only) ---------------
-# Small ensembles keep the driver's check fast; the reference defaults
-# (200 trees) stay the API defaults.
-
-QUICK = {"random_forest": {"n_estimators": 20, "max_depth": 6},
-         "gradient_boosting": {"n_estimators": 20, "max_depth": 3}}
+# Models, folds and grid are the reference's (``train.MODEL_DEFAULTS``,
+# ``train.PARAM_GRIDS``), fitted on all labelled training rows.
 
 
 def _train_test(spark, sf_dir):
@@ -397,35 +394,35 @@ def _train_test(spark, sf_dir):
 @register("cv_random_forest")
 def cv_random_forest(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
-    _, summary = tr.cross_validate(train, "random_forest", 5, **QUICK["random_forest"])
+    _, summary = tr.cross_validate(train, "random_forest", 5)
     return summary
 
 
 @register("model_test_metrics")
 def model_test_metrics(spark, sf_dir):
     data = labelled_dataset(spark, sf_dir)
-    res = tr.run_training(data, ["random_forest", "gradient_boosting"], folds=3, overrides=QUICK)
+    res = tr.run_training(data, ["random_forest", "gradient_boosting"])
     return tr.metrics_table(res, spark)
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
-    model = tr.fit(train, "random_forest", **QUICK["random_forest"])
+    model = tr.fit(train, "random_forest")
     return tr.top_features(tr.feature_importance(model, spark), 15)
 
 
 @register("grid_search_random_forest")
 def grid_search_random_forest(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
-    model = tr.grid_search(train, "random_forest", 3, grid={"n_estimators": [10, 20], "max_depth": [3, 6]})
+    model = tr.grid_search(train, "random_forest", 3)
     return tr.evaluate_model(model, test)["metrics"]
 
 
 @register("evaluate_held_out")
 def evaluate_held_out(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
-    model = tr.fit(train, "gradient_boosting", **QUICK["gradient_boosting"])
+    model = tr.fit(train, "gradient_boosting")
     return tr.evaluate_model(model, test)["report"]
 
 
@@ -440,7 +437,7 @@ def score_corpus(spark, sf_dir):
     # parse once: the same feature table feeds training and scoring
     features = cut_lineage(t1_features(spark, sf_dir))
     split = cut_lineage(ds.stratified_split(labelled_dataset(spark, sf_dir, features), FILE_ID, 0.2))
-    model = tr.fit(split.where(F.col("split") == "train").drop("split"), "random_forest", **QUICK["random_forest"])
+    model = tr.fit(split.where(F.col("split") == "train").drop("split"), "random_forest")
     factors = sc.top_factor_names(tr.feature_importance(model, spark), 3)
     scored = tr.score_files(model, features)
     return sc.scored_report(scored, factors)
@@ -503,7 +500,7 @@ def model_save_load(spark, sf_dir):
     from riskfold.session import cut_lineage
 
     train, _ = _train_test(spark, sf_dir)
-    model = tr.fit(train, "gradient_boosting", **QUICK["gradient_boosting"])
+    model = tr.fit(train, "gradient_boosting")
     path = _scratch(spark, "model")
     tr.save_model(model, path, {"note": "round trip"})
     loaded, _, _ = tr.load_model(path)

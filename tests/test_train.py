@@ -98,3 +98,41 @@ def test_grid_search_and_held_out_evaluation(spark, data):
     assert 0.0 <= m["accuracy"] <= 1.0 and m["roc_auc"] is not None
     assert [r["class"] for r in out["report"].collect()] == ["clean", "buggy", "accuracy", "macro avg", "weighted avg"]
     assert out["top_features"].count() == 5 and out["confusion"].count() == 4
+
+
+def test_queries_fit_the_reference_models(spark, monkeypatch):
+    """The registered queries cut neither trees, depth, folds nor grid."""
+    import inspect
+
+    from riskfold.plans import catalog
+    from tests.conftest import SF_SMALL
+
+    class Seen(Exception):
+        pass
+
+    def stop(name):
+        sign = inspect.signature(getattr(tr, name))
+
+        def call(*args, **kwargs):
+            bound = sign.bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Seen(name, bound.arguments)
+        return call
+
+    for name in ("fit", "cross_validate", "grid_search", "run_training"):
+        monkeypatch.setattr(tr, name, stop(name))
+    monkeypatch.setattr(catalog, "_train_test", lambda *_: (None, None))
+    wants = {"cv_random_forest": ("cross_validate", "random_forest"), "model_test_metrics": ("run_training", None),
+             "feature_importance": ("fit", "random_forest"), "grid_search_random_forest": ("grid_search", "random_forest"),
+             "evaluate_held_out": ("fit", "gradient_boosting"), "score_corpus": ("fit", "random_forest"),
+             "model_save_load": ("fit", "gradient_boosting")}
+    folds = {"cross_validate": 5, "run_training": 5, "grid_search": 3, "fit": None}
+    for query, (call, model) in wants.items():
+        with pytest.raises(Seen) as seen:
+            catalog.QUERIES[query](spark, SF_SMALL)
+        got, given = seen.value.args
+        assert (got, given.get("name")) == (call, model), query
+        assert not given.get("overrides") and not given.get("grid") and given.get("folds") == folds[call], query
+    forest, boosted = tr.MODEL_DEFAULTS["random_forest"], tr.MODEL_DEFAULTS["gradient_boosting"]
+    assert (forest["n_estimators"], forest["max_depth"], boosted["n_estimators"], boosted["max_depth"]) == (200, 15, 200, 5)
+    assert tr.PARAM_GRIDS["random_forest"] == {"n_estimators": [100, 200], "max_depth": [10, 15], "min_samples_split": [5, 10]}
