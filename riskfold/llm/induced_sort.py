@@ -64,7 +64,7 @@ class _Disk:
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
-class _Queue:
+class Queue:
     """Chunks of tuples, first in first out, in memory or on disk."""
 
     def __init__(self, disk: _Disk):
@@ -218,8 +218,8 @@ class InducedSorter:
             same += (a // unit == b // unit)
         lcp[i] = offset + same
 
-    def _deal_seeds(self) -> dict[int, _Queue]:
-        parts: dict[int, _Queue] = {}
+    def _deal_seeds(self) -> dict[int, Queue]:
+        parts: dict[int, Queue] = {}
         for lo, hi in self._blocks():
             up = np.asarray(self.rising[lo:hi])
             at = np.flatnonzero(up[1:] & ~up[:-1]) + lo + 1
@@ -228,10 +228,10 @@ class InducedSorter:
                 some = at[first == c]
                 chunk = np.zeros(len(some), _TUPLE)
                 chunk["at"] = some
-                parts.setdefault(int(c), _Queue(self.disk)).push(chunk)
+                parts.setdefault(int(c), Queue(self.disk)).push(chunk)
         return parts
 
-    def _seed_tuples(self, c: int, queue: _Queue) -> Iterator[np.ndarray]:
+    def _seed_tuples(self, c: int, queue: Queue) -> Iterator[np.ndarray]:
         """Sorted seeds with first byte ``c``.  They are dealt once more by
         their second byte, so that a sort holds one such part."""
         if c == 0:
@@ -240,11 +240,11 @@ class InducedSorter:
                 out["lcp"] = 0
                 yield out
             return
-        parts: dict[int, _Queue] = {}
+        parts: dict[int, Queue] = {}
         for chunk in queue.take():
             second = self.text[chunk["at"] + 1]
             for d in np.unique(second):
-                parts.setdefault(int(d), _Queue(self.disk)).push(chunk[second == d])
+                parts.setdefault(int(d), Queue(self.disk)).push(chunk[second == d])
         for n, d in enumerate(sorted(parts)):
             out = self._sorted_seeds(np.concatenate([x["at"] for x in parts[d].take()]))
             if n:
@@ -261,10 +261,10 @@ class InducedSorter:
         if self.n == 0:
             return
         seeds = self._deal_seeds()
-        falling: dict[int, _Queue] = {}
+        falling: dict[int, Queue] = {}
         induce = _Inducer(self, rising=False)
         for c in range(257):
-            kept = falling.setdefault(c, _Queue(self.disk))
+            kept = falling.setdefault(c, Queue(self.disk))
             last = -1
             for wave in induce.waiting(c):
                 induce.step(wave)
@@ -306,7 +306,7 @@ class _Inducer:
 
     def __init__(self, sorter: InducedSorter, rising: bool):
         self.s, self.rising = sorter, rising
-        self.queues = [_Queue(sorter.disk) for _ in range(257)]
+        self.queues = [Queue(sorter.disk) for _ in range(257)]
         self.began = np.zeros(257, bool)
         self.least = np.full(257, _MOST, np.uint8)   # of the values since the last tuple of each queue
 

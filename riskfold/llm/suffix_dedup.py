@@ -17,8 +17,9 @@ windows picked it.
 3. Contexts are dealt by gram to shards.  A shard sorts all their suffixes by
    external induced sorting (``induced_sort``) and reads matches off the
    common prefixes: in a run of suffixes that share LENGTH bytes all but
-   those of the least document are repeats.  A shard may be far larger than
-   memory; its text and its queues are on the executor's disk while it runs.
+   those of the least document are repeats.  Shards follow the bytes of the
+   input; a shard's text, queues, rows and least documents are on the
+   executor's disk while it runs.  All contexts of one gram are in one shard.
 4. Each document's repeated windows are joined to spans and cut.
 
 Only the shards decide what is a match; steps 1 and 2 choose what they see
@@ -33,6 +34,7 @@ rows; other columns are ignored, and pass through ``strip_repeats``.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.llm.common import documents, ship_package, text_batches
-from riskfold.llm.induced_sort import InducedSorter
+from riskfold.llm.induced_sort import InducedSorter, Queue
 from riskfold.llm.minhash import mix
 
 LENGTH = 50
@@ -51,10 +53,12 @@ GRAM = 20
 GROUP_BYTES = 16 << 20
 #: Windows that are hashed at once; a worker's arrays have about this length.
 BLOCK = 1 << 20
-#: Grams are dealt, and contexts sorted, in this many shards per shuffle partition.
+#: Grams are dealt, and contexts sorted, in this many shards per shuffle partition at least,
 SHARDS = 2
-#: Parts that a shard's contexts come in, so that hashing deals them evenly.
-PARTS = 8
+#: and in one for so much text.
+SHARD_BYTES = 16 << 20
+#: Contexts of a shard that are in memory at once.
+ROWS = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
@@ -279,82 +283,163 @@ def _contexts_of_group(docs: pa.Table, grams: pa.Table, buckets: int, parts: int
 
 # -- step 3: shards --------------------------------------------------------------
 
+#: A context that came: digest, document, first window, windows, place of its bytes.
+_CAME = np.dtype([("a", np.uint64), ("b", np.uint64), ("doc", np.int64), ("first", np.int64), ("windows", np.int64), ("at", np.int64)])
+#: The same once equal ones have one number.
+_ROW = np.dtype([("doc", np.int64), ("first", np.int64), ("windows", np.int64), ("k", np.int64)])
+
+
 class _Shard:
-    """Contexts of one shard: equal ones are sorted once."""
+    """Contexts of one shard: equal ones are sorted once.  What came, its
+    bytes and what is known of each distinct context are files beside the
+    sorter's text; ``ROWS`` rows of them are in memory at a time."""
 
     def __init__(self, sorter: InducedSorter):
         self.sorter = sorter
-        self.number: dict[bytes, int] = {}
-        self.least: list[int] = []            # of each distinct context: its least document
-        self.sizes: list[int] = []
-        self.rows: list[np.ndarray] = []      # doc_id, first, stop, context of what came
+        self.came, self.raw = self._file("came"), self._file("raw")
+        self.n, self.bytes = 0, 0
+
+    def _path(self, name: str) -> str:
+        return os.path.join(self.sorter.disk.folder, f"shard-{name}")
+
+    def _file(self, name: str):
+        return open(self._path(name), "wb")  # noqa: SIM115  the folder goes with the sorter
+
+    def _blocks(self, name: str, dtype: np.dtype) -> Iterator[np.ndarray]:
+        with open(self._path(name), "rb") as file:
+            while len(block := np.fromfile(file, dtype, ROWS)):
+                yield block
+
+    def _map(self, name: str, dtype, n: int) -> np.ndarray:
+        return np.memmap(self._path(name), dtype, "r", shape=(n,)).view(np.ndarray)
 
     def add(self, packed: bytes) -> None:
         docs, first, windows, pieces = _unpack(packed)
-        fresh, numbers = [], []
-        for doc, piece in zip(docs.tolist(), pieces, strict=True):
-            key = hashlib.blake2b(piece, digest_size=16).digest()
-            k = self.number.get(key)
-            if k is None:
-                k = self.number[key] = len(self.least)
-                self.least.append(doc)
-                self.sizes.append(len(piece))
-                fresh.append(piece)
-            elif doc < self.least[k]:
-                self.least[k] = doc
-            numbers.append(k)
-        if fresh:
-            self.sorter.add(fresh)
-        self.rows.append(np.stack([docs, first, first + windows, np.array(numbers, np.int64)], 1))
-
-    def repeats(self) -> Iterator[tuple[int, int, int]]:
-        """(doc_id, first, stop) of repeated windows."""
-        least = np.array(self.least, np.int64)
-        begins = np.concatenate([[0], np.cumsum(np.array(self.sizes, np.int64) + 1)])
+        rows = np.empty(len(docs), _CAME)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), np.uint64).reshape(-1, 2)
+        sizes = windows + LENGTH - 1
+        rows["a"], rows["b"], rows["doc"], rows["first"], rows["windows"] = digests[:, 0], digests[:, 1], docs, first, windows
+        rows["at"] = self.bytes + np.cumsum(sizes) - sizes
+        self.came.write(rows.tobytes())
+        self.raw.writelines(pieces)
+        self.n += len(rows)
+        self.bytes += int(sizes.sum())
+
+    def _bins(self) -> Iterator[np.ndarray]:
+        """What came, equal contexts together, about ``ROWS`` rows at a time."""
+        bits = min(9, max(0, self.n // ROWS).bit_length())
+        if not bits:
+            yield from self._blocks("came", _CAME)
+            return
+        files = [self._file(f"bin{i}") for i in range(1 << bits)]
+        for block in self._blocks("came", _CAME):
+            place = block["a"] >> np.uint64(64 - bits)
+            block = block[np.argsort(place, kind="stable")]
+            ends = np.cumsum(np.bincount(place.astype(np.int64), minlength=len(files)))
+            for file, lo, hi in zip(files, [0, *ends[:-1]], ends, strict=True):
+                file.write(block[lo:hi].tobytes())
+        os.remove(self._path("came"))
+        for i, file in enumerate(files):
+            file.close()
+            yield np.fromfile(self._path(f"bin{i}"), _CAME)
+            os.remove(self._path(f"bin{i}"))
+
+    def _distinct(self) -> int:
+        """Gives each distinct context to the sorter, with its least document
+        and where it begins in the sorted text; their number."""
+        self.came.close()
+        self.raw.close()
+        raw = self._map("raw", np.uint8, self.bytes)
+        k, begin = 0, 0
+        with self._file("rows") as rows, self._file("least") as least, self._file("begins") as begins:
+            for came in self._bins():
+                came = came[np.lexsort((came["doc"], came["b"], came["a"]))]
+                new = np.ones(len(came), bool)
+                new[1:] = (came["a"][1:] != came["a"][:-1]) | (came["b"][1:] != came["b"][:-1])
+                heads = came[new]
+                out = np.empty(len(came), _ROW)
+                out["doc"], out["first"], out["windows"], out["k"] = came["doc"], came["first"], came["windows"], k + np.cumsum(new) - 1
+                rows.write(out.tobytes())
+                least.write(heads["doc"].tobytes())
+                sizes = heads["windows"] + LENGTH
+                begins.write((begin + np.cumsum(sizes) - sizes).tobytes())
+                for lo in range(0, len(heads), ROWS >> 4):
+                    some = heads[lo:lo + (ROWS >> 4)]
+                    self.sorter.add([raw[i:i + n].tobytes() for i, n in zip(some["at"].tolist(), (some["windows"] + LENGTH - 1).tolist(), strict=True)])
+                k += len(heads)
+                begin += int(sizes.sum())
+        del raw
+        os.remove(self._path("raw"))
+        return k
+
+    def repeats(self) -> Iterator[np.ndarray]:
+        """Rows doc_id, first, stop of repeated windows."""
+        n = self._distinct()
+        least, begins = self._map("least", np.int64, n), self._map("begins", np.int64, n)
         # per place of the sorted text: does a smaller document have the window?
-        smaller = self.sorter.disk.array("smaller", np.bool_, int(begins[-1]))
-        for at in _shared(self.sorter):
-            place = np.searchsorted(begins, at, "right") - 1
-            doc = least[place]
-            smaller[at[doc > doc.min()]] = True
-        for doc, first, stop, k in np.concatenate(self.rows).tolist():
-            if doc > self.least[k]:
-                yield doc, first, stop
-                continue
-            mine = np.flatnonzero(smaller[begins[k]:begins[k] + stop - first])
-            if len(mine):
-                cuts = np.flatnonzero(np.diff(mine) > 1)
-                for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(mine) - 1]]), strict=True):
-                    yield doc, first + int(mine[a]), first + int(mine[b]) + 1
-
-
-def _shared(sorter: InducedSorter) -> Iterator[np.ndarray]:
-    """Places of suffixes that share their first LENGTH bytes, two or more."""
-    open_: list[np.ndarray] = []
+        smaller = self.sorter.disk.array("smaller", np.bool_, self.sorter.n)
+        _mark(self.sorter, least, begins, smaller)
+        for block in self._blocks("rows", _ROW):
+            first = least[block["k"]]
+            whole = block[block["doc"] > first]
+            if len(whole):
+                yield np.stack([whole["doc"], whole["first"], whole["first"] + whole["windows"]], 1)
+            found = []
+            some = block[block["doc"] == first]
+            for doc, start, windows, at in zip(some["doc"].tolist(), some["first"].tolist(), some["windows"].tolist(), begins[some["k"]].tolist(), strict=True):
+                mine = np.flatnonzero(smaller[at:at + windows])
+                if len(mine):
+                    cuts = np.flatnonzero(np.diff(mine) > 1)
+                    for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(mine) - 1]]), strict=True):
+                        found.append((doc, start + int(mine[a]), start + int(mine[b]) + 1))
+                if len(found) >= ROWS:
+                    yield np.array(found, np.int64)
+                    found = []
+            if found:
+                yield np.array(found, np.int64)
+
+
+def _mark(sorter: InducedSorter, least: np.ndarray, begins: np.ndarray, smaller: np.ndarray) -> None:
+    """Marks the places whose first LENGTH bytes a smaller document has too.
+    The run that is still open waits in a queue that spills."""
+    def of(at: np.ndarray) -> np.ndarray:
+        return least[np.searchsorted(begins, at, "right") - 1]
+
+    waiting, n, low = Queue(sorter.disk), 0, 0
+
+    def close() -> None:
+        for chunk in waiting.take():
+            if n > 1:
+                smaller[chunk["at"][of(chunk["at"]) > low]] = True
+
     for wave in sorter.sort():
+        if not len(wave):
+            continue
         at, same = wave["at"], wave["lcp"] >= LENGTH
+        some = np.flatnonzero(same | np.append(same[1:], True))
+        docs = np.zeros(len(at), np.int64)
+        docs[some] = of(at[some])
         starts = np.flatnonzero(~same)
+        head = int(starts[0]) if len(starts) else len(at)
+        if head:
+            waiting.push(wave[:head].copy())
+            low = min(low, int(docs[:head].min())) if n else int(docs[:head].min())
+            n += head
         if not len(starts):
-            open_.append(at)
             continue
-        if open_ and starts[0] > 0:
-            open_.append(at[:starts[0]])
-        if open_ and sum(map(len, open_)) > 1:
-            yield np.concatenate(open_)
-        stops = np.concatenate([starts[1:], [len(at)]])
-        for a, b in zip(starts[:-1][np.diff(starts) > 1], stops[:-1][np.diff(starts) > 1], strict=True):
-            yield at[a:b]
-        open_ = [at[starts[-1]:].copy()]
-    if open_ and sum(map(len, open_)) > 1:
-        yield np.concatenate(open_)
+        close()
+        tail = int(starts[-1])
+        if tail > head:
+            inner = docs[head:tail]
+            lows = np.repeat(np.minimum.reduceat(inner, starts[:-1] - head), np.diff(starts))
+            smaller[at[head:tail][inner > lows]] = True
+        waiting.push(wave[tail:].copy())
+        n, low = len(at) - tail, int(docs[tail:].min())
+    close()
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition of dealt contexts -> repeated windows."""
-    def rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "first", "stop"])
-
     with InducedSorter(LENGTH) as sorter:
         shard = _Shard(sorter)
         for batch in batches:
@@ -364,15 +449,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for packed in batch.column("contexts"):
                 if packed.is_valid:
                     shard.add(packed.as_py())
-        if shard.rows:
-            found = []
-            for row in shard.repeats():
-                found.append(row)
-                if len(found) >= 50_000:
-                    yield rows(found)
-                    found = []
-            if found:
-                yield rows(found)
+        if shard.n:
+            for found in shard.repeats():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in found.T], ["doc_id", "first", "stop"])
 
 
 # -- step 4: what is kept --------------------------------------------------------
@@ -439,25 +518,25 @@ def _group_key(groups: int):
     return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(groups)).cast("int")
 
 
-def _groups(docs: DataFrame) -> int:
+def _groups(docs: DataFrame) -> tuple[int, int]:
+    """Groups of documents and shards of grams, by the bytes of text."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(partitions, -(-int(total) // GROUP_BYTES))
+    return max(partitions, -(-int(total) // GROUP_BYTES)), max(SHARDS * partitions, -(-int(total) // SHARD_BYTES))
 
 
-def repeated_windows(docs: DataFrame, groups: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     """grp, doc_id, first, stop: windows [first, stop) of each document that
     also start in a smaller one."""
     spark = docs.sparkSession
     ship_package(spark)
-    buckets = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = documents(docs).withColumn("grp", _group_key(groups))
     grams = (dealt.mapInArrow(_gram_rows(groups, buckets), _GRAMS)
              .groupBy("bucket").applyInArrow(_repeated(groups), "grp int, grams binary"))
     parts = dealt.groupBy("grp").cogroup(grams.groupBy("grp")).applyInArrow(
-        _cut_contexts(buckets, PARTS * buckets), "part int, doc_id long, first long, stop long, contexts binary")
-    # settled contexts only pass through; they are dealt by document
-    windows = (parts.repartition(buckets, "part")
+        _cut_contexts(buckets, buckets), "part int, doc_id long, first long, stop long, contexts binary")
+    # a part is a shard, so a group sends one value to each; settled contexts only pass through, dealt by document
+    windows = (parts.repartitionById(buckets, "part")
                .mapInArrow(_settle, "doc_id long, first long, stop long"))
     return windows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
@@ -466,8 +545,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``with_text``, the bytes that are kept."""
     plain = documents(docs)
-    groups = _groups(plain)
-    windows = repeated_windows(plain, groups)
+    groups, buckets = _groups(plain)
+    windows = repeated_windows(plain, groups, buckets)
     out = plain.withColumn("grp", _group_key(groups)).groupBy("grp").cogroup(windows.groupBy("grp")).applyInArrow(
         _cut_out(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
@@ -477,7 +556,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``, all columns kept."""
     fresh = lambda name: name if name.lower() not in {c.lower() for c in docs.columns} else fresh("_" + name)
     group = fresh("grp")
-    groups = _groups(docs)
-    windows = repeated_windows(docs, groups)
+    groups, buckets = _groups(docs)
+    windows = repeated_windows(docs, groups, buckets)
     keyed = docs.withColumn(group, _group_key(groups))
     return keyed.groupBy(group).cogroup(windows.groupBy("grp")).applyInArrow(_strip(group), docs.schema)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +101,51 @@ def test_contexts_cover_every_window_once(block, monkeypatch):
             seen.add(p)
             assert key.setdefault(joined[p:p + 50], g) == g
     assert len(seen) == sum(max(0, len(x) - 49) for x in raws)
+
+
+def packed_contexts(rows):
+    raws = [t.encode() for _, t in rows]
+    begins = [sum(map(len, raws[:i])) for i in range(len(raws))]
+    text, _, first, stop = suffix_dedup.contexts_of(raws)
+    joined = b"".join(raws)
+    pieces = [joined[a:b + 49] for a, b in zip(first, stop, strict=True)]
+    base = np.array(begins, np.int64)[text]
+    return suffix_dedup._pack(np.array([i for i, _ in rows], np.int64)[text], first - base, stop - first, pieces), len(pieces)
+
+
+@pytest.mark.parametrize("rows,chunk", [(16, 16), (300, 200), (1 << 17, 1 << 18)])
+def test_shard_in_blocks(rows, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows)
+    monkeypatch.setattr(induced_sort, "CHUNK", chunk)
+    r = random.Random(rows)
+    phrase = "".join(r.choice("abcdef ") for _ in range(90))
+    texts = [(i, phrase[r.randrange(30):][:r.randrange(50, 90)] * r.randrange(1, 3) + str(r.random()) + phrase[:60] + "".join(r.choice("ab") for _ in range(70)))
+             for i in range(60)] + [(i, phrase * 2) for i in range(60, 90)]
+    batch = pa.RecordBatch.from_arrays([pa.nulls(4, pa.int64())] * 3 + [pa.array([packed_contexts(texts[i::4])[0] for i in range(4)], pa.binary())],
+                                       ["doc_id", "first", "stop", "contexts"])
+    found = pa.Table.from_batches(list(suffix_dedup._settle(iter([batch]))))
+    spans = suffix_dedup._spans(found)
+    got = []
+    for i, t in texts:
+        left, runs = suffix_dedup.cut(t.encode(), spans.get(i, []))
+        got.append((i, len(t), len(t) - len(left), runs, hashlib.sha256(left).hexdigest()))
+    assert got == brute(texts)
+
+
+def test_shard_keeps_no_contexts_in_memory():
+    r = random.Random(3)
+    packed = [packed_contexts([(i, "".join(r.choice("abcdefgh ") for _ in range(20_000)))]) for i in range(40)]
+    with induced_sort.InducedSorter(50) as sorter:
+        shard = suffix_dedup._Shard(sorter)
+        tracemalloc.start()
+        for p, _ in packed:
+            shard.add(p)
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+    assert held < 50 * sum(n for _, n in packed)
+
+
+def test_shards_follow_the_input(spark, monkeypatch):
+    few = suffix_dedup._groups(docs(spark, ["x" * 1000]))
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 10)
+    assert suffix_dedup._groups(docs(spark, ["x" * 1000])) == (few[0], 100) and few[1] < 100
