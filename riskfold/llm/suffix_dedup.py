@@ -1,4 +1,4 @@
-"""Removal of repeated byte passages by suffix sorting.
+"""Removal of repeated byte passages by value and by suffix sorting.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a
 document with a smaller doc_id.  Matches never cross documents.
@@ -22,8 +22,9 @@ windows picked it.
    executor's disk while it runs.  All contexts of one gram are in one shard.
 4. Each document's repeated windows are joined to spans and cut.
 
-Only the shards decide what is a match; steps 1 and 2 choose what they see
-and leave out only windows that certainly occur in one document.
+Step 1 leaves out only windows that certainly occur in one document.  Equal
+contexts are collapsed by value, in step 2 within a group and in step 3
+within a shard; the sorted suffixes decide contexts that overlap in part.
 
 Defined cases: null text is empty; texts shorter than LENGTH are kept whole;
 of rows with the same doc_id none counts as the smaller document; rows
