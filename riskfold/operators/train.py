@@ -1,32 +1,32 @@
 """Tree ensembles with Spark ML.
 
 The learners are ``pyspark.ml`` random forests and gradient-boosted trees;
-every fit and transform is distributed.  Driver-side loops run over folds,
-models and grid points (a handful), never over data.  Inputs are the
-aligned feature table (30 DOUBLE features + INT label); the assembled table
-is written once under the checkpoint directory so repeated fits read it
-instead of recomputing the parse that produced it.
+every fit and transform is distributed.  The folds, models and grid points of
+a run (a few dozen fits) share one assembled table, written once, and are
+fitted side by side (``riskfold.operators.fits``).  What the models say of
+rows they have not seen is written too, each row once, and all metrics are
+aggregates over that relation.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
-from typing import Any
+from collections.abc import Hashable, Sequence
+from itertools import product
+from typing import Any, NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.operators import dataset as ds
 from riskfold.operators import evaluate as ev
+from riskfold.operators.fits import Fit, Part, TrainingTable, side_by_side
 from riskfold.schema import FEATURE_NAMES
 from riskfold.session import cut_lineage
 
@@ -71,7 +71,9 @@ def get_model(name: str, **overrides: Any):
         rf = RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=int(p["n_estimators"]),
             maxDepth=int(p["max_depth"]), minInstancesPerNode=min_leaf,
-            featureSubsetStrategy="sqrt", seed=int(p["random_state"]))
+            featureSubsetStrategy="sqrt", seed=int(p["random_state"]),
+            # the node that each row has come to is kept, not found again from the root
+            cacheNodeIds=True)
         if p.get("class_weight") == "balanced":
             rf.setWeightCol(WEIGHT_COL)
         return rf
@@ -92,9 +94,47 @@ def _prepare(df: DataFrame) -> DataFrame:
     return ds.with_class_weight(ds.align(df, keep=keep), WEIGHT_COL)
 
 
+def fit_all(table: TrainingTable, todo: Sequence[Fit], parallelism: int = 8) -> dict[Hashable, PipelineModel]:
+    """Fits every model of ``todo`` on its part of ``table``, side by side."""
+    spark = table.table.sparkSession
+
+    def one(job: Fit) -> PipelineModel:
+        if len(todo) > 1 < parallelism:  # in a thread of its own
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{job.key}")
+        model = get_model(job.name, **job.params).fit(table.weighted(job.part, WEIGHT_COL))
+        return PipelineModel([assembler(), model])
+
+    return dict(zip((job.key for job in todo), side_by_side(spark, one, todo, parallelism)))
+
+
+def training_table(data: DataFrame, **kwargs: Any) -> TrainingTable:
+    return TrainingTable(data, assembler().transform, **kwargs)
+
+
 def fit(train: DataFrame, name: str, **overrides: Any) -> PipelineModel:
     """Fit assembler + classifier on an aligned training table."""
-    return Pipeline(stages=[assembler(), get_model(name, **overrides)]).fit(_prepare(train))
+    return fit_all(training_table(train), [Fit(name, name, overrides)])[name]
+
+
+def score_vectors(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``score`` and ``prediction`` for rows that hold ``features``."""
+    out = model.stages[-1].transform(rows)
+    return (out.withColumn("score", vector_to_array(F.col("probability"))[1])
+            .withColumn("prediction", F.col("prediction").cast("int"))
+            .drop("features", "rawPrediction", "probability"))
+
+
+def held_out(table: TrainingTable, models: dict[tuple, PipelineModel], parts: dict[tuple, Part],
+             key_names: Sequence[str]) -> DataFrame:
+    """One written relation of what each model says of the rows of its part:
+    the key columns, the id, ``split``, ``fold``, ``label``, ``score``,
+    ``prediction``."""
+    said: DataFrame | None = None
+    for key, part in parts.items():
+        rows = score_vectors(models[key], table.rows(part))
+        rows = rows.select(*[F.lit(k).alias(n) for n, k in zip(key_names, key)], *table.ids, "split", "fold", "label", "score", "prediction")
+        said = rows if said is None else said.unionByName(rows)
+    return cut_lineage(said, "held-out")
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -119,53 +159,72 @@ def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
     return importances.orderBy(*w_order).limit(n)
 
 
+def out_of_fold(data: DataFrame, names: Sequence[str] = ("random_forest",), folds: int = 5, seed: str = "42",
+                id_col: str | Sequence[str] | None = None, parallelism: int = 8,
+                overrides: dict[str, dict] | None = None) -> DataFrame:
+    """M8: every row of ``data`` scored once for each model, by the fit that
+    did not see it: (model, id columns, fold, label, score, prediction)."""
+    table = training_table(data, folds=folds, seed=seed, id_col=id_col)
+    todo = [Fit((name, k), name, (overrides or {}).get(name, {}), Part("train", but_fold=k)) for name in names for k in range(folds)]
+    models = fit_all(table, todo, parallelism)
+    parts = {(name, k): Part("train", fold=k) for name in names for k in range(folds)}
+    return held_out(table, models, parts, ["model"]).drop("split")
+
+
 def cross_validate(data: DataFrame, name: str, folds: int = 5, seed: str = "42", id_col: str | Sequence[str] | None = None,
-                   parallelism: int = 4, **overrides: Any) -> tuple[DataFrame, DataFrame]:
+                   parallelism: int = 8, **overrides: Any) -> tuple[DataFrame, DataFrame]:
     """M8: stratified k-fold CV.  Returns (per-fold metrics, summary with
-    mean and population std of every metric).  Fold fits are submitted
-    from ``parallelism`` driver threads as concurrent Spark jobs (each fit
-    is itself distributed)."""
-    from concurrent.futures import ThreadPoolExecutor
+    mean and population std of every metric), both aggregates over the
+    out-of-fold predictions."""
+    said = out_of_fold(data, [name], folds, seed, id_col, parallelism, {name: overrides})
+    per_fold = ev.fold_metrics(said, ["fold"])
+    return per_fold, ev.cv_summary(ev.metrics_long(per_fold, ["fold"]), [])
+
+
+def grid_points(grid: dict[str, list]) -> list[dict[str, Any]]:
+    """All combinations; parameters in the order of their names, the last one
+    varying fastest."""
+    names = sorted(grid)
+    return [dict(zip(names, values)) for values in product(*[grid[n] for n in names])]
+
 
-    from pyspark.util import inheritable_thread_target
+class GridSearch(NamedTuple):
+    model: PipelineModel        # the best point, fitted on all rows
+    params: dict[str, Any]      # its parameters
+    results: DataFrame          # (point, params, fold, f1): each point on each fold
+    ranking: DataFrame          # (point, params, mean_f1, std_f1, rank): rank 1 is the best
 
-    assigned = cut_lineage(ds.stratified_folds(data, id_col, folds, seed))
 
-    @inheritable_thread_target
-    def one_fold(k: int) -> DataFrame:
-        model = fit(assigned.where(F.col("fold") != k), name, **overrides)
-        return predict(model, _prepare(assigned.where(F.col("fold") == k)))
+def rank_points(results: DataFrame) -> DataFrame:
+    """Points by their mean weighted F1 over the folds, best first; of equal
+    means (to twelve digits, so that summing order does not matter) the point
+    listed first.  One row a grid point, so the window is small."""
+    from pyspark.sql import Window
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, folds))) as pool:
-        fold_preds = list(pool.map(one_fold, range(folds)))
-    preds = fold_preds[0]
-    for p in fold_preds[1:]:
-        preds = preds.unionByName(p)
-    per_fold = ev.fold_metrics(preds, ["fold"])
-    summary = ev.cv_summary(ev.metrics_long(per_fold, ["fold"]), [])
-    return per_fold, summary
+    mean = results.groupBy("point", "params").agg(F.round(F.avg("f1"), 12).alias("mean_f1"), F.round(F.stddev_pop("f1"), 12).alias("std_f1"))
+    return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_f1"), F.asc("point"))))
 
 
 def grid_search(train: DataFrame, name: str, folds: int = 3, seed: str = "42", id_col: str | Sequence[str] | None = None,
-                grid: dict[str, list] | None = None, parallelism: int = 2) -> PipelineModel:
-    """M9: exhaustive grid over the reference grid (weighted F1, stratified
-    folds), refitting the best point on all of ``train``."""
-    grid = grid or PARAM_GRIDS[name]
-    est = get_model(name)
-    names = {"n_estimators": "numTrees" if name == "random_forest" else "maxIter", "max_depth": "maxDepth",
-             "min_samples_split": "minInstancesPerNode", "learning_rate": "stepSize"}
-    builder = ParamGridBuilder()
-    for key, values in grid.items():
-        param = est.getParam(names[key])
-        if key == "min_samples_split":
-            values = [max(1, int(v) // 2) for v in values]
-        builder = builder.addGrid(param, values)
-    assigned = cut_lineage(_prepare(ds.stratified_folds(train, id_col, folds, seed)))
-    cv = CrossValidator(
-        estimator=Pipeline(stages=[assembler(), est]), estimatorParamMaps=builder.build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="f1"),
-        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=int(seed))
-    return cv.fit(assigned).bestModel
+                grid: dict[str, list] | None = None, parallelism: int = 8) -> GridSearch:
+    """M9: every point of the grid (the reference's by default) on stratified
+    folds by weighted F1; the best point is fitted on all of ``train``.  What
+    each fit says of its left-out fold is one written relation, and results,
+    ranking and best point are queries over it."""
+    points = grid_points(grid or PARAM_GRIDS[name])
+    table = training_table(train, folds=folds, seed=seed, id_col=id_col)
+    todo = [Fit((p, k), name, params, Part("train", but_fold=k)) for p, params in enumerate(points) for k in range(folds)]
+    models = fit_all(table, todo, parallelism)
+    said = held_out(table, models, {(p, k): Part("train", fold=k) for p in range(len(points)) for k in range(folds)}, ["point"])
+    spark = train.sparkSession
+    named = spark.createDataFrame([(p, json.dumps(params, sort_keys=True)) for p, params in enumerate(points)], "point int, params string")
+    # a row for each point and fold
+    f1 = ev.class_metrics(said, ["point", "fold"]).select("point", "fold", F.col("f1_weighted").alias("f1"))
+    results = cut_lineage(f1.join(F.broadcast(named), "point").select("point", "params", "fold", "f1"), "grid")
+    ranking = rank_points(results)
+    best = points[ranking.where(F.col("rank") == 1).first()["point"]]
+    model = fit_all(table, [Fit("best", name, best, Part("train"))])["best"]
+    return GridSearch(model, best, results, ranking)
 
 
 def evaluate_model(model: PipelineModel, test: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
@@ -181,36 +240,49 @@ def evaluate_model(model: PipelineModel, test: DataFrame, top_n: int = 10) -> di
 
 def run_training(data: DataFrame, model_names: list[str] | None = None, folds: int = 5, test_size: float = 0.2,
                  seed: str = "42", id_col: str | Sequence[str] | None = None, use_grid_search: bool = False,
-                 overrides: dict[str, dict] | None = None, model_dir: str | None = None) -> dict[str, Any]:
+                 overrides: dict[str, dict] | None = None, model_dir: str | None = None,
+                 parallelism: int = 12) -> dict[str, Any]:
     """Split, cross-validate, fit and test every model; the best test
-    weighted F1 wins (strictly greater, so the first listed wins ties).  With
-    ``model_dir`` the winner is saved there with its feature order, its test
-    and cross-validation metrics and the test metrics of every model."""
-    model_names = model_names or ["random_forest", "gradient_boosting"]
+    weighted F1 wins (strictly greater, so the first listed wins ties).  All
+    fits run side by side.  ``predictions`` of the result is the written
+    relation of out-of-fold and test predictions that every metric is an
+    aggregate of.  With ``model_dir`` the winner is saved there with its
+    feature order, its test and cross-validation metrics and the test metrics
+    of every model."""
+    names = model_names or ["random_forest", "gradient_boosting"]
     overrides = overrides or {}
-    # written once, so that the ranks of the split do not evaluate it twice
-    split = cut_lineage(ds.stratified_split(cut_lineage(data, "training"), id_col, test_size, seed))
-    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    table = training_table(data, folds=folds, test_size=test_size, seed=seed, id_col=id_col)
+    cv = {(name, k): Part("train", fold=k) for name in names for k in range(folds)}
+    # the longest fits first; all folds and final models in one go
+    todo = [] if use_grid_search else [Fit((name, None), name, overrides.get(name, {}), Part("train")) for name in reversed(names)]
+    todo += [Fit((name, k), name, overrides.get(name, {}), Part("train", but_fold=k)) for name in reversed(names) for k in range(folds)]
+    models = fit_all(table, todo, parallelism)
     results: dict[str, Any] = {}
-    best_name, best_f1, best_model = None, -1.0, None
-    for name in model_names:
-        _, cv_summary = cross_validate(train.drop("split"), name, folds, seed, id_col, **overrides.get(name, {}))
-        if use_grid_search:
-            model = grid_search(train.drop("split"), name, 3, seed, id_col)
-        else:
-            model = fit(train, name, **overrides.get(name, {}))
-        test_metrics = ev.fold_metrics(predict(model, _prepare(test)), [])
-        row = test_metrics.first().asDict()  # one row of 12 numbers
-        results[name] = {"cv_summary": cv_summary, "test_metrics": row, "model": model}
-        if row["f1"] > best_f1:
-            best_name, best_f1, best_model = name, row["f1"], model
-    results["best_model"] = best_name
-    results["best_model_instance"] = best_model
+    if use_grid_search:
+        train = table.rows(Part("train"))
+        plain = train.select(*table.ids, "label", *[vector_to_array("features")[i].alias(f) for i, f in enumerate(FEATURE_NAMES)])
+        for name in names:
+            results[name] = {"grid": grid_search(plain, name, 3, seed, id_col, parallelism=parallelism)}
+            models[name, None] = results[name]["grid"].model
+    parts = {**cv, **{(name, None): Part("test") for name in names}}
+    said = held_out(table, models, parts, ["model"])
+    per_fold = ev.fold_metrics(said.where(F.col("split") == "train"), ["model", "fold"])
+    summary = cut_lineage(ev.cv_summary(ev.metrics_long(per_fold, ["model", "fold"]), ["model"]), "cv")
+    tested = {r["model"]: r.asDict() for r in ev.fold_metrics(said.where(F.col("split") == "test"), ["model"]).collect()}  # a row a model
+    best_name, best_f1 = None, -1.0
+    for name in names:
+        row = {m: v for m, v in tested.get(name, dict.fromkeys(ev.METRIC_NAMES)).items() if m != "model"}
+        results[name] = results.get(name, {}) | {
+            "cv_summary": summary.where(F.col("model") == name).drop("model"), "test_metrics": row, "model": models[name, None]}
+        if (row["f1"] or 0.0) > best_f1:
+            best_name, best_f1 = name, row["f1"] or 0.0
+    best_model = models[best_name, None]
+    results |= {"best_model": best_name, "best_model_instance": best_model, "predictions": said}
     if model_dir is not None:
-        cv = [r.asDict() for r in results[best_name]["cv_summary"].collect()]  # a row per metric
+        cv_rows = [r.asDict() for r in results[best_name]["cv_summary"].collect()]  # a row per metric
         save_model(best_model, model_dir, {
-            "best_model": best_name, "test": results[best_name]["test_metrics"], "cross_validation": cv,
-            "all_models": {n: results[n]["test_metrics"] for n in model_names}})
+            "best_model": best_name, "test": results[best_name]["test_metrics"], "cross_validation": cv_rows,
+            "all_models": {n: results[n]["test_metrics"] for n in names}})
     return results
 
 
@@ -218,7 +290,7 @@ def metrics_table(results: dict[str, Any], spark: SparkSession) -> DataFrame:
     """Long test-metric table (model, model_pos, metric, value) of a
     training run (a few dozen rows)."""
     rows = []
-    names = [n for n in results if n not in ("best_model", "best_model_instance")]
+    names = [n for n in results if isinstance(results[n], dict)]
     for pos, n in enumerate(names):
         for m, v in results[n]["test_metrics"].items():
             rows.append((n, pos, m, None if v is None else float(v)))

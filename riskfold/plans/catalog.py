@@ -376,32 +376,57 @@ def synthetic_dataset(spark, sf_dir):
                     "label")
 
 
-# --- M1-M3, M5, M8-M11, E9, P1: training and scoring (rows-only) ---------------
+# --- M1-M3, M5, M8-M11, E9, P1: training and scoring ---------------------------
 # Models, folds and grid are the reference's (``train.MODEL_DEFAULTS``,
 # ``train.PARAM_GRIDS``), fitted on all labelled training rows.
 
+KNOWN_FEATURE, KNOWN_LEAST = "num_global_variables", 3
 
-def _train_test(spark, sf_dir):
+
+def known_dataset(spark, sf_dir):
+    """Every parsed T1 file, labelled by one of its own features (the
+    module binds three global names or more).  SQL knows the label from the
+    part table, and so what a learner must say that has learned it."""
+    from pyspark.sql import functions as F
+
+    label = (F.col(KNOWN_FEATURE) >= KNOWN_LEAST).cast("int")
+    return ds.align(t1_features(spark, sf_dir).withColumn("label", label), keep=FILE_ID)
+
+
+def _train_test(spark, sf_dir, data=None):
     from pyspark.sql import functions as F
 
     from riskfold.session import cut_lineage
 
-    data = cut_lineage(labelled_dataset(spark, sf_dir), "labelled")
+    data = cut_lineage(labelled_dataset(spark, sf_dir) if data is None else data, "labelled")
     split = cut_lineage(ds.stratified_split(data, FILE_ID, 0.2))
     return split.where(F.col("split") == "train").drop("split"), split.where(F.col("split") == "test").drop("split")
 
 
-@register("cv_random_forest")
+@register("cv_random_forest", orc.known_cv_summary(5))
 def cv_random_forest(spark, sf_dir):
-    train, _ = _train_test(spark, sf_dir)
+    train, _ = _train_test(spark, sf_dir, known_dataset(spark, sf_dir))
     _, summary = tr.cross_validate(train, "random_forest", 5)
     return summary
 
 
-@register("model_test_metrics")
+@register("out_of_fold_predictions", orc.known_out_of_fold(5))
+def out_of_fold_predictions(spark, sf_dir):
+    """M8: every labelled file, scored once, by the forest that did not see
+    it; ``times`` counts its rows in the written relation."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    said = tr.out_of_fold(known_dataset(spark, sf_dir), ["random_forest"], 5)
+    times = F.count(F.lit(1)).over(Window.partitionBy("repo", "path"))  # a file is one row
+    return said.select("model", "repo", "path", "label", "fold", "prediction", F.col("score").between(0, 1).alias("is_share"),
+                       times.alias("times"))
+
+
+@register("model_test_metrics", orc.known_test_metrics(["random_forest", "gradient_boosting"]))
 def model_test_metrics(spark, sf_dir):
-    data = labelled_dataset(spark, sf_dir)
-    res = tr.run_training(data, ["random_forest", "gradient_boosting"])
+    """Both models, five folds each, and the final fits in one run."""
+    res = tr.run_training(known_dataset(spark, sf_dir), ["random_forest", "gradient_boosting"])
     return tr.metrics_table(res, spark)
 
 
@@ -412,37 +437,92 @@ def feature_importance(spark, sf_dir):
     return tr.top_features(tr.feature_importance(model, spark), 15)
 
 
-@register("grid_search_random_forest")
+@register("first_important_feature", orc.known_first_feature(KNOWN_FEATURE, 10))
+def first_important_feature(spark, sf_dir):
+    """The feature that makes the label leads the ranking; importances
+    fall from rank to rank and those of all features add up to one."""
+    from pyspark.sql import functions as F
+
+    train, _ = _train_test(spark, sf_dir, known_dataset(spark, sf_dir))
+    everything = tr.feature_importance(tr.fit(train, "random_forest"), spark)  # thirty rows
+    top = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("least"), "idx", "feature")))
+    shares = F.transform(top, lambda x: -x["least"])
+    return everything.agg(
+        top[0]["feature"].alias("feature"), F.size(F.slice(top, 1, 10)).alias("n_listed"),
+        (F.abs(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        (shares[0] > 2 * shares[1]).alias("leads"), F.count(F.lit(1)).alias("n_features"))
+
+
+@register("grid_search_random_forest", orc.known_grid(3))
 def grid_search_random_forest(spark, sf_dir):
-    train, test = _train_test(spark, sf_dir)
-    model = tr.grid_search(train, "random_forest", 3)
-    return tr.evaluate_model(model, test)["metrics"]
+    """M9: the eight points of the grid in their ranking, and the test metrics
+    of the best one, fitted on all training rows."""
+    from pyspark.sql import functions as F
+
+    train, test = _train_test(spark, sf_dir, known_dataset(spark, sf_dir))
+    found = tr.grid_search(train, "random_forest", 3)
+    tested = tr.evaluate_model(found.model, test)["metrics"].select(
+        F.lit(1).alias("rank"), F.col("accuracy").alias("test_accuracy"), F.col("f1").alias("test_f1"), F.col("roc_auc").alias("test_auc"))
+    return found.ranking.join(F.broadcast(tested), "rank", "left")  # a row a point
 
 
-@register("evaluate_held_out")
+@register("evaluate_held_out", orc.known_report())
 def evaluate_held_out(spark, sf_dir):
-    train, test = _train_test(spark, sf_dir)
+    train, test = _train_test(spark, sf_dir, known_dataset(spark, sf_dir))
     model = tr.fit(train, "gradient_boosting")
     return tr.evaluate_model(model, test)["report"]
 
 
-@register("score_corpus")
-def score_corpus(spark, sf_dir):
-    """P1 + P4: train on the labelled files, then score every parsed file
-    with its risk level and top-3 factors."""
+def _scored_corpus(spark, sf_dir):
+    """Every parsed file with the score of a forest fitted on the labelled
+    ones, and the three factors of that forest.  Files are parsed once: the
+    same feature table feeds training and scoring."""
     from pyspark.sql import functions as F
 
     from riskfold.session import cut_lineage
 
-    # parse once: the same feature table feeds training and scoring
     features = cut_lineage(t1_features(spark, sf_dir))
     split = cut_lineage(ds.stratified_split(labelled_dataset(spark, sf_dir, features), FILE_ID, 0.2))
     model = tr.fit(split.where(F.col("split") == "train").drop("split"), "random_forest")
     factors = sc.top_factor_names(tr.feature_importance(model, spark), 3)
-    scored = tr.score_files(model, features)
+    return tr.score_files(model, features), factors
+
+
+@register("score_corpus")
+def score_corpus(spark, sf_dir):
+    """P1 + P4: train on the labelled files, then score every parsed file
+    with its risk level and top-3 factors."""
+    scored, factors = _scored_corpus(spark, sf_dir)
     return sc.scored_report(scored, factors)
 
 
+@register("scored_corpus_proof", orc.scored_corpus_proof())
+def scored_corpus_proof(spark, sf_dir):
+    """P1 + P4, file by file: whether level and flag follow from the unrounded
+    score, the reported score is it rounded, each factor's value is the file's
+    own, and the factors are the same three of every file."""
+    from pyspark.sql import functions as F
+
+    from riskfold.session import cut_lineage
+
+    scored, factors = _scored_corpus(spark, sf_dir)
+    scored = cut_lineage(scored, "scored")
+    report = sc.scored_report(scored, factors)
+    s, names = F.col("score"), [name for name, _ in factors]
+    level = F.element_at(F.array(*[F.lit(x) for x in ("Low", "Medium", "High", "Critical")]),
+                         (s >= 0.3).cast("int") + (s >= 0.6).cast("int") + (s >= 0.8).cast("int") + 1)
+    own = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    said = F.transform("top_factors", lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value")))
+    shares = F.col("top_factors.importance")
+    facts = scored.select("repo", F.col("path").alias("file_path"), "score", level.alias("level"), own.alias("own"), "total_lines")
+    both = report.join(facts, ["repo", "file_path"])
+    return both.select(
+        "repo", F.col("file_path").alias("path"), s.between(0, 1).alias("is_share"), (F.col("risk_level") == F.col("level")).alias("level_follows"),
+        (F.col("flagged") == (s >= 0.6)).alias("flag_follows"), (F.abs(F.col("risk_score") - s) <= 0.00005000001).alias("rounded"),
+        (said == F.col("own")).alias("own_values"), ((shares[0] >= shares[1]) & (shares[1] >= shares[2])).alias("ranked"),
+        (F.col("features.total_lines") == F.col("total_lines")).alias("own_features"))
+
+
 @register("roc_trapezoid_auc", orc.roc_trapezoid_auc())
 def roc_trapezoid_auc(spark, sf_dir):
     from pyspark.sql import functions as F

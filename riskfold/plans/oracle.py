@@ -823,3 +823,65 @@ def mined_dataset() -> str:
     return f"""WITH {T1_FEATURES_CTE},
 {lc}
 SELECT f.repo, f.path, {cols}, l.label FROM t1_features f JOIN labels l ON l.repo = f.repo AND l.path = f.path"""
+
+
+# --- T7: a label that the features decide -------------------------------------
+# A learner that has learned it says the label itself, with the greater score
+# for the greater label, so every metric of it follows from the rows alone.
+
+def _t7_cte(test_size: float = 0.2, folds: int | None = None, of_train: bool = True) -> str:
+    rank = f"row_number() OVER (PARTITION BY label ORDER BY {_md5_key("repo || '/' || path")}, repo, path)"
+    folded = ""
+    if folds:
+        rows = "t7s WHERE split = 'train'" if of_train else "t7"
+        folded = f""",
+t7f AS (SELECT repo, path, label, label AS prediction, CAST(label AS DOUBLE) AS score, CAST(({rank} - 1) % {folds} AS INTEGER) AS fold FROM {rows})"""
+    return f"""{T1_PARAMS},
+t7 AS (SELECT repo, path, CAST(NOT broken AND G >= 3 AS INTEGER) AS label FROM t1_r),
+t7r AS (SELECT *, {rank} AS rk, count(*) OVER (PARTITION BY label) AS n_label FROM t7),
+t7s AS (SELECT repo, path, label, CASE WHEN rk <= round({test_size} * n_label) THEN 'test' ELSE 'train' END AS split FROM t7r),
+t7t AS (SELECT repo, path, label, label AS prediction, CAST(label AS DOUBLE) AS score FROM t7s WHERE split = 'test'){folded}"""
+
+
+def known_cv_summary(folds: int) -> str:
+    unions = "\nUNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM fm" for m in FOLD_METRICS)
+    return f"""WITH {_t7_cte(folds=folds)}, {_metrics_cte('t7f', ['fold'])}, {_auc_cte('t7f', ['fold'])},
+fm AS (SELECT mt.fold, {FOLD_COLS} FROM mt JOIN auc ON auc.fold = mt.fold),
+lg AS ({unions})
+SELECT metric, {r6(xmean("value"))} AS mean, {r6("stddev_pop(value)")} AS std, CAST(count(*) AS BIGINT) AS n_folds FROM lg GROUP BY metric"""
+
+
+def known_out_of_fold(folds: int) -> str:
+    return f"""WITH {_t7_cte(folds=folds, of_train=False)}
+SELECT 'random_forest' AS model, repo, path, label, fold, prediction, true AS is_share, CAST(1 AS BIGINT) AS times FROM t7f"""
+
+
+def known_test_metrics(models: list[str]) -> str:
+    rows = "\nUNION ALL ".join(f"SELECT '{name}' AS model, {pos} AS model_pos, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM fm"
+                               for pos, name in enumerate(models) for m in FOLD_METRICS)
+    return f"""WITH {_t7_cte()}, {_metrics_cte('t7t', [])}, {_auc_cte('t7t', [])},
+fm AS (SELECT {FOLD_COLS} FROM mt, auc)
+SELECT model, CAST(model_pos AS INTEGER) AS model_pos, metric, value FROM ({rows})"""
+
+
+def known_first_feature(feature: str, listed: int) -> str:
+    return f"""SELECT '{feature}' AS feature, {listed} AS n_listed, true AS sums_to_one, true AS leads, CAST(30 AS BIGINT) AS n_features"""
+
+
+def known_grid(folds: int) -> str:
+    """All points learn the label, so the ranking is the order of the points."""
+    points = [(d, m, n) for d in (10, 15) for m in (5, 10) for n in (100, 200)]
+    rows = ", ".join(f"""({i}, '{{"max_depth": {d}, "min_samples_split": {m}, "n_estimators": {n}}}')""" for i, (d, m, n) in enumerate(points))
+    return f"""SELECT CAST(i AS INTEGER) AS point, params, 1.0::DOUBLE AS mean_f1, 0.0::DOUBLE AS std_f1, CAST(i + 1 AS INTEGER) AS rank,
+       CASE WHEN i = 0 THEN 1.0::DOUBLE END AS test_accuracy, CASE WHEN i = 0 THEN 1.0::DOUBLE END AS test_f1,
+       CASE WHEN i = 0 THEN 1.0::DOUBLE END AS test_auc FROM (VALUES {rows}) AS p(i, params)"""
+
+
+def known_report() -> str:
+    return classification_report().replace(f"WITH {T4_CTE}, {_metrics_cte('t4p', [])}", f"WITH {_t7_cte()}, {_metrics_cte('t7t', [])}")
+
+
+def scored_corpus_proof() -> str:
+    return f"""WITH {T1_PARAMS}
+SELECT repo, path, true AS is_share, true AS level_follows, true AS flag_follows, true AS rounded, true AS own_values,
+       true AS ranked, true AS own_features FROM t1_r"""

@@ -3,11 +3,17 @@ generated, separable feature table."""
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from riskfold.operators import dataset as ds
+from riskfold.operators import evaluate as ev
+from riskfold.operators import fits
 from riskfold.operators import train as tr
+from riskfold.session import cut_lineage
 from riskfold.sources.generate import generate_dataset
 
 
@@ -91,48 +97,156 @@ def test_top_factors_follow_importance(spark):
     assert [(x["feature"], x["value"], x["importance"]) for x in row] == [("b", 2.0, 0.5), ("c", 3.0, 0.5)]
 
 
-def test_grid_search_and_held_out_evaluation(spark, data):
-    model = tr.grid_search(data, "random_forest", 2, id_col="path", grid={"n_estimators": [3, 5], "max_depth": [2]})
-    out = tr.evaluate_model(model, data, top_n=5)
+def noisy(spark, n=240):
+    """Rows whose label the features only partly decide, with an odd id."""
+    d = generate_dataset(spark, n, 0.4, seed="9").withColumn("path", F.concat(F.lit("g/"), F.col("id")))
+    d = d.withColumn("label", F.when(F.col("id") % 5 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    return d.withColumn("repo", F.when(F.col("id") % 3 > 0, F.concat(F.lit("r"), F.col("id") % 3)))
+
+
+def plain_f1(rows):
+    """Weighted F1 of (label, prediction) pairs."""
+    total = 0.0
+    for c in (0, 1):
+        tp = sum(y == p == c for y, p in rows)
+        wrong = sum(y != p and c in (y, p) for y, p in rows)
+        total += sum(y == c for y, _ in rows) * (2 * tp / (2 * tp + wrong) if tp + wrong else 0.0)
+    return total / len(rows)
+
+
+def test_grid_search_and_held_out_evaluation(spark):
+    data = cut_lineage(noisy(spark))
+    found = tr.grid_search(data, "random_forest", 2, grid={"n_estimators": [1, 5], "max_depth": [1, 4]})
+    results = found.results.collect()
+    points = [{"max_depth": d, "n_estimators": n} for d in (1, 4) for n in (1, 5)]
+    assert sorted((r.point, r.fold) for r in results) == [(p, k) for p in range(4) for k in range(2)]
+    assert all(json.loads(r.params) == points[r.point] for r in results)
+    mean = [sum(r.f1 for r in results if r.point == p) / 2 for p in range(4)]
+    assert len(set(mean)) > 1  # the points differ, so the choice says something
+    order = sorted(range(4), key=lambda p: (-round(mean[p], 12), p))
+    ranking = {r.rank: r for r in found.ranking.collect()}
+    assert [ranking[i + 1].point for i in range(4)] == order
+    assert all(abs(ranking[i + 1].mean_f1 - mean[p]) < 1e-9 for i, p in enumerate(order))
+    # the chosen point is the argmax, and what was fitted has its parameters
+    assert found.params == points[order[0]]
+    forest = found.model.stages[-1]
+    assert forest.getNumTrees == found.params["n_estimators"] and forest.getOrDefault("maxDepth") == found.params["max_depth"]
+    out = tr.evaluate_model(found.model, data, top_n=5)
     m = out["metrics"].first()
     assert 0.0 <= m["accuracy"] <= 1.0 and m["roc_auc"] is not None
     assert [r["class"] for r in out["report"].collect()] == ["clean", "buggy", "accuracy", "macro avg", "weighted avg"]
     assert out["top_features"].count() == 5 and out["confusion"].count() == 4
 
 
+def test_equal_points_go_by_their_order(spark):
+    rows = [(p, f"p{p}", k, f1) for p, scores in enumerate([(0.5, 0.7), (0.8, 0.4), (0.7, 0.5), (0.9, 0.9)]) for k, f1 in enumerate(scores)]
+    ranking = tr.rank_points(spark.createDataFrame(rows, "point int, params string, fold int, f1 double")).orderBy("rank").collect()
+    assert [r.point for r in ranking] == [3, 0, 1, 2]
+    assert tr.grid_points({"b": [1, 2], "a": ["x", "y"]}) == [{"a": "x", "b": 1}, {"a": "x", "b": 2}, {"a": "y", "b": 1}, {"a": "y", "b": 2}]
+
+
+def test_out_of_fold_rows_are_scored_once_by_the_model_that_did_not_see_them(spark, monkeypatch):
+    data = cut_lineage(noisy(spark))
+    fits = []
+    whole = tr.fit_all
+
+    def watched(table, todo, parallelism=8):
+        for job in todo:
+            fits.append((job.key, {tuple(r) for r in table.rows(job.part).select("repo", "path").collect()}))
+        return whole(table, todo, parallelism)
+
+    monkeypatch.setattr(tr, "fit_all", watched)
+    small = {"n_estimators": 5, "max_depth": 4}
+    said = tr.out_of_fold(data, ["random_forest"], 3, overrides={"random_forest": small})
+    rows = said.collect()
+    files = {(r.repo, r.path): r.label for r in data.collect()}
+    assert len(rows) == len(files) and {(r.repo, r.path): r.label for r in rows} == files
+    folds = {(r.repo, r.path): r.fold for r in ds.stratified_folds(data, None, 3).collect()}
+    seen = {key[1]: rows for key, rows in fits}
+    for r in rows:
+        assert r.fold == folds[r.repo, r.path] and (r.repo, r.path) not in seen[r.fold]
+        assert (r.prediction == 1) == (r.score > 0.5) or r.score == 0.5
+    assert all(len(s) == sum(f != k for f in folds.values()) for k, s in seen.items())
+    # the metrics of a cross-validation are those of this relation
+    per_fold, summary = tr.cross_validate(data, "random_forest", 3, **small)
+    f1 = {r.fold: r.f1 for r in per_fold.collect()}
+    for k in range(3):
+        assert abs(f1[k] - plain_f1([(r.label, r.prediction) for r in rows if r.fold == k])) < 1e-12
+    mean = {r.metric: r.mean for r in summary.collect()}
+    assert abs(mean["f1"] - sum(f1.values()) / 3) < 1e-6
+
+
+def test_training_run_on_noisy_labels(spark, scratch):
+    data = cut_lineage(noisy(spark))
+    small = {"random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 3, "max_depth": 2}}
+    res = tr.run_training(data, folds=3, overrides=small, model_dir=scratch)
+    said = res["predictions"].collect()
+    split = {(r.repo, r.path): r.split for r in ds.stratified_split(data, None, 0.2).collect()}
+    for name in small:
+        mine = [r for r in said if r.model == name]
+        assert {(r.repo, r.path): r.split for r in mine} == split and len(mine) == len(split)
+        assert all((r.fold is None) == (r.split == "test") for r in mine)
+        test = [(r.label, r.prediction) for r in mine if r.split == "test"]
+        assert abs(res[name]["test_metrics"]["f1"] - plain_f1(test)) < 1e-12
+        assert {r.metric for r in res[name]["cv_summary"].collect()} == set(ev.METRIC_NAMES)
+    best = max(small, key=lambda n: (res[n]["test_metrics"]["f1"], n == "random_forest"))
+    assert res["best_model"] == best and res["best_model_instance"] is res[best]["model"]
+    _, _, metrics = tr.load_model(scratch)
+    assert metrics["best_model"] == best and set(metrics["all_models"]) == set(small)
+    table = tr.metrics_table(res, spark).collect()
+    assert len(table) == 24 and {r.model_pos for r in table} == {0, 1}
+
+
+def test_training_run_with_grid(spark, monkeypatch):
+    monkeypatch.setitem(tr.PARAM_GRIDS, "random_forest", {"n_estimators": [2, 3], "max_depth": [2]})
+    res = tr.run_training(cut_lineage(noisy(spark, 120)), ["random_forest"], folds=2, use_grid_search=True,
+                          overrides={"random_forest": {"n_estimators": 2, "max_depth": 2}})
+    assert res["random_forest"]["grid"].ranking.count() == 2
+    assert res["random_forest"]["model"].stages[-1].getNumTrees == res["random_forest"]["grid"].params["n_estimators"]
+
+
+def test_a_part_has_its_own_balanced_weights_and_tasks(spark):
+    data = cut_lineage(noisy(spark))
+    table = tr.training_table(data, folds=4, test_size=0.25)
+    part = fits.Part("train", but_fold=2)
+    want = {r.label: r.weight for r in ds.class_weights(table.rows(part)).collect()}
+    got = {(r.label, r.class_weight) for r in table.weighted(part, tr.WEIGHT_COL).select("label", tr.WEIGHT_COL).distinct().collect()}
+    assert {y for y, _ in got} == {0, 1} and all(abs(want[y] - w) < 1e-12 for y, w in got)
+    assert table.rows(fits.Part("train", fold=2)).count() + table.rows(part).count() == table.rows(fits.Part("train")).count()
+    assert sum(table.counts.values()) == table.rows(fits.Part()).count() == 240
+    assert [fits.tasks_for(n, 8) for n in (0, 1, 2000, 2001, 10_000, 10**6, 10**7)] == [1, 1, 1, 2, 5, 8, 50]
+    one_class = tr.training_table(data.where("label = 1"), folds=2)
+    assert one_class.weighted(fits.Part("train"), "w").select("w").distinct().collect()[0].w == 1.0
+
+
 def test_queries_fit_the_reference_models(spark, monkeypatch):
     """The registered queries cut neither trees, depth, folds nor grid."""
-    import inspect
-
     from riskfold.plans import catalog
     from tests.conftest import SF_SMALL
 
     class Seen(Exception):
         pass
 
-    def stop(name):
-        sign = inspect.signature(getattr(tr, name))
-
-        def call(*args, **kwargs):
-            bound = sign.bind(*args, **kwargs)
-            bound.apply_defaults()
-            raise Seen(name, bound.arguments)
-        return call
-
-    for name in ("fit", "cross_validate", "grid_search", "run_training"):
-        monkeypatch.setattr(tr, name, stop(name))
-    monkeypatch.setattr(catalog, "_train_test", lambda *_: (None, None))
-    wants = {"cv_random_forest": ("cross_validate", "random_forest"), "model_test_metrics": ("run_training", None),
-             "feature_importance": ("fit", "random_forest"), "grid_search_random_forest": ("grid_search", "random_forest"),
-             "evaluate_held_out": ("fit", "gradient_boosting"), "score_corpus": ("fit", "random_forest"),
-             "model_save_load": ("fit", "gradient_boosting")}
-    folds = {"cross_validate": 5, "run_training": 5, "grid_search": 3, "fit": None}
-    for query, (call, model) in wants.items():
+    def stop(table, todo, parallelism=8):
+        raise Seen(todo)
+
+    monkeypatch.setattr(tr, "fit_all", stop)
+    rf, gb = "random_forest", "gradient_boosting"
+    both = [(gb, None), (rf, None), *[(m, k) for m in (gb, rf) for k in range(5)]]
+    wants = {"cv_random_forest": [(rf, k) for k in range(5)], "out_of_fold_predictions": [(rf, k) for k in range(5)],
+             "model_test_metrics": both, "feature_importance": [rf], "first_important_feature": [rf],
+             "grid_search_random_forest": [(p, k) for p in range(8) for k in range(3)], "evaluate_held_out": [gb],
+             "score_corpus": [rf], "scored_corpus_proof": [rf], "model_save_load": [gb]}
+    for query, keys in wants.items():
         with pytest.raises(Seen) as seen:
             catalog.QUERIES[query](spark, SF_SMALL)
-        got, given = seen.value.args
-        assert (got, given.get("name")) == (call, model), query
-        assert not given.get("overrides") and not given.get("grid") and given.get("folds") == folds[call], query
-    forest, boosted = tr.MODEL_DEFAULTS["random_forest"], tr.MODEL_DEFAULTS["gradient_boosting"]
+        todo = seen.value.args[0]
+        assert [job.key for job in todo] == keys, query
+        if query == "grid_search_random_forest":
+            points = [{"max_depth": d, "min_samples_split": m, "n_estimators": n} for d in (10, 15) for m in (5, 10) for n in (100, 200)]
+            assert [job.params for job in todo] == [p for p in points for _ in range(3)]
+        else:
+            assert not any(job.params for job in todo), query
+    forest, boosted = tr.MODEL_DEFAULTS[rf], tr.MODEL_DEFAULTS[gb]
     assert (forest["n_estimators"], forest["max_depth"], boosted["n_estimators"], boosted["max_depth"]) == (200, 15, 200, 5)
-    assert tr.PARAM_GRIDS["random_forest"] == {"n_estimators": [100, 200], "max_depth": [10, 15], "min_samples_split": [5, 10]}
+    assert tr.PARAM_GRIDS[rf] == {"n_estimators": [100, 200], "max_depth": [10, 15], "min_samples_split": [5, 10]}
