@@ -55,3 +55,15 @@ def exact_mean(c: Column) -> Column:
     division: the result does not depend on summation order, so it is the
     same double on every run and in every engine."""
     return F.sum(c.cast("decimal(27,10)")).cast("double") / F.count(c)
+
+
+def half_even_text(c: Column, digits: int = 0) -> Column:
+    """A non-negative double as text with ``digits`` decimals, ties to the
+    even digit (``format_string`` rounds them up): the double times
+    10^digits, rounded by IEEE ``rint``, written as whole and decimal part."""
+    scaled = F.rint(c * F.lit(float(10 ** digits))).cast("decimal(38,0)")
+    if not digits:
+        return scaled.cast("string")
+    text = F.lpad(scaled.cast("string"), F.greatest(F.length(scaled.cast("string")), F.lit(digits + 1)), F.lit("0"))
+    whole = F.length(text) - digits
+    return F.concat(F.substring(text, F.lit(1), whole), F.lit("."), F.substring(text, whole + 1, F.lit(digits)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskfold.functions.columns import exact_mean, round_fixed
 from riskfold.functions.ordering import global_positions
-from riskfold.schema import FEATURE_NAMES
+from riskfold.schema import REPORT_FEATURES
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference for identical results).
@@ -21,8 +21,6 @@ FLAG_THRESHOLD = 0.6
 HISTOGRAM_BINS = 30
 # ---------------------------------------------------------------------------
 
-REPORT_FEATURES = [f for f in FEATURE_NAMES if f != "syntax_error"]
-
 
 def _repo(df: DataFrame) -> list[Column]:
     """A file is known by repo and path; tables of a single tree may have no repo."""

@@ -556,19 +556,170 @@ def feature_table_csv_round_trip(spark, sf_dir):
     return read_feature_table(spark, path)
 
 
-@register("report_json_round_trip", orc.report_table())
+JSON_FACTORS = [("cyclomatic_complexity", 0.5), ("comment_ratio", 0.25), ("num_global_variables", 0.125)]
+
+
+@register("report_json_round_trip", orc.report_json(JSON_FACTORS))
 def report_json_round_trip(spark, sf_dir):
-    """The nested report (features struct) as JSON lines, read back with
-    its schema and flattened to the S8 table."""
+    """The nested report (factors array, features struct) as JSON lines,
+    read back by its declared schema and flattened to the S8 table with the
+    name, value and importance of each factor."""
     from pyspark.sql import functions as F
 
-    from riskfold.sources.tables import write_report_json
+    from riskfold.sources.tables import read_report_json, write_report_json
 
-    report = sc.scored_report(scored_files(spark, sf_dir))
     path = _scratch(spark, "report-json")
-    write_report_json(report, path)
-    back = spark.read.schema(report.schema).json(path)
-    return back.select("repo", "file_path", "risk_score", "risk_level", "flagged", "features.*")
+    write_report_json(sc.scored_report(scored_files(spark, sf_dir), JSON_FACTORS), path)
+    f = F.col("top_factors")
+    factors = [f[i][c].alias(f"factor_{i + 1}_{c}") for i in range(3) for c in ("feature", "value", "importance")]
+    return read_report_json(spark, path).select(
+        "repo", "file_path", "risk_score", "risk_level", "flagged", "features.*", "error", F.size(f).alias("n_factors"), *factors)
+
+
+@register("report_csv_round_trip", orc.report_csv())
+def report_csv_round_trip(spark, sf_dir):
+    """The flat report written riskiest first over several CSV files and
+    read back by its declared schema, with the place of each row."""
+    from riskfold.schema import FLAT_REPORT
+    from riskfold.session import cut_lineage
+    from riskfold.sources.tables import read_report_csv, report_order, write_report_csv
+
+    path = _scratch(spark, "report-csv")
+    table = cut_lineage(sc.flat_report(scored_files(spark, sf_dir)), "report")  # sorting samples its input
+    write_report_csv(table, path, report_order("risk_score", "repo", "file_path"))
+    return read_report_csv(spark, path, FLAT_REPORT, "position")
+
+
+@register("batch_csv_round_trip", orc.batch_csv())
+def batch_csv_round_trip(spark, sf_dir):
+    """The batch report, written and read back in the same way."""
+    from riskfold.schema import BATCH_REPORT
+    from riskfold.session import cut_lineage
+    from riskfold.sources.tables import read_report_csv, report_order, write_report_csv
+
+    path = _scratch(spark, "batch-csv")
+    table = cut_lineage(sc.batch_csv_rows(scored_files(spark, sf_dir)), "batch")
+    write_report_csv(table, path, report_order("risk_score", "repo", "filename"))
+    return read_report_csv(spark, path, BATCH_REPORT, "position")
+
+
+SOME_REPOS = ["NATION_3", "NATION_17"]
+
+
+def _as_lines(df, columns, cut):
+    """JSON lines by repo; those that ``cut`` names are broken off."""
+    from pyspark.sql import functions as F
+
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return df.select("repo", F.when(cut, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+@register("sources_read_back", orc.sources_read_back(SOME_REPOS))
+def sources_read_back(spark, sf_dir):
+    """Sources as JSON lines in a folder for each repo, some lines broken
+    off; all of them read back, and then two repos alone."""
+    from pyspark.sql import functions as F
+
+    from riskfold.sources.files import read_sources, write_by_repo
+
+    path = _scratch(spark, "sources")
+    t1 = fx.source_files_from_part(spark, sf_dir)
+    cut = F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 101 == 0
+    write_by_repo(_as_lines(t1, ["path", "source"], cut), path, "text")
+    whole = read_sources(spark, path, "json").withColumn("scope", F.lit("all"))
+    some = read_sources(spark, path, "json", repos=SOME_REPOS).withColumn("scope", F.lit("some"))
+    n_lines = F.length("source") - F.length(F.replace("source", F.lit("\n"), F.lit("")))
+    return whole.unionByName(some).select("scope", "repo", "path", n_lines.cast("int").alias("n_lines"), "error")
+
+
+@register("history_read_back", orc.history_read_back(SOME_REPOS))
+def history_read_back(spark, sf_dir):
+    """Commits (JSON lines, some broken off) and changed files (Parquet),
+    both in a folder for each repo; every commit read back with its number of
+    changed files, then those of two repos alone."""
+    from pyspark.sql import functions as F
+
+    from riskfold.sources.files import read_commit_files, read_commits, write_by_repo
+
+    commits, files = fx.history_from_orders(spark, sf_dir)
+    at, changed_at = _scratch(spark, "commits"), _scratch(spark, "commit-files")
+    columns = ["commit_id", "message", "authored_at", "committed_at", "n_parents"]
+    write_by_repo(_as_lines(commits, columns, F.col("commit_id") % 97 == 0), at, "text")
+    write_by_repo(files, changed_at)
+
+    def scope(name, repos):
+        changed = read_commit_files(spark, changed_at, repos=repos).groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n_files"))
+        found = read_commits(spark, at, "json", repos=repos).join(changed, ["repo", "commit_id"], "left")
+        return found.select(F.lit(name).alias("scope"), "repo", "commit_id", "message", F.date_format("authored_at", "yyyy-MM-dd").alias("day"),
+                            "n_parents", "n_files", "error")
+    return scope("all", None).unionByName(scope("some", SOME_REPOS))
+
+
+@register("scanned_sources", orc.features_t1())
+def scanned_sources(spark, sf_dir):
+    """Every T1 module written as a file of its own, the directory scanned
+    (a folder for each repo), and the features of what was found."""
+    from pyspark.sql import functions as F
+
+    from riskfold.sources.files import scan_source_files
+
+    root = _scratch(spark, "tree")
+    # the writer ends each file with a line break of its own
+    t1 = fx.source_files_from_part(spark, sf_dir).select(
+        "repo", F.regexp_extract("path", "src/(.*)[.]py", 1).alias("module"), F.regexp_replace("source", "\n$", "").alias("source"))
+    t1.write.partitionBy("repo", "module").text(root)
+    found = scan_source_files(spark, root, pattern="part-*.txt", by_folder=True).select(
+        F.url_decode(F.regexp_extract("repo", "repo=(.*)", 1)).alias("repo"),
+        F.concat(F.lit("src/"), F.regexp_extract("path", "module=([^/]+)/", 1), F.lit(".py")).alias("path"), "content")
+    return feat.extract_features(found, "content").select("repo", "path", *FEATURE_NAMES)
+
+
+@register("union_of_repos", orc.union_of_repos())
+def union_of_repos(spark, sf_dir):
+    """Feature tables of three groups of repos, one without two of the
+    features, one with a column of its own, one empty, and a missing one, read
+    as a single aligned table."""
+    from pyspark.sql import functions as F
+
+    from riskfold.session import cut_lineage
+    from riskfold.sources.tables import read_feature_tables
+
+    root = _scratch(spark, "repos")
+    data = cut_lineage(labelled_dataset(spark, sf_dir), "labelled")
+    long_name = F.length("repo") > 6
+    tables = {"short": data.where(~long_name).drop("num_imports", "comment_ratio"), "long": data.where(long_name).withColumn("reviewer", F.lit("x")),
+              "none": data.where("false")}
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}")
+    return read_feature_tables(spark, [f"{root}/{name}" for name in (*tables, "missing")])
+
+
+@register("parser_isolation", orc.parser_isolation())
+def parser_isolation(spark, sf_dir):
+    """files that break the parser in every known way; each becomes a row
+    with its line counts, and none stops the others."""
+    from pyspark.sql import functions as F
+
+    f = feat.extract_features(fx.broken_files_from_part(spark, sf_dir), "content")
+    return f.select("repo", "path", "total_lines", "comment_lines", "num_global_variables", "syntax_error", F.col("error").isNotNull().alias("failed"))
+
+
+@register("recommendation_messages", orc.recommendation_messages(fx.WIDE))
+def recommendation_messages(spark, sf_dir):
+    """Rules and messages over T9, which reaches all nine rules."""
+    from pyspark.sql import functions as F
+
+    r = xp.recommendations(fx.wide_features_from_part(spark, sf_dir))
+    return r.select("repo", "path", F.array_join("rule_ids", ",").alias("rule_ids"), F.array_join("messages", "\n").alias("messages"))
+
+
+@register("status_of_wide_features", orc.status_of_wide_features(fx.WIDE))
+def status_of_wide_features(spark, sf_dir):
+    """X1 over T9, which reaches every band: files of each status."""
+    from pyspark.sql import functions as F
+
+    st = xp.feature_status(fx.wide_features_from_part(spark, sf_dir)).where(F.col("status") != "\u2014")
+    return st.groupBy("feature", "status").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @register("model_save_load", orc.model_save_load())

@@ -223,3 +223,55 @@ def model_predictions_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(flipped >= 0.5, 1).when(flipped.isNotNull(), 0).cast("int").alias("prediction"),
                     flipped.alias("score"))
     return a.unionByName(b)
+
+
+# What breaks a parser, one way per file, as bytes (SQL text for each).
+BROKEN_FILES = [
+    "'x = 1\n'",                                                            # nothing
+    "'def f():\n        x = 1\n    y = 2\n'",                               # a dedent to no earlier block
+    "concat('x = 1', chr(0), '\ny = 2\n')",                                 # a null byte
+    "concat('x = ', repeat('(', 250), '1', repeat(')', 250), '\n')",        # parentheses deeper than the tokenizer goes
+    "concat('x = ', repeat('-', 20000), '1\n')",                            # deeper than the parser's stack
+    "concat('x = ', repeat('1+', 12000), '1\n')",                           # deeper than the tree builder goes
+    "X'" + b"\xef\xbb\xbfx = 1\n".hex() + "'",                               # a byte order mark
+    "'# note\nx = \"\"\"\nno end\n'",                                       # an open string
+    "''",                                                                   # nothing at all
+]
+# bytes that are no UTF-8 (a lone surrogate, a stray byte), which are dropped
+NO_UTF8 = "X'" + b"s = '\xed\xa0\x80'\n# \xff\n".hex() + "'"
+
+
+def broken_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(repo, path, content)``, one file per part, broken in the way its
+    key says (``BROKEN_FILES``, then bytes that are no UTF-8, then no content)."""
+    from riskfold.operators.parse import spread_for_cpu
+
+    part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")))
+    ways = [*[f"CAST({text} AS BINARY)" for text in BROKEN_FILES], NO_UTF8]
+    cases = " ".join(f"WHEN k % {len(ways) + 1} = {i} THEN {content}" for i, content in enumerate(ways))
+    return part.join(_nation(spark, sf_dir), F.col("k") % 25 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("repo"), F.concat(F.lit("src/b"), F.col("k"), F.lit(".py")).alias("path"), F.expr(f"CASE {cases} END").alias("content"))
+
+
+# A feature table that reaches every band and rule; each value is SQL text
+# that Spark and the oracle read alike (values not named are zero).
+WIDE = {
+    "total_lines": "(k * 7) % 900", "cyclomatic_complexity": "(k * 5) % 41", "max_nesting_depth": "k % 9",
+    "comment_ratio": "((k * 3) % 400) / 2000.0", "docstring_coverage": "((k * 11) % 201) / 200.0",
+    "type_hint_coverage": "((k * 13) % 81) / 80.0", "avg_function_length": "((k * 17) % 240) / 2.0",
+    "max_function_length": "(k * 19) % 160", "num_global_variables": "k % 13", "num_nested_functions": "k % 8",
+    "uses_star_import": "CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END", "num_loops": "k % 23", "num_branches": "(k * 3) % 61",
+    "num_imports": "k % 37", "num_unique_imports": "k % 31", "num_functions": "k % 43", "num_classes": "k % 11",
+    "avg_nesting_depth": "((k * 7) % 28) / 4.0", "avg_identifier_length": "((k * 29) % 100) / 4.0", "num_try_except": "k % 10",
+    "num_lambda_functions": "k % 12", "num_return_statements": "k % 19", "code_lines": "(k * 5) % 700",
+}
+
+
+def wide_features_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(repo, path, <30 features>)``, one row per part."""
+    from riskfold.schema import FEATURE_NAMES, feature_type
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    values = [F.expr(WIDE.get(f, "0")).cast(feature_type(f)).alias(f) for f in FEATURE_NAMES]
+    return part.join(_nation(spark, sf_dir), F.col("k") % 25 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("repo"), F.concat(F.lit("src/w"), F.col("k"), F.lit(".py")).alias("path"), *values)

@@ -885,3 +885,135 @@ def scored_corpus_proof() -> str:
     return f"""WITH {T1_PARAMS}
 SELECT repo, path, true AS is_share, true AS level_follows, true AS flag_follows, true AS rounded, true AS own_values,
        true AS ranked, true AS own_features FROM t1_r"""
+
+
+# --- S1-S4, S7-S9, D2, F29: written, read back --------------------------------
+
+def report_json(factors: list[tuple[str, float]]) -> str:
+    feats = ", ".join(f for f in FEATURE_NAMES if f != "syntax_error")
+    listed = ", ".join(f"'{name}' AS factor_{i}_feature, CAST({name} AS DOUBLE) AS factor_{i}_value, CAST({share} AS DOUBLE) AS factor_{i}_importance"
+                       for i, (name, share) in enumerate(factors, 1))
+    return f"""WITH {scored_cte()}
+SELECT repo, path AS file_path, round_even(score, 4) AS risk_score, {_level()} AS risk_level,
+       CASE WHEN score IS NULL THEN NULL ELSE score >= 0.6 END AS flagged, {feats}, error, {len(factors)} AS n_factors, {listed} FROM scored"""
+
+
+def report_csv() -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY coalesce(risk_score, 0.0) DESC, repo, file_path) AS position FROM ({report_table()})"""
+
+
+def batch_csv() -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY risk_score DESC, repo, filename) AS position FROM ({batch_csv_rows()})"""
+
+
+def _scopes(query: str, repos: list[str]) -> str:
+    some = ", ".join(f"'{r}'" for r in repos)
+    return f"""SELECT 'all' AS scope, * FROM ({query})
+UNION ALL SELECT 'some', * FROM ({query}) WHERE repo IN ({some})"""
+
+
+def sources_read_back(repos: list[str]) -> str:
+    cut = "k % 101 = 0"
+    return f"WITH {T1_PARAMS}\n" + _scopes(f"""SELECT repo, CASE WHEN NOT {cut} THEN path END AS path,
+       CAST(CASE WHEN NOT {cut} THEN T + CAST(broken AS INTEGER) END AS INTEGER) AS n_lines,
+       CASE WHEN {cut} THEN 'malformed record' END AS error FROM t1_r""", repos)
+
+
+def history_read_back(repos: list[str]) -> str:
+    cut = "c.commit_id % 97 = 0"
+    return f"""WITH {T2_CTE},
+changed AS (SELECT repo, commit_id, CAST(count(*) AS BIGINT) AS n_files FROM t2_files GROUP BY repo, commit_id)
+""" + _scopes(f"""SELECT c.repo, CASE WHEN NOT {cut} THEN CAST(c.commit_id AS VARCHAR) END AS commit_id,
+       CASE WHEN NOT {cut} THEN message END AS message, CASE WHEN NOT {cut} THEN strftime(authored_at, '%Y-%m-%d') END AS day,
+       CASE WHEN NOT {cut} THEN n_parents END AS n_parents, CASE WHEN NOT {cut} THEN n_files END AS n_files,
+       CASE WHEN {cut} THEN 'malformed record' END AS error
+  FROM t2_commits c LEFT JOIN changed f ON f.repo = c.repo AND f.commit_id = c.commit_id""", repos)
+
+
+def union_of_repos() -> str:
+    short = "length(repo) <= 6"
+    zero = {"num_imports": short, "comment_ratio": short}
+    cols = ", ".join(f"CASE WHEN {zero[f]} THEN 0.0 ELSE {f} END AS {f}" if f in zero else f for f in FEATURE_NAMES)
+    return f"WITH {t3_cte()}\nSELECT repo, path, {cols}, label FROM t3"
+
+
+# What is known of each way of breaking a file (T8), by hand: lines, comment
+# tokens, global names, syntax error, failed.
+_BROKEN = [
+    (1, 0, 1, 0, False),  # whole
+    (3, 0, 0, 1, False),  # dedent
+    (2, 0, 0, 1, False),  # null byte
+    (1, 0, 0, 1, False),  # parentheses
+    (1, 0, 0, 0, True),   # parser stack
+    (1, 0, 0, 0, True),   # tree depth
+    (1, 0, 0, 1, False),  # byte order mark
+    (3, 1, 0, 1, False),  # open string: only the line that starts with '#' counts
+    (0, 0, 0, 0, False),  # empty
+    (2, 1, 1, 0, False),  # bad bytes dropped
+    (0, 0, 0, 0, True),   # no content
+]
+
+
+def parser_isolation() -> str:
+    rows = ", ".join(f"({i}, {a}, {b}, {c}, {d}, {str(e).lower()})" for i, (a, b, c, d, e) in enumerate(_BROKEN))
+    return f"""SELECT n_name AS repo, 'src/b' || p_partkey || '.py' AS path, CAST(lines AS INTEGER) AS total_lines,
+       CAST(comments AS INTEGER) AS comment_lines, CAST(names AS INTEGER) AS num_global_variables, CAST(bad AS INTEGER) AS syntax_error, failed
+FROM part JOIN nation ON n_nationkey = p_partkey % 25
+JOIN (VALUES {rows}) AS w(way, lines, comments, names, bad, failed) ON way = p_partkey % {len(_BROKEN)}"""
+
+
+# --- T9: every rule and band ----------------------------------------------------
+
+def _wide_cte(wide: dict[str, str]) -> str:
+    cols = ", ".join(f"CAST({wide.get(f, '0')} AS DOUBLE) AS {f}" for f in FEATURE_NAMES)
+    return f"""t9 AS (SELECT n_name AS repo, 'src/w' || k || '.py' AS path, {cols}
+  FROM (SELECT p_partkey AS k FROM part) JOIN nation ON n_nationkey = k % 25)"""
+
+
+# The advice, written out apart from the engine's own table: what stands before
+# and after the number, the factor of the value, its decimals.
+_MESSAGES = {
+    "cyclomatic_complexity": ("", " independent paths run through this file; split it so that each part has few.", 1, 0),
+    "max_nesting_depth": ("Blocks are nested ", " deep; return early or move the inner ones out.", 1, 0),
+    "docstring_coverage": ("Only ", "% of the functions say what they do; write a docstring for the others.", 100, 0),
+    "comment_ratio": ("", "% of the lines are comments; explain the steps that are not obvious.", 100, 1),
+    "type_hint_coverage": ("", "% of the parameters have a type; annotate the rest.", 100, 0),
+    "uses_star_import": ("Names arrive by a star import; name what is used instead.", None, 0, 0),
+    "avg_function_length": ("A function has ", " lines on average; shorter ones are easier to review.", 1, 0),
+    "num_global_variables": ("", " values live at module level; pass them as arguments or keep them in objects.", 1, 0),
+    "num_nested_functions": ("", " functions are defined inside others; move them out so that tests can reach them.", 1, 0),
+}
+
+
+def recommendation_messages(wide: dict[str, str]) -> str:
+    ids, messages = [], []
+    for rule, cond in _rule_cases():
+        before, after, factor, digits = _MESSAGES[rule]
+        ids.append(f"CASE WHEN {cond} THEN '{rule}' END")
+        text = f"'{before}'"
+        if after is not None:
+            scaled = f"CAST(round_even({rule} * {float(factor)}::DOUBLE * {float(10 ** digits)}::DOUBLE, 0) AS BIGINT)"
+            number = f"CAST({scaled} AS VARCHAR)" if not digits else f"(CAST({scaled} // 10 AS VARCHAR) || '.' || CAST({scaled} % 10 AS VARCHAR))"
+            text = f"{text} || {number} || '{after}'"
+        messages.append(f"CASE WHEN {cond} THEN {text} END")
+    return f"""WITH {_wide_cte(wide)}
+SELECT repo, path, concat_ws(',', {', '.join(ids)}) AS rule_ids, concat_ws(chr(10), {', '.join(messages)}) AS messages FROM t9"""
+
+
+# The limits of health, written out apart: (healthy up to, warning up to) for
+# features where more is worse, (healthy from, warning from) where less is.
+_MORE_IS_WORSE = {
+    "cyclomatic_complexity": (10, 20), "max_nesting_depth": (3, 5), "avg_nesting_depth": (2, 4), "avg_function_length": (20, 50),
+    "max_function_length": (40, 100), "num_global_variables": (2, 5), "num_nested_functions": (2, 5), "uses_star_import": (0.5, 0.5),
+    "num_branches": (10, 25), "num_loops": (6, 15), "total_lines": (200, 500),
+}
+_LESS_IS_WORSE = {"comment_ratio": (0.1, 0.05), "docstring_coverage": (0.7, 0.3), "type_hint_coverage": (0.7, 0.3)}
+
+
+def status_of_wide_features(wide: dict[str, str]) -> str:
+    parts = []
+    for limits, sign in ((_MORE_IS_WORSE, "<="), (_LESS_IS_WORSE, ">=")):
+        for f, (warn, danger) in limits.items():
+            parts.append(f"SELECT '{f}' AS feature, CASE WHEN {f} {sign} {warn}::DOUBLE THEN 'Healthy' "
+                         f"WHEN {f} {sign} {danger}::DOUBLE THEN 'Warning' ELSE 'Danger' END AS status FROM t9")
+    return f"WITH {_wide_cte(wide)}\nSELECT feature, status, CAST(count(*) AS BIGINT) AS n_files FROM (" + "\nUNION ALL ".join(parts) + ") GROUP BY feature, status"

@@ -119,3 +119,39 @@ FEATURE_TABLE = T.StructType(
     [T.StructField(f, T.DoubleType(), True) for f in FEATURE_NAMES]
     + [T.StructField("label", T.IntegerType(), True)]
 )
+
+REPORT_FEATURES = [f for f in FEATURE_NAMES if f != "syntax_error"]
+
+_RISK = [
+    T.StructField("repo", T.StringType(), True),
+    T.StructField("file_path", T.StringType(), True),
+    T.StructField("risk_score", T.DoubleType(), True),
+    T.StructField("risk_level", T.StringType(), True),
+    T.StructField("flagged", T.BooleanType(), True),
+]
+
+# The nested report
+REPORT = T.StructType([
+    *_RISK,
+    T.StructField("top_factors", T.ArrayType(T.StructType([
+        T.StructField("feature", T.StringType(), True),
+        T.StructField("value", T.DoubleType(), True),
+        T.StructField("importance", T.DoubleType(), True),
+    ])), True),
+    T.StructField("features", T.StructType([T.StructField(f, feature_type(f), True) for f in REPORT_FEATURES]), True),
+    T.StructField("error", T.StringType(), True),
+])
+
+# Its flat form
+FLAT_REPORT = T.StructType([*_RISK, *[T.StructField(f, feature_type(f), True) for f in REPORT_FEATURES]])
+
+# The batch report
+BATCH_REPORT = T.StructType([
+    T.StructField("repo", T.StringType(), True),
+    T.StructField("filename", T.StringType(), True),
+    T.StructField("risk_score", T.DoubleType(), True),
+    T.StructField("risk_level", T.StringType(), True),
+    T.StructField("lines", T.IntegerType(), True),
+    T.StructField("complexity", T.IntegerType(), True),
+    T.StructField("docstring_cov", T.DoubleType(), True),
+])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskfold.schema import COMMIT_FILES, COMMITS
+from riskfold.schema import COMMIT_FILES, COMMITS, SOURCE_FILES
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -28,11 +31,11 @@ def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
     the scan itself never materialises text.  The glob filter is applied by
     the file listing, before any file is opened.
     """
-    root_uri = root if "://" in root else "file://" + os.path.abspath(root)
+    scheme = re.match("[A-Za-z][A-Za-z0-9+.-]*:", root)
+    root_uri = root if scheme else "file://" + os.path.abspath(root)
     # listed paths keep the root but may spell the scheme differently
     # (file:/x vs file:///x), so locate the root by its path part
-    key = root_uri.split("://", 1)[1]
-    key = key.rstrip("/") + "/"
+    key = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//)?", "", root_uri).rstrip("/") + "/"
     df = (spark.read.format("binaryFile")
           .option("recursiveFileLookup", "true")
           .option("pathGlobFilter", pattern)
@@ -55,28 +58,60 @@ def source_table(df: DataFrame, path_col: str = "path", source_col: str = "sourc
     return df.select(r.alias("repo"), F.col(path_col).cast("string").alias("path"), F.col(source_col).alias("source"))
 
 
-def read_sources(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """S2 readers: parquet / json / csv tables with (repo?, path, source),
-    or ``text`` with ``wholetext`` (one file = one source)."""
-    if fmt == "text":
-        df = spark.read.option("wholetext", "true").text(path).select(
-            F.input_file_name().alias("path"), F.col("value").alias("source"))
-        return source_table(df, repo=options.get("repo"))
+#: What the ``error`` column says of a record that does not parse.
+MALFORMED = "malformed record"
+_CORRUPT = "_corrupt_record"
+
+
+def write_by_repo(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Sources, commits or changed files in a folder for each repo, so that
+    readers of some repos open no other folder.  Each task writes what it has
+    of a repo: nothing is shuffled, and no task gets a repo whole."""
+    df.write.mode(mode).partitionBy("repo").format(fmt).save(path)
+
+
+def _declared(spark: SparkSession, path: str, fmt: str, schema: T.StructType, repos: Sequence[str] | None, **options) -> DataFrame:
+    """The columns of ``schema`` and ``error``.  A JSON or CSV record that
+    does not fit the schema becomes a row with nothing but its repo and error.
+    With ``repos`` only these are read: of tables written by repo, only their
+    folders are listed."""
     reader = spark.read.options(**options)
-    if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
-    return source_table(reader.format(fmt).load(path))
+    if fmt in ("json", "csv"):
+        fields = list(schema.fields)
+        if fmt == "csv":
+            reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+            declared = {f.name: f for f in fields}  # cells go by place: the header says which is which
+            fields = [declared.get(c, T.StructField(c, T.StringType())) for c in reader.csv(path).columns]
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+        df = reader.schema(T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])).format(fmt).load(path)
+        bad = F.col(_CORRUPT).isNotNull()
+    else:
+        df = reader.format(fmt).load(path)
+        bad = F.lit(False)
+    if repos is not None:
+        df = df.where(F.col("repo").cast("string").isin(*repos))
+    columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType) for f in schema.fields]
+    kept = [c.alias(f.name) if f.name == "repo" else F.when(~bad, c).alias(f.name) for c, f in zip(columns, schema.fields)]
+    return df.select(*kept, F.when(bad, MALFORMED).alias("error"))
+
+
+def read_sources(spark: SparkSession, path: str, fmt: str = "parquet", repos: Sequence[str] | None = None,
+                 repo: str | None = None, **options) -> DataFrame:
+    """S2 readers: parquet, JSON or CSV tables of (repo?, path, source) as
+    (repo, path, source, error), or ``text`` (one file = one source).  ``repo``
+    names the rows of a table that has no repo."""
+    if fmt == "text":
+        df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
+        return source_table(df, repo=repo).withColumn("error", F.lit(None).cast("string"))
+    df = _declared(spark, path, fmt, SOURCE_FILES, repos, **options)
+    return df if repo is None else df.withColumn("repo", F.coalesce("repo", F.lit(repo)))
 
 
-def read_commits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Commit table with the declared schema (no inference)."""
-    if fmt == "parquet":
-        return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in COMMITS.fields])
-    return spark.read.schema(COMMITS).format(fmt).option("header", "true").load(path)
+def read_commits(spark: SparkSession, path: str, fmt: str = "parquet", repos: Sequence[str] | None = None) -> DataFrame:
+    """Commits with the declared schema (no inference) and ``error``."""
+    return _declared(spark, path, fmt, COMMITS, repos)
 
 
-def read_commit_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Changed files per commit with the declared schema."""
-    if fmt == "parquet":
-        return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in COMMIT_FILES.fields])
-    return spark.read.schema(COMMIT_FILES).format(fmt).option("header", "true").load(path)
+def read_commit_files(spark: SparkSession, path: str, fmt: str = "parquet", repos: Sequence[str] | None = None) -> DataFrame:
+    """Changed files of commits with the declared schema and ``error``."""
+    return _declared(spark, path, fmt, COMMIT_FILES, repos)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskfold.operators.features import extract_features
-from riskfold.schema import FEATURE_NAMES
-from riskfold.sources.files import scan_source_files, source_table
-from riskfold.sources.tables import read_feature_table, write_feature_table, write_report_json
+from riskfold.schema import FEATURE_NAMES, FLAT_REPORT
+from riskfold.sources.files import MALFORMED, read_commit_files, read_commits, read_sources, scan_source_files, source_table, write_by_repo
+from riskfold.sources.tables import (
+    read_feature_table, read_feature_tables, read_report_csv, report_order, write_feature_table, write_report_csv, write_report_json)
 
 
 def _write(root, rel, data: bytes):
@@ -84,3 +87,91 @@ def test_scan_of_a_quoted_root_with_a_repo_per_folder(spark, scratch):
     got = sorted((r.repo, r.path) for r in scan_source_files(spark, root, by_folder=True).collect())
     assert got == [("one", "a.py"), ("one", "pkg/b.py"), ("two", "a.py")]
     assert sorted(r.path for r in scan_source_files(spark, root).collect()) == ["one/a.py", "one/pkg/b.py", "two/a.py"]
+
+
+def test_scan_of_a_root_with_a_scheme(spark, scratch):
+    _write(scratch, "tree/one/a.py", b"x = 1\n")
+    for root in (f"file:{scratch}/tree", f"file://{scratch}/tree/"):
+        assert [(r.repo, r.path) for r in scan_source_files(spark, root, by_folder=True).collect()] == [("one", "a.py")]
+
+
+def test_readers_of_sources_by_repo(spark, scratch):
+    rows = [("a", "x.py", "x = 1\n"), ("a", "y.py", 'say = "hi, \\ there"\n# é\n'), ("b", "x.py", ""), ("7", "z.py", None)]
+    df = spark.createDataFrame(rows, "repo string, path string, source string")
+    key = lambda r: (r[0], r[1] or "")
+    for fmt in ("parquet", "json"):
+        out = os.path.join(scratch, fmt)
+        write_by_repo(df, out, fmt)
+        got = [tuple(r) for r in read_sources(spark, out, fmt).collect()]
+        assert sorted(got, key=key) == sorted([(*r, None) for r in rows], key=key)  # a repo named 7 stays text
+        some = read_sources(spark, out, fmt, repos=["b"])
+        assert [tuple(r) for r in some.collect()] == [("b", "x.py", "", None)]
+        scan = next(x for x in some._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+        assert "PartitionFilters: []" not in scan and "PartitionFilters: [" in scan  # other folders are not read
+    # a CSV with line breaks in its cells, and a table without repos
+    flat = os.path.join(scratch, "flat")
+    df.where("repo = 'a'").drop("repo").write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(flat)
+    got = [tuple(r) for r in read_sources(spark, flat, "csv", repo="up").collect()]
+    assert sorted(got) == [("up", "x.py", "x = 1\n", None), ("up", "y.py", rows[1][2], None)]
+    text = os.path.join(scratch, "text")
+    _write(text, "m.py", b"a = 1\nb = 2\n")
+    (one,) = read_sources(spark, text, "text", repo="up").collect()
+    assert one.repo == "up" and one.path.endswith("/m.py") and one.source == "a = 1\nb = 2\n"
+
+
+def test_malformed_records_are_error_rows(spark, scratch):
+    _write(scratch, "s/repo=r/a.json", b'{"path": "a.py", "source": "x = 1"}\n{"path": "b.py", "sou\nnot json\n{"path": "c.py", "source": "y = 2"}\n')
+    rows = read_sources(spark, os.path.join(scratch, "s"), "json").collect()
+    assert sorted((r.repo, r.path or "", r.error or "") for r in rows) == [
+        ("r", "", MALFORMED), ("r", "", MALFORMED), ("r", "a.py", ""), ("r", "c.py", "")]
+    found = extract_features(read_sources(spark, os.path.join(scratch, "s"), "json")).collect()
+    assert len(found) == 4 and sum(r.error is not None for r in found) == 2
+    # a value of the wrong type makes its record malformed, not the job fail
+    _write(scratch, "c/x.json", b'{"repo": "r", "commit_id": "1", "message": "fix", "n_parents": "many"}\n{"repo": "r", "commit_id": "2", "n_parents": 1}\n')
+    commits = {r.commit_id: r for r in read_commits(spark, os.path.join(scratch, "c"), "json").collect()}
+    assert commits["2"].error is None and commits["2"].n_parents == 1 and commits[None].error == MALFORMED
+    _write(scratch, "f/x.csv", b"repo,commit_id,path\nr,1,a.py\n")
+    assert [tuple(r) for r in read_commit_files(spark, os.path.join(scratch, "f"), "csv").collect()] == [("r", "1", "a.py", None)]
+
+
+def test_csv_report_keeps_blanks_and_order(spark, scratch):
+    rows = [("r", f"p{i}.py", None if i % 7 == 0 else (i * 37 % 50) / 50, ["Low", "", " x ", 'say "hi"\nthere', None][i % 5], None if i % 3 == 0 else i % 2 == 0)
+            for i in range(200)]
+    schema = T.StructType(FLAT_REPORT.fields[:5])
+    df = spark.createDataFrame(rows, schema)
+    out = os.path.join(scratch, "csv")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_report_csv(df, out, report_order("risk_score", "file_path"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(f for f in os.listdir(out) if f.endswith(".csv"))
+    assert len(files) > 2
+    got = [tuple(r) for r in read_report_csv(spark, out, schema, "position").orderBy("position").collect()]
+    want = sorted(rows, key=lambda r: (-(r[2] or 0.0), r[1]))
+    assert got == [(*r, i) for i, r in enumerate(want, 1)]
+
+
+def test_feature_tables_with_other_columns(spark, scratch):
+    full = spark.createDataFrame([("a", "x.py", *[float(i) for i in range(30)], 1)], "repo string, path string, " + ", ".join(f"{f} double" for f in FEATURE_NAMES) + ", label int")
+    full.write.parquet(f"{scratch}/one")
+    full.withColumn("repo", F.lit("b")).drop("num_loops", "label").withColumn("owner", F.lit("me")).write.parquet(f"{scratch}/two")
+    full.where("false").write.parquet(f"{scratch}/none")
+    os.makedirs(f"{scratch}/bare")
+    paths = [f"{scratch}/{n}" for n in ("one", "two", "none", "bare", "missing")]
+    rows = {r.repo: r for r in read_feature_tables(spark, paths).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].num_loops == FEATURE_NAMES.index("num_loops") and rows["b"].num_loops == 0.0
+    assert rows["a"].label == 1 and rows["b"].label == 0 and "owner" not in rows["a"].asDict()
+    with pytest.raises(FileNotFoundError):
+        read_feature_tables(spark, paths[3:])
+
+
+def test_half_even_text(spark):
+    from riskfold.functions.columns import half_even_text
+
+    values = [0.0, 0.5, 1.5, 2.5, 0.05, 0.25, 0.75, 6.25, 99.95, 1234.5678, 0.04]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", half_even_text(F.col("v")).alias("a"), half_even_text(F.col("v"), 1).alias("b"))
+    for r in df.collect():
+        assert r.a == f"{r.v:.0f}"
+        assert r.b == f"{round(r.v * 10) / 10:.1f}"

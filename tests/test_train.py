@@ -231,6 +231,10 @@ def test_queries_fit_the_reference_models(spark, monkeypatch):
         raise Seen(todo)
 
     monkeypatch.setattr(tr, "fit_all", stop)
+    features = cut_lineage(catalog.t1_features(spark, SF_SMALL))
+    labelled = cut_lineage(features.withColumn("label", F.col("uses_star_import")))
+    monkeypatch.setattr(catalog, "t1_features", lambda *_: features)
+    monkeypatch.setattr(catalog, "labelled_dataset", lambda *_: labelled)
     rf, gb = "random_forest", "gradient_boosting"
     both = [(gb, None), (rf, None), *[(m, k) for m in (gb, rf) for k in range(5)]]
     wants = {"cv_random_forest": [(rf, k) for k in range(5)], "out_of_fold_predictions": [(rf, k) for k in range(5)],
