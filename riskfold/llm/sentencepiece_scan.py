@@ -38,9 +38,10 @@ from riskfold.llm.common import cut_lineage, documents, ship_package, text_batch
 
 MARK = "▁"
 CHUNK_CHARS = 1 << 16
-CACHE_WORDS = 200_000
+#: Words of a generation of a worker's cache (two are kept; some 200 bytes each).
+CACHE_WORDS = 400_000
 #: Compatible pairs that a worker remembers.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 800_000
 CUT = "cut"
 _NEVER = -np.inf
 
@@ -75,6 +76,40 @@ class Pieces:
         self.standing = {p for p in self.id if len(p) == 1 or self.merged(p) == [p]}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[str]] = {}
+        #: the pieces that may stand by themselves, numbered; every character
+        #: of a piece is one of them, whether the model lists it or not
+        self.order = sorted(self.standing | self.letters)
+        self.many = len(self.order)
+        self.lengths = [len(p) for p in self.order]
+        #: the ids of each piece, as they are stored
+        self.stored = np.dtype("<u2" if len(self.text) <= 1 << 16 else "<u4")
+        self.packed = [self.pack([p]) for p in self.order]
+        #: whether piece b may follow piece a, by a * many + b
+        self.steps: dict[int, bool] = {}
+
+        self._automaton = None
+
+    def pack(self, pieces: list[str]) -> bytes:
+        return np.array(self.ids(pieces), self.stored).tobytes()
+
+    def automaton(self):
+        """Finds the standing pieces in a text; built once in each worker."""
+        if self._automaton is None:
+            import ahocorasick
+
+            made = ahocorasick.Automaton()
+            for number, piece in enumerate(self.order):
+                made.add_word(piece, number)
+            made.make_automaton()
+            self._automaton = made
+        return self._automaton
+
+    def step(self, a: int, b: int) -> bool:
+        if len(self.steps) > CACHE_PAIRS:
+            self.steps.clear()
+        first, second = self.order[a], self.order[b]
+        fits = self.steps[a * self.many + b] = self.merged(first + second) == [first, second]
+        return fits
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string by its definition: the best-scored merge
@@ -132,55 +167,80 @@ class Pieces:
 def solve_word(pieces: Pieces, word: str) -> list[str]:
     """Pieces of a word (with its space mark, if any): the one path from its
     start whose steps are all compatible."""
-    standing = pieces.standing
-    if word in standing:
+    if word in pieces.standing:
         return [word]
-    known, longest = pieces.pairs, pieces.longest
-    last: list[str | None] = [None] * (len(word) + 1)
-    for end in range(1, len(word) + 1):
-        if end <= longest and word[:end] in standing:
-            last[end] = word[:end]
+    if not pieces.letters.issuperset(word):
+        return _solve_around_unknown(pieces, word)
+    return [pieces.order[t] for t in _path(pieces, word)]
+
+
+def _path(pieces: Pieces, word: str) -> list[int]:
+    """Numbers of the pieces of a word.  Every prefix of a word has one path,
+    so one piece of it ends at each position.  The automaton names the standing
+    pieces that end there, the longest first, and a position tests these few
+    and no other substrings."""
+    steps, many, lengths = pieces.steps, pieces.many, pieces.lengths
+    last = [-1] * (len(word) + 1)
+    for at, piece in pieces.automaton().iter(word):
+        end = at + 1
+        if last[end] >= 0:
             continue
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            if piece in standing or end - start == 1:
-                before = last[start]
-                if before is None:
-                    fits = start == 0
-                else:
-                    fits = known.get((before, piece))
-                    if fits is None:
-                        fits = pieces.compatible(before, piece)
-                if fits:
-                    last[end] = piece
-                    break
-    out, at = [], len(word)
+        start = end - lengths[piece]
+        if start:
+            before = last[start]
+            step = before * many + piece
+            fits = steps.get(step)
+            if fits is None:
+                fits = pieces.step(before, piece)
+            if not fits:
+                continue
+        last[end] = piece
+    path, at = [], len(word)
     while at:
-        piece = last[at] or word[at - 1]
-        out.append(piece)
-        at -= len(piece)
-    return out[::-1]
+        path.append(last[at])
+        at -= lengths[last[at]]
+    path.reverse()
+    return path
+
+
+def _solve_around_unknown(pieces: Pieces, word: str) -> list[str]:
+    """No piece holds a character that is in no piece, so it stands alone and
+    the stretches between are words of their own."""
+    out: list[str] = []
+    stretch = 0
+    for i, c in enumerate(word):
+        if c not in pieces.letters:
+            if i > stretch:
+                out += solve_word(pieces, word[stretch:i])
+            out.append(c)
+            stretch = i + 1
+    return out + (solve_word(pieces, word[stretch:]) if stretch < len(word) else [])
 
 
 # -- documents of words ---------------------------------------------------------
 
 class WordPieces:
-    """Ids of whole texts, word by word, from a worker's cache.  A key is a
-    word without its mark; a key that starts with a line end has no mark."""
+    """Ids of whole texts, word by word, from a worker's cache of stored ids
+    (two bytes an id).  A key is a word without its mark; a key that starts
+    with a line end has no mark."""
 
     def __init__(self, pieces: Pieces, capacity: int = CACHE_WORDS):
         self.pieces, self.capacity = pieces, capacity
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _solve(self, key: str) -> list[int]:
+    def _solve(self, key: str) -> bytes:
         p = self.pieces
         if key[:1] == "\n":
-            return p.ids(["\n"]) + (p.ids(solve_word(p, key[1:])) if key[1:] else [])
-        return p.ids(solve_word(p, MARK + key))
+            return p.pack(["\n"]) + (self._word(key[1:]) if key[1:] else b"")
+        return self._word(MARK + key)
+
+    def _word(self, word: str) -> bytes:
+        p = self.pieces
+        if word in p.standing or not p.letters.issuperset(word):
+            return p.pack(solve_word(p, word))
+        packed = p.packed
+        return b"".join([packed[t] for t in _path(p, word)])
 
     def _keys(self, text: str) -> list[str]:
         lines = text.split("\n")
@@ -191,9 +251,9 @@ class WordPieces:
             keys += words
         return keys
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, self.pieces.stored)
         text = text.replace(MARK, " ")
         keys = self._keys(text)
         known = self.known
@@ -215,25 +275,25 @@ class WordPieces:
                     found[i] = ids
         if "" in keys:
             found = self._with_runs(keys, found)
-        return [i for ids in found for i in ids]
+        return np.frombuffer(b"".join(found), self.pieces.stored)
 
-    def _with_runs(self, keys: list[str], found: list[list[int]]) -> list[list[int]]:
+    def _with_runs(self, keys: list[str], found: list[bytes]) -> list[bytes]:
         """Empty keys are marks in a row with the mark of the next word."""
-        mark = self.pieces.id.get(MARK)
+        mark = self.pieces.pack([MARK])
         out, marks = [], 0
         for key, ids in zip(keys, found, strict=True):
             if key == "":
                 marks += 1
                 continue
             if marks:
-                joins = key[0] != "\n" and ids[0] == mark
-                out.append(self.pieces.ids(self.pieces.run(marks + joins)))
-                out.append(ids[1:] if joins else ids)
+                joins = key[0] != "\n" and ids[:len(mark)] == mark
+                out.append(self.pieces.pack(self.pieces.run(marks + joins)))
+                out.append(ids[len(mark):] if joins else ids)
                 marks = 0
             else:
                 out.append(ids)
         if marks:
-            out.append(self.pieces.ids(self.pieces.run(marks)))
+            out.append(self.pieces.pack(self.pieces.run(marks)))
         return out
 
 
@@ -481,9 +541,9 @@ def _model(path: str) -> tuple[Pieces, WordPieces]:
     return _MODELS[path]
 
 
-def _digest(pieces: Pieces, ids: list[int], start: bool) -> tuple[int, int, int, int]:
+def _digest(pieces: Pieces, ids: np.ndarray | list[int], start: bool) -> tuple[int, int, int, int]:
     """n_tokens, crc32 of the ids, crc32 and length of the decoded bytes."""
-    array = np.array(ids, "<u4")
+    array = np.asarray(ids, "<u4")
     raw = decode_ids(pieces, array, start)
     return len(ids), zlib.crc32(array.tobytes()), zlib.crc32(raw), len(raw)
 
@@ -500,7 +560,7 @@ def encode_small(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
                 crc = [zlib.crc32(t.replace(MARK, " ").encode("utf-8", "replace")) for t in texts]
                 cols = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in rows), pa.array(crc, pa.int64())]
                 names = ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "n_decoded", "text_crc32"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(encoded if with_ids else [None] * len(texts), pa.list_(pa.int32()))], [*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([e.astype("i4") for e in encoded] if with_ids else [None] * len(texts), pa.list_(pa.int32()))], [*names, "ids"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, n_decoded long, text_crc32 long, ids array<int>")
 
@@ -535,7 +595,11 @@ def encode_giant(docs: DataFrame, path: str, size: int = CHUNK_CHARS, with_ids:
         F.xxhash64("text", F.col("doc_id").isNull()).alias("text_hash"), "text")
     split = once.select("doc_id", "copies", "text_hash", "text").mapInPandas(_split(size, reach), _CHUNK)
     key = ["doc_id", "text_hash"]
-    chunks = cut_lineage(split.repartition(*key, "chunk"), "chunks")
+    # a chunk is little to move and much to solve: the number of tasks is fixed,
+    # as Spark would join them by their bytes
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = cut_lineage(split.repartition(tasks, *key, "chunk"), "chunks")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, _ = _model(path)
@@ -547,7 +611,7 @@ def encode_giant(docs: DataFrame, path: str, size: int = CHUNK_CHARS, with_ids:
         states = edge_states([pickle.loads(m) for m in f["matrix"]])
         return pd.DataFrame({**{c: f[c] for c in (*key, "chunk")}, "entry": [a for a, _ in states], "leaves": [b for _, b in states]})
 
-    named = (chunks.mapInPandas(matrices, "doc_id long, text_hash long, chunk int, matrix binary")
+    named = (chunks.repartition(tasks, *key, "chunk").mapInPandas(matrices, "doc_id long, text_hash long, chunk int, matrix binary")
              .groupBy(*key).applyInPandas(join, "doc_id long, text_hash long, chunk int, entry int, leaves int"))
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -561,7 +625,7 @@ def encode_giant(docs: DataFrame, path: str, size: int = CHUNK_CHARS, with_ids:
             yield pd.DataFrame(out, columns=[*key, "chunk", "copies", "n_tokens", "ids_crc32", "decoded_crc32", "n_decoded", "text_crc32", "ids"])
 
     parts = "n_tokens long, ids_crc32 long, decoded_crc32 long, n_decoded long, text_crc32 long, ids array<int>"
-    traced = chunks.join(named, [*key, "chunk"]).mapInPandas(trace, f"doc_id long, text_hash long, chunk int, copies long, {parts}")
+    traced = chunks.join(named, [*key, "chunk"]).repartition(tasks, *key, "chunk").mapInPandas(trace, f"doc_id long, text_hash long, chunk int, copies long, {parts}")
 
     def total(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("chunk")
