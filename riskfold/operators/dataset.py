@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from riskfold.functions.columns import exact_mean, md5_order_key, md5_unit, round_fixed
 from riskfold.functions.ordering import running_sums
 from riskfold.schema import FEATURE_NAMES
+from riskfold.session import ship_package
 
 DEFAULT_SEED = "42"
 RANK_BUCKETS = 1024
@@ -238,24 +240,56 @@ def _correlation(n: float, sx: float, sy: float, sxx: float, syy: float, sxy: fl
     return (n * sxy - sx * sy) / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None
 
 
+#: Scaled values below this are split into halves whose products of a slice
+#: of rows fit 64 bits; larger ones are added up as Python integers.
+_HALF, _GRAM_ROWS = 22, 4096
+
+
+def _gram(batches):
+    """Upper triangle of the Gram matrix of a task's rows, scaled by 10^6, as
+    (i, j, sum); the first column is one, so its row holds the plain sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        whole = np.rint(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) * 1e6)
+        for start in range(0, len(whole), _GRAM_ROWS):
+            x = whole[start:start + _GRAM_ROWS]
+            if np.abs(x).max() < 1 << (2 * _HALF):
+                x = x.astype(np.int64)
+                high, low = x >> _HALF, x & ((1 << _HALF) - 1)
+                mixed = high.T @ low
+                part = ((high.T @ high).astype(object) << (2 * _HALF)) + ((mixed + mixed.T).astype(object) << _HALF) + (low.T @ low).astype(object)
+            else:
+                x = np.array([[int(v) for v in row] for row in x], dtype=object)
+                part = x.T @ x
+            total = part if total is None else total + part
+    if total is not None:
+        cells = [(i, j, Decimal(int(total[i, j]))) for i in range(len(total)) for j in range(i, len(total))]
+        i, j, s = zip(*cells)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s, pa.decimal128(38, 0))], names=["i", "j", "s"])
+
+
 def top_correlation_matrix(df: DataFrame, k: int = 12, features: list[str] = FEATURE_NAMES) -> DataFrame:
     """D10 and D11 from one pass: (f1, f2, r) for the ``k`` features of
     largest |correlation| with the label (ties by feature order, constant
     features last).
 
-    One aggregate sums the values and their pairwise products; sums of
-    products are exact decimals, so the product form loses nothing to
-    cancellation.  A single row of (features + 1)^2 / 2 sums reaches the
-    driver, whatever the input.
+    Each task adds up the Gram matrix of its rows in whole numbers (values
+    times 10^6), which is exact, so the product form loses nothing to
+    cancellation; the (features + 1)^2 / 2 sums of a task are then summed by
+    Spark, and as many reach the driver, whatever the input.
     """
     names = [*features, "label"]
-    value = {c: F.col(c).cast("decimal(18,6)") for c in names}
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(value[c]).alias(f"s_{i}") for i, c in enumerate(names)],
-                 *[F.sum((value[a] * value[b]).cast("decimal(38,12)")).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)]).first()
-    n = row["n"]
-    sums = {c: Fraction(row[f"s_{i}"] or 0) for i, c in enumerate(names)}
-    products = {p: Fraction(row[f"p_{i}"] or 0) for i, p in enumerate(pairs)}
+    ship_package(df.sparkSession)
+    columns = df.select(F.lit(1.0).alias("one"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    found = columns.mapInArrow(_gram, "i int, j int, s decimal(38,0)").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    unit = 10 ** 12  # two values of 10^6
+    gram = {(r["i"], r["j"]): Fraction(int(r["s"]), unit) for r in found}
+    n = gram.get((0, 0), 0)
+    sums = {c: gram.get((0, i), Fraction(0)) for i, c in enumerate(names, 1)}
+    products = {(x, y): gram.get((i, j), Fraction(0)) for i, x in enumerate(names, 1) for j, y in enumerate(names, 1) if j >= i}
     order = {c: i for i, c in enumerate(names)}
 
     def r(a: str, b: str) -> float | None:

@@ -107,3 +107,22 @@ def test_top_correlations_equal_single_correlations(spark):
     got = {(x.f1, x.f2): x.r for x in ds.top_correlation_matrix(df, 5).collect()}
     want = {(x.f1, x.f2): x.r for x in ds.correlation_matrix(df, top).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_gram_matrix_is_exact():
+    """Sums of products as whole numbers, small, large and negative values."""
+    import numpy as np
+    import pyarrow as pa
+
+    from riskfold.operators.dataset import _gram
+
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e4, 1e9):
+        x = np.column_stack([np.ones(5000), (rng.normal(size=(5000, 3)) * scale).round(4)])
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], names=list("abcd")) for part in (x[:4900], x[4900:4900], x[4900:])]
+        (out,) = list(_gram(b for b in batches if b.num_rows))
+        whole = [[int(v) for v in row] for row in np.rint(x * 1e6)]
+        for i, j, s in zip(*(out.column(n).to_pylist() for n in "ijs")):
+            assert int(s) == sum(row[i] * row[j] for row in whole)
+        assert out.num_rows == 10
+    assert list(_gram(iter([]))) == []
