@@ -6,7 +6,8 @@ a keyed Feistel network over exactly their own set of valid values, so a
 pseudonym is valid in the same format, two equal values get the same
 pseudonym in every document, and two different ones never do.  Mail
 addresses and secrets, which have no small format to permute in, become a
-keyed digest, equal for equal values.  Candidates that fail validation (a
+keyed digest, equal for equal values, repeated to the length of a secret or
+hexadecimal value.  Candidates that fail validation (a
 long number that is no card, a 13th month) stay as they are.
 
 The text is split at the matches and put together again around the
@@ -26,12 +27,31 @@ from pyspark.sql import functions as F
 DEMO_KEY = "riskfold-demo-key"
 ROUNDS = 10
 
+# ---------------------------------------------------------------------------
+# How many characters an IBAN of a country has.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+# ---------------------------------------------------------------------------
+
+_BY_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+#: A secret's key, sign and opening quote.
+_KEY = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+
 #: What is looked for, in order: the first alternative that fits wins.
 PATTERNS = {
-    # the whole value, however long, up to its closing quote or white space; possessive, so nothing recurses
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{8,}+|'[^'\s]{8,}+)",
-    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,128}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    # the whole value, however long: up to its closing quote on the line, or, if there is none, to white space; without
+    # quotes, what has a digit, up to white space, a quote or a comma.  Possessive, so nothing recurses
+    "secret": _KEY + r"(?:\"(?:[^\"\r\n]{8,}+(?=\")|[^\"\s]{8,}+)|'(?:[^'\r\n]{8,}+(?=')|[^'\s]{8,}+)"
+              r"|(?=[^\s\"',;0-9]*+[0-9])[^\s\"',;]{8,}+)",
+    # a domain name has 127 labels at most
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,126}",
+    # as long as its country's are, whatever follows; of other countries, up to the end of the groups
+    "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}[0-9]{2})(?:(?:" + _BY_COUNTRY + r")(?![\p{L}\p{N}])"
+            r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
             r"|(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.?[0-9])",
@@ -39,11 +59,11 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
              r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "hex": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
 }
 ANY = "|".join(PATTERNS.values())
 #: What stands before a secret's value: key, sign and opening quote.
-SECRET_KEY = r"^[^=:]*[=:]\s{0,3}[\"']"
+SECRET_KEY = r"^[^=:]*[=:]\s{0,3}[\"']?"
 
 #: Days of one block of dates: dates are permuted inside their block.  Blocks
 #: start at 0001-01-01; the last, shorter one ends at 9999-12-31.
@@ -81,7 +101,7 @@ def _kind(m: str, d: str, day: str) -> str:
            f"and substring({d}, 4, 2) <> '00' and substring({d}, 6) <> '0000'")
     iban = f"regexp_replace({m}, ' ', '')"
     tests = [
-        ("secret", f"{m} rlike {whole['secret']}"),
+        ("secret", f"{m} rlike {_q('^' + _KEY)}"),
         ("mail", f"instr({m}, '@') > 0"),
         ("ip", f"{m} rlike {whole['ip']} and {octets}"),
         ("date", f"{day} is not null"),
@@ -174,7 +194,7 @@ def _written(key: str) -> str:
         "phone": fill(own, "(length(z.d) - length(z.own))"),
         "card": fill(card, "0"),
         "iban": iban,
-        "hex": f"substring({digest('lower(z.m)')}, 1, length(z.m))",
+        "hex": f"substring(repeat({digest('lower(z.m)')}, length(z.m) div 64 + 1), 1, length(z.m))",
     }
     return "case z.kind " + " ".join(f"when '{k}' then {v}" for k, v in cases.items()) + " else z.m end"
 
