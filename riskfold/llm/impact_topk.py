@@ -2,21 +2,27 @@
 
 Vectors are dealt to shards.  In a shard every dimension has a posting list
 ordered by value and cut into segments of one quantised impact.  For a query
-a segment's impact is its weight in the score above the least that the
-dimension can give; segments of all dimensions are processed from the highest
-impact down, adding to accumulators.  After each round there is a proof:
-what is left cannot lift a vector whose upper bound lies below the k-th
-lower bound.  Processing stops when few possible members remain (or nothing
-is left), and exactly those are scored again in integers.
+a segment's impact is the most that one of its postings adds to the score
+above the least that the dimension can give; segments of all dimensions are
+processed from the highest impact down, adding each posting's own
+contribution to its row's accumulator.  After each round the leaders are
+scored exactly, which gives a mark for the k-th best, and there is a proof:
+a row whose accumulator and what its unseen dimensions can still add lie
+below the mark is out.  Processing stops when few possible members remain (or
+nothing is left), and exactly those are scored again in integers.
 
 Defined cases: a vector that is null or holds a null or non-finite component
 takes no part; a query with fewer than k other rows returns them all; ties
-go to the smaller vec_id; rows that repeat a query's vec_id count as its own;
-an empty table gives no rows; other columns are ignored.
+go to the smaller vec_id; rows that repeat a query's vec_id count as its own,
+and the query is the greatest of their vectors; components beyond 2^62 are
+clipped to it and scores to a long; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +32,8 @@ from riskfold.llm.common import pieces_for, ship_package
 from riskfold.llm.vectors import best, matrix, usable
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 8192
+MOST_TASKS = 100_000
 LEVELS = 16
 ROUNDS = 16
 #: Possible members per wanted row at which scoring them is cheaper than going on.
@@ -39,12 +46,13 @@ class ImpactIndex:
     def __init__(self, rows: np.ndarray):
         self.rows = rows
         n, dims = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable").T            # (dimensions, rows)
+        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()     # (dimensions, rows)
+        self.values = np.take_along_axis(rows.T, self.order, 1)
         dim, start, stop, low, high = [], [], [], [], []
         for d in range(dims):
-            values = rows[self.order[d], d]
-            span = max(1, int(values[-1] - values[0]) + 1)
-            level = (values - values[0]) * LEVELS // span
+            values = self.values[d]
+            span = max(1, int(values[-1]) - int(values[0]) + 1)
+            level = ((values.astype(float) - float(values[0])) * LEVELS / span).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
             ends = np.concatenate([cuts[1:], [n]])
             dim.append(np.full(len(cuts), d))
@@ -54,63 +62,100 @@ class ImpactIndex:
             high.append(values[ends - 1])
         self.dim, self.start, self.stop, self.low, self.high = (np.concatenate(v) for v in (dim, start, stop, low, high))
         self.least, self.most = rows.min(0), rows.max(0)
+        self.largest = max(abs(int(self.least.min())), abs(int(self.most.max())))
 
     def search(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, scores) of the rows that may be among the best ``k``
         without the rows ``own``; every row that ties with the k-th is there."""
         n, dims = self.rows.shape
-        floor = np.minimum(query * self.least, query * self.most)         # least contribution of each dimension
-        weight = query[self.dim]
-        one, two = weight * self.low, weight * self.high
-        impact = np.maximum(one, two) - floor[self.dim]                  # what the segment can add at most
-        sure = np.minimum(one, two) - floor[self.dim]                    # ... and at least
-        order = np.argsort(-impact, kind="stable")
-        width = np.zeros(dims, np.int64)
-        np.maximum.at(width, self.dim, impact - sure)
-        spread = int(width.sum())                                        # of a full set of lower bounds
-        sums = np.zeros(n)
         barred = np.zeros(n, bool)
         barred[own] = True
-        wanted = min(k, n - int(barred.sum()))
+        members = np.flatnonzero(~barred)
+        wanted = min(k, len(members))
+        self.rounds = 0
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.largest * max(1, int(np.abs(query).max())) * dims >= 1 << 52:
+            return members, _clipped(self.rows[members], query)           # past exact sums of doubles and longs
+        floor = np.minimum(query * self.least, query * self.most)         # least contribution of each dimension
+        weight = query[self.dim]
+        impact = np.maximum(weight * self.low, weight * self.high) - floor[self.dim]  # what a posting can add at most
+        order = np.argsort(-impact, kind="stable")
+        base = int(floor.sum())
+        sums, seen = np.zeros(n), np.zeros((n, dims), np.float32)
+        best = np.zeros(0, np.int64)                                      # exact scores met so far, best ``wanted``
+        scored = barred.copy()
         step = -(-len(order) // ROUNDS)
-        members = np.flatnonzero(~barred)
         for at in range(0, len(order), step):
+            self.rounds += 1
             some = order[at:at + step]
             lengths = self.stop[some] - self.start[some]
             ends = np.cumsum(lengths)
             place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(self.start[some], lengths)
-            hit = self.order[np.repeat(self.dim[some], lengths), place]
-            sums += np.bincount(hit, np.repeat(sure[some], lengths), n)
+            dim = np.repeat(self.dim[some], lengths)
+            hit = self.order[dim, place]
+            sums += np.bincount(hit, self.values[dim, place] * query[dim] - floor[dim], n)  # the posting's own contribution
+            seen[hit, dim] = 1
             left = order[at + step:]
-            ahead = np.zeros(dims, np.int64)
+            ahead = np.zeros(dims)
             np.maximum.at(ahead, self.dim[left], impact[left])           # most that an unseen posting adds
-            bound = int(ahead.sum()) + spread
+            # the leaders' exact scores are a mark that the k-th best cannot miss
             open_ = sums[members]
-            reached = np.partition(open_, len(open_) - wanted)[len(open_) - wanted]
-            members = members[open_ + bound >= reached]                  # the others are proven out
+            lead = members[np.argpartition(-open_, wanted - 1)[:wanted]]
+            lead = lead[~scored[lead]]
+            scored[lead] = True
+            best = np.sort(np.concatenate([best, self.rows[lead] @ query]))[-wanted:]
+            room = ahead.sum() * (1 + dims * 2e-7) + 1 - seen[members] @ ahead.astype(np.float32)  # never too low by rounding
+            if len(best) == wanted:
+                members = members[open_ + room + base >= best[0]]        # the others are proven out
             if len(members) <= ENOUGH * wanted:
                 break
         return members, self.rows[members] @ query
 
 
-def _search_group(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        ids = rows.column("vec_id").to_numpy()
-        index = ImpactIndex(matrix(rows.column("y"), np.int64))
-        out_q, out_v, out_s = [], [], []
-        for query_id, y in zip(queries.column("vec_id").to_pylist(), matrix(queries.column("y"), np.int64), strict=True):
-            members, scores = index.search(y, k, np.flatnonzero(ids == query_id))
-            first = np.lexsort((ids[members], -scores))[:k]
-            out_q.append(np.full(len(first), query_id))
-            out_v.append(ids[members][first])
-            out_s.append(scores[first])
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in (out_q, out_v, out_s)], schema=schema)
+def _clipped(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Scores in integers of any size, then clipped to a long."""
+    q = [int(v) for v in query]
+    exact = (sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in rows)
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in exact], np.int64)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _answer(index: ImpactIndex, ids: np.ndarray, batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+    for query_id, y in zip(batch.column("vec_id").to_pylist(), matrix(batch.column("y"), np.int64), strict=True):
+        members, scores = index.search(y, k, np.flatnonzero(ids == query_id))
+        first = np.lexsort((ids[members], ~scores))[:k]                   # ~ falls as the score rises, without overflow
+        for column, value in zip(out, (np.full(len(first), query_id), ids[members][first], scores[first]), strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], schema=_FOUND)
+
+
+def _search(k: int):
+    """A partition's pieces one after the other, each with its vectors before
+    its queries: the vectors become an index, the queries stream through it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, index, ids, held = None, None, None, []
+        for batch in batches:
+            pieces, asked = batch.column("piece").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((pieces[1:] != pieces[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for at, stop in zip([0, *cuts], [*cuts, len(pieces)], strict=True):
+                if stop == at:
+                    continue
+                part = batch.slice(at, stop - at)
+                if pieces[at] != piece:
+                    piece, index, held = pieces[at], None, []
+                if not asked[at]:
+                    held.append(part)
+                    continue
+                if index is None:
+                    if not held:                                          # no vectors were dealt to this shard
+                        continue
+                    rows = pa.Table.from_batches(held)
+                    ids, index, held = rows.column("vec_id").to_numpy(), ImpactIndex(matrix(rows.column("y"), np.int64)), [held[0].slice(0, 0)]
+                yield _answer(index, ids, part, k)
     return run
 
 
@@ -119,15 +164,19 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     by ``every``, the ``k`` other rows of greatest integer inner product of
     floor(scale * x)."""
     ship_package(table.sparkSession)
-    rows = usable(table).select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("y"))
-    asked = rows.where(F.col("vec_id") % every == 0)
+    edge = float(1 << 62)
+    rows = usable(table).select("vec_id", F.transform(
+        "x", lambda v: F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), v * scale))).cast("long")).alias("y"))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("y").alias("y"))
     shards = pieces_for(rows.count(), SHARD_ROWS)
     blocks = pieces_for(asked.count(), QUERY_ROWS)
-    # every shard meets every block of queries; both are bounded
-    base = (rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    sent = (asked.withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int"))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).dropDuplicates(["vec_id", "shard"]))
-    found = base.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(
-        _search_group(k), "query_id long, vec_id long, score long")
+    # a piece is a shard and a block of queries: a shard is copied once for every QUERY_ROWS queries
+    piece = lambda shard, block: (shard * F.lit(blocks) + block).alias("piece")
+    shard = F.pmod(F.xxhash64("vec_id", "y"), F.lit(shards)).cast("int")
+    block = F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = rows.withColumn("block", every_of(blocks)).select(piece(shard, F.col("block")), F.lit(False).alias("asked"), "vec_id", "y")
+    sent = asked.withColumn("shard", every_of(shards)).select(piece(F.col("shard"), block), F.lit(True).alias("asked"), "vec_id", "y")
+    found = (base.unionByName(sent).repartitionById(min(shards * blocks, MOST_TASKS), "piece")
+             .sortWithinPartitions("piece", "asked").mapInArrow(_search(k), "query_id long, vec_id long, score long"))
     return best(found, k)

@@ -76,6 +76,40 @@ def test_processing_stops_early_on_proof():
     assert sorted(scores)[-10:] == sorted(full)[-10:]
 
 
+def test_proof_fires_on_the_embeddings(spark):
+    """No structure in the vectors, yet most rows are proven out well before the last round."""
+    rows = [r.embedding for r in spark.read.parquet(f"{SF_MID}/embeddings.parquet").where("embedding is not null").collect()]
+    y = np.floor(1024 * np.array(rows, float)).astype(np.int64)
+    index = impact_topk.ImpactIndex(y)
+    rounds, members = [], []
+    for q in range(0, len(y), 10):
+        got, scores = index.search(y[q], 10, np.array([q]))
+        full = y @ y[q]
+        full[q] = -1 << 60
+        assert sorted(scores)[-10:] == sorted(full)[-10:]
+        rounds.append(index.rounds)
+        members.append(len(got))
+    assert np.mean(rounds) <= 0.75 * impact_topk.ROUNDS and np.mean(members) <= impact_topk.ENOUGH * 10
+
+
+@pytest.mark.parametrize("largest", [1 << 20, 1 << 30, 1 << 45])
+def test_large_components_are_exact(largest):
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-largest, largest, size=(300, 6))
+    index = impact_topk.ImpactIndex(rows)
+    members, scores = index.search(rows[0], 5, np.array([0]))
+    want = sorted(max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(r, rows[0], strict=True)))) for r in rows[1:])
+    assert sorted(scores.tolist())[-5:] == want[-5:]
+
+
+def test_repeated_and_huge_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (100, [1e300, 0.0]), (200, [-1e300, 1e300])]
+    got = answers(impact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got[0][0][1:] == (100, (1 << 63) - 1)                          # the greater vector asks
+    assert got[100][0][1:] == (1, (1 << 63) - 1) and got[100][-1][1:] == (200, -(1 << 63))
+    assert {i for _, i, _ in got[0]} == {1, 2, 100, 200}
+
+
 def dot(x, y):
     return float((x * y).sum())
 
