@@ -34,7 +34,7 @@ from riskfold.llm.vectors import best, matrix, usable
 SHARD_ROWS = 8192
 QUERY_ROWS = 8192
 MOST_TASKS = 100_000
-LEVELS = 16
+LEVELS = 8
 ROUNDS = 16
 #: Possible members per wanted row at which scoring them is cheaper than going on.
 ENOUGH = 16
@@ -47,19 +47,19 @@ class ImpactIndex:
         self.rows = rows
         n, dims = rows.shape
         self.order = np.argsort(rows, axis=0, kind="stable").T.copy()     # (dimensions, rows)
-        self.values = np.take_along_axis(rows.T, self.order, 1)
+        self.values = np.take_along_axis(rows.T, self.order, 1).astype(np.float64)
         dim, start, stop, low, high = [], [], [], [], []
         for d in range(dims):
             values = self.values[d]
             span = max(1, int(values[-1]) - int(values[0]) + 1)
-            level = ((values.astype(float) - float(values[0])) * LEVELS / span).astype(np.int64)
+            level = ((values - values[0]) * LEVELS / span).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
             ends = np.concatenate([cuts[1:], [n]])
             dim.append(np.full(len(cuts), d))
             start.append(cuts)
             stop.append(ends)
-            low.append(values[cuts])
-            high.append(values[ends - 1])
+            low.append(rows[self.order[d, cuts], d])
+            high.append(rows[self.order[d, ends - 1], d])
         self.dim, self.start, self.stop, self.low, self.high = (np.concatenate(v) for v in (dim, start, stop, low, high))
         self.least, self.most = rows.min(0), rows.max(0)
         self.largest = max(abs(int(self.least.min())), abs(int(self.most.max())))
@@ -75,37 +75,39 @@ class ImpactIndex:
         self.rounds = 0
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.largest * max(1, int(np.abs(query).max())) * dims >= 1 << 52:
+        if self.largest * max(1, int(np.abs(query).max())) * dims * dims >= 1 << 50:
             return members, _clipped(self.rows[members], query)           # past exact sums of doubles and longs
         floor = np.minimum(query * self.least, query * self.most)         # least contribution of each dimension
         weight = query[self.dim]
         impact = np.maximum(weight * self.low, weight * self.high) - floor[self.dim]  # what a posting can add at most
         order = np.argsort(-impact, kind="stable")
         base = int(floor.sum())
-        sums, seen = np.zeros(n), np.zeros((n, dims), np.float32)
+        unit = 1 << dims.bit_length()
+        held = np.zeros(n)                                                # contributions times unit, plus dimensions met
+        touched = np.zeros(dims, bool)
         best = np.zeros(0, np.int64)                                      # exact scores met so far, best ``wanted``
         scored = barred.copy()
         step = -(-len(order) // ROUNDS)
         for at in range(0, len(order), step):
             self.rounds += 1
             some = order[at:at + step]
-            lengths = self.stop[some] - self.start[some]
-            ends = np.cumsum(lengths)
-            place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(self.start[some], lengths)
-            dim = np.repeat(self.dim[some], lengths)
-            hit = self.order[dim, place]
-            sums += np.bincount(hit, self.values[dim, place] * query[dim] - floor[dim], n)  # the posting's own contribution
-            seen[hit, dim] = 1
+            for d, a, b in zip(self.dim[some].tolist(), self.start[some].tolist(), self.stop[some].tolist(), strict=True):
+                hit = self.order[d, a:b]                                  # every row is in a dimension's list once
+                held[hit] += self.values[d, a:b] * float(query[d] * unit) + float(1 - floor[d] * unit)  # the posting's own contribution
+            touched[self.dim[some]] = True
             left = order[at + step:]
-            ahead = np.zeros(dims)
+            ahead = np.zeros(dims, np.int64)
             np.maximum.at(ahead, self.dim[left], impact[left])           # most that an unseen posting adds
             # the leaders' exact scores are a mark that the k-th best cannot miss
-            open_ = sums[members]
+            open_ = np.floor(held[members] / unit)
+            met = (held[members] - open_ * unit).astype(np.int64)
             lead = members[np.argpartition(-open_, wanted - 1)[:wanted]]
             lead = lead[~scored[lead]]
             scored[lead] = True
             best = np.sort(np.concatenate([best, self.rows[lead] @ query]))[-wanted:]
-            room = ahead.sum() * (1 + dims * 2e-7) + 1 - seen[members] @ ahead.astype(np.float32)  # never too low by rounding
+            # unseen for all rows: the untouched dimensions; of the others a row lacks some, at worst those with most ahead
+            worst = np.concatenate([[0], np.cumsum(-np.sort(-ahead[touched]))]) + int(ahead[~touched].sum())
+            room = worst[int(touched.sum()) - met]
             if len(best) == wanted:
                 members = members[open_ + room + base >= best[0]]        # the others are proven out
             if len(members) <= ENOUGH * wanted:

@@ -106,7 +106,7 @@ def test_repeated_and_huge_queries(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (100, [1e300, 0.0]), (200, [-1e300, 1e300])]
     got = answers(impact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
     assert got[0][0][1:] == (100, (1 << 63) - 1)                          # the greater vector asks
-    assert got[100][0][1:] == (1, (1 << 63) - 1) and got[100][-1][1:] == (200, -(1 << 63))
+    assert got[100][0][1:] == (0, (1 << 63) - 1) and got[100][-1][1:] == (200, -(1 << 63))
     assert {i for _, i, _ in got[0]} == {1, 2, 100, 200}
 
 
