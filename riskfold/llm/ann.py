@@ -3,10 +3,13 @@
 Inner products become distances by one more coordinate that gives all
 vectors the same length.  A random rotation spreads the information evenly
 over the dimensions, so the distance over the first few tells about the
-whole.  Vectors are dealt to the lists of the nearest centroid; a query scans
-the lists of its nearest centroids, dimensions in column blocks: after each
-block a hypothesis test compares the scaled partial distance with the k-th
-best so far and abandons the vectors that are, with high confidence, farther.
+whole.  Vectors are dealt to the lists of the nearest centroid.  A query first
+scans the few lists of its nearest centroids; its k-th distance there is a
+bound that goes with it to the further lists.  Of these it skips the ones that
+lie beyond the bound as a whole and scans the others, dimensions in column
+blocks: after each block a hypothesis test compares the scaled partial distance
+with the bound, or a nearer k-th best met since, and abandons the vectors that
+are, with high confidence, farther.
 
 The centroids are fitted on a bounded sample; every vector is in the index.
 A list is dealt in blocks, so one list may hold a third of all rows.
@@ -38,12 +41,18 @@ MOST_LISTS = 4096
 #: gave a recall of 0.76 to 0.82 at 20 neighbours, 0.65 gives 0.96.
 PROBED = 0.65
 LEAST_PROBED = 16
+#: Lists that give the bound.
+FIRST = 4
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 #: Dimensions of a column block, and the test's width: larger abandons less.
 COLUMNS = 16
-EPSILON = 2.1
-CHUNK = 512
+EPSILON = 1.5
+#: Rows between two looks at the k-th best, and queries scanned together.
+CHUNK = 64
+TOGETHER = 128
+#: Share of the squared radius by which rounding may move a distance.
+SLACK = 1e-9
 
 
 def rotation(dims: int, seed: int = 3) -> np.ndarray:
@@ -70,58 +79,113 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int =
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """(rows, n) numbers of the nearest centroids, in blocks of rows."""
+    """(rows, n) numbers of the nearest centroids, nearest first, in blocks of rows."""
     half = (centroids * centroids).sum(1) / 2
     out = np.empty((len(x), n), np.int64)
     for at in range(0, len(x), 2048):
         far = half - x[at:at + 2048] @ centroids.T
-        out[at:at + 2048] = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(centroids) else np.arange(len(centroids))
+        some = np.argpartition(far, n - 1, axis=1)[:, :n]
+        out[at:at + 2048] = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
     return out
 
 
-def scan(rows: np.ndarray, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
-    """Numbers of the nearest ``k`` rows to ``query`` (ties to the earlier
-    row), of rotated vectors; ``skip`` marks rows that do not count."""
+def scan(rows: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query numbers, row numbers) of the pairs within the k-th distance of
+    their query, and how many rows each query abandoned; of rotated vectors.
+    ``own`` marks pairs that do not count, ``reach`` is the squared distance
+    each query is known to have ``k`` rows within (or infinite)."""
     n, dims = rows.shape
-    kept, far = np.zeros(0, np.int64), np.zeros(0)
+    reach, abandoned = reach.copy(), np.zeros(len(queries), np.int64)
+    slack = SLACK * float((rows[:1] ** 2).sum())
+    kept_q, kept_r, kept_far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for at in range(0, n, CHUNK):
-        here = at + np.flatnonzero(~skip[at:at + CHUNK])
-        reach = far[k - 1] if len(far) >= k else math.inf
-        partial = np.zeros(len(here))
         for lo in range(0, dims, COLUMNS):
             hi = min(dims, lo + COLUMNS)
-            gap = rows[here, lo:hi] - query[lo:hi]
-            partial += np.einsum("ij,ij->i", gap, gap)
-            if hi < dims and reach < math.inf:
+            if lo == 0:                                                  # nothing is abandoned yet: one product for all pairs
+                some, head = rows[at:at + CHUNK, :hi], queries[:, :hi]
+                all_ = (head * head).sum(1)[:, None] + (some * some).sum(1) - 2 * head @ some.T
+                all_[own[:, at:at + CHUNK]] = math.inf
+                counted = np.isfinite(all_)
+                stay = counted & (all_ * (dims / hi) <= (reach * (1 + EPSILON / math.sqrt(hi)) ** 2 + slack)[:, None])
+                if hi < dims:
+                    abandoned += (counted & ~stay).sum(1)
+                else:
+                    stay = counted & (all_ <= (reach + slack)[:, None])
+                q, r = np.nonzero(stay)
+                partial = all_[q, r]
+                r += at
+                continue
+            gap = rows[r, lo:hi] - queries[q, lo:hi]
+            partial = partial + np.einsum("ij,ij->i", gap, gap)
+            if hi < dims:
                 # reject "within reach" when the estimate is too far out for hi dimensions
-                stay = partial * (dims / hi) <= reach * (1 + EPSILON / math.sqrt(hi)) ** 2 + 1e-12
-                here, partial = here[stay], partial[stay]
-                if not len(here):
-                    break
-        kept, far = np.concatenate([kept, here]), np.concatenate([far, partial])
-        first = np.lexsort((kept, far))[:k]
-        kept, far = kept[first], far[first]
-    return kept
+                stay = partial * (dims / hi) <= reach[q] * (1 + EPSILON / math.sqrt(hi)) ** 2 + slack
+                abandoned += np.bincount(q[~stay], minlength=len(queries))
+            else:
+                stay = partial <= reach[q] + slack
+            q, r, partial = q[stay], r[stay], partial[stay]
+        if not len(q):
+            continue
+        kept_q, kept_r, kept_far = np.concatenate([kept_q, q]), np.concatenate([kept_r, r]), np.concatenate([kept_far, partial])
+        order = np.lexsort((kept_far, kept_q))
+        kept_q, kept_r, kept_far = kept_q[order], kept_r[order], kept_far[order]
+        starts = np.searchsorted(kept_q, np.arange(len(queries)))
+        last = starts + k - 1
+        full = np.flatnonzero((last < len(kept_q)) & (kept_q[np.minimum(last, len(kept_q) - 1)] == np.arange(len(queries))))
+        reach[full] = np.minimum(reach[full], kept_far[last[full]])
+        stay = kept_far <= reach[kept_q] + 2 * slack                      # ties stay: exact scores decide them
+        kept_q, kept_r, kept_far = kept_q[stay], kept_r[stay], kept_far[stay]
+    return kept_q, kept_r, abandoned
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_COUNTS = pa.schema([("query_id", pa.int64()), ("candidates", pa.int64()), ("abandoned", pa.int64())])
 
 
-def _scan_group(k: int, radius: float, turn: np.ndarray):
+def _scan_group(k: int, radius: float, turn: np.ndarray, counts: bool):
+    """Rows and queries of one block of a list -> the rows found or, with
+    ``counts``, how many rows each query met and abandoned."""
+    schema = _COUNTS if counts else _FOUND
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
-            return _FOUND.empty_table()
+            return schema.empty_table()
         rows = rows.sort_by("vec_id")
         ids, x = rows.column("vec_id").to_numpy(), matrix(rows.column("x"))
-        turned = lifted(x, radius) @ turn
-        out_q, out_v, out_s = [], [], []
-        for query_id, q in zip(queries.column("vec_id").to_pylist(), matrix(queries.column("x")), strict=True):
-            near = scan(turned, np.append(q, 0.0) @ turn, k, ids == query_id)
-            score = (x[near] * q).sum(1)
-            out_q.append(np.full(len(near), query_id))
-            out_v.append(ids[near])
-            out_s.append(score)
-        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip((out_q, out_v, out_s), _FOUND, strict=True)], schema=_FOUND)
+        asked, ask = queries.column("vec_id").to_numpy(), matrix(queries.column("x"))
+        mark = queries.column("mark").to_numpy()                         # k-th best score so far, NaN where unknown
+        reach = np.where(np.isnan(mark), math.inf, radius * radius + (ask * ask).sum(1) - 2 * mark)
+        turned, turned_ask = lifted(x, radius) @ turn, np.concatenate([ask, np.zeros((len(ask), 1))], 1) @ turn
+        out: list[pa.Table] = []
+        for at in range(0, len(asked), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            own = asked[some, None] == ids
+            q, r, abandoned = scan(turned, turned_ask[some], k, own, reach[some])
+            if counts:
+                out.append(pa.table([asked[some], (~own).sum(1), abandoned], schema=schema))
+                continue
+            score = (x[r] * ask[some][q]).sum(1)
+            order = np.lexsort((ids[r], -score, q))
+            q, r, score = q[order], r[order], score[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append(pa.table([asked[some][q[first]], ids[r[first]], score[first]], schema=schema))
+        return pa.concat_tables(out)
+    return run
+
+
+def _skip_far_lists(centroids: np.ndarray, reaches: np.ndarray, radius: float):
+    """Drops the lists that lie, as a whole, beyond a query's bound."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, mark = matrix(batch.column("x")), batch.column("mark").to_numpy(zero_copy_only=False)
+            bound = np.sqrt(np.maximum(radius * radius * (1 + SLACK) + (x * x).sum(1) - 2 * mark, 0))
+            lists = []
+            for row, some, far in zip(x, batch.column("lists").to_pylist(), bound, strict=True):
+                gap = np.sqrt(((centroids[some] - np.append(row, 0.0)) ** 2).sum(1)) - reaches[some]
+                lists.append(np.asarray(some)[~(gap > far * (1 + SLACK) + SLACK * radius)].tolist())
+            yield batch.set_column(batch.schema.get_field_index("lists"), "lists", pa.array(lists, pa.list_(pa.int32())))
     return run
 
 
@@ -138,19 +202,34 @@ def _with_lists(centroids: np.ndarray, radius: float, n: int, lift: bool):
     return run
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, probed: float = PROBED, lists: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: for the rows whose vec_id is divisible by
-    ``every``, the ``k`` other rows found of largest inner product."""
+def _list_facts(centroids: np.ndarray, radius: float):
+    """list, n, reach of each batch: rows, and the farthest from the centroid."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column("list").to_numpy()
+                far = np.sqrt(((lifted(matrix(batch.column("x")), radius) - centroids[lists]) ** 2).sum(1))
+                met, place, n = np.unique(lists, return_inverse=True, return_counts=True)
+                reach = np.zeros(len(met))
+                np.maximum.at(reach, place, far)
+                yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(n, pa.int64()), pa.array(reach)], ["list", "n", "reach"])
+    return run
+
+
+def _search(table: DataFrame, k: int, every: int, probed: float, lists: int | None, counts: bool) -> DataFrame | None:
+    """The rows found by all queries, or the counts of
+    the scan; None without vectors."""
     spark = table.sparkSession
     ship_package(spark)
     rows = cut_lineage(usable(table, zero=False), "vectors")
     facts = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), F.max(F.size("x"))).first()
     if not facts[0]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     radius, dims = math.sqrt(facts[1]) * (1 + 1e-12), facts[2]
     lists = lists or max(1, min(MOST_LISTS, int(math.sqrt(facts[0]))))
-    draw = F.pmod(F.xxhash64(F.lit("centroids"), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < min(1.0, SAMPLE_ROWS / facts[0])).select("vec_id", "x").toArrow().sort_by("vec_id")
+    # drawn by the row, not its id alone, and limited: a bounded sample whatever the ids are
+    draw = F.pmod(F.xxhash64(F.lit("centroids"), "vec_id", "x"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(draw < min(1.0, SAMPLE_ROWS / facts[0])).select("vec_id", "x").limit(2 * SAMPLE_ROWS).toArrow().sort_by("vec_id")
     if not sample.num_rows:
         sample = rows.limit(SAMPLE_ROWS).toArrow()
     centroids = fit_centroids(lifted(matrix(sample.column("x")), radius), lists)
@@ -158,18 +237,51 @@ def search(table: DataFrame, k: int = 20, every: int = 20, probed: float = PROBE
 
     listed = rows.mapInArrow(_with_lists(centroids, radius, 1, True), "vec_id long, x array<double>, lists array<int>")
     base = cut_lineage(listed.select("vec_id", "x", F.col("lists")[0].alias("list")), "lists")
-    sizes = base.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per list
+    sizes = base.mapInArrow(_list_facts(centroids, radius), "list int, n long, reach double").groupBy("list").agg(
+        F.sum("n").alias("n"), F.max("reach").alias("reach")).collect()  # a row per list
+    reaches = np.zeros(len(centroids))
+    for r in sizes:
+        reaches[r.list] = r.reach
     blocks = F.create_map(*[v for r in sizes for v in (F.lit(r.list), F.lit(pieces_for(r.n, BLOCK_ROWS)))])
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    parts = pieces_for(asked.count(), QUERY_ROWS * max(1, len(centroids) // probes))
-    base = (base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("list"))).cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    sent = (asked.mapInArrow(_with_lists(centroids, radius, probes, False), "vec_id long, x array<double>, lists array<int>")
-            .select("vec_id", "x", F.explode("lists").alias("list"))
-            .withColumn("part", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(parts)).cast("int"))
-            .withColumn("n", F.element_at(blocks, F.col("list"))).where("n is not null")
-            .withColumn("block", F.explode(F.expr("sequence(0, n - 1)"))).drop("n"))
-    key = ["list", "block", "part"]
-    found = base.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(
-        _scan_group(k, radius, rotation(dims + 1)), "query_id long, vec_id long, score double")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("x").alias("x"))
+    asked = cut_lineage(asked.mapInArrow(_with_lists(centroids, radius, probes, False), "vec_id long, x array<double>, lists array<int>"), "asked")
+    n_asked, turn = asked.count(), rotation(dims + 1)
+
+    def scanned(sent: DataFrame, share: float, counts: bool) -> DataFrame:
+        parts = pieces_for(n_asked, int(QUERY_ROWS / share))
+        some = (base.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.element_at(blocks, F.col("list"))).cast("int"))
+                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+        sent = (sent.select("vec_id", "x", "mark", F.explode("lists").alias("list"))
+                .withColumn("part", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(parts)).cast("int"))
+                .withColumn("n", F.element_at(blocks, F.col("list"))).where("n is not null")
+                .withColumn("block", F.explode(F.expr("sequence(0, n - 1)"))).drop("n"))
+        key = ["list", "block", "part"]
+        shape = "query_id long, candidates long, abandoned long" if counts else "query_id long, vec_id long, score double"
+        return some.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_scan_group(k, radius, turn, counts), shape)
+
+    near = asked.withColumn("lists", F.slice("lists", 1, FIRST)).withColumn("mark", F.lit(math.nan))
+    first = cut_lineage(best(scanned(near, FIRST / len(centroids), False), k), "nearest-lists")
+    marks = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("mark"))
+    far = (asked.withColumn("lists", F.slice("lists", FIRST + 1, probes)).join(marks, "vec_id", "left")
+           .withColumn("mark", F.coalesce("mark", F.lit(math.nan))).select("vec_id", "x", "lists", "mark")
+           .mapInArrow(_skip_far_lists(centroids, reaches, radius), "vec_id long, x array<double>, lists array<int>, mark double"))
+    further = scanned(far, probes / len(centroids), counts)
+    return further if counts else first.select("query_id", "vec_id", "score").unionByName(further)
+
+
+def search(table: DataFrame, k: int = 20, every: int = 20, probed: float = PROBED, lists: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for the rows whose vec_id is divisible by
+    ``every``, the ``k`` other rows found of largest inner product."""
+    found = _search(table, k, every, probed, lists, False)
+    if found is None:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return best(found, k)
+
+
+def scan_counts(table: DataFrame, k: int = 20, every: int = 20, probed: float = PROBED, lists: int | None = None) -> DataFrame:
+    """query_id, candidates, abandoned: how many rows of the lists after the
+    first few each query of ``search`` met, and abandoned on partial distances."""
+    counted = _search(table, k, every, probed, lists, True)
+    if counted is None:
+        return table.sparkSession.createDataFrame([], "query_id long, candidates long, abandoned long")
+    return counted.groupBy("query_id").agg(F.sum("candidates").alias("candidates"), F.sum("abandoned").alias("abandoned"))

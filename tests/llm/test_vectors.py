@@ -144,12 +144,29 @@ def test_nearest_on_mixed_rows(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_registered_search_abandons_candidates(spark):
+    embeddings = spark.read.parquet(f"{SF_MID}/embeddings.parquet")
+    met, abandoned = ann.scan_counts(embeddings).selectExpr("sum(candidates)", "sum(abandoned)").first()
+    assert met > 0 and abandoned >= 0.1 * met                            # 200 rows: 20 neighbours are a tenth of them
+
+
+def test_lists_beyond_the_bound_are_skipped(spark):
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(12, 8)) * 20
+    rows = [(i, (middles[i % 12] + rng.normal(size=8) * 0.1).tolist()) for i in range(1200)]
+    want = brute(rows, 20, 20, dot, False)
+    assert recall(answers(ann.search(table(spark, rows), probed=1.0)), want) >= 0.97
+    met = ann.scan_counts(table(spark, rows), probed=1.0).agg(F.sum("candidates")).first()[0]
+    assert (met or 0) < 0.5 * 60 * 1199
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_scan_abandons_few_true_neighbours(seed):
     rng = np.random.default_rng(seed)
     rows = rng.normal(size=(3000, 64)) @ ann.rotation(64)
-    query = rng.normal(size=64)
-    skip = np.zeros(3000, bool)
-    near = ann.scan(rows, query, 20, skip)
-    true = np.argsort(((rows - query) ** 2).sum(1))[:20]
-    assert len(set(near) & set(true)) >= 19
+    queries = rng.normal(size=(3, 64))
+    q, r, abandoned = ann.scan(rows, queries, 20, np.zeros((3, 3000), bool), np.full(3, np.inf))
+    for n, query in enumerate(queries):
+        true = np.argsort(((rows - query) ** 2).sum(1))[:20]
+        assert len(set(r[q == n]) & set(true)) >= 18
+    assert (abandoned > 300).all()
