@@ -298,13 +298,19 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return label_rows(plain, net).select("doc_id", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, over_chance: float = 1.2) -> DataFrame:
     """The rows of ``docs`` whose text has a letter and a language with a mean
-    position probability of ``least`` or more; columns as they are."""
+    position probability of ``over_chance`` times chance (one over the number
+    of languages) or more, at most one half; columns as they are.  Where no
+    network can be fitted, as no row has a language, all texts with a letter
+    stay."""
     fresh = lambda name: name if name.lower() not in {c.lower() for c in docs.columns} else fresh("_" + name)
     pred, score = fresh("lang_pred"), fresh("lang_score")
-    labelled = label_rows(docs, fit(training_rows(docs)), pred, score)
-    return labelled.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
+    net = fit(training_rows(docs))
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    labelled = label_rows(docs, net, pred, score)
+    return labelled.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min(0.5, over_chance / len(net.languages)))).drop(pred, score)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -317,6 +317,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that have a near duplicate of smaller
-    doc_id in their class; columns as they are.  Rows without an id stay."""
+    doc_id in their class; columns as they are.  Of rows that repeat both id
+    and text (null ids are equal) one stays; other rows without an id stay."""
+    # a written table, so its size decides the join: texts are not shuffled for a few repeated ids
+    again = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    single = docs
+    if not again.isEmpty():
+        same = docs["doc_id"].eqNullSafe(again["again"])
+        single = docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     gone = near_duplicates(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return single.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -61,6 +61,23 @@ def test_stages_against_brute_force(spark):
     check_packing(packed, kept, Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), 4096)
 
 
+def test_no_known_language_keeps_texts_with_letters(spark):
+    d = docs(spark, ["plain words", "12 !! 34", "", None, "Straße und Haus", "слово"], langs=[None] * 6)
+    ids = sorted(r.doc_id for r in d.collect())
+    kept = sorted(r.doc_id for r in corpus_pipeline.language_id(spark, d, SF_SMALL).collect())
+    assert kept == [ids[0], ids[4], ids[5]]
+
+
+def test_rows_repeated_with_their_id_are_kept_once(spark):
+    d = docs(spark, ["one text of some words " * 9, "another text, quite other words here " * 9, None])
+    lone = docs(spark, ["a text without an id " * 7]).withColumn("doc_id", F.lit(None).cast("long")).select(*d.columns)
+    twice = d.unionByName(lone).unionByName(d).unionByName(lone).unionByName(d)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, twice, SF_SMALL).select(*d.columns).collect()]
+    want = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, d.unionByName(lone), SF_SMALL).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, want)) and len(kept) == 4
+    assert corpus_pipeline.near_duplicates(spark, twice, SF_SMALL).columns == d.columns
+
+
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
