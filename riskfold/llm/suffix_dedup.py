@@ -19,15 +19,22 @@ windows picked it.
    common prefixes: in a run of suffixes that share LENGTH bytes all but
    those of the least document are repeats.  Shards follow the bytes of the
    input; a shard's text, queues, rows and least documents are on the
-   executor's disk while it runs.  All contexts of one gram are in one shard.
-4. Each document's repeated windows are joined to spans and cut.
+   executor's disk while it runs.  Contexts of a gram with more than ``HOT``
+   of them are split by the gram's place in the window, in steps of ``STEP``,
+   and dealt by all bytes that the windows of a step share; what still meets
+   in one shard differs in fewer than STEP bytes, and equal ones are one.
+4. Each row's repeated windows are joined to spans and cut.
+
+A row is known by its group of documents and its place there in the order of
+(doc_id, text), so rows that repeat an id have windows of their own.
 
 Step 1 leaves out only windows that certainly occur in one document.  Equal
 contexts are collapsed by value, in step 2 within a group and in step 3
 within a shard; the sorted suffixes decide contexts that overlap in part.
 
 Defined cases: null text is empty; texts shorter than LENGTH are kept whole;
-of rows with the same doc_id none counts as the smaller document; rows
+of rows with the same doc_id none counts as the smaller document, whether
+their texts are the same or not; rows
 without a doc_id are kept whole and match nothing; an empty table gives no
 rows; other columns are ignored, and pass through ``strip_repeats``.
 """
@@ -60,6 +67,9 @@ SHARDS = 2
 SHARD_BYTES = 16 << 20
 #: Contexts of a shard that are in memory at once.
 ROWS = 1 << 17
+#: A gram with more contexts is split by its place in the window, in these steps.
+HOT = 1 << 14
+STEP = 4
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
@@ -130,7 +140,9 @@ def contexts_of(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
 
 # -- step 1: grams of two documents or more ----------------------------------
 
-_GRAMS = "bucket int, hashes binary, groups binary, several binary"
+_GRAMS = "bucket int, hashes binary, groups binary, notes binary"
+#: A gram's note: its contexts in one batch and group (up to 127), and a bit for two documents or more.
+_SEVERAL = 1 << 7
 
 
 def _named(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,17 +177,18 @@ def _gram_rows(groups: int, buckets: int):
                 order = np.lexsort((group, number))
                 h, group, several = h[order], group[order], several[order]
                 keep = np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])])
-                h, group, several = h[keep], group[keep], several[keep]
-                bucket, h = _named(h, buckets)
+                times = np.diff(np.append(np.flatnonzero(keep), len(keep)))
+                notes = np.minimum(times, _SEVERAL - 1).astype(np.uint8) | np.where(several[keep], _SEVERAL, 0).astype(np.uint8)
+                bucket, name = _named(h[keep], buckets)
                 order = np.argsort(bucket, kind="stable")
-                h, group, several, bucket = h[order], group[order], several[order], bucket[order]
+                h, group, notes, bucket = name[order], group[keep][order], notes[order], bucket[order]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(bucket[cuts[:-1]], pa.int32()),
                     pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
                     pa.array([group[a:b].astype(_narrow(groups)).tobytes() for a, b in spans], pa.binary()),
-                    pa.array([several[a:b].tobytes() for a, b in spans], pa.binary())], ["bucket", "hashes", "groups", "several"])
+                    pa.array([notes[a:b].tobytes() for a, b in spans], pa.binary())], ["bucket", "hashes", "groups", "notes"])
     return run
 
 
@@ -183,52 +196,114 @@ def _narrow(groups: int):
     return np.uint16 if groups <= 1 << 16 else np.int32
 
 
-def _repeated(groups: int):
+def _repeated(groups: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
-        return _repeated_grams(table, groups)
+        return _repeated_grams(table, groups, hot)
     return run
 
 
-def _repeated_grams(table: pa.Table, groups: int) -> pa.Table:
-    """Of one bucket: the repeated grams of each group of documents."""
+def _repeated_grams(table: pa.Table, groups: int, hot: int) -> pa.Table:
+    """Of one bucket: the repeated grams of each group of documents, and
+    those of them with more than ``hot`` contexts in all groups."""
     hashes = [np.frombuffer(b, np.uint32) for b in table.column("hashes").to_pylist()]
     h = np.concatenate(hashes)
     group = np.concatenate([np.frombuffer(b, _narrow(groups)) for b in table.column("groups").to_pylist()])
-    several = np.concatenate([np.frombuffer(b, np.bool_) for b in table.column("several").to_pylist()])
+    notes = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("notes").to_pylist()])
     batch = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
     order = np.argsort(h, kind="stable")          # batches stay in order within a gram
-    h, group, several, batch = h[order], group[order], several[order], batch[order]
+    h, group, notes, batch = h[order], group[order], notes[order], batch[order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     stops = np.concatenate([new[1:], [len(h)]])
-    twice = np.logical_or.reduceat(several, new) | (batch[new] != batch[stops - 1])
+    twice = np.logical_or.reduceat(notes >= _SEVERAL, new) | (batch[new] != batch[stops - 1])
+    many = np.add.reduceat((notes % _SEVERAL).astype(np.int64), new) > hot
     some = np.repeat(twice, stops - new)
-    h, group = h[some], group[some]
+    h, group, many = h[some], group[some], np.repeat(many, stops - new)[some]
     order = np.lexsort((h, group))
-    h, group = h[order], group[order]
+    h, group, many = h[order], group[order], many[order]
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(h) else np.zeros(1, int)
     h = _key(np.full(len(h), table.column("bucket")[0].as_py()), h)
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     return pa.table({"grp": pa.array(group[cuts[:-1]], pa.int32()),
-                     "grams": pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+                     "grams": pa.array([np.unique(h[a:b]).tobytes() for a, b in spans], pa.binary()),
+                     "hot": pa.array([np.unique(h[a:b][many[a:b]]).tobytes() for a, b in spans], pa.binary())})
 
 
 # -- step 2: contexts ----------------------------------------------------------
 
-_PARTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("stop", pa.int64()), ("contexts", pa.binary())])
+_PARTS = pa.schema([("part", pa.int32()), ("grp", pa.int32()), ("row", pa.int32()), ("first", pa.int64()), ("stop", pa.int64()),
+                    ("contexts", pa.binary())])
+_WINDOWS = pa.schema([("grp", pa.int32()), ("row", pa.int32()), ("first", pa.int64()), ("stop", pa.int64())])
+
 
+def _places(ids: pa.ChunkedArray, texts: pa.ChunkedArray) -> np.ndarray:
+    """Each row's place in its group, by (doc_id, text), rows without an id
+    last: the same whenever the group is read."""
+    order = pc.sort_indices(pa.table({"id": ids, "text": texts}), sort_keys=[("id", "ascending"), ("text", "ascending")]).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
 
-def _pack(docs: np.ndarray, first: np.ndarray, windows: np.ndarray, pieces: list[bytes]) -> bytes:
-    """Many contexts as one compressed value."""
-    raw = b"".join([np.int64(len(docs)).tobytes(), docs.tobytes(), first.tobytes(), windows.tobytes(), *pieces])
+
+def _pack(docs: np.ndarray, rows: np.ndarray, first: np.ndarray, windows: np.ndarray, pieces: list[bytes]) -> bytes:
+    """Many contexts of one group as one compressed value."""
+    raw = b"".join([np.int64(len(docs)).tobytes(), *(v.astype(np.int64).tobytes() for v in (docs, rows, first, windows)), *pieces])
     return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = pa.decompress(packed[8:], decompressed_size=int(np.frombuffer(packed[:8], np.int64)[0]), codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw[:8], np.int64)[0])
-    docs, first, windows = np.frombuffer(raw[8:8 + 24 * n], np.int64).reshape(3, n)
-    ends = 8 + 24 * n + np.cumsum(windows + LENGTH - 1)
+    docs, rows, first, windows = np.frombuffer(raw[8:8 + 32 * n], np.int64).reshape(4, n)
+    ends = 8 + 32 * n + np.cumsum(windows + LENGTH - 1)
     begins = ends - (windows + LENGTH - 1)
-    return docs, first, windows, [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return docs, rows, first, windows, [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
+def split_hot(pieces: list[bytes], h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts of hot grams, ``h`` their hashes, as shorter ones: (number of
+    the context, first window in it, windows, hash to deal by).
+
+    The gram's first place in a window is known from the window alone.  Those
+    with places from ``step * STEP`` on, below the next step, share the bytes
+    from that far before the gram on, LENGTH - STEP + 1 of them, and are dealt
+    by these.  Equal windows thus get equal hashes."""
+    found: list[tuple[np.ndarray, ...]] = []
+    waiting: list[tuple[int, int, bytes]] = []
+    held = 0
+
+    def close() -> None:
+        owner = np.repeat(np.arange(len(waiting)), [len(p) for _, _, p in waiting])
+        data = np.frombuffer(b"".join(p for _, _, p in waiting), np.uint8)
+        ends = np.cumsum([len(p) for _, _, p in waiting])
+        left = ends[owner] - np.arange(len(data))
+        grams = np.array([h[i] for i, _, _ in waiting], np.uint64)[owner]
+        place = np.where((gram_hashes(data, GRAM) == grams) & (left >= GRAM), np.arange(len(data)), len(data))
+        place = np.minimum.accumulate(place[::-1])[::-1]
+        at = np.flatnonzero(left >= LENGTH)                   # the windows
+        step = (place[at] - at) // STEP
+        shared = gram_hashes(data, LENGTH - STEP + 1)[place[at] - step * STEP]
+        deal = mix(shared + step.astype(np.uint64) * np.uint64(_BASE))
+        new = np.ones(len(at), bool)
+        new[1:] = (deal[1:] != deal[:-1]) | (owner[at[1:]] != owner[at[:-1]])
+        heads = np.flatnonzero(new)
+        mine = owner[at[heads]]
+        number, skipped = (np.array([w[i] for w in waiting], np.int64) for i in (0, 1))
+        begins = ends - np.array([len(p) for _, _, p in waiting])
+        found.append((number[mine], skipped[mine] + at[heads] - begins[mine], np.diff(np.append(heads, len(at))), deal[heads]))
+
+    for i, piece in enumerate(pieces):
+        for lo in range(0, len(piece) - LENGTH + 1, BLOCK):    # a window run of any length, in blocks
+            part = piece[lo:lo + BLOCK + LENGTH - 1]
+            if held + len(part) > 2 * BLOCK and waiting:
+                close()
+                waiting, held = [], 0
+            waiting.append((i, lo, part))
+            held += len(part)
+    if waiting:
+        close()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _cut_contexts(buckets: int, parts: int):
@@ -237,57 +312,87 @@ def _cut_contexts(buckets: int, parts: int):
     return run
 
 
+def _open_and_settled(doc: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray, pieces: list[bytes]) -> tuple:
+    """Of contexts in the order of documents: which are open, and (row, first,
+    stop) of those that a smaller document has too; neighbours are one."""
+    least: dict[bytes, int] = {}
+    known = np.array([least.setdefault(p, d) for p, d in zip(pieces, doc.tolist(), strict=True)], np.int64)
+    done = np.flatnonzero(known != doc)
+    joins = np.zeros(len(done), bool)
+    joins[1:] = (row[done[1:]] == row[done[:-1]]) & (first[done[1:]] == stop[done[:-1]])
+    heads = np.flatnonzero(~joins)
+    tails = np.append(heads[1:], len(done))[:len(heads)] - 1
+    return np.flatnonzero(known == doc), (row[done[heads]], first[done[heads]], stop[done[tails]])
+
+
+def _grams_of(grams: pa.Table, column: str) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in grams.column(column).to_pylist()]))
+
+
+def _among(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which ``keys`` are in the sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
 def _contexts_of_group(docs: pa.Table, grams: pa.Table, buckets: int, parts: int) -> pa.Table:
     """Contexts of one group of documents: a row of packed contexts for each
     part, and rows of settled ones, whose windows [first, stop) are all
     repeats (neighbours are one row)."""
     if not docs.num_rows or not grams.num_rows:
         return _PARTS.empty_table()
-    wanted = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in grams.column("grams").to_pylist()]))
+    grp = grams.column("grp")[0].as_py()
+    wanted, hot = _grams_of(grams, "grams"), _grams_of(grams, "hot")
     ids = np.array(docs.column("doc_id").to_pylist(), np.int64)
+    places = _places(docs.column("doc_id"), docs.column("text"))
     raws = [t.encode("utf-8", "replace") for t in docs.column("text").to_pylist()]
     joined = b"".join(raws)
     begins = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
     text, h, first, stop = contexts_of(raws)
     named = _key(*_named(h, buckets))
-    at = np.minimum(np.searchsorted(wanted, named), len(wanted) - 1)
-    keep = wanted[at] == named
-    text, h, first, stop = text[keep], h[keep], first[keep], stop[keep]
-    order = np.argsort(ids[text], kind="stable")
-    text, h, first, stop = text[order], h[order], first[order], stop[order]
-    doc, base = ids[text], begins[text]
-    least: dict[bytes, int] = {}
+    keep = _among(wanted, named)
+    text, h, named, first, stop = text[keep], h[keep], named[keep], first[keep], stop[keep]
+    order = np.argsort(places[text], kind="stable")          # by document, then by row
+    text, h, named, first, stop = text[order], h[order], named[order], first[order], stop[order]
+    doc, row, base = ids[text], places[text], begins[text]
     pieces = [joined[a:b] for a, b in zip(first.tolist(), (stop + LENGTH - 1).tolist(), strict=True)]
-    known = np.array([least.setdefault(p, d) for p, d in zip(pieces, doc.tolist(), strict=True)], np.int64)
     first, stop = first - base, stop - base
-    done = np.flatnonzero(known != doc)
-    joins = np.zeros(len(done), bool)
-    joins[1:] = (doc[done[1:]] == doc[done[:-1]]) & (first[done[1:]] == stop[done[:-1]])
-    heads = np.flatnonzero(~joins)
-    tails = np.append(heads[1:], len(done))[:len(heads)] - 1
-    settled = doc[done[heads]]
-    open_ = np.flatnonzero(known == doc)
-    part = (h[open_] % np.uint64(parts)).astype(np.int32)
+    open_, settled = _open_and_settled(doc, row, first, stop, pieces)
+    split = _among(hot, named[open_])
+    warm, open_ = open_[split], open_[~split]
+    kept = [(doc[open_], row[open_], first[open_], stop[open_], h[open_])]
+    held = [pieces[i] for i in open_.tolist()]
+    if len(warm):
+        number, skip, windows, deal = split_hot([pieces[i] for i in warm.tolist()], h[warm])
+        whole = warm[number]
+        doc, row, start = doc[whole], row[whole], first[whole] + skip
+        short = [pieces[i][a:b] for i, a, b in zip(whole.tolist(), skip.tolist(), (skip + windows + LENGTH - 1).tolist(), strict=True)]
+        open_, more = _open_and_settled(doc, row, start, start + windows, short)
+        settled = tuple(np.concatenate(c) for c in zip(settled, more, strict=True))
+        kept.append((doc[open_], row[open_], start[open_], (start + windows)[open_], deal[open_]))
+        held += [short[i] for i in open_.tolist()]
+    doc, row, first, stop, h = (np.concatenate(c) for c in zip(*kept, strict=True))
+    part = (h % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    open_, part = open_[order], part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
-    packed = [_pack(doc[w], first[w], stop[w] - first[w], [pieces[i] for i in w.tolist()])
-              for w in (open_[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
-    none = [None] * len(packed)
-    columns = [pa.array([*part[cuts[:-1]].tolist(), *(settled % parts).tolist()], pa.int32()),
-               pa.array([*none, *settled.tolist()], pa.int64()),
-               pa.array([*none, *first[done[heads]].tolist()], pa.int64()),
-               pa.array([*none, *stop[done[tails]].tolist()], pa.int64()),
-               pa.array([*packed, *[None] * len(settled)], pa.binary())]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(part) else np.zeros(1, int)
+    packed = [_pack(doc[w], row[w], first[w], stop[w] - first[w], [held[i] for i in w.tolist()])
+              for w in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+    none, whose = [None] * len(packed), settled[0]
+    columns = [pa.array([*part[order][cuts[:-1]].tolist(), *((grp + whose) % parts).tolist()], pa.int32()),
+               pa.array([grp] * (len(packed) + len(whose)), pa.int32()),
+               *(pa.array([*none, *c.tolist()], f.type) for c, f in zip(settled, list(_PARTS)[2:5], strict=True)),
+               pa.array([*packed, *[None] * len(whose)], pa.binary())]
     return pa.table(columns, schema=_PARTS)
 
 
 # -- step 3: shards --------------------------------------------------------------
 
-#: A context that came: digest, document, first window, windows, place of its bytes.
-_CAME = np.dtype([("a", np.uint64), ("b", np.uint64), ("doc", np.int64), ("first", np.int64), ("windows", np.int64), ("at", np.int64)])
+#: A context that came: digest, document, its group and row, first window, windows, place of its bytes.
+_CAME = np.dtype([("a", np.uint64), ("b", np.uint64), ("doc", np.int64), ("grp", np.int32), ("row", np.int32), ("first", np.int64),
+                  ("windows", np.int64), ("at", np.int64)])
 #: The same once equal ones have one number.
-_ROW = np.dtype([("doc", np.int64), ("first", np.int64), ("windows", np.int64), ("k", np.int64)])
+_ROW = np.dtype([("doc", np.int64), ("grp", np.int32), ("row", np.int32), ("first", np.int64), ("windows", np.int64), ("k", np.int64)])
 
 
 class _Shard:
@@ -314,9 +419,10 @@ class _Shard:
     def _map(self, name: str, dtype, n: int) -> np.ndarray:
         return np.memmap(self._path(name), dtype, "r", shape=(n,)).view(np.ndarray)
 
-    def add(self, packed: bytes) -> None:
-        docs, first, windows, pieces = _unpack(packed)
+    def add(self, grp: int, packed: bytes) -> None:
+        docs, places, first, windows, pieces = _unpack(packed)
         rows = np.empty(len(docs), _CAME)
+        rows["grp"], rows["row"] = grp, places
         digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), np.uint64).reshape(-1, 2)
         sizes = windows + LENGTH - 1
         rows["a"], rows["b"], rows["doc"], rows["first"], rows["windows"] = digests[:, 0], digests[:, 1], docs, first, windows
@@ -359,7 +465,9 @@ class _Shard:
                 new[1:] = (came["a"][1:] != came["a"][:-1]) | (came["b"][1:] != came["b"][:-1])
                 heads = came[new]
                 out = np.empty(len(came), _ROW)
-                out["doc"], out["first"], out["windows"], out["k"] = came["doc"], came["first"], came["windows"], k + np.cumsum(new) - 1
+                for name in ("doc", "grp", "row", "first", "windows"):
+                    out[name] = came[name]
+                out["k"] = k + np.cumsum(new) - 1
                 rows.write(out.tobytes())
                 least.write(heads["doc"].tobytes())
                 sizes = heads["windows"] + LENGTH
@@ -374,7 +482,7 @@ class _Shard:
         return k
 
     def repeats(self) -> Iterator[np.ndarray]:
-        """Rows doc_id, first, stop of repeated windows."""
+        """Rows grp, row, first, stop of repeated windows."""
         n = self._distinct()
         least, begins = self._map("least", np.int64, n), self._map("begins", np.int64, n)
         # per place of the sorted text: does a smaller document have the window?
@@ -384,15 +492,15 @@ class _Shard:
             first = least[block["k"]]
             whole = block[block["doc"] > first]
             if len(whole):
-                yield np.stack([whole["doc"], whole["first"], whole["first"] + whole["windows"]], 1)
+                yield np.stack([whole["grp"], whole["row"], whole["first"], whole["first"] + whole["windows"]], 1)
             found = []
             some = block[block["doc"] == first]
-            for doc, start, windows, at in zip(some["doc"].tolist(), some["first"].tolist(), some["windows"].tolist(), begins[some["k"]].tolist(), strict=True):
+            for grp, row, start, windows, at in zip(*(some[c].tolist() for c in ("grp", "row", "first", "windows")), begins[some["k"]].tolist(), strict=True):
                 mine = np.flatnonzero(smaller[at:at + windows])
                 if len(mine):
                     cuts = np.flatnonzero(np.diff(mine) > 1)
                     for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(mine) - 1]]), strict=True):
-                        found.append((doc, start + int(mine[a]), start + int(mine[b]) + 1))
+                        found.append((grp, row, start + int(mine[a]), start + int(mine[b]) + 1))
                 if len(found) >= ROWS:
                     yield np.array(found, np.int64)
                     found = []
@@ -446,13 +554,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = batch.filter(pc.is_null(batch.column("contexts")))
             if done.num_rows:
-                yield done.select(["doc_id", "first", "stop"])
-            for packed in batch.column("contexts"):
+                yield done.select(_WINDOWS.names)
+            for grp, packed in zip(batch.column("grp"), batch.column("contexts"), strict=True):
                 if packed.is_valid:
-                    shard.add(packed.as_py())
+                    shard.add(grp.as_py(), packed.as_py())
         if shard.n:
             for found in shard.repeats():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in found.T], ["doc_id", "first", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(found.T, _WINDOWS, strict=True)],
+                                                 schema=_WINDOWS)
 
 
 # -- step 4: what is kept --------------------------------------------------------
@@ -462,10 +571,10 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
 
 
 def _spans(windows: pa.Table) -> dict[int, list[tuple[int, int]]]:
-    """Byte ranges that repeated windows cover, by document."""
+    """Byte ranges that repeated windows cover, by row of the group."""
     spans: dict[int, list[tuple[int, int]]] = {}
-    for doc, first, stop in zip(*(windows.column(c).to_pylist() for c in ("doc_id", "first", "stop")), strict=True):
-        spans.setdefault(doc, []).append((first, stop + LENGTH - 1))
+    for row, first, stop in zip(*(windows.column(c).to_pylist() for c in ("row", "first", "stop")), strict=True):
+        spans.setdefault(row, []).append((first, stop + LENGTH - 1))
     return spans
 
 
@@ -489,9 +598,10 @@ def _cut_out(with_text: bool):
     def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
         spans = _spans(windows)
         out: tuple[list, ...] = ([], [], [], [], [], [])
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        places = _places(docs.column("doc_id"), docs.column("text")).tolist()
+        for place, doc, text in zip(places, docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             raw = text.encode("utf-8", "replace")
-            left, runs = cut(raw, spans.get(doc, []))
+            left, runs = cut(raw, spans.get(place, []))
             row = (doc, len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest(), left if with_text else None)
             for column, value in zip(out, row, strict=True):
                 column.append(value)
@@ -499,24 +609,25 @@ def _cut_out(with_text: bool):
     return run
 
 
-def _strip(group: str):
+def _strip(group: str, key: str):
     def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
         spans = _spans(windows)
         texts = []
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            ranges = spans.get(doc)
+        places = _places(docs.column(key), pc.fill_null(docs.column("text"), "")).tolist()
+        for place, text in zip(places, docs.column("text").to_pylist(), strict=True):
+            ranges = spans.get(place)
             # a character that lost some of its bytes goes whole
             texts.append(cut(text.encode("utf-8", "replace"), ranges)[0].decode("utf-8", "ignore") if ranges and text else text)
         place = docs.schema.get_field_index("text")
-        return docs.set_column(place, docs.schema.field(place), pa.array(texts, docs.schema.field(place).type)).drop_columns([group])
+        return docs.set_column(place, docs.schema.field(place), pa.array(texts, docs.schema.field(place).type)).drop_columns([group, key])
     return run
 
 
 # -- Spark -------------------------------------------------------------------------
 
 def _group_key(groups: int):
-    """Group of a document; rows without an id are spread by their text."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(groups)).cast("int")
+    """Group of a row; rows of one id, or without one, are spread by their text."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(groups)).cast("int")
 
 
 def _groups(docs: DataFrame) -> tuple[int, int]:
@@ -526,28 +637,26 @@ def _groups(docs: DataFrame) -> tuple[int, int]:
     return max(partitions, -(-int(total) // GROUP_BYTES)), max(SHARDS * partitions, -(-int(total) // SHARD_BYTES))
 
 
-def repeated_windows(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """grp, doc_id, first, stop: windows [first, stop) of each document that
-    also start in a smaller one."""
+def repeated_windows(docs: DataFrame, groups: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """grp, row, first, stop: windows [first, stop) of each row that also
+    start in a smaller document."""
     spark = docs.sparkSession
     ship_package(spark)
     dealt = documents(docs).withColumn("grp", _group_key(groups))
     grams = (dealt.mapInArrow(_gram_rows(groups, buckets), _GRAMS)
-             .groupBy("bucket").applyInArrow(_repeated(groups), "grp int, grams binary"))
+             .groupBy("bucket").applyInArrow(_repeated(groups, hot), "grp int, grams binary, hot binary"))
     parts = dealt.groupBy("grp").cogroup(grams.groupBy("grp")).applyInArrow(
-        _cut_contexts(buckets, buckets), "part int, doc_id long, first long, stop long, contexts binary")
-    # a part is a shard, so a group sends one value to each; settled contexts only pass through, dealt by document
-    windows = (parts.repartitionById(buckets, "part")
-               .mapInArrow(_settle, "doc_id long, first long, stop long"))
-    return windows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+        _cut_contexts(buckets, buckets), "part int, grp int, row int, first long, stop long, contexts binary")
+    # a part is a shard, so a group sends one value to each; settled contexts only pass through, dealt by row
+    return parts.repartitionById(buckets, "part").mapInArrow(_settle, "grp int, row int, first long, stop long")
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``with_text``, the bytes that are kept."""
     plain = documents(docs)
     groups, buckets = _groups(plain)
-    windows = repeated_windows(plain, groups, buckets)
+    windows = repeated_windows(plain, groups, buckets, hot)
     out = plain.withColumn("grp", _group_key(groups)).groupBy("grp").cogroup(windows.groupBy("grp")).applyInArrow(
         _cut_out(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
@@ -556,8 +665,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``, all columns kept."""
     fresh = lambda name: name if name.lower() not in {c.lower() for c in docs.columns} else fresh("_" + name)
-    group = fresh("grp")
+    group, key = fresh("grp"), fresh("key")
     groups, buckets = _groups(docs)
     windows = repeated_windows(docs, groups, buckets)
-    keyed = docs.withColumn(group, _group_key(groups))
-    return keyed.groupBy(group).cogroup(windows.groupBy("grp")).applyInArrow(_strip(group), docs.schema)
+    keyed = docs.withColumn(group, _group_key(groups)).withColumn(key, F.col("doc_id").cast("long"))
+    return keyed.groupBy(group).cogroup(windows.groupBy("grp")).applyInArrow(_strip(group, key), docs.schema)

@@ -57,6 +57,67 @@ def test_odd_texts(spark):
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    r = random.Random(4)
+    other = "".join(r.choice("abcdefgh ") for _ in range(200))
+    passage = "".join(r.choice("ABCDEFGH ") for _ in range(73))
+    rows = [(1, passage), (7, passage + "01234"), (7, other), (7, other), (7, None), (9, other + passage), (None, other), (7, "x" + other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x)[:4] for x in suffix_dedup.remove_repeats(d).collect()), key=lambda x: (x[0] is None, x))
+    assert got == [(1, 73, 0, 0), (7, 0, 0, 0), (7, 78, 73, 1), (7, 200, 0, 0), (7, 200, 0, 0), (7, 201, 0, 0), (9, 273, 273, 1), (None, 200, 0, 0)]
+    left = sorted((x.doc_id, x.text) for x in suffix_dedup.strip_repeats(d).where("doc_id = 7 and text is not null").collect())
+    assert left == sorted([(7, "01234"), (7, other), (7, other), (7, "x" + other)])
+
+
+def hot_texts():
+    """A third of all texts hold one phrase among other words each; patterns
+    that repeat inside a window; whole copies."""
+    r = random.Random(8)
+    phrase = "the quick brown fox jumps"
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    texts = [noise(12) + " " + phrase + " " + noise(12) for _ in range(60)]
+    texts += [r.choice("ab")[:1] * r.randrange(3) + phrase + " over the lazy dog by the river" + r.choice(["", "x", "xy"]) + noise(3) for _ in range(60)]
+    texts += [noise(2) + pattern * r.randrange(5, 30) + noise(2) for pattern in ("ab", "-", "lorem ", "0123456789", phrase) for _ in range(8)]
+    texts += [r.choice(texts) for _ in range(20)] + [noise(20) for _ in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_hot_grams_against_brute_force(spark, hot):
+    texts = hot_texts()
+    got = sorted(tuple(x) for x in suffix_dedup.remove_repeats(docs(spark, texts), hot=hot).collect())
+    assert got == brute(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_hot_contexts_are_split_by_what_windows_share(block, monkeypatch):
+    texts = hot_texts()
+    raws = [t.encode() for t in texts]
+    joined = b"".join(raws)
+    _, h, first, stop = suffix_dedup.contexts_of(raws)
+    pieces = [joined[a:b + 49] for a, b in zip(first, stop, strict=True)]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    number, skip, windows, deal = suffix_dedup.split_hot(pieces, h)
+    seen, key = set(), {}
+    for i, a, n, d in zip(number.tolist(), skip.tolist(), windows.tolist(), deal.tolist(), strict=True):
+        for p in range(a, a + n):
+            assert (i, p) not in seen and p + 50 <= len(pieces[i])
+            seen.add((i, p))
+            assert key.setdefault((h[i], pieces[i][p:p + 50]), d) == d
+    assert len(seen) == sum(len(p) - 49 for p in pieces)
+    # windows dealt together share all but less than STEP bytes, so one phrase's contexts go to many places
+    together: dict[int, set[bytes]] = {}
+    for (i, p), d in ((w, d) for i, a, n, d in zip(number.tolist(), skip.tolist(), windows.tolist(), deal.tolist(), strict=True)
+                      for w, d in (((i, p), d) for p in range(a, a + n))):
+        parts = {pieces[i][p + k:p + k + 47] for k in range(4)}
+        together[d] = together.get(d, parts) & parts
+    assert all(together.values())
+    hot = np.argmax(np.bincount(np.unique(h, return_inverse=True)[1]))
+    mine = np.unique(h, return_inverse=True)[1][number] == hot
+    assert len(np.unique(number[mine])) > 50 and len(np.unique(deal[mine])) > 100
+
+
 def test_repeated_rows(spark):
     d = docs(spark, ["q" * 80, "q" * 80, "q" * 80]).withColumn("doc_id", F.lit(4).cast("long"))
     got = [tuple(x) for x in suffix_dedup.remove_repeats(d.union(docs(spark, ["q" * 80], first=9))).collect()]
@@ -110,7 +171,8 @@ def packed_contexts(rows):
     joined = b"".join(raws)
     pieces = [joined[a:b + 49] for a, b in zip(first, stop, strict=True)]
     base = np.array(begins, np.int64)[text]
-    return suffix_dedup._pack(np.array([i for i, _ in rows], np.int64)[text], first - base, stop - first, pieces), len(pieces)
+    ids = np.array([i for i, _ in rows], np.int64)[text]
+    return suffix_dedup._pack(ids, ids, first - base, stop - first, pieces), len(pieces)
 
 
 @pytest.mark.parametrize("rows,chunk", [(16, 16), (300, 200), (1 << 17, 1 << 18)])
@@ -121,8 +183,9 @@ def test_shard_in_blocks(rows, chunk, monkeypatch):
     phrase = "".join(r.choice("abcdef ") for _ in range(90))
     texts = [(i, phrase[r.randrange(30):][:r.randrange(50, 90)] * r.randrange(1, 3) + str(r.random()) + phrase[:60] + "".join(r.choice("ab") for _ in range(70)))
              for i in range(60)] + [(i, phrase * 2) for i in range(60, 90)]
-    batch = pa.RecordBatch.from_arrays([pa.nulls(4, pa.int64())] * 3 + [pa.array([packed_contexts(texts[i::4])[0] for i in range(4)], pa.binary())],
-                                       ["doc_id", "first", "stop", "contexts"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.nulls(4, pa.int32()), pa.nulls(4, pa.int64()), pa.nulls(4, pa.int64()),
+                                        pa.array([packed_contexts(texts[i::4])[0] for i in range(4)], pa.binary())],
+                                       ["grp", "row", "first", "stop", "contexts"])
     found = pa.Table.from_batches(list(suffix_dedup._settle(iter([batch]))))
     spans = suffix_dedup._spans(found)
     got = []
@@ -139,7 +202,7 @@ def test_shard_keeps_no_contexts_in_memory():
         shard = suffix_dedup._Shard(sorter)
         tracemalloc.start()
         for p, _ in packed:
-            shard.add(p)
+            shard.add(0, p)
         held = tracemalloc.get_traced_memory()[0]
         tracemalloc.stop()
     assert held < 50 * sum(n for _, n in packed)
