@@ -17,7 +17,8 @@ coordinates are candidates:
    the links alone.
 
 So no candidate pair with a possible new link is left out, none is emitted
-just to be compared, and no bucket meets in one task.  The comparison is
+just to be compared, and no bucket meets in one task: the rows of a key with
+more than a fixed share of all rows are dealt in pieces.  The comparison is
 exact.
 
 Defined cases: a text of fewer than five words is one shingle; null and
@@ -46,6 +47,8 @@ BANDS = 16
 ROWS = 4
 #: Texts of one block in the exact comparison of a bucket.
 BLOCK = 128
+#: A key with more than this part of all rows of the buckets is dealt in pieces.
+HOT_KEYS = 4096
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,14 +259,32 @@ def _leader_links(pairs: DataFrame, table: DataFrame, similarity: float) -> Data
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long")
 
 
+def _hot_keys(sizes: DataFrame) -> DataFrame:
+    """key, pieces of the keys that have more than their share, a HOT_KEYS-th
+    of all rows: a piece for each such share.  Fewer than HOT_KEYS keys can
+    have so many, so the table has a fixed bound.  ``sizes`` has key, n."""
+    share = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS))
+    return sizes.where(F.col("n") > share).select("key", F.ceil(F.col("n") / share).cast("int").alias("pieces"))
+
+
+def _with_pieces(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the number of pieces of their key."""
+    return rows.join(F.broadcast(hot), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+
+
+def _by_piece(per_key: DataFrame) -> DataFrame:
+    """A row per key (with its ``pieces``) as one for each of its pieces."""
+    return per_key.withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)"))).drop("pieces")
+
+
 def _block_links(members: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     """Links between different components (root) of one bucket (key).
 
-    ``members`` has key, node, root, keys.  A bucket is dealt in blocks by
+    ``members`` has key, piece, pieces, node, root, keys.  A bucket is dealt in blocks by
     the rank of its nodes' hash; every pair of blocks is one task's group, and
     a pair of texts is compared in the first band that it shares only."""
-    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.first("pieces").alias("pieces"))
+    dealt = (members.join(_by_piece(size), ["key", "piece"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     # block i meets every block j; the pair is known by (smaller, larger)
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "root", "keys")
@@ -298,16 +319,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     made = cut_lineage(signatures(docs, bands, rows, size), "signatures")
     texts = cut_lineage(made.groupBy("copy_of").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "texts")
     buckets = texts.where(F.col("keys").isNotNull()).select("node", "keys", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     tables = Tables(docs.sparkSession)
-    members = tables.write(buckets.join(shared.select("key", "leader"), "key"), "buckets")
+    shared = tables.write(buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    # every join by key goes by (key, piece), so no task gets all rows of a hot key
+    hot = tables.write(_hot_keys(shared), "hot-keys")
+    dealt = _with_pieces(buckets, hot).withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int"))
+    leaders = _by_piece(_with_pieces(shared.select("key", "leader"), hot))
+    members = tables.write(dealt.join(leaders, ["key", "piece"]), "buckets")
     table = tables.write(_gram_table(docs, members.select("node").distinct(), size), "grams")
     pairs = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b")
     links = tables.write(_leader_links(pairs, table, similarity), "links")
     first = components(links)
-    rooted = members.join(first, "node", "left").select("key", "node", "keys", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = tables.write(rooted.join(mixed, "key", "left_semi"), "open")
+    rooted = members.join(first, "node", "left").select("key", "piece", "pieces", "node", "keys", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.first("pieces").alias("pieces")).where("x <> y")
+    open_ = tables.write(rooted.join(_by_piece(mixed.select("key", "pieces")), ["key", "piece"], "left_semi"), "open")
     found = tables.write(_block_links(open_, table, similarity), "links")
     final = components(links.unionByName(found))
     tables.drop()                             # only the signatures, the texts and the components are read from here on

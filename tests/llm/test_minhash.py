@@ -77,6 +77,18 @@ def test_large_families_and_odd_texts(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_hot_keys_are_bounded_and_dealt_in_pieces(spark):
+    sizes = spark.range(1, 20_001).select(F.col("id").alias("key"), F.when(F.col("id") == 5, 50_000).otherwise(2).cast("long").alias("n"))
+    hot = minhash._hot_keys(sizes)
+    share = -(-(50_000 + 2 * 19_999) // minhash.HOT_KEYS)
+    assert [tuple(r) for r in hot.collect()] == [(5, -(-50_000 // share))]
+    rows = minhash._with_pieces(sizes.where("key < 8").select("key"), hot)
+    assert minhash._by_piece(rows).groupBy("key").count().where("key = 5").first()["count"] == -(-50_000 // share)
+    even = minhash._hot_keys(sizes.withColumn("n", F.lit(7)))
+    assert even.count() == 0 or even.count() < minhash.HOT_KEYS
+    assert minhash._hot_keys(sizes.limit(0)).count() == 0
+
+
 def test_repeated_rows_keep_their_number(spark):
     d = docs(spark, ["x y z a b c"] * 3).withColumn("doc_id", F.lit(7).cast("long"))
     assert [tuple(r) for r in minhash.near_duplicates(d).collect()] == [(7, 7)] * 3
