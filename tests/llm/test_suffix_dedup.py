@@ -69,6 +69,18 @@ def test_repeated_ids_with_other_texts(spark):
     assert left == sorted([(7, "01234"), (7, other), (7, other), (7, "x" + other)])
 
 
+def test_strip_keeps_columns_of_any_name(spark):
+    r = random.Random(6)
+    passage = "".join(r.choice("ABCDEFGH ") for _ in range(80))
+    rows = [("3", passage, 1, "p", None), ("12", "x" + passage, 2, "q", 5), ("12", None, 3, "r", None), (None, passage, 4, "s", 1), ("20", "", 5, "t", 2)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, GRP int, key string, row long")
+    out = suffix_dedup.strip_repeats(d)
+    assert out.schema == d.schema
+    # ids are compared as numbers, so 12 is not the smaller one
+    assert sorted(map(tuple, out.collect()), key=lambda x: x[2]) == [rows[0], ("12", "x", 2, "q", 5), *rows[2:]]
+    assert suffix_dedup.strip_repeats(d.limit(0)).count() == 0
+
+
 def hot_texts():
     """A third of all texts hold one phrase among other words each; patterns
     that repeat inside a window; whole copies."""
