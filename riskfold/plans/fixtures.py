@@ -52,9 +52,9 @@ def source_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     The two key columns are spread over the cores *before* the module text
     is generated, so no generated text is shuffled.
     """
-    from riskfold.operators.parse import spread_for_cpu
+    from riskfold.operators.parse import spread_keys
 
-    part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
+    part = spread_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
     params = part.selectExpr(
         "k", "z",
         "CAST(k % 3 AS INT) AS C", "CAST(k % 5 AS INT) AS I", "CAST(z % 6 AS INT) AS G",
@@ -122,9 +122,9 @@ async def eps(a: int, b: str):
 def construct_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One module per part whose blocks are repeated as its key says, so
     that every feature varies."""
-    from riskfold.operators.parse import spread_for_cpu
+    from riskfold.operators.parse import spread_keys
 
-    part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
+    part = spread_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")))
     times = {"module_doc": "IF(k % 5 = 0, 1, 0)", "plain_imports": "CAST(z % 3 AS INT)", "star_import": "IF(z % 7 = 0, 1, 0)",
              "class_block": "CAST(k % 3 AS INT)", "function_block": "CAST(k % 4 AS INT)", "async_block": "CAST(z % 5 AS INT)"}
     text = F.concat(*[F.repeat(F.lit(BLOCKS[name]), F.expr(n)) for name, n in times.items()])
@@ -244,9 +244,9 @@ NO_UTF8 = "X'" + b"s = '\xed\xa0\x80'\n# \xff\n".hex() + "'"
 def broken_files_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo, path, content)``, one file per part, broken in the way its
     key says (``BROKEN_FILES``, then bytes that are no UTF-8, then no content)."""
-    from riskfold.operators.parse import spread_for_cpu
+    from riskfold.operators.parse import spread_keys
 
-    part = spread_for_cpu(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")))
+    part = spread_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")))
     ways = [*[f"CAST({text} AS BINARY)" for text in BROKEN_FILES], NO_UTF8]
     cases = " ".join(f"WHEN k % {len(ways) + 1} = {i} THEN {content}" for i, content in enumerate(ways))
     return part.join(_nation(spark, sf_dir), F.col("k") % 25 == F.col("n_nationkey")).select(

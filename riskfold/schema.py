@@ -92,6 +92,42 @@ PARSED = T.StructType([
     T.StructField("file_id", T.LongType(), True),
 ])
 
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference for identical results).
+# Node types that add one decision point to cyclomatic complexity.
+COMPLEXITY_NODES = ["If", "For", "While", "ExceptHandler", "With", "Assert", "comprehension", "IfExp"]
+FUNCTION_NODES = ["FunctionDef", "AsyncFunctionDef"]
+AVG_DEPTH_BLOCK_NODES = ["If", "For", "While", "With", "Try", "FunctionDef", "AsyncFunctionDef", "ClassDef"]
+LOOP_NODES = ["For", "While", "AsyncFor"]
+GLOBAL_ASSIGN_NODES = ["Assign", "AnnAssign", "AugAssign"]
+# ---------------------------------------------------------------------------
+
+# What the features read of a file's nodes: sums that count nodes of some
+# types, other sums, and maxima.
+NODE_COUNTS: dict[str, list[str]] = {
+    "num_classes": ["ClassDef"], "n_funcs": FUNCTION_NODES, "decisions": COMPLEXITY_NODES, "n_sync_blocks": AVG_DEPTH_BLOCK_NODES,
+    "num_branches": ["If"], "num_loops": LOOP_NODES, "num_try_except": ["Try"], "num_assertions": ["Assert"],
+    "num_lambda_functions": ["Lambda"], "num_return_statements": ["Return"],
+}
+NODE_SUMS = [
+    *NODE_COUNTS, "num_methods", "sum_fn_len", "num_imports", "num_unique_imports", "sum_sync_depth", "module_doc", "funcs_with_doc",
+    "n_args", "n_annotated", "sum_ident_len", "n_idents", "num_global_variables", "num_nested_functions",
+]
+NODE_MAXIMA = ["max_fn_len", "max_depth", "uses_star_import"]
+
+# One row per file with its nodes added up.
+SUMMED = T.StructType([
+    T.StructField("repo", T.StringType(), True),
+    T.StructField("path", T.StringType(), True),
+    T.StructField("file_id", T.LongType(), True),
+    *[T.StructField(c, T.LongType(), True) for c in (*NODE_SUMS, *NODE_MAXIMA)],
+    T.StructField("total_lines", T.IntegerType(), True),
+    T.StructField("blank_lines", T.IntegerType(), True),
+    T.StructField("comment_lines", T.IntegerType(), True),
+    T.StructField("syntax_error", T.IntegerType(), True),
+    T.StructField("error", T.StringType(), True),
+])
+
 NODE_COLUMNS = [
     "repo", "path", "node_id", "parent_id", "node_type", "lineno", "end_lineno",
     "at_module_level", "block_depth", "block_depth_sync", "class_depth", "func_depth",
