@@ -83,11 +83,14 @@ class WordIds:
     def _shrink(self) -> None:
         old, starts, lengths, hits, ids = self.numbers, self.starts, self.lengths, self.hits, self.ids
         floor = 1 if np.count_nonzero(hits > 1) <= self.capacity // 2 else int(np.sort(hits)[-(self.capacity // 2)])
-        kept = [(w, k) for w, k in old.items() if hits[k] > floor]
+        again = (hits > floor).tolist()
+        kept = [w for w, k in old.items() if again[k]]
+        at = np.array([old[w] for w in kept], np.int64)
         self._clear()
-        for word, k in kept:
-            self._put(self.numbers[word], ids[starts[k]:starts[k] + lengths[k]])
-        self.numbers.fresh = []
+        for k, word in enumerate(kept):
+            dict.__setitem__(self.numbers, word, k)
+        n = lengths[at]
+        self._put(np.arange(len(at)), n, ids[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
 
     def _part(self, letters: str) -> list[int]:
         """Ids of one pre-token of plain letters or of signs."""
@@ -95,33 +98,47 @@ class WordIds:
         if ids is None:
             if len(self.parts) > self.capacity // 2:
                 self.parts = {}
-            ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.spelling))]
+            spelled = letters if letters.isascii() else letters.translate(self.spelling)  # ASCII letters are spelled as they are
+            ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
         return ids
 
-    def _put(self, k: int, ids) -> None:
-        n = len(ids)
-        while k >= len(self.starts):
+    def _put(self, numbers, sizes, ids) -> None:
+        """Keeps the ids of some words, which follow one another in ``ids``."""
+        if not len(numbers):
+            return
+        sizes = np.asarray(sizes, np.int64)
+        n = int(sizes.sum())
+        while numbers[-1] >= len(self.starts):
             self.starts, self.lengths, self.hits = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.lengths, self.hits))
         while self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used:self.used + n] = ids
-        self.starts[k], self.lengths[k] = self.used, n
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[numbers] = sizes
         self.used += n
 
     def _fill(self) -> None:
         fresh, self.numbers.fresh = self.numbers.fresh, []
-        other = []
+        other, numbers, sizes, ids = [], [], [], []
         first = len(self.numbers) - len(fresh)
         for k, word in enumerate(fresh, first):
-            plain = self._PLAIN.fullmatch(word)
-            if plain:
-                self._put(k, self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else []))
+            if word.isascii() and word.isalpha():
+                found = self._part(word.lower())
+            elif plain := self._PLAIN.fullmatch(word):
+                found = self._part(plain[1].lower())
+                if plain[2]:
+                    found = found + self._part(plain[2])
             else:
                 other.append((k, word))
+                continue
+            numbers.append(k)
+            sizes.append(len(found))
+            ids += found
+        self._put(numbers, sizes, ids)
         for at in range(0, len(other), 20_000):
             part = other[at:at + 20_000]
-            for (k, _), enc in zip(part, self.tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False), strict=True):
-                self._put(k, enc.ids)
+            found = [enc.ids for enc in self.tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False)]
+            self._put([k for k, _ in part], [len(x) for x in found], [i for x in found for i in x])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.capacity or self.used > 16 * self.capacity:

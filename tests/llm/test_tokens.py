@@ -137,3 +137,19 @@ def test_dominance_keeps_the_optimum(seed):
     fixed = plan.reduce()
     rest = [s for s, n in plan.left.items() for _ in range(n)]
     assert fixed + smallest_number(sorted(rest, reverse=True), capacity) == smallest_number(sizes, capacity)
+
+
+def test_words_are_kept_together_and_survive_a_full_cache():
+    """op6: ids of many words are stored at once, through shrinking too."""
+    from riskfold.llm.packing import WordIds
+    from riskfold.llm.queries import tokenizer_file
+    from riskfold.llm.token_counts import load_tokenizer
+
+    tokenizer = load_tokenizer(tokenizer_file("word_bpe_49k.json"))
+    words = WordIds(tokenizer, capacity=20)
+    texts = [" ".join(f"Wort{'aäéß'[i % 4]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}!? plain Straße, x{i}" for i in range(j, j + 40)) for j in range(0, 400, 20)]
+    for _ in range(2):
+        for text in texts:
+            assert words.encode([text, ""])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    words._put([len(words.starts), len(words.starts) + 1], [2, 1], [7, 8, 9])
+    assert words.ids[words.used - 3:words.used].tolist() == [7, 8, 9]
