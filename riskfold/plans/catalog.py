@@ -661,16 +661,17 @@ def scanned_sources(spark, sf_dir):
     (a folder for each repo), and the features of what was found."""
     from pyspark.sql import functions as F
 
-    from riskfold.sources.files import scan_source_files
+    from riskfold.sources.files import scan_source_files, write_source_files
 
     root = _scratch(spark, "tree")
-    # the writer ends each file with a line break of its own
-    t1 = fx.source_files_from_part(spark, sf_dir).select(
-        "repo", F.regexp_extract("path", "src/(.*)[.]py", 1).alias("module"), F.regexp_replace("source", "\n$", "").alias("source"))
-    t1.write.partitionBy("repo", "module").text(root)
-    found = scan_source_files(spark, root, pattern="part-*.txt", by_folder=True).select(
-        F.url_decode(F.regexp_extract("repo", "repo=(.*)", 1)).alias("repo"),
-        F.concat(F.lit("src/"), F.regexp_extract("path", "module=([^/]+)/", 1), F.lit(".py")).alias("path"), "content")
+    # a module that comes twice is two files; a repo without a name has the
+    # folder that Spark gives it
+    folder = F.coalesce(F.url_encode(F.nullif("repo", F.lit(""))), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    numbered = F.concat(F.regexp_replace("path", "[.]py$", "."), F.monotonically_increasing_id(), F.lit(".py"))
+    t1 = fx.source_files_from_part(spark, sf_dir)
+    write_source_files(t1.select(folder.alias("repo"), numbered.alias("path"), "source"), root)
+    found = scan_source_files(spark, root, by_folder=True).select(
+        F.url_decode("repo").alias("repo"), F.regexp_replace("path", "[.][0-9]+[.]py$", ".py").alias("path"), "content")
     return feat.extract_features(found, "content").select("repo", "path", *FEATURE_NAMES)
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.schema import COMMIT_FILES, COMMITS, SOURCE_FILES
+from riskfold.session import ship_package
+
+#: Tasks per core for a scan of many small files, which come a few to a split.
+SCAN_TASKS = 12
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -40,6 +44,11 @@ def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
           .option("recursiveFileLookup", "true")
           .option("pathGlobFilter", pattern)
           .load(root_uri))
+    # a split holds 32 files at most, so a tree of a million small ones would
+    # be tens of thousands of tasks; a task reads many splits, row by row
+    most = max(1, int(SCAN_TASKS * spark.sparkContext.defaultParallelism))
+    if df.rdd.getNumPartitions() > most:  # a scan only: no job runs
+        df = df.coalesce(most)
     rel = relative_path(F.col("path"), key)
     if by_folder:
         return df.select(F.split_part(rel, F.lit("/"), F.lit(1)).alias("repo"),
@@ -48,6 +57,48 @@ def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
     return df.select(F.lit(name).alias("repo"), rel.alias("path"), F.col("content"))
 
 
+def write_source_files(sources: DataFrame, root: str) -> int:
+    """``sources(repo, path, source)`` as a tree, every row a file of its own
+    under ``root/repo/path``; the number of files.
+
+    Each task writes the files of its rows where they belong.  Spark's own
+    writer would give every file a folder and move them all, one after the
+    other, when the job commits.  A task that is tried again writes the same
+    files once more.
+    """
+    ship_package(sources.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        files, base = _file_system(root)
+        made: set[str] = set()
+        for batch in batches:
+            for repo, path, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                at = f"{base}/{repo}/{path}"
+                folder = at.rpartition("/")[0]
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with files.open_output_stream(at) as out:
+                    out.write(source)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows = sources.select(F.col("repo").cast("string"), F.col("path").cast("string"), F.coalesce(F.col("source").cast("binary"), F.lit(b"")))
+    return rows.toDF("repo", "path", "source").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _file_system(root: str):
+    """The Arrow file system of a folder, and the folder's path there."""
+    from pyarrow import fs
+
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", root) and not root.startswith("file:"):
+        found, base = fs.FileSystem.from_uri(root)
+    else:
+        found, base = fs.LocalFileSystem(), os.path.abspath(re.sub("^file:/*", "/", root))
+    return found, base.rstrip("/")
+
+
 def source_table(df: DataFrame, path_col: str = "path", source_col: str = "source",
                  repo_col: str | None = "repo", repo: str | None = None) -> DataFrame:
     """Any table of (name, content) as ``(repo, path, source)``."""
