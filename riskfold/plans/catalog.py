@@ -665,11 +665,12 @@ def scanned_sources(spark, sf_dir):
 
     root = _scratch(spark, "tree")
     # a module that comes twice is two files; a repo without a name has the
-    # folder that Spark gives it
+    # folder that Spark gives it; files of no bytes are not listed
     folder = F.coalesce(F.url_encode(F.nullif("repo", F.lit(""))), F.lit("__HIVE_DEFAULT_PARTITION__"))
     numbered = F.concat(F.regexp_replace("path", "[.]py$", "."), F.monotonically_increasing_id(), F.lit(".py"))
     t1 = fx.source_files_from_part(spark, sf_dir)
-    write_source_files(t1.select(folder.alias("repo"), numbered.alias("path"), "source"), root)
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("\n"))
+    write_source_files(t1.select(folder.alias("repo"), numbered.alias("path"), source.alias("source")), root)
     found = scan_source_files(spark, root, by_folder=True).select(
         F.url_decode("repo").alias("repo"), F.regexp_replace("path", "[.][0-9]+[.]py$", ".py").alias("path"), "content")
     return feat.extract_features(found, "content").select("repo", "path", *FEATURE_NAMES)
