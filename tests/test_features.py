@@ -252,3 +252,19 @@ def test_an_input_batch_is_parsed_in_bounded_pieces(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"source": ["x" * 60, None, "y" * 40, "z" * 500, "", "u"]})
     pieces = [p.column("source").to_pylist() for p in parse._slices(batch)]
     assert pieces == [["x" * 60, None, "y" * 40], ["z" * 500], ["", "u"]]
+
+
+def test_comments_of_a_parsed_file_need_no_tokenizer(monkeypatch):
+    from riskfold.functions import pysyntax
+
+    plain = ["# a\nx = 1  # b\n", 'x = "#"  # \'a\n', '"""Doc # no.\n# no"""\n# yes', "s = '\\'#'\n#\n", "x = 1 + \\\n  2  # a\n", "s = r'\\\\' # '\n"]
+    hard = ["s = f'{x # a\n}'\n# b\n", "x = 1 # a\rb\n# c\n", "x = (\n# a\n", "  x = 1\n y = 2 # a\n", "s = '# open\n# b\n"]
+    want = [pysyntax.line_counts(s) for s in plain + hard]  # by the tokenizer
+    for source, said in zip(plain + hard, want, strict=True):
+        total, blank, comments, _, error = pysyntax.parse_file(source)[0]
+        assert (total, blank, comments, error) == (*said[:3], said[4]), source
+
+    def no_tokenizer(_):
+        raise AssertionError("tokenizer called")
+    monkeypatch.setattr(pysyntax, "_count_comments", no_tokenizer)
+    assert [pysyntax.parse_file(s)[0] for s in plain] == want[:len(plain)]
