@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from riskfold.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 __all__ = ["Tables", "crc_fold", "cut_lineage", "documents", "ensure_checkpoint_dir", "pieces_for",
-           "read_table", "ship_package", "text_batches"]
+           "read_table", "releasing", "ship_package", "text_batches"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,25 @@ def pieces_for(rows: int, per_piece: int, least: int = 1, most: int = 1 << 20) -
     return max(least, min(most, math.ceil(rows / max(1, per_piece))))
 
 
+def release_memory() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def releasing(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A ``mapInArrow`` function that leaves its worker, which Spark keeps for
+    other tasks and stages, without the memory that it freed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+    return run
+
+
 def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = 8 << 20):
     """A ``mapInArrow`` function that applies ``fn`` to bounded slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,40 +167,37 @@ class InducedSorter:
         """Bytes at + offset ... + 7 as one number; nothing after a separator.
         A byte takes nine bits' worth of order in seven places of 257."""
         key = np.zeros(len(at), np.uint64)
-        left = self.left[at].astype(np.int64)
+        left = self.left[at]
+        short = np.flatnonzero(left < offset + 7)
         for k in range(offset, offset + 7):
-            inside = left > k
-            c = self.text[np.where(inside, at + k, at)].astype(np.uint64)
-            key = key * np.uint64(257) + np.where(inside, c, np.uint64(0))
+            c = self.text.take(at + k, mode="clip")
+            c[short[left[short] <= k]] = 0
+            key *= np.uint64(257)
+            key += c
         return key
 
     def _sorted_seeds(self, at: np.ndarray) -> np.ndarray:
         """Tuples of seeds with one first byte, sorted to ``depth`` bytes."""
         key = self._eight(at, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at, key = at[order], key[order]
         lcp = np.zeros(len(at), np.int64)
         tied = np.concatenate([[False], key[1:] == key[:-1]])
-        self._common(at, lcp, key, 0, ~tied)
-        offset = 7
-        while offset < self.depth and tied.any():
-            # groups of equal keys are sorted by the next bytes, others stay
-            grouped = tied | np.concatenate([tied[1:], [False]])
-            some = np.flatnonzero(grouped)
-            group = np.cumsum(~tied[some])
+        self._common(lcp, np.flatnonzero(~tied), key, np.arange(len(at)), 0)
+        # groups of equal keys, ``some``, are sorted by the next bytes, others stay
+        some, was, offset = np.arange(len(at)), tied, 7
+        while offset < self.depth and was.any():
+            grouped = was | np.append(was[1:], False)
+            some, was = some[grouped], was[grouped]
             key = self._eight(at[some], offset)
-            order = np.lexsort((key, group))
-            at[some] = at[some][order]
-            key, was = key[order], tied[some]
+            order = _sorted_in_groups(key, np.cumsum(~was))
+            at[some] = at[some[order]]
+            key = key[order]
             same = np.concatenate([[False], key[1:] == key[:-1]]) & was
-            full = np.zeros(len(at), np.uint64)
-            full[some] = key
-            fresh = np.zeros(len(at), bool)
-            fresh[some] = was & ~same
-            self._common(at, lcp, full, offset, fresh)
-            tied = np.zeros(len(at), bool)
-            tied[some] = same
+            self._common(lcp, np.flatnonzero(was & ~same), key, some, offset)
+            was = same
             offset += 7
+        tied = some[was]
         lcp[tied] = _MOST
         lcp[1:] = np.minimum(lcp[1:], np.minimum(self.left[at[1:]], self.left[at[:-1]]))
         lcp[:1] = 0
@@ -208,32 +205,31 @@ class InducedSorter:
         out["at"], out["lcp"] = at, np.minimum(lcp, self.depth)
         return out
 
-    def _common(self, at, lcp, key, offset, where) -> None:
-        """Common prefixes of neighbours that part within these seven bytes."""
-        i = np.flatnonzero(where)
+    def _common(self, lcp: np.ndarray, i: np.ndarray, key: np.ndarray, some: np.ndarray, offset: int) -> None:
+        """Common prefixes of neighbours ``i`` among ``some`` that part within
+        these seven bytes."""
         i = i[i > 0]
-        a, b, same = key[i - 1], key[i], np.zeros(len(i), np.int64)
+        a, b, same = key[i - 1], key[i], np.full(len(i), offset, np.int64)
         for k in range(6, -1, -1):
             unit = np.uint64(257 ** k)
-            same += (a // unit == b // unit)
-        lcp[i] = offset + same
+            same += a // unit == b // unit
+        lcp[some[i]] = same
 
     def _deal_seeds(self) -> dict[int, Queue]:
         parts: dict[int, Queue] = {}
         for lo, hi in self._blocks():
             up = np.asarray(self.rising[lo:hi])
             at = np.flatnonzero(up[1:] & ~up[:-1]) + lo + 1
-            first = self.text[at]
-            for c in np.unique(first):
-                some = at[first == c]
-                chunk = np.zeros(len(some), _TUPLE)
-                chunk["at"] = some
-                parts.setdefault(int(c), Queue(self.disk)).push(chunk)
+            chunk = np.zeros(len(at), _TUPLE)
+            chunk["at"] = at
+            for c, some in _dealt(chunk, self.text[at]):
+                parts.setdefault(c, Queue(self.disk)).push(some)
         return parts
 
     def _seed_tuples(self, c: int, queue: Queue) -> Iterator[np.ndarray]:
         """Sorted seeds with first byte ``c``.  They are dealt once more by
-        their second byte, so that a sort holds one such part."""
+        their second byte, so that a sort holds one such part, or some small
+        ones."""
         if c == 0:
             for chunk in queue.take():
                 out = chunk.copy()
@@ -242,13 +238,19 @@ class InducedSorter:
             return
         parts: dict[int, Queue] = {}
         for chunk in queue.take():
-            second = self.text[chunk["at"] + 1]
-            for d in np.unique(second):
-                parts.setdefault(int(d), Queue(self.disk)).push(chunk[second == d])
-        for n, d in enumerate(sorted(parts)):
-            out = self._sorted_seeds(np.concatenate([x["at"] for x in parts[d].take()]))
-            if n:
+            for d, some in _dealt(chunk, self.text[chunk["at"] + 1]):
+                parts.setdefault(d, Queue(self.disk)).push(some)
+        held, n, begun = [], 0, False
+        for d in sorted(parts):
+            for some in parts[d].take():
+                held.append(some["at"])
+                n += len(some)
+            if n < CHUNK and d != max(parts):
+                continue
+            out = self._sorted_seeds(np.concatenate(held))
+            if begun:
                 out["lcp"][0] = 1
+            held, n, begun = [], 0, True
             yield out
 
     # -- induction --------------------------------------------------------------
@@ -300,6 +302,23 @@ class InducedSorter:
                 yield wave
 
 
+def _dealt(chunk: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``chunk`` by the value of ``by`` (16 bits, which numpy sorts by radix)."""
+    order = np.argsort(by, kind="stable")
+    chunk, by = chunk[order], by[order]
+    heads = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, int)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(by)]):  # noqa: B905  no heads, no end
+        yield int(by[a]), chunk[a:b].copy()
+
+
+def _sorted_in_groups(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order by ``key`` within groups that rise by one."""
+    if group[-1] >= 1 << 16:
+        return np.lexsort((key, group))
+    order = np.argsort(key)
+    return order[np.argsort(group[order].astype(np.uint16), kind="stable")]
+
+
 class _Inducer:
     """One pass: takes sorted tuples and queues the suffixes before them that
     are of the pass's kind."""
@@ -315,15 +334,15 @@ class _Inducer:
 
     def step(self, wave: np.ndarray) -> None:
         s = self.s
-        at, lcp = wave["at"], np.ascontiguousarray(wave["lcp"])
-        before = at - 1
-        c = s.text[before].astype(np.int64)       # position -1 reads the last separator: never queued
+        lcp = np.ascontiguousarray(wave["lcp"])
+        before = wave["at"] - 1
+        c = s.text[before]                        # position -1 reads the last separator: never queued
         want = (before >= 0) & (c > 0) & (s.rising[before] == self.rising)
         src = np.flatnonzero(want)
         if len(src):
             dest = c[src]
-            order = np.argsort(dest, kind="stable")
-            src, dest = src[order], dest[order]
+            order = np.argsort(dest, kind="stable")   # 16 bits: by radix
+            src, dest = src[order], dest[order].astype(np.int64)
             new = np.concatenate([[True], dest[1:] != dest[:-1]])
             begin = np.where(new, 0, np.concatenate([[0], src[:-1] + 1]))
             cuts = np.stack([begin, src + 1], 1).ravel()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import crc_fold, ship_package, text_batches
+from riskfold.llm.common import crc_fold, releasing, ship_package, text_batches
 
 #: Labelled documents per language that training may draw words from, and
 #: words drawn from one document (spread over the whole text).
@@ -289,7 +289,7 @@ def label_rows(docs: DataFrame, net: Network | None, pred: str = "lang_pred", sc
                                                  [*part.schema.names, pred, score])
 
     schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import Tables, cut_lineage, documents, ship_package, text_batches
+from riskfold.llm.common import Tables, cut_lineage, documents, releasing, ship_package, text_batches
 from riskfold.llm.components import components
 
 WORDS = 5
@@ -228,7 +228,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(copy_of, pa.binary()), pa.array(some), lists], ["doc_id", "copy_of", "some", "keys"])
 
-    made = documents(docs).mapInArrow(run, "doc_id long, copy_of binary, some boolean, keys array<long>")
+    made = documents(docs).mapInArrow(releasing(run), "doc_id long, copy_of binary, some boolean, keys array<long>")
     return made.select("doc_id", "copy_of", F.when(F.col("some"), F.col("keys")).alias("keys"))
 
 
@@ -243,7 +243,7 @@ def _gram_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     ["node", "grams"])
 
     mine = documents(docs).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return mine.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return mine.mapInArrow(releasing(run), "node long, grams binary").dropDuplicates(["node"])
 
 
 def _leader_links(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:

@@ -23,6 +23,7 @@ windows picked it.
    of them are split by the gram's place in the window, in steps of ``STEP``,
    and dealt by all bytes that the windows of a step share; what still meets
    in one shard differs in fewer than STEP bytes, and equal ones are one.
+   Of these, only such are sorted as share their gram with another.
 4. Each row's repeated windows are joined to spans and cut.
 
 A row is known by its group of documents and its place there in the order of
@@ -51,7 +52,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import documents, ship_package, text_batches
+from riskfold.llm.common import documents, releasing, ship_package, text_batches
 from riskfold.llm.induced_sort import InducedSorter, Queue
 from riskfold.llm.minhash import mix
 
@@ -60,13 +61,15 @@ GRAM = 20
 #: Text of one group of documents.
 GROUP_BYTES = 16 << 20
 #: Windows that are hashed at once; a worker's arrays have about this length.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Grams are dealt, and contexts sorted, in this many shards per shuffle partition at least,
 SHARDS = 2
 #: and in one for so much text.
 SHARD_BYTES = 16 << 20
 #: Contexts of a shard that are in memory at once.
 ROWS = 1 << 17
+#: Counters of a shard's grams: those that share one only send some more contexts to the sort.
+COUNTERS = 1 << 22
 #: A gram with more contexts is split by its place in the window, in these steps.
 HOT = 1 << 14
 STEP = 4
@@ -393,6 +396,8 @@ _CAME = np.dtype([("a", np.uint64), ("b", np.uint64), ("doc", np.int64), ("grp",
                   ("windows", np.int64), ("at", np.int64)])
 #: The same once equal ones have one number.
 _ROW = np.dtype([("doc", np.int64), ("grp", np.int32), ("row", np.int32), ("first", np.int64), ("windows", np.int64), ("k", np.int64)])
+#: A distinct context: its least document, windows, place of its bytes, counter of its gram.
+_HEAD = np.dtype([("doc", np.int64), ("windows", np.int64), ("at", np.int64), ("slot", np.int32)])
 
 
 class _Shard:
@@ -451,14 +456,16 @@ class _Shard:
             yield np.fromfile(self._path(f"bin{i}"), _CAME)
             os.remove(self._path(f"bin{i}"))
 
-    def _distinct(self) -> int:
-        """Gives each distinct context to the sorter, with its least document
-        and where it begins in the sorted text; their number."""
+    def _distinct(self) -> tuple[int, int]:
+        """Numbers the distinct contexts, and gives those that may share a
+        window with another to the sorter, with their least document and
+        where they begin in the sorted text; how many of both."""
         self.came.close()
         self.raw.close()
         raw = self._map("raw", np.uint8, self.bytes)
-        k, begin = 0, 0
-        with self._file("rows") as rows, self._file("least") as least, self._file("begins") as begins:
+        k = 0
+        times = np.zeros(COUNTERS, np.uint8)             # distinct contexts by their gram: none, one or more
+        with self._file("rows") as rows, self._file("heads") as distinct:
             for came in self._bins():
                 came = came[np.lexsort((came["doc"], came["b"], came["a"]))]
                 new = np.ones(len(came), bool)
@@ -469,43 +476,80 @@ class _Shard:
                     out[name] = came[name]
                 out["k"] = k + np.cumsum(new) - 1
                 rows.write(out.tobytes())
-                least.write(heads["doc"].tobytes())
-                sizes = heads["windows"] + LENGTH
-                begins.write((begin + np.cumsum(sizes) - sizes).tobytes())
                 for lo in range(0, len(heads), ROWS >> 4):
-                    some = heads[lo:lo + (ROWS >> 4)]
-                    self.sorter.add([raw[i:i + n].tobytes() for i, n in zip(some["at"].tolist(), (some["windows"] + LENGTH - 1).tolist(), strict=True)])
+                    some = np.empty(len(heads[lo:lo + (ROWS >> 4)]), _HEAD)
+                    for name in ("doc", "windows", "at"):
+                        some[name] = heads[name][lo:lo + (ROWS >> 4)]
+                    some["slot"] = _first_gram(raw, some["at"]) % np.uint64(COUNTERS)
+                    slots, n = np.unique(some["slot"], return_counts=True)
+                    times[slots] = np.minimum(times[slots] + n, 2)
+                    distinct.write(some.tobytes())
                 k += len(heads)
-                begin += int(sizes.sum())
+        begin, sorted_ = 0, 0
+        with self._file("places") as places, self._file("least") as least, self._file("begins") as begins:
+            for heads in self._blocks("heads", _HEAD):
+                for lo in range(0, len(heads), ROWS >> 4):
+                    some = heads[lo:lo + (ROWS >> 4)]
+                    shared = times[some["slot"]] > 1
+                    place, some = np.full(len(some), -1), some[shared]
+                    sizes = some["windows"] + LENGTH
+                    place[shared] = begin + np.cumsum(sizes) - sizes
+                    places.write(place.tobytes())
+                    if not len(some):
+                        continue
+                    least.write(some["doc"].tobytes())
+                    begins.write(place[shared].tobytes())
+                    self.sorter.add([raw[i:i + n].tobytes() for i, n in zip(some["at"].tolist(), (sizes - 1).tolist(), strict=True)])
+                    begin += int(sizes.sum())
+                    sorted_ += len(some)
         del raw
         os.remove(self._path("raw"))
-        return k
+        return k, sorted_
 
     def repeats(self) -> Iterator[np.ndarray]:
         """Rows grp, row, first, stop of repeated windows."""
-        n = self._distinct()
-        least, begins = self._map("least", np.int64, n), self._map("begins", np.int64, n)
+        k, n = self._distinct()
         # per place of the sorted text: does a smaller document have the window?
         smaller = self.sorter.disk.array("smaller", np.bool_, self.sorter.n)
-        _mark(self.sorter, least, begins, smaller)
+        if n:
+            _mark(self.sorter, self._map("least", np.int64, n), self._map("begins", np.int64, n), smaller)
+        heads, places = self._map("heads", _HEAD, k), self._map("places", np.int64, k)
         for block in self._blocks("rows", _ROW):
-            first = least[block["k"]]
+            first = heads["doc"][block["k"]]
             whole = block[block["doc"] > first]
             if len(whole):
                 yield np.stack([whole["grp"], whole["row"], whole["first"], whole["first"] + whole["windows"]], 1)
-            found = []
             some = block[block["doc"] == first]
-            for grp, row, start, windows, at in zip(*(some[c].tolist() for c in ("grp", "row", "first", "windows")), begins[some["k"]].tolist(), strict=True):
-                mine = np.flatnonzero(smaller[at:at + windows])
-                if len(mine):
-                    cuts = np.flatnonzero(np.diff(mine) > 1)
-                    for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(mine) - 1]]), strict=True):
-                        found.append((grp, row, start + int(mine[a]), start + int(mine[b]) + 1))
-                if len(found) >= ROWS:
-                    yield np.array(found, np.int64)
-                    found = []
-            if found:
-                yield np.array(found, np.int64)
+            some = some[places[some["k"]] >= 0]
+            ends = np.cumsum(some["windows"])
+            lo = 0
+            while lo < len(some):                        # up to BLOCK windows at once, one row at least
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+                yield _runs(some[lo:hi], places[some["k"][lo:hi]], smaller)
+                lo = hi
+
+
+def _first_gram(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gram that the window at each place picks, its context's own."""
+    data = raw[at[:, None] + np.arange(LENGTH)]
+    return gram_hashes(data.ravel(), GRAM).reshape(-1, LENGTH)[:, :LENGTH - GRAM + 1].min(1)
+
+
+def _runs(rows: np.ndarray, places: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Rows grp, row, first, stop of the runs of windows that are marked in
+    ``smaller``, where each row's windows lie from its place on."""
+    ends = np.cumsum(rows["windows"])
+    begins = ends - rows["windows"]
+    marked = smaller[np.arange(ends[-1]) + np.repeat(places - begins, rows["windows"])]
+    new, last = marked.copy(), marked.copy()
+    new[1:] &= ~marked[:-1]
+    new[begins] = marked[begins]
+    last[:-1] &= ~marked[1:]
+    last[ends - 1] = marked[ends - 1]
+    heads = np.flatnonzero(new)
+    mine = np.searchsorted(ends, heads, "right")
+    shift = (rows["first"] - begins)[mine]
+    return np.stack([rows["grp"][mine], rows["row"][mine], heads + shift, np.flatnonzero(last) + 1 + shift], 1)
 
 
 def _mark(sorter: InducedSorter, least: np.ndarray, begins: np.ndarray, smaller: np.ndarray) -> None:
@@ -643,12 +687,12 @@ def repeated_windows(docs: DataFrame, groups: int, buckets: int, hot: int = HOT)
     spark = docs.sparkSession
     ship_package(spark)
     dealt = documents(docs).withColumn("grp", _group_key(groups))
-    grams = (dealt.mapInArrow(_gram_rows(groups, buckets), _GRAMS)
+    grams = (dealt.mapInArrow(releasing(_gram_rows(groups, buckets)), _GRAMS)
              .groupBy("bucket").applyInArrow(_repeated(groups, hot), "grp int, grams binary, hot binary"))
     parts = dealt.groupBy("grp").cogroup(grams.groupBy("grp")).applyInArrow(
         _cut_contexts(buckets, buckets), "part int, grp int, row int, first long, stop long, contexts binary")
     # a part is a shard, so a group sends one value to each; settled contexts only pass through, dealt by row
-    return parts.repartitionById(buckets, "part").mapInArrow(_settle, "grp int, row int, first long, stop long")
+    return parts.repartitionById(buckets, "part").mapInArrow(releasing(_settle), "grp int, row int, first long, stop long")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:

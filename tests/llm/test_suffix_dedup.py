@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskfold.llm import induced_sort, suffix_dedup
+from riskfold.llm import common, induced_sort, suffix_dedup
 from riskfold.llm.queries import op4_suffix_dedup
 from tests.conftest import SF_MID
 from tests.llm.helpers import docs
@@ -224,3 +224,45 @@ def test_shards_follow_the_input(spark, monkeypatch):
     few = suffix_dedup._groups(docs(spark, ["x" * 1000]))
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 10)
     assert suffix_dedup._groups(docs(spark, ["x" * 1000])) == (few[0], 100) and few[1] < 100
+
+
+def test_only_contexts_that_share_their_gram_are_sorted(monkeypatch):
+    r = random.Random(8)
+    text = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    alone, start = text(60), text(54)
+    pieces = [alone, alone, start + b"x", start + b"y"]                # the last two share their first five windows
+    windows = [len(p) - 49 for p in pieces]
+    monkeypatch.setattr(suffix_dedup, "_first_gram", lambda raw, at: np.array([bytes(raw[i:i + 9]) == start[:9] for i in at], np.uint64))
+    with induced_sort.InducedSorter() as sorter:
+        shard = suffix_dedup._Shard(sorter)
+        shard.add(0, suffix_dedup._pack(np.arange(4), np.arange(4), np.zeros(4), np.array(windows), pieces))
+        found = sorted(tuple(x) for rows in shard.repeats() for x in rows.tolist())
+        assert found == [(0, 1, 0, 11), (0, 3, 0, 5)]
+        assert sorter.n == 2 * (len(start) + 2)                        # equal ones need no sort, nor does what shares no gram
+
+
+def test_the_gram_of_a_context_is_that_of_its_first_window():
+    raws = [t.encode() for t in hot_texts()]
+    _, h, first, _ = suffix_dedup.contexts_of(raws)
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    assert np.array_equal(suffix_dedup._first_gram(data, first), h)
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    events = []
+
+    def tables(batches):
+        held = Held()
+        yield from batches
+        del held
+
+    class Held:
+        def __del__(self):
+            events.append("freed")
+
+    real = common.release_memory
+    monkeypatch.setattr(common, "release_memory", lambda: events.append("released"))
+    batch = pa.record_batch({"x": [1]})
+    assert list(common.releasing(tables)(iter([batch]))) == [batch]
+    assert events == ["freed", "released"]
+    real()
