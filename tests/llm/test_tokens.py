@@ -153,3 +153,14 @@ def test_words_are_kept_together_and_survive_a_full_cache():
             assert words.encode([text, ""])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     words._put([len(words.starts), len(words.starts) + 1], [2, 1], [7, 8, 9])
     assert words.ids[words.used - 3:words.used].tolist() == [7, 8, 9]
+
+
+def test_new_words_are_spelled_together(word_bpe, monkeypatch):
+    words = packing.WordIds(word_bpe)
+    spelled = []
+    monkeypatch.setattr(words, "_spelled", lambda letters: spelled.append(letters) or packing.WordIds._spelled(words, letters))
+    letters = [chr(c) for c in range(0xC0, 0x100)]
+    texts = ["The " + " ".join(letters), " ".join(f"a{c}{c.lower()}z!?" for c in letters), "one\x1ctwo\nthree the\n", "K İz Σ ...", "\x1f\n\n"]
+    for got, t in zip(words.encode(texts), texts, strict=True):
+        assert got.tolist() == word_bpe.encode(t, add_special_tokens=False).ids, t
+    assert len(spelled) == 1                                 # not once for each new word
