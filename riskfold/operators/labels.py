@@ -104,18 +104,22 @@ def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None =
     commit_files is read and shuffled once: it joins the non-merge commits
     on (repo, commit_id), the newest fixes are joined on the same keys (no
     re-partitioning), and one aggregate by (repo, path) yields both values.
+    Both sort by a hash of their keys first: names share their first bytes,
+    which are all that Spark compares without going to the rows.
     """
-    fixes = newest_bug_fixes(commits, cap, words).select("repo", "commit_id", F.lit(1).alias("_fix"))
+    commit = F.xxhash64("repo", "commit_id").alias("_commit")
+    keys = ["_commit", "repo", "commit_id"]
+    fixes = newest_bug_fixes(commits, cap, words).select(commit, "repo", "commit_id", F.lit(1).alias("_fix"))
     # flag the fixes on the commit side first (one row per commit), so the
     # big side meets a single shuffle join whose skewed partitions (a
     # commit touching a huge number of files) AQE can split
-    single = (commits.where(F.col("n_parents") <= 1).select("repo", "commit_id", "authored_at", "committed_at")
-              .join(fixes, ["repo", "commit_id"], "left"))
-    touched = (commit_files.where(F.col("path").endswith(suffix)).select("repo", "commit_id", "path")
-               .join(single, ["repo", "commit_id"]))
-    return touched.groupBy("repo", "path").agg(
+    single = (commits.where(F.col("n_parents") <= 1).select(commit, "repo", "commit_id", "authored_at", "committed_at")
+              .join(fixes, keys, "left"))
+    touched = (commit_files.where(F.col("path").endswith(suffix)).select(commit, "repo", "commit_id", "path")
+               .join(single, keys))
+    return touched.groupBy(F.xxhash64("repo", "path").alias("_file"), "repo", "path").agg(
         F.max_by("authored_at", F.struct("committed_at", "commit_id")).alias("last_modified"),
-        F.max(F.coalesce(F.col("_fix"), F.lit(0))).alias("buggy"))
+        F.max(F.coalesce(F.col("_fix"), F.lit(0))).alias("buggy")).drop("_file")
 
 
 def label_files(files: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of: str,

@@ -41,14 +41,27 @@ def _slices(batch):
 
 
 def _parsed_files(batches, nodes_of=None):
-    """(repo, path, file_id, file row, nodes) of every file."""
+    """(repo, path, file_id, file row, nodes) of every file.
+
+    Trees hold no cycles and are freed as they are left, so the collector,
+    which would walk each of them over and over, runs once a slice instead.
+    """
+    import gc
+
     from riskfold.functions.pysyntax import NO_SOURCE, decode_source, parse_file
 
-    for batch in batches:
-        for part in _slices(batch):
-            for repo, path, raw, file_id in zip(*(part.column(c).to_pylist() for c in ("repo", "path", "source", "file_id"))):
-                file_row, nodes = (NO_SOURCE, ()) if raw is None else parse_file(decode_source(raw), nodes_of)
-                yield repo, path, file_id, file_row, nodes
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        for batch in batches:
+            for part in _slices(batch):
+                for repo, path, raw, file_id in zip(*(part.column(c).to_pylist() for c in ("repo", "path", "source", "file_id"))):
+                    file_row, nodes = (NO_SOURCE, ()) if raw is None else parse_file(decode_source(raw), nodes_of)
+                    yield repo, path, file_id, file_row, nodes
+                gc.collect()
+    finally:
+        if was_on:
+            gc.enable()
 
 
 def _parse_batches(batches):

@@ -268,3 +268,31 @@ def test_comments_of_a_parsed_file_need_no_tokenizer(monkeypatch):
         raise AssertionError("tokenizer called")
     monkeypatch.setattr(pysyntax, "_count_comments", no_tokenizer)
     assert [pysyntax.parse_file(s)[0] for s in plain] == want[:len(plain)]
+
+
+def test_broken_files_leave_no_garbage():
+    import gc
+
+    from riskfold.functions.pysyntax import node_sums, parse_file
+
+    for source in ("def (broken:\n", "x = 1\0\n", "x = " + "1+" * 12000 + "1\n"):
+        parse_file(source, node_sums)
+        gc.collect()
+        gc.disable()
+        try:
+            parse_file(source, node_sums)
+            assert gc.collect() == 0, source[:10]
+        finally:
+            gc.enable()
+
+
+def test_collector_rests_while_files_are_parsed():
+    import gc
+
+    import pyarrow as pa
+
+    from riskfold.operators.parse import _parsed_files
+
+    batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 2, "path": ["a", "b"], "source": ["x = 1\n", "def (\n"], "file_id": [0, 1]})
+    assert [gc.isenabled() for _ in _parsed_files([batch, batch])] == [False] * 4
+    assert gc.isenabled()

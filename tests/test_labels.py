@@ -4,6 +4,7 @@ recent and never-committed files."""
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,26 @@ def test_mining_flow(spark):
     data = jobs.mine_dataset(sources, commits, files, "2024-03-30 00:00:00")
     got = {r["path"]: (r["label"], r["num_functions"]) for r in data.collect()}
     assert got == {"a.py": (1, 1.0), "b.py": (1, 1.0), "e.py": (1, 1.0), "f.py": (1, 1.0), "d.py": (0, 1.0)}
+
+
+def test_history_sorts_by_a_hash_of_its_names_first(spark):
+    # names share their first bytes, so sorting by them compares whole rows
+    commits = spark.createDataFrame(
+        [("r", 1, "Fix crash", 1), ("r", 1, "Add", 1), ("r", 2, "Add", 1), (None, 3, "Fix", 1), ("r", 4, "Fix", 2)],
+        "repo string, commit_id long, message string, n_parents int").selectExpr(
+        "*", "timestamp '2001-01-01' + make_interval(0, 0, 0, CAST(commit_id AS INT)) AS authored_at", "timestamp '2001-01-01' AS committed_at")
+    files = spark.createDataFrame(
+        [("r", 1, "a.py"), ("r", 2, "a.py"), ("r", 2, "b.py"), (None, 3, "c.py"), ("r", 4, "d.py"), ("r", 2, "e.md")],
+        "repo string, commit_id long, path string")
+    history = lab.file_history(commits, files)
+    found = sorted((r["path"], r["last_modified"].day, r["buggy"]) for r in history.select("path", "last_modified", "buggy").collect())
+    assert found == [("a.py", 3, 1), ("b.py", 3, 0)]
+    assert history.columns == ["repo", "path", "last_modified", "buggy"]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lab.file_history(commits, files)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    sorts = re.findall(r"Sort \[(\w+)#", plan)
+    assert sorts and set(sorts) <= {"_commit", "_file"}
