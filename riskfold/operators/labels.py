@@ -116,8 +116,8 @@ def file_history(commits: DataFrame, commit_files: DataFrame, cap: int | None =
     single = (commits.where(F.col("n_parents") <= 1).select(commit, "repo", "commit_id", "authored_at", "committed_at")
               .join(fixes, keys, "left"))
     touched = (commit_files.where(F.col("path").endswith(suffix)).select(commit, "repo", "commit_id", "path")
-               .join(single, keys))
-    return touched.groupBy(F.xxhash64("repo", "path").alias("_file"), "repo", "path").agg(
+               .join(single, keys).withColumn("_file", F.xxhash64("repo", "path")))
+    return touched.groupBy("_file", "repo", "path").agg(
         F.max_by("authored_at", F.struct("committed_at", "commit_id")).alias("last_modified"),
         F.max(F.coalesce(F.col("_fix"), F.lit(0))).alias("buggy")).drop("_file")
 
