@@ -254,3 +254,14 @@ def test_queries_fit_the_reference_models(spark, monkeypatch):
     forest, boosted = tr.MODEL_DEFAULTS[rf], tr.MODEL_DEFAULTS[gb]
     assert (forest["n_estimators"], forest["max_depth"], boosted["n_estimators"], boosted["max_depth"]) == (200, 15, 200, 5)
     assert tr.PARAM_GRIDS[rf] == {"n_estimators": [100, 200], "max_depth": [10, 15], "min_samples_split": [5, 10]}
+
+
+def test_large_fits_follow_each_other():
+    from riskfold.operators.fits import CORE_BYTES, fits_at_once
+
+    assert fits_at_once(10_000, 200, 12, 8) == 8
+    assert fits_at_once(100_000_000, 200, 12, 8) == 1
+    assert 1 < fits_at_once(780_000, 200, 12, 8) < 8
+    for rows in (1, 780_000, 2_000_000):  # what runs at once fits
+        assert fits_at_once(rows, 200, 12, 8) * rows * (400 + 8 * 200) <= CORE_BYTES * 12
+    assert fits_at_once(780_000, 0, 12, 8) > fits_at_once(780_000, 200, 12, 8)  # boosting holds less
