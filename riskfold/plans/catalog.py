@@ -732,12 +732,12 @@ def model_save_load(spark, sf_dir):
 
     from riskfold.session import cut_lineage
 
-    train, _ = _train_test(spark, sf_dir)
+    feats = cut_lineage(t1_features(spark, sf_dir), "features")  # files are parsed once, for training and scoring
+    train, _ = _train_test(spark, sf_dir, labelled_dataset(spark, sf_dir, feats))
     model = tr.fit(train, "gradient_boosting")
     path = _scratch(spark, "model")
     tr.save_model(model, path, {"note": "round trip"})
     loaded, _, _ = tr.load_model(path)
-    feats = cut_lineage(t1_features(spark, sf_dir), "features")
     a = tr.score_files(model, feats).select("repo", "path", F.col("score").alias("score_fitted"))
     b = tr.score_files(loaded, feats).select("repo", "path", F.col("score").alias("score_loaded"))
     both = a.join(b, ["repo", "path"])

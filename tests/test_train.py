@@ -265,3 +265,17 @@ def test_large_fits_follow_each_other():
     for rows in (1, 780_000, 2_000_000):  # what runs at once fits
         assert fits_at_once(rows, 200, 12, 8) * rows * (400 + 8 * 200) <= CORE_BYTES * 12
     assert fits_at_once(780_000, 0, 12, 8) > fits_at_once(780_000, 200, 12, 8)  # boosting holds less
+
+
+def test_save_load_query_parses_its_files_once(spark, monkeypatch):
+    from riskfold.plans import catalog
+
+    calls = []
+    extract = catalog.feat.extract_features
+    monkeypatch.setattr(catalog.feat, "extract_features", lambda *a: calls.append(a) or extract(*a))
+    monkeypatch.setattr(catalog.tr, "fit", lambda *a: (_ for _ in ()).throw(StopIteration))  # what comes before the fit
+    try:
+        catalog.model_save_load(spark, "/root/testdata/sf0.001")
+    except StopIteration:
+        pass
+    assert len(calls) == 1
