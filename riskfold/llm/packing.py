@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import cut_lineage, documents, pieces_for, ship_package, text_batches
+from riskfold.llm.common import cut_lineage, documents, pieces_for, releasing, ship_package, text_batches
 from riskfold.llm.token_counts import load_tokenizer
 
 CAPACITY = 4096
@@ -43,6 +43,8 @@ END_ID = 1
 #: pieces is still numbered in many tasks.
 BUCKET_ROWS = 200_000
 CACHE_WORDS = 300_000
+#: Text whose words are Python objects at once, beside the cache.
+SLICE_BYTES = 1 << 20
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -181,28 +183,31 @@ def worker_cache(path: str) -> WordIds:
     return _CACHES[path]
 
 
+def _piece_batches(batches: Iterator[pa.RecordBatch], words: WordIds, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_batches(batch, SLICE_BYTES):
+            out: list[tuple] = []
+            rows = part.column("text").to_pylist()
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(rows), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    cut = ids[at:at + capacity]
+                    out.append((doc_id, k, at, len(cut), zlib.crc32(cut.tobytes())))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],
+                ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids with the
     end id, cut into pieces of at most ``capacity``."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_cache(tokenizer_path)
-        for batch in batches:
-            for part in text_batches(batch, 4 << 20):
-                out: list[tuple] = []
-                rows = part.column("text").to_pylist()
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(rows), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[at:at + capacity]
-                        out.append((doc_id, k, at, len(cut), zlib.crc32(cut.tobytes())))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        yield from _piece_batches(batches, worker_cache(tokenizer_path), capacity, end_id)
+
+    return documents(docs).mapInArrow(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # -- the plan over the histogram -------------------------------------------

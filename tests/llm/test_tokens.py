@@ -164,3 +164,27 @@ def test_new_words_are_spelled_together(word_bpe, monkeypatch):
     for got, t in zip(words.encode(texts), texts, strict=True):
         assert got.tolist() == word_bpe.encode(t, add_special_tokens=False).ids, t
     assert len(spelled) == 1                                 # not once for each new word
+
+
+def test_packing_holds_the_words_of_a_small_slice(spark, monkeypatch):
+    """A worker splits at most a megabyte of text at once, and gives freed memory back when a task ends."""
+    import pyarrow as pa
+
+    from riskfold.llm import packing
+
+    class Words:
+        seen: list[int] = []
+
+        def encode(self, texts):
+            self.seen.append(sum(map(len, texts)))
+            return [np.zeros(1, np.uint32) for _ in texts]
+
+    rows = ["word " * 20_000] * 30 + ["x" * (3 << 20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(31)), "text": rows})
+    found = [i for b in packing._piece_batches(iter([batch]), Words(), 4096, 1) for i in b.column("doc_id").to_pylist()]
+    assert found == list(range(31))
+    assert sum(Words.seen) == sum(map(len, rows)) and max(Words.seen[:-1]) <= 1 << 20 and Words.seen[-1] == 3 << 20
+    given = []
+    monkeypatch.setattr(packing, "releasing", lambda fn: given.append(fn) or fn)
+    packing.token_pieces(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "unused.json")
+    assert len(given) == 1
