@@ -17,7 +17,7 @@ from itertools import product
 from typing import Any, NamedTuple
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.errors import AnalysisException
@@ -28,7 +28,7 @@ from riskfold.operators import dataset as ds
 from riskfold.operators import evaluate as ev
 from riskfold.operators.fits import CORE_BYTES, Fit, Part, Room, TrainingTable, boost_tasks, fit_bytes, side_by_side
 from riskfold.schema import FEATURE_NAMES
-from riskfold.session import cut_lineage
+from riskfold.session import cut_lineage, scratch_path
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's defaults).
@@ -94,26 +94,127 @@ def _prepare(df: DataFrame) -> DataFrame:
     return ds.with_class_weight(ds.align(df, keep=keep), WEIGHT_COL)
 
 
+def _size(job: Fit) -> tuple[int, int]:
+    """Trees and depth of a forest."""
+    p = _params(job.name, job.params)
+    return int(p["n_estimators"]), int(p["max_depth"])
+
+
+def shared_forests(todo: Sequence[Fit]) -> list[list[Fit]]:
+    """``todo`` in lists of forests on the same rows that differ in trees and
+    depth alone; every other fit is a list of its own."""
+    found: dict[Any, list[Fit]] = {}
+    for i, job in enumerate(todo):
+        other = {k: v for k, v in _params(job.name, job.params).items() if k not in ("n_estimators", "max_depth")}
+        found.setdefault((job.part, json.dumps(other, sort_keys=True, default=str)) if job.name == "random_forest" else i, []).append(job)
+    return list(found.values())
+
+
+def _cut_tree(most: int):
+    """Nodes of one saved tree (numbered from its root, every node before its
+    children) down to depth ``most``.  Where both leaves of a node say the
+    same, the node becomes the leaf, as in a fitted tree."""
+
+    def cut(nodes):
+        nodes = nodes.sort_values("id", ignore_index=True)
+        left, right, says = (nodes[c].tolist() for c in ("leftChild", "rightChild", "prediction"))
+        depth = [0] * len(left)
+        for i, (a, b) in enumerate(zip(left, right)):
+            if a >= 0:
+                depth[a] = depth[b] = depth[i] + 1
+        for i in reversed(range(len(left))):
+            a, b = left[i], right[i]
+            if a >= 0 and (depth[i] >= most or (left[a] < 0 and left[b] < 0 and says[a] == says[b])):
+                left[i] = right[i] = -1
+        place, kept = {0: 0}, []
+        for i, (a, b) in enumerate(zip(left, right)):
+            if i in place:
+                place[i] = len(kept)
+                kept.append(i)
+                if a >= 0:
+                    place[a] = place[b] = -1  # known once they come
+        out = nodes.iloc[kept].copy()
+        out["id"] = range(len(kept))
+        leaf = [left[i] < 0 for i in kept]
+        out["leftChild"] = [place.get(left[i], -1) for i in kept]
+        out["rightChild"] = [place.get(right[i], -1) for i in kept]
+        out["gain"] = [-1.0 if x else g for x, g in zip(leaf, out["gain"])]
+        out["featureIndex"] = [-1 if x else f for x, f in zip(leaf, out["featureIndex"])]
+        out["leftCategoriesOrThreshold"] = [[] if x else list(t) for x, t in zip(leaf, out["leftCategoriesOrThreshold"])]
+        out["numCategories"] = [-1 if x else n for x, n in zip(leaf, out["numCategories"])]
+        return out
+    return cut
+
+
+_NODE = ("id", "prediction", "impurity", "impurityStats", "rawCount", "gain", "leftChild", "rightChild")
+_SPLIT = ("featureIndex", "leftCategoriesOrThreshold", "numCategories")
+
+
+def smaller_forests(spark: SparkSession, whole: RandomForestClassificationModel, sizes: Sequence[tuple[int, int]]) -> list[RandomForestClassificationModel]:
+    """Forests of fewer trees or less depth out of a fitted one.
+
+    A forest's trees are drawn one by one, and a tree splits level by level
+    whatever its last level is, so the first ``n`` trees down to depth ``d``
+    are what a fit of that size grows from the same draws.  Made from the
+    saved form of the model, tree by tree in tasks.
+    """
+    most = (whole.getNumTrees, whole.getOrDefault("maxDepth"))
+    if all(size == most for size in sizes):
+        return [whole for _ in sizes]
+    at = scratch_path(spark, "forest")
+    whole.write().overwrite().save(at)
+    (about,) = (json.loads(r.value) for r in spark.read.text(f"{at}/metadata").collect())
+    nodes = spark.read.parquet(f"{at}/data")
+    flat = nodes.select("treeID", *[F.col("nodeData")[c].alias(c) for c in _NODE], *[F.col("nodeData.split")[c].alias(c) for c in _SPLIT])
+    trees = spark.read.parquet(f"{at}/treesMetadata")  # a row a tree
+
+    def smaller(n: int, depth: int) -> RandomForestClassificationModel:
+        to = scratch_path(spark, "forest")
+        mine = flat.where(F.col("treeID") < n)
+        if depth < most[1]:
+            mine = mine.groupBy("treeID").applyInPandas(_cut_tree(depth), mine.schema)
+        node = F.struct(*_NODE, F.struct(*_SPLIT).alias("split"))
+        mine.select("treeID", node.alias("nodeData")).write.parquet(f"{to}/data")
+        said = F.regexp_replace("_2", '"maxDepth":[0-9]+(?=.*"defaultParamMap")', f'"maxDepth":{depth}')
+        trees.where(F.col("_1") < n).withColumn("_2", said).write.parquet(f"{to}/treesMetadata")
+        params = about["paramMap"] | {"numTrees": n, "maxDepth": depth}
+        text = json.dumps(about | {"paramMap": params, "numTrees": n}, separators=(",", ":"))
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{to}/metadata")
+        return RandomForestClassificationModel.load(to)
+
+    made = {size: whole if size == most else smaller(*size) for size in dict.fromkeys(sizes)}
+    return [made[size] for size in sizes]
+
+
 def fit_all(table: TrainingTable, todo: Sequence[Fit], parallelism: int = 8) -> dict[Hashable, PipelineModel]:
     """Fits every model of ``todo`` on its part of ``table``, side by side as
-    far as their cached rows fit into memory."""
+    far as their cached rows fit into memory.  Of forests that differ in trees
+    and depth alone the largest is fitted and holds the others."""
     spark = table.table.sparkSession
     cores = spark.sparkContext.defaultParallelism
     room = Room(CORE_BYTES * cores)
+    lists = shared_forests(todo)
 
-    def one(job: Fit) -> PipelineModel:
+    def one(jobs: list[Fit]) -> dict[Hashable, PipelineModel]:
+        job = jobs[0]
         forest = job.name == "random_forest"
+        sizes = [_size(j) for j in jobs]
+        trees, depth = (max(x) for x in zip(*sizes))
+        params = job.params if len(jobs) == 1 else {**job.params, "n_estimators": trees, "max_depth": depth}
         count = sum(table.label_counts(job.part).values())
         # boosting holds no weight and node of a row for each tree
-        trees = int(_params(job.name, job.params)["n_estimators"]) if forest else 0
-        with room.taken(fit_bytes(count, trees)):
-            if len(todo) > 1 < parallelism:  # in a thread of its own
+        with room.taken(fit_bytes(count, trees if forest else 0)):
+            if len(lists) > 1 < parallelism:  # in a thread of its own
                 spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{job.key}")
             rows = table.weighted(job.part, WEIGHT_COL)
-            model = get_model(job.name, **job.params).fit(rows if forest else rows.coalesce(boost_tasks(count, cores)))
-        return PipelineModel([assembler(), model])
-
-    return dict(zip((job.key for job in todo), side_by_side(spark, one, todo, parallelism)))
+            model = get_model(job.name, **params).fit(rows if forest else rows.coalesce(boost_tasks(count, cores)))
+        models = [model] if len(jobs) == 1 else smaller_forests(spark, model, sizes)
+        return {j.key: PipelineModel([assembler(), m]) for j, m in zip(jobs, models)}
+
+    made: dict[Hashable, PipelineModel] = {}
+    for models in side_by_side(spark, one, lists, parallelism):
+        made |= models
+    return {job.key: made[job.key] for job in todo}
 
 
 def training_table(data: DataFrame, **kwargs: Any) -> TrainingTable:

@@ -68,16 +68,22 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     re-ordering -- the plan that produced them.  One write, one job (a
     reliable RDD checkpoint would compute its input twice); never local.
     """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint directory, which ``drop_intermediate``
+    clears with the tables of ``cut_lineage``."""
     import uuid
 
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/riskfold-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    return df.sparkSession.read.parquet(path)
+    return path
 
 
-#: Tables that this process has written through ``cut_lineage``.
+#: Paths that this process has taken through ``scratch_path``.
 _WRITTEN: list[str] = []
 
 
