@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +34,23 @@ def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
     Bytes are decoded (UTF-8, dropping bad bytes) inside the parse pass, so
     the scan itself never materialises text.  The glob filter is applied by
     the file listing, before any file is opened.
+
+    Tasks list the folders and read the files, so no list of files is ever on
+    the driver.  In a store that Arrow cannot open, and for a root that is a
+    glob or no folder, Spark's own reader lists them there.
     """
+    if not re.search(r"[*?{\[\\]", root) and _is_folder(root):
+        found = _listed_files(spark, root, pattern)
+        if by_folder:
+            return found.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("repo"),
+                                F.substr("path", F.instr("path", "/") + 1).alias("path"), F.col("content"))
+    else:
+        found = None
     scheme = re.match("[A-Za-z][A-Za-z0-9+.-]*:", root)
     root_uri = root if scheme else "file://" + os.path.abspath(root)
+    name = repo if repo is not None else os.path.basename(os.path.abspath(root).rstrip("/"))
+    if found is not None:
+        return found.select(F.lit(name).alias("repo"), F.col("path"), F.col("content"))
     # listed paths keep the root but may spell the scheme differently
     # (file:/x vs file:///x), so locate the root by its path part
     key = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//)?", "", root_uri).rstrip("/") + "/"
@@ -46,17 +60,163 @@ def scan_source_files(spark: SparkSession, root: str, repo: str | None = None,
           .load(root_uri))
     # a split holds 32 files at most, so a tree of a million small ones would
     # be tens of thousands of tasks; a task reads many splits, row by row
-    most = max(1, int(SCAN_TASKS * spark.sparkContext.defaultParallelism))
+    most = _scan_tasks(spark)
     if df.rdd.getNumPartitions() > most:  # a scan only: no job runs
         df = df.coalesce(most)
     rel = relative_path(F.col("path"), key)
     if by_folder:
         return df.select(F.split_part(rel, F.lit("/"), F.lit(1)).alias("repo"),
                          F.substr(rel, F.instr(rel, "/") + 1).alias("path"), F.col("content"))
-    name = repo if repo is not None else os.path.basename(os.path.abspath(root).rstrip("/"))
     return df.select(F.lit(name).alias("repo"), rel.alias("path"), F.col("content"))
 
 
+def _scan_tasks(spark: SparkSession) -> int:
+    return max(1, int(SCAN_TASKS * spark.sparkContext.defaultParallelism))
+
+
+def _is_folder(root: str) -> bool:
+    """Whether Arrow opens the store of ``root`` and finds a folder there."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    try:
+        files, base = _file_system(root)
+        return files.get_file_info(base or "/").type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def glob_pattern(pattern: str) -> re.Pattern:
+    """A file name glob as Spark's readers take it: ``*``, ``?``, sets,
+    ``{a,b}`` and escapes."""
+    out, i, open_braces = "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            out += re.escape(pattern[i])
+        elif c in "*?":
+            out += ".*" if c == "*" else "."
+        elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
+            inner = pattern[i + 1:end]
+            out += "[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("[", "\\[") + "]"
+            i = end
+        elif c == "{":
+            out, open_braces = out + "(?:", open_braces + 1
+        elif c == "}" and open_braces:
+            out, open_braces = out + ")", open_braces - 1
+        else:
+            out += "|" if c == "," and open_braces else re.escape(c)
+        i += 1
+    return re.compile(out, re.DOTALL)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _entries(files, folder: str, sized: bool = True) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder holds, without hidden
+    folders, hidden files and files of no bytes (of no files, if not
+    ``sized``); a local one is streamed."""
+    from pyarrow import fs
+
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(folder or "/") as found:
+            for x in found:
+                try:
+                    x.name.encode()  # a name that is no text cannot be opened by its path
+                    is_folder = x.is_dir()
+                    known = is_folder or (sized and x.is_file() and x.stat().st_size > 0)
+                except (OSError, UnicodeEncodeError):  # gone, or a link to nothing
+                    continue
+                if known and (not _hidden(x.name) or (is_folder and x.name.startswith(("_metadata", "_common_metadata")))):
+                    yield x.name, is_folder
+        return
+    for x in files.get_file_info(fs.FileSelector(folder or "/")):
+        is_folder = x.type == fs.FileType.Directory
+        if (is_folder or (x.type == fs.FileType.File and x.size != 0)) and (
+                not _hidden(x.base_name) or (is_folder and x.base_name.startswith(("_metadata", "_common_metadata")))):
+            yield x.base_name, is_folder
+
+
+#: Rows of paths, and bytes of content, that a listing or reading task hands over at once.
+_LISTED_ROWS, _READ_BYTES = 2_000, 16 << 20
+#: Folders that the driver knows, and levels that it goes down, at most while
+#: it looks for enough folders to list apart.
+_MOST_FOLDERS, _MOST_LEVELS = 10_000, 6
+
+
+def _listed_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``(path, content)`` of the files under a folder; paths are relative."""
+    ship_package(spark)
+    wanted, tasks = glob_pattern(pattern), _scan_tasks(spark)
+
+    def listed(batches):
+        import pyarrow as pa
+
+        files, base = _file_system(root)
+        rows: list[str] = []
+        for batch in batches:
+            for top, whole in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                folders = [top]
+                while folders:
+                    folder = folders.pop()
+                    for name, is_folder in _entries(files, f"{base}/{folder}".rstrip("/")):
+                        path = f"{folder}/{name}" if folder else name
+                        if is_folder:
+                            if whole:
+                                folders.append(path)
+                        elif wanted.fullmatch(name):
+                            rows.append(path)
+                            if len(rows) >= _LISTED_ROWS:
+                                yield pa.RecordBatch.from_pydict({"path": pa.array(rows, pa.string())})
+                                rows = []
+        yield pa.RecordBatch.from_pydict({"path": pa.array(rows, pa.string())})
+
+    def below(batches):
+        import pyarrow as pa
+
+        files, base = _file_system(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names = [x for x, is_folder in _entries(files, f"{base}/{folder}".rstrip("/"), sized=False) if is_folder]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/{x}" if folder else x for x in names], pa.string())})
+
+    def read(batches):
+        import pyarrow as pa
+
+        files, base = _file_system(root)
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with files.open_input_stream(f"{base}/{path}") as f:
+                    content = f.read()
+                paths.append(path)
+                contents.append(content)
+                held += len(content)
+                if held >= _READ_BYTES or len(paths) >= _LISTED_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    # folders to list with all below them, and those that were opened already
+    tops, opened = [""], []
+    for _ in range(_MOST_LEVELS):
+        if not 0 < len(tops) < tasks or len(opened) > _MOST_FOLDERS:
+            break
+        frame = spark.createDataFrame([(x,) for x in tops], "path string").repartition(min(len(tops), tasks))
+        found = [r.path for r in frame.mapInArrow(below, "path string").limit(_MOST_FOLDERS + 1).collect()]
+        if len(found) > _MOST_FOLDERS:
+            break
+        opened += tops
+        tops = found
+    folders = [(x, True) for x in tops] + [(x, False) for x in opened]
+    frame = spark.createDataFrame(folders, "path string, whole boolean").repartition(min(len(folders), tasks))
+    return frame.mapInArrow(listed, "path string").repartition(tasks, "path").mapInArrow(read, "path string, content binary")
+
+
 def write_source_files(sources: DataFrame, root: str) -> int:
     """``sources(repo, path, source)`` as a tree, every row a file of its own
     under ``root/repo/path``; the number of files.
